@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from gleanery.llm import chat
+from gleanery.llm.cross_entropy import cross_entropy_difference
+from gleanery.llm.language import identify
 from gleanery.llm.media import text_media
 from gleanery.llm.packing import pack
 from gleanery.llm.pieces import encode_pieces
 from gleanery.llm.quality import judge
 from gleanery.llm.simhash import near_duplicates
 from gleanery.llm.token_counts import count_tokens
+from gleanery.llm.toxicity import score_documents
 from gleanery.session import table
 
 QUERIES: dict = {}
@@ -56,11 +59,26 @@ def op6_sentencepiece(spark, sf_dir):
     return encode_pieces(table(spark, sf_dir, "documents"), with_ids=False, with_text=False)
 
 
+@query
+def op7_language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"), per_language=1500)
+
+
 @query
 def op8_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_toxicity(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), most_toxic=4000, most_clean=8000)
+
+
+@query
+def op10_cross_entropy(spark, sf_dir):
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), vocabulary=32_768, bits=20)
+
+
 ORACLE_SQL["op1_quality_rules"] = r"""
 WITH words AS (
   SELECT doc_id, source, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
