@@ -1,17 +1,738 @@
-"""All queries of the core library, by name, with equivalent SQL."""
+"""All queries of the core library over the tables of a data directory, by name, with equivalent SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.functions import columns as C
+from gleanery.functions import html
+from gleanery.operators import health, quality, relational, rows
+from gleanery.plans import spec
 from gleanery.session import table
+from gleanery.sources import io
+from gleanery.streaming import stateful
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if it has one."""
+
+    def keep(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return keep
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    title = F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)
-    return pages.select("page_id", "url", F.trim(title).alias("title"))
+    return pages_by_host(spark, sf_dir)
+
+
+# pages
+
+PAGES_SPEC = {
+    "source": {"table": "pages", "kind": "rows"},
+    "pipeline": [{"step": "filter", "field": "title", "op": "non_empty"}, {"step": "dedup", "key": "url"}],
+    "order": ["page_id"],
+}
+
+
+@query(
+    r"""WITH t AS (SELECT page_id, url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages),
+    d AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS r FROM t WHERE title <> '')
+    SELECT regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www\.', '') AS host, count(*) AS n_pages, min(page_id) AS first_page
+    FROM d WHERE r = 1 GROUP BY 1"""
+)
+def pages_by_host(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", C.page_title(F.col("html")).alias("title"))
+    kept = spec.run(spark, PAGES_SPEC, {"pages": pages})
+    return kept.groupBy(C.host(F.col("url")).alias("host")).agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page"))
+
+
+@query(r"SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
+def page_title(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", C.page_title(F.col("html")).alias("title"))
+
+
+LINKS = r"""WITH raw AS (SELECT page_id, url, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>', ' ', 'g'),
+    '(?i)<a\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1)) AS l FROM pages),
+  e AS (SELECT page_id, url, replace(replace(l, '&amp;', '&'), '&quot;', '"') AS l, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root FROM raw),
+  links AS (SELECT DISTINCT page_id, regexp_replace(CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN l WHEN l LIKE '//%' THEN regexp_extract(url, '^(https?):', 1) || ':' || l
+      WHEN l LIKE '/%' THEN root || l ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || l END, '#.*$', '') AS link FROM e)
+"""
+
+
+@query(LINKS + "SELECT page_id, link FROM links")
+def page_links(spark, sf_dir):
+    return io.page_links(table(spark, sf_dir, "pages"), "html", "url", ["page_id"])
+
+
+@query(LINKS + r"SELECT regexp_replace(lower(regexp_extract(link, '^[a-z]+://([^/?#]+)', 1)), '^www\.', '') AS host, count(*) AS n FROM links GROUP BY 1")
+def page_link_hosts(spark, sf_dir):
+    return page_links(spark, sf_dir).groupBy(C.host(F.col("link")).alias("host")).agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT page_id, length(regexp_replace(html, '<[^>]+>', '', 'g'))::BIGINT AS n_chars FROM pages")
+def strip_tags_len(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.length(C.strip_tags(F.col("html"))).cast("bigint").alias("n_chars"))
+
+
+NORMAL = r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^(https?)://', 1) AS s, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS h,
+    regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') AS path, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages),
+  n AS (SELECT page_id, url, s, h, CASE WHEN path = '' THEN '/' ELSE path END AS path,
+    array_to_string(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)), '^(utm_|fbclid|gclid|ref_)')), '&') AS q FROM p),
+  u AS (SELECT page_id, url, s || '://' || h || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS normal FROM n)
+"""
+
+
+@query(NORMAL + "SELECT page_id, normal FROM u")
+def url_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", C.normal_url(F.col("url")).alias("normal"))
+
+
+@query(NORMAL + "SELECT normal, count(*) AS n, min(page_id) AS first_page FROM u GROUP BY normal HAVING count(*) > 1")
+def url_dup_after_normalize(spark, sf_dir):
+    return url_normalize(spark, sf_dir).groupBy("normal").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page")).where("n > 1")
+
+
+@query()
+def css_fields(spark, sf_dir):
+    fields = {"title": "title", "heading": "article h1", "first_link": "nav li:first-child a::attr(href)", "bold": "b"}
+    return html.extract_fields(table(spark, sf_dir, "pages"), "html", fields, ["page_id"])
+
+
+@query()
+def css_rows(spark, sf_dir):
+    return html.extract_rows(table(spark, sf_dir, "pages"), "html", "nav li", {"text": "a", "href": "a::attr(href)"}, ["page_id"])
+
+
+@query()
+def page_article(spark, sf_dir):
+    return html.extract_articles(table(spark, sf_dir, "pages"), "html", ["page_id"])
+
+
+@query()
+def page_markdown(spark, sf_dir):
+    return html.extract_markdown(table(spark, sf_dir, "pages"), "html", ["page_id"])
+
+
+@query()
+def page_visible_text(spark, sf_dir):
+    return html.extract_visible(table(spark, sf_dir, "pages"), "html", ["page_id"])
+
+
+@query()
+def page_repeated_rows(spark, sf_dir):
+    return html.repeated_rows(table(spark, sf_dir, "pages"), "html", ["page_id"])
+
+
+@query()
+def response_kinds(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", rows.response_kind(F.lit(200), F.col("html")).alias("kind"))
+    return pages.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(
+    r"""SELECT CASE WHEN url LIKE '%/en/%' THEN 'english' WHEN url LIKE 'https://%' THEN 'secure' WHEN regexp_matches(url, 'page=\d+') THEN 'paged' ELSE 'other' END AS parser,
+    count(*) AS n FROM pages GROUP BY 1"""
+)
+def route_urls(spark, sf_dir):
+    rule = rows.route(F.col("url"), [("contains", "/en/", "english"), ("startswith", "https://", "secure"), ("regex", r"page=\d+", "paged")], "other")
+    return table(spark, sf_dir, "pages").groupBy(rule.alias("parser")).agg(F.count("*").alias("n"))
+
+
+@query()
+def article_spec(spark, sf_dir):
+    task = {
+        "source": {"table": "pages", "kind": "html_fields", "fields": {"title": "h1", "body": "article p"}},
+        "pipeline": [{"step": "filter", "field": "url", "op": "contains", "value": "example"}, {"step": "validate", "field": "title", "required": True}, {"step": "dedup", "key": "title"}],
+        "order": ["page_id"],
+    }
+    return spec.run(spark, task, {"pages": table(spark, sf_dir, "pages")})
+
+
+# predicates and steps
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(p_type, 'BRASS')")
+def filter_contains(spark, sf_dir):
+    return rows.filter_rows(table(spark, sf_dir, "part"), "p_type", "contains", "BRASS").select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey FROM part WHERE NOT contains(p_brand, '3')")
+def filter_not_contains(spark, sf_dir):
+    return rows.filter_rows(table(spark, sf_dir, "part"), "p_brand", "not_contains", "3").select("p_partkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+def filter_eq(spark, sf_dir):
+    return rows.filter_rows(table(spark, sf_dir, "orders"), "o_orderstatus", "eq", "F").select("o_orderkey")
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(substr(text, 1, 65536), 'Licensed under [A-Z]+')")
+def filter_regex(spark, sf_dir):
+    return rows.filter_rows(table(spark, sf_dir, "documents"), "text", "regex", "Licensed under [A-Z]+").select("doc_id")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20")
+def filter_between(spark, sf_dir):
+    return rows.filter_rows(table(spark, sf_dir, "lineitem"), "l_quantity", "between", low=10, high=20).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT doc_id FROM documents WHERE trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> ''")
+def filter_non_empty(spark, sf_dir):
+    return rows.filter_rows(table(spark, sf_dir, "documents"), "text", "non_empty").select("doc_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE regexp_matches(o_orderpriority, '^[1-3]-')")
+def validate_rows(spark, sf_dir):
+    out = rows.validate_rows(table(spark, sf_dir, "orders"), "o_orderpriority", required=True, pattern="^[1-3]-")
+    return rows.validate_rows(out, "o_totalprice", kind="float").select("o_orderkey")
+
+
+@query("SELECT c_custkey AS id, c_name AS name, 'customer' AS kind, c_mktsegment || ': ' || c_name AS label FROM customer")
+def map_record(spark, sf_dir):
+    return rows.map_record(
+        table(spark, sf_dir, "customer"), {"id": "c_custkey", "name": {"from": "c_name"}, "kind": {"constant": "customer"}, "label": {"template": "{c_mktsegment}: {c_name}"}}
+    )
+
+
+@query("SELECT n_nationkey, n_name AS nation, 'tpch' AS origin, CASE WHEN n_name = '' OR n_name IS NULL THEN 'none' ELSE n_name END AS shown FROM nation")
+def rename_add_default(spark, sf_dir):
+    df = rows.add(rows.rename(table(spark, sf_dir, "nation"), {"n_name": "nation"}), "origin", "tpch")
+    return rows.fill_default(df.withColumn("shown", F.col("nation")), "shown", "none").select("n_nationkey", "nation", "origin", "shown")
+
+
+@query("SELECT s_suppkey, s_name || ' (' || s_nationkey::VARCHAR || ')' AS label FROM supplier")
+def template_field(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    return s.select("s_suppkey", rows.template("{s_name} ({s_nationkey})", s.columns).alias("label"))
+
+
+@query(
+    r"""SELECT c_custkey, TRY_CAST(regexp_extract(c_name, '(\d+)$', 1) AS BIGINT) AS n, TRY_CAST(c_mktsegment AS DOUBLE) AS f, c_mktsegment IS NOT NULL AS f_error FROM customer"""
+)
+def cast_values(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.regexp_extract("c_name", r"(\d+)$", 1).alias("n"), F.col("c_mktsegment").alias("f"))
+    out = rows.cast(rows.cast(c, "n", "int"), "f", "float")
+    return out.select("c_custkey", "n", "f", F.col("f__cast_error").alias("f_error"))
+
+
+@query(r"SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '#(\d)') THEN regexp_extract(p_brand, '#(\d)', 1) END AS brand_no FROM part")
+def regex_extract(spark, sf_dir):
+    return rows.regex_extract(table(spark, sf_dir, "part"), "p_brand", r"#(\d)", 1, "brand_no").select("p_partkey", "brand_no")
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '\b[A-Z][a-z]+ly\b'))::BIGINT AS n, array_to_string(regexp_extract_all(text, '\d+\.\d+'), ',') AS numbers FROM documents")
+def regex_extract_all(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    found = F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]+ly)\b"), F.lit(1))
+    return d.select("doc_id", F.size(found).cast("bigint").alias("n"), F.array_join(F.regexp_extract_all("text", F.lit(r"(\d+\.\d+)"), F.lit(1)), ",").alias("numbers"))
+
+
+@query("SELECT n_nationkey, lower(n_name) AS low, upper(n_name) AS up FROM nation")
+def transform_case(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").withColumn("low", F.col("n_name")).withColumn("up", F.col("n_name"))
+    return rows.transform(rows.transform(n, "low", "lower"), "up", "upper").select("n_nationkey", "low", "up")
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(string_split(p_type, ' '), lambda x: x <> ''), '|') AS words, len(list_filter(string_split(p_type, ' '), lambda x: x <> ''))::BIGINT AS n FROM part")
+def split_field(spark, sf_dir):
+    p = rows.split_field(table(spark, sf_dir, "part"), "p_type", " ", "w")
+    return p.select("p_partkey", F.array_join("w", "|").alias("words"), F.size("w").cast("bigint").alias("n"))
+
+
+@query("SELECT event_id, strftime(date_trunc('second', ts) + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS local FROM events")
+def unix_to_datetime(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("local"))
+    return rows.transform(e, "local", "unix_to_datetime")
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 'none' AS missing FROM events")
+def jpath_props(spark, sf_dir):
+    v = F.try_parse_json("props")
+    return table(spark, sf_dir, "events").select("event_id", C.jpath_text(v, "k").try_cast("bigint").alias("k"), C.jpath_text(v, "a.b[0]", "none").alias("missing"))
+
+
+@query("SELECT user_id, sum(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total FROM events GROUP BY user_id")
+def json_fanout(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    packed = e.select("user_id", F.to_json(F.struct(F.array(F.from_json("props", "k bigint")).alias("rows"))).alias("j"))
+    found = packed.select("user_id", F.explode(F.try_variant_get(C.jpath(F.try_parse_json("j"), "rows[*].k"), "$", "array<bigint>")).alias("k"))
+    return found.groupBy("user_id").agg(F.sum("k").alias("total"))
+
+
+# dedup
+
+
+@query("SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
+def dedup_key(spark, sf_dir):
+    return relational.dedup(table(spark, sf_dir, "documents"), ["source"], ["doc_id"]).select("source", "doc_id")
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text, lang")
+def dedup_content(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return relational.dedup_content(d, ["text", "lang"], ["doc_id"]).select("doc_id")
+
+
+@query(
+    """SELECT count(*) AS total, count(DISTINCT md5(text)) AS distinct_rows, count(*) - count(DISTINCT md5(text)) AS duplicates,
+    round((count(*) - count(DISTINCT md5(text))) / count(*), 6) AS dup_rate FROM documents"""
+)
+def dup_rate(spark, sf_dir):
+    return relational.duplicate_rate(table(spark, sf_dir, "documents").select("text"), ["text"])
+
+
+@query("SELECT n, count(*) AS groups FROM (SELECT count(*) AS n FROM events GROUP BY user_id, event_type) GROUP BY n")
+def content_hash(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(C.content_hash(["user_id", "event_type"]).alias("h"))
+    return e.groupBy("h").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("groups"))
+
+
+@query(
+    """WITH f AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM f)
+    SELECT user_id, run::BIGINT AS run, event_type, count(*) AS n_rows, count(DISTINCT props)::BIGINT AS n_props FROM r GROUP BY user_id, run, event_type"""
+)
+def consecutive_merge(spark, sf_dir):
+    out = relational.merge_consecutive(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_type"], "props")
+    return out.select("user_id", "run", "event_type", "n_rows", F.size("props_set").cast("bigint").alias("n_props"))
+
+
+@query(
+    """SELECT source, count(*) FILTER (r) AS repeats FROM (SELECT source, text = lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) GROUP BY source"""
+)
+def page_repeat(spark, sf_dir):
+    d = relational.page_repeats(table(spark, sf_dir, "documents").select("source", "doc_id", F.md5("text").alias("sig")), ["source"], "doc_id", F.col("sig"))
+    return d.groupBy("source").agg(F.count_if("repeated").alias("repeats"))
+
+
+# joins and sets
+
+
+@query("SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def detail_enrich(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "o_custkey")
+    return relational.enrich(o, c, "o_custkey", ["c_name", "c_mktsegment"]).select("o_orderkey", "o_custkey", "c_name", "c_mktsegment")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE source END AS source FROM documents")
+def resume_merge(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    new = d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("source"))
+    return relational.resume_merge(new, d.select("doc_id", F.col("lang").alias("source")), "doc_id", ["source"])
+
+
+@query("SELECT d.doc_id FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id")
+def incremental_new(spark, sf_dir):
+    seen = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("key"))
+    return relational.unseen(table(spark, sf_dir, "documents").select("doc_id"), seen, ["doc_id"])
+
+
+@query(
+    """SELECT o_custkey, 'added' AS change FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= '1995-01-01') a ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderdate < '1995-01-01') b USING (o_custkey)
+    UNION ALL SELECT o_custkey, 'removed' FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate < '1995-01-01') a ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderdate >= '1995-01-01') b USING (o_custkey)"""
+)
+def snapshot_diff(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return relational.snapshot_diff(o.where("o_orderdate >= '1995-01-01'"), o.where("o_orderdate < '1995-01-01'"), "o_custkey")
+
+
+PANEL = """WITH panel AS (SELECT o_custkey AS code, year(o_orderdate)::BIGINT AS year, count(*) AS n FROM orders GROUP BY 1, 2),
+  universe AS (SELECT c_custkey AS code, 1992 + c_custkey % 3 AS first_year, 1995 + c_custkey % 4 AS last_year FROM customer)
+"""
+
+
+def _panel(spark, sf_dir):
+    panel = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("code"), F.year("o_orderdate").cast("bigint").alias("year")).agg(F.count("*").alias("n"))
+    k = F.col("c_custkey")
+    universe = table(spark, sf_dir, "customer").select(k.alias("code"), (1992 + k % 3).alias("first_year"), (1995 + k % 4).alias("last_year"))
+    return panel, universe
+
+
+@query(PANEL + "SELECT p.code, p.year, p.n, u.code IS NOT NULL AS inside FROM panel p LEFT JOIN universe u ON p.code = u.code AND p.year BETWEEN first_year AND last_year")
+def range_panel(spark, sf_dir):
+    panel, universe = _panel(spark, sf_dir)
+    return relational.in_window(panel, universe, "code", "year", "first_year", "last_year")
+
+
+@query(PANEL + "SELECT code, unnest(range(greatest(first_year, 1993), least(last_year, 1996) + 1)) AS year FROM universe WHERE greatest(first_year, 1993) <= least(last_year, 1996)")
+def universe_expand(spark, sf_dir):
+    return relational.expand_universe(_panel(spark, sf_dir)[1], "code", "first_year", "last_year", 1993, 1996)
+
+
+@query(
+    PANEL
+    + """, expected AS (SELECT code, unnest(range(greatest(first_year, 1993), least(last_year, 1996) + 1)) AS year FROM universe WHERE greatest(first_year, 1993) <= least(last_year, 1996))
+  SELECT e.code, e.year FROM expected e ANTI JOIN panel p ON e.code = p.code AND e.year = p.year"""
+)
+def coverage_gap(spark, sf_dir):
+    panel, universe = _panel(spark, sf_dir)
+    return relational.coverage_gaps(relational.expand_universe(universe, "code", "first_year", "last_year", 1993, 1996), panel, ["code", "year"])
+
+
+@query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY user_id, event_type")
+def last_write_wins(spark, sf_dir):
+    return relational.last_write(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "ts")
+
+
+@query(
+    """SELECT n_nationkey, coalesce(s.name, c.name) AS name, CASE WHEN s.name IS NOT NULL THEN 0 WHEN c.name IS NOT NULL THEN 1 END AS filled_by FROM nation
+    LEFT JOIN (SELECT s_nationkey AS k, min(s_name) AS name FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) s ON s.k = n_nationkey
+    LEFT JOIN (SELECT c_nationkey AS k, min(c_name) AS name FROM customer GROUP BY 1) c ON c.k = n_nationkey"""
+)
+def coalesce_sources(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.min("s_name").alias("name"))
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.min("c_name").alias("name"))
+    return relational.coalesce_sources(table(spark, sf_dir, "nation"), [s, c], "n_nationkey", ["name"])
+
+
+@query(
+    """SELECT s_nationkey, arg_min(s_suppkey, (CASE WHEN contains(s_name, '7') THEN 0 WHEN s_acctbal > 0 THEN 1 ELSE 2 END, s_suppkey)) AS s_suppkey FROM supplier GROUP BY s_nationkey"""
+)
+def best_candidate(spark, sf_dir):
+    rank = F.when(F.col("s_name").contains("7"), 0).when(F.col("s_acctbal") > 0, 1).otherwise(2)
+    return relational.best_candidate(table(spark, sf_dir, "supplier"), "s_nationkey", rank, ["s_suppkey"]).select("s_nationkey", "s_suppkey")
+
+
+@query(
+    """WITH f AS (SELECT 'nation' AS step, 'n_name' AS field, n_name AS value FROM nation UNION ALL SELECT 'region', 'r_name', r_name FROM region),
+    p(name, value) AS (VALUES ('rName', 'nothing'), ('who', (SELECT min(n_name) FROM nation))),
+    m AS (SELECT p.name, step, field, 0 AS how FROM p JOIN f USING (value) UNION ALL
+      SELECT p.name, step, field, 1 FROM p JOIN f ON regexp_replace(lower(p.name), '[^a-z0-9]', '', 'g') = regexp_replace(lower(f.field), '[^a-z0-9]', '', 'g'))
+    SELECT name, b.step AS step, b.field AS field, CASE WHEN b.how = 0 THEN 'value' ELSE 'name' END AS how
+    FROM (SELECT name, min({'how': how, 'step': step, 'field': field}) AS b FROM m GROUP BY name)"""
+)
+def value_correlation(spark, sf_dir):
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    fields = n.select(F.lit("nation").alias("step"), F.lit("n_name").alias("field"), F.col("n_name").alias("value"))
+    fields = fields.unionByName(r.select(F.lit("region").alias("step"), F.lit("r_name").alias("field"), F.col("r_name").alias("value")))
+    params = n.agg(F.min("n_name").alias("value")).select(F.lit("who").alias("name"), "value").unionByName(spark.range(1).select(F.lit("rName").alias("name"), F.lit("nothing").alias("value")))
+    return relational.correlate_values(params, fields)
+
+
+@query(
+    """WITH s AS (SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderpriority || o_orderstatus)) AS t FROM orders GROUP BY 1),
+    c AS (SELECT t, min(k) AS k FROM s GROUP BY t)
+    SELECT a.k AS a, b.k AS b, len(list_intersect(a.t, b.t))::BIGINT AS overlap FROM c a JOIN c b ON a.k < b.k
+    WHERE len(list_intersect(a.t, b.t)) >= 0.85 * greatest(len(a.t), len(b.t))"""
+)
+def set_similarity(spark, sf_dir):
+    sets = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set(F.concat("o_orderpriority", "o_orderstatus")).alias("t"))
+    return relational.similar_sets(sets, "o_custkey", "t", 0.85)
+
+
+@query(
+    """SELECT doc_id, clause, contains(text, clause) AS found FROM (SELECT doc_id, text, substr(text, 21, 30) AS clause FROM documents UNION ALL SELECT doc_id, text, 'zz ' || lang FROM documents)"""
+)
+def verbatim_containment(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    clauses = d.select("doc_id", F.substring("text", 21, 30).alias("clause")).unionByName(d.select("doc_id", F.concat(F.lit("zz "), "lang").alias("clause")))
+    return relational.verbatim(clauses, d, "doc_id", "clause", "text")
+
+
+@query(
+    """SELECT conv_id * 1000 AS id, -1::BIGINT AS parent, 0 AS level, text FROM conversations WHERE turn = 0
+    UNION ALL SELECT c.conv_id * 1000 + c.turn, c.conv_id * 1000, 1, c.text FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = 0 WHERE c.turn > 0"""
+)
+def conversation_flatten(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    nested = c.groupBy("conv_id").agg(
+        F.max(F.when(F.col("turn") == 0, F.struct("id", "text"))).alias("top"), F.collect_list(F.when(F.col("turn") > 0, F.struct("id", "text"))).alias("replies")
+    )
+    out = relational.flatten_replies(nested.where("top is not null").select("top.id", "top.text", "replies"), "id", "replies", ["text"])
+    return out.withColumn("parent", F.coalesce("parent", F.lit(-1)))
+
+
+@query("SELECT n_name, r_name FROM nation CROSS JOIN region")
+def cartesian_iterate(spark, sf_dir):
+    return relational.cartesian([table(spark, sf_dir, "nation").select("n_name"), table(spark, sf_dir, "region").select("r_name")])
+
+
+@query("SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance, NULL::VARCHAR AS segment FROM supplier UNION ALL SELECT c_custkey, c_name, NULL, c_mktsegment FROM customer")
+def union_merge(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return relational.union_merge([s, c])
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT doc_id AS src, doc_id * 2 + 1 AS dst FROM documents UNION ALL SELECT doc_id, (doc_id * 3) % 1000 FROM documents),
+    walk(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, depth + 1 FROM walk JOIN e ON src = node WHERE depth < 4)
+    SELECT node, min(depth)::INTEGER AS depth FROM walk GROUP BY node"""
+)
+def reachability(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    edges = d.select(F.col("doc_id").alias("src"), (F.col("doc_id") * 2 + 1).alias("dst")).unionByName(d.select(F.col("doc_id").alias("src"), ((F.col("doc_id") * 3) % 1000).alias("dst")))
+    return relational.reachable_nodes(edges, spark.createDataFrame([(1,)], "node bigint"), 4)
+
+
+# profiles and checks
+
+ROUNDED = "round({0}::DOUBLE, {1})"
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS n, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}::DECIMAL(30,6))::DOUBLE, 4) AS mean, median({c})::DOUBLE AS median,
+        count(*) - count({c}) AS missing FROM lineitem"""
+        for c in ("l_quantity", "l_discount", "l_tax")
+    )
+)
+def numeric_profile(spark, sf_dir):
+    return quality.numeric_profile(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) FILTER ({c} IS NULL OR trim({c}::VARCHAR) = '') AS missing, count(*) AS total FROM documents LEFT JOIN labels USING (doc_id)""" for c in ("quality", "toxic", "lang")
+    )
+)
+def missing_profile(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return quality.missing_profile(d, ["quality", "toxic", "lang"])
+
+
+@query("SELECT o_orderpriority AS grp, count(*) AS n, round(avg(o_totalprice::DECIMAL(30,6))::DOUBLE, 2) AS mean, round(sum(o_totalprice::DECIMAL(30,6))::DOUBLE, 2) AS total FROM orders GROUP BY 1")
+def group_mean_sum(spark, sf_dir):
+    return quality.group_summary(table(spark, sf_dir, "orders"), "o_orderpriority", F.col("o_totalprice"))
+
+
+@query(
+    """WITH r AS (SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 10 AS w FROM lineitem)
+    SELECT least(9, floor((l_extendedprice - lo) / w))::INTEGER AS bin, count(*) AS n FROM lineitem, r GROUP BY 1"""
+)
+def histogram10(spark, sf_dir):
+    return quality.histogram(table(spark, sf_dir, "lineitem"), F.col("l_extendedprice")).select("bin", "n")
+
+
+@query("SELECT token, count(*) AS n FROM (SELECT unnest(string_split(p_type, ' ')) AS token FROM part) GROUP BY token ORDER BY n DESC, token LIMIT 10")
+def token_topk(spark, sf_dir):
+    return quality.token_topk(table(spark, sf_dir, "part"), F.split("p_type", " "), 10)
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def status_counts(spark, sf_dir):
+    return quality.status_counts(table(spark, sf_dir, "orders"), "o_orderstatus")
+
+
+@query(
+    """SELECT doc_id, length(text)::BIGINT AS total_chars, n AS a_kw_count, round(n * 2000 / length(text), 3) AS a_kw_freq FROM (SELECT doc_id, text,
+    ((length(text) - length(replace(text, 'the', ''))) // 3 + (length(text) - length(replace(text, 'Licensed', ''))) // 8)::BIGINT AS n FROM documents WHERE text <> '')"""
+)
+def keyword_freq(spark, sf_dir):
+    return quality.keyword_stats(table(spark, sf_dir, "documents").where("text <> ''"), "doc_id", "text", {"a": ["the", "Licensed"]})
+
+
+@query()
+def key_sentences(spark, sf_dir):
+    return quality.key_sentences(table(spark, sf_dir, "documents"), "doc_id", "text", ["Licensed", "password", "stupid"])
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) FILTER ({c} IS NOT NULL AND trim({c}::VARCHAR) <> '') AS filled, count(*) AS total, round(count({c}) / count(*), 4) AS rate,
+        {f"count({c}) / count(*) >= 0.9" if c == "quality" else f"NOT (count({c}) = 0 AND count(*) >= 3)"} AS pass FROM documents LEFT JOIN labels USING (doc_id)"""
+        for c in ("quality", "toxic", "source")
+    )
+)
+def completeness(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return quality.completeness(d, ["quality", "toxic", "source"], ["quality"])
+
+
+_GAP = "(CASE WHEN doc_id % 7 = 0 THEN '暂无' WHEN doc_id % 5 = 0 THEN ' ' ELSE lang END)"
+
+
+@query(
+    f"""SELECT 'v' AS "column", count(*) FILTER (v = '暂无') AS placeholder, count(*) FILTER (v = ' ') AS blank, count(*) FILTER (v NOT IN ('暂无', ' ')) AS filled FROM (SELECT {_GAP} AS v FROM documents)"""
+)
+def gap_attribution(spark, sf_dir):
+    v = F.when(F.col("doc_id") % 7 == 0, "暂无").when(F.col("doc_id") % 5 == 0, " ").otherwise(F.col("lang"))
+    return quality.gap_attribution(table(spark, sf_dir, "documents").select(v.alias("v")), ["v"])
+
+
+@query(
+    """SELECT sum(n)::BIGINT AS total, count(*) AS distinct_keys, (sum(n) - count(*))::BIGINT AS duplicates, max(n)::BIGINT AS largest
+    FROM (SELECT count(*) AS n FROM events GROUP BY user_id, event_type)"""
+)
+def duplicate_check(spark, sf_dir):
+    return quality.duplicate_check(table(spark, sf_dir, "events"), ["user_id", "event_type"])
+
+
+@query(
+    """SELECT coalesce(g.source, s.source) AS source, coalesce(got, 0) AS got, coalesce(stated, -1) AS stated, CASE WHEN stated IS NULL THEN 'no_stated' WHEN abs(coalesce(got, 0) - stated) > 0.05 * stated THEN 'off' ELSE 'ok' END AS verdict
+    FROM (SELECT source, count(*) AS got FROM documents GROUP BY 1) g FULL JOIN (SELECT source, count(DISTINCT text)::BIGINT AS stated FROM documents WHERE source <> 'src3' GROUP BY 1) s ON g.source = s.source"""
+)
+def reconcile_counts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return quality.reconcile(d, d.where("source <> 'src3'").groupBy("source").agg(F.countDistinct("text").alias("stated")), "source").withColumn("stated", F.coalesce("stated", F.lit(-1)))
+
+
+@query(
+    """SELECT rule AS assertion, n AS violations, n = 0 AS pass FROM (SELECT 'o_orderstatus!X' AS rule, count(*) FILTER (contains(o_orderstatus, 'X')) AS n FROM orders
+    UNION ALL SELECT 'o_orderpriority+-', count(*) FILTER (NOT contains(o_orderpriority, '-')) FROM orders UNION ALL SELECT 'o_orderstatus+F', count(*) FILTER (NOT contains(o_orderstatus, 'F')) FROM orders)"""
+)
+def column_assertions(spark, sf_dir):
+    return quality.column_assertions(table(spark, sf_dir, "orders"), ["o_orderstatus!X", "o_orderpriority+-", "o_orderstatus+F"])
+
+
+@query(
+    """WITH f AS (SELECT bool_or(contains(n_name, 'CHINA')) AS a, bool_or(contains(n_name, 'NATION_1')) AS b, bool_or(contains(n_name, 'zzz')) AS c FROM nation)
+    SELECT 'CHINA' AS token, a AS found, a AS pass FROM f UNION ALL SELECT '+NATION_1', b, b FROM f UNION ALL SELECT '!zzz', c, NOT c FROM f"""
+)
+def semantic_check(spark, sf_dir):
+    return quality.semantic_check(table(spark, sf_dir, "nation").select("n_name"), ["CHINA", "+NATION_1", "!zzz"])
+
+
+@query(
+    """WITH p AS (SELECT lpad((o_custkey % 400)::VARCHAR, CASE WHEN o_custkey % 50 = 0 THEN 5 ELSE 6 END, '0') AS code, year(o_orderdate)::BIGINT AS year, 1000 AS t, o_orderkey % 7 AS n,
+      round((o_orderkey % 7) * 2.0, 3) + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS f FROM orders WHERE o_orderkey % 4 = 0)
+    SELECT 'code_format' AS rule, code, year FROM p WHERE NOT regexp_matches(code, '^\\d{6}$') UNION ALL SELECT 'year_window', code, year FROM p WHERE year NOT BETWEEN 1993 AND 1996
+    UNION ALL SELECT 'freq_formula', code, year FROM p WHERE abs(f - round(n * 2000 / t, 3)) > 0.0015
+    UNION ALL SELECT 'duplicate_key', code, year FROM p GROUP BY code, year HAVING count(*) > 1""".replace("\\\\", "\\")
+)
+def panel_audit(spark, sf_dir):
+    k = F.col("o_orderkey")
+    p = table(spark, sf_dir, "orders").where(k % 4 == 0).select(
+        F.lpad((F.col("o_custkey") % 400).cast("string"), F.when(F.col("o_custkey") % 50 == 0, 5).otherwise(6), F.lit("0")).alias("code"),
+        F.year("o_orderdate").cast("bigint").alias("year"),
+        F.lit(1000).alias("t"),
+        (k % 7).alias("n"),
+        (F.round((k % 7) * 2.0, 3) + F.when(k % 11 == 0, 1).otherwise(0)).alias("f"),
+    )
+    return quality.panel_audit(p, "code", "year", 1993, 1996, "t", "n", "f")
+
+
+# ledgers
+
+LEDGER = """WITH ledger AS (SELECT event_type AS source, date_trunc('day', ts) AS d_at, count(*) AS count, CASE WHEN day(ts) % 9 = 0 THEN 'error' ELSE 'ok' END AS status FROM events GROUP BY 1, 2, 4)
+"""
+
+
+def _ledger(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    at = F.date_trunc("day", "ts")
+    return e.groupBy(F.col("event_type").alias("source"), at.cast("timestamp").alias("at")).agg(F.count("*").alias("count")).withColumn("status", F.when(F.dayofmonth("at") % 9 == 0, "error").otherwise("ok"))
+
+
+@query(
+    LEDGER
+    + """, r AS (SELECT source, d_at, count, row_number() OVER (PARTITION BY source ORDER BY d_at DESC) AS i FROM ledger WHERE status = 'ok'),
+    b AS (SELECT source, list_sort(list(count)) AS a, arg_max(count, d_at) AS last_count, count(*) AS n, median(count) AS median FROM r WHERE i <= 20 GROUP BY source)
+    SELECT source, n, median::DOUBLE AS median, a[1 + greatest(0, (n * 0.1)::DOUBLE::INTEGER - 1)]::DOUBLE AS p10, a[1 + least(n - 1, floor(n * 0.9)::INTEGER)]::DOUBLE AS p90, last_count::DOUBLE AS last_count FROM b"""
+)
+def rolling_baseline(spark, sf_dir):
+    return health.baseline(_ledger(spark, sf_dir))
+
+
+@query(
+    LEDGER
+    + """, last AS (SELECT source, arg_max(count, d_at) AS c, arg_max(status, d_at) AS st, max(d_at) AS d_at, count(*) AS n FROM ledger GROUP BY source),
+    three AS (SELECT source, count(*) FILTER (status <> 'ok') AS bad FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY d_at DESC) AS i FROM ledger) WHERE i <= 3 GROUP BY source),
+    h AS (SELECT l.source, l.count, row_number() OVER (PARTITION BY l.source ORDER BY l.d_at DESC) AS i FROM ledger l JOIN last USING (source) WHERE l.d_at < last.d_at AND l.status = 'ok'),
+    b AS (SELECT source, count(*) AS n, median(count)::DOUBLE AS median FROM h WHERE i <= 20 GROUP BY source)
+    SELECT source, CASE WHEN st <> 'ok' OR bad >= 3 THEN 'failing' WHEN epoch(TIMESTAMP '2024-02-01') - epoch(d_at) > 2 * 72 * 3600 THEN 'stale' WHEN c = 0 THEN 'empty_suspicious'
+      WHEN c < 0.5 * median THEN 'volume_drop' WHEN c > 2 * median THEN 'volume_spike' WHEN b.n IS NULL THEN 'no_baseline' ELSE 'ok' END AS verdict,
+      coalesce(b.n, 0) AS history, median, c AS count FROM last JOIN three USING (source) LEFT JOIN b USING (source)"""
+)
+def health_verdict(spark, sf_dir):
+    ledger = _ledger(spark, sf_dir)
+    registry = ledger.select("source").distinct().select("source", F.lit(72.0).alias("expect_interval_h"), F.lit(False).alias("allow_empty"), F.lit("2024-01-01").cast("timestamp").alias("registered_at"))
+    return health.verdicts(ledger, registry, F.lit("2024-02-01").cast("timestamp"))
+
+
+@query(
+    """SELECT user_id, count(*) FILTER (b = 3) AS streaks FROM (SELECT user_id, sum(CASE WHEN event_type <> 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING) AS b FROM events) GROUP BY user_id"""
+)
+def three_fail_streak(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("status", F.when(F.col("event_type") == "view", "ok").otherwise("bad"))
+    return health.fail_streaks(e, "user_id", ["ts", "event_id"], "status").groupBy("user_id").agg(F.count_if("streak").alias("streaks"))
+
+
+@query("SELECT user_id, max(ts) AS last_at, epoch(TIMESTAMP '2024-01-31') - epoch(max(ts)) > 2 * 12 * 3600 AS stale FROM events GROUP BY user_id".replace("max(ts) AS", "date_trunc('second', max(ts)) AS").replace("epoch(max(ts))", "floor(epoch(max(ts)))"))
+def staleness(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("ts", F.date_trunc("second", "ts").cast("timestamp"))
+    out = health.staleness(e, "user_id", "ts", F.lit("2024-01-31").cast("timestamp"), 12)
+    return out.withColumn("last_at", F.col("last_at").cast("timestamp_ntz"))
+
+
+@query(
+    """SELECT event_id, count(*) OVER w AS used, (min(s) OVER w + 86400 - s)::BIGINT AS reset_in FROM (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS s FROM events)
+    WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW)"""
+)
+def budget_window_count(spark, sf_dir):
+    return health.window_usage(table(spark, sf_dir, "events"), "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")), 86_400).select("event_id", "used", "reset_in")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY year(o_orderdate), o_custkey, o_orderkey) AS place FROM orders ORDER BY place LIMIT 100")
+def natural_sort(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").cast("string").alias("y"), F.col("o_custkey").cast("string").alias("v"), F.col("o_orderkey").cast("string").alias("i"))
+    top = o.orderBy(*health.natural_order("y", "v", "i")).limit(100)  # the report's first hundred
+    from pyspark.sql import Window as W
+
+    return top.select("o_orderkey", F.row_number().over(W.orderBy(*health.natural_order("y", "v", "i"))).cast("bigint").alias("place"))
+
+
+@query("SELECT p_brand, arg_min(p_partkey, (p_size, p_partkey)) AS p_partkey FROM part GROUP BY p_brand")
+def priority_pick(spark, sf_dir):
+    return health.priority_pick(table(spark, sf_dir, "part"), ["p_brand"], "p_size", "p_partkey").select("p_brand", "p_partkey")
+
+
+@query("SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 500)::BIGINT AS chunk FROM orders")
+def chunk_assign(spark, sf_dir):
+    return health.chunks(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 500)
+
+
+@query()
+def adaptive_interval(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("kind", F.when(F.col("event_type") == "error", "blocked").when(F.col("value") > 50, "slow").otherwise("ok"))
+    return health.adaptive_interval(e, "user_id", "event_id", "kind")
+
+
+@query()
+def budget_admission(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("s"))
+    return stateful.admission(e, "user_id", ["s", "event_id"], "s", 5, 86_400)
+
+
+# numbers, codes, urls
+
+
+@query(
+    r"""SELECT event_id, CASE event_id % 6 WHEN 0 THEN (event_id % 100) * 10000.0 WHEN 1 THEN 45000 WHEN 2 THEN NULL WHEN 3 THEN (event_id % 50 + event_id % 50 + 10) / 2.0 WHEN 4 THEN NULL ELSE event_id % 1000 * 1.0 END::DOUBLE AS x FROM events"""
+)
+def measured_numbers(spark, sf_dir):
+    k = F.col("event_id")
+    s = (
+        F.when(k % 6 == 0, F.concat((k % 100).cast("string"), F.lit("万")))
+        .when(k % 6 == 1, "4-5万")
+        .when(k % 6 == 2, "2026-09-15")
+        .when(k % 6 == 3, F.concat((k % 50 + 1000).cast("string"), F.lit("-"), (k % 50 + 1010).cast("string")))
+        .when(k % 6 == 4, "010-88886666")
+        .otherwise(F.concat(F.lit("约"), (k % 1000).cast("string"), F.lit("元")))
+    )
+    x = C.measured_number(s)
+    return table(spark, sf_dir, "events").select("event_id", F.when(k % 6 == 3, x - 1000).otherwise(x).alias("x"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey < 1000000 THEN lpad(p_partkey::VARCHAR, 6, '0') ELSE p_partkey::VARCHAR END AS code, printf('%.2f', p_partkey / 100) AS units FROM part")
+def code_and_cents(spark, sf_dir):
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", C.code6(F.concat(k.cast("string"), F.lit(".0"))).alias("code"), C.cents_to_units(k).alias("units"))
+
+
+@query(
+    """WITH s AS (SELECT p_partkey, '978' || lpad(p_partkey::VARCHAR, 10, '0') AS i FROM part)
+    SELECT p_partkey, list_sum(list_transform(range(1, 14), lambda k: substr(i, k, 1)::INTEGER * CASE WHEN k % 2 = 0 THEN 3 ELSE 1 END)) % 10 = 0 AS valid FROM s"""
+)
+def isbn_check(spark, sf_dir):
+    i = F.concat(F.lit("978-"), F.lpad(F.col("p_partkey").cast("string"), 10, "0"))
+    return table(spark, sf_dir, "part").select("p_partkey", C.isbn_valid(i).alias("valid"))
