@@ -159,9 +159,9 @@ def article_spec(spark, sf_dir):
 # predicates and steps
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(p_type, 'BRASS')")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(p_type, 'PROMO')")
 def filter_contains(spark, sf_dir):
-    return rows.filter_rows(table(spark, sf_dir, "part"), "p_type", "contains", "BRASS").select("p_partkey", "p_name")
+    return rows.filter_rows(table(spark, sf_dir, "part"), "p_type", "contains", "PROMO").select("p_partkey", "p_name")
 
 
 @query("SELECT p_partkey FROM part WHERE NOT contains(p_brand, '3')")
