@@ -111,7 +111,7 @@ def run(spark: SparkSession, spec: dict, tables: dict[str, DataFrame]) -> DataFr
         else:
             found = C.jpath(F.try_parse_json(F.col(column)), source.get("records_path", ""))
             items = F.coalesce(F.try_variant_get(found, "$", "array<variant>"), F.array(found))
-            df = df.select(*keep, F.explode(items).alias("record"))
+            df = df.select(*keep, F.explode(items).alias("record")).where("record is not null")
             df = df.select(*keep, *[C.jpath_text(F.col("record"), p).alias(n) for n, p in (source.get("fields") or {}).items()])
     if (spec.get("record") or {}).get("fields"):
         df = rows.map_record(df, spec["record"]["fields"], spec["record"].get("keep_raw", False))

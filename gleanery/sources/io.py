@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import csv
 import re
 
 import pandas as pd
@@ -55,20 +56,35 @@ def read_records(spark: SparkSession, path: str, records_path: str = "") -> Data
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """All columns as text; without an encoding that of the first bytes of one file is taken."""
+    """All columns as text. Without an encoding the first bytes of one file decide between UTF-8 and GB18030.
+
+    Spark's reader takes UTF-8 and its kin; files in other encodings are decoded whole in Arrow batches and
+    parsed line by line, so their quoted cells hold no line breaks.
+    """
     if encoding is None:
         row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65_536).alias("c")).first()
-        head = bytes(row["c"]) if row else b""
-        encoding = "GB18030"
-        if head.startswith(codecs.BOM_UTF8):
+        try:
+            codecs.getincrementaldecoder("utf-8")().decode(bytes(row["c"]) if row else b"")
             encoding = "UTF-8"
-        else:
-            try:
-                codecs.getincrementaldecoder("utf-8")().decode(head)
-                encoding = "UTF-8"
-            except UnicodeDecodeError:
-                pass
-    return spark.read.csv(path, header=True, encoding=encoding, multiLine=True, escape='"')
+        except UnicodeDecodeError:
+            encoding = "GB18030"
+    if encoding.lower() in ("utf-8", "utf-16", "utf-16be", "utf-16le", "utf-32", "us-ascii", "iso-8859-1"):
+        return spark.read.csv(path, header=True, encoding=encoding, multiLine=True, escape='"')
+
+    def decode(body: pd.Series) -> pd.Series:
+        return body.map(lambda b: bytes(b).decode(encoding, "replace"))
+
+    lines = F.split(F.pandas_udf(decode, "string")("content"), "\r?\n")
+    files = spark.read.format("binaryFile").load(path).select(lines.alias("l"))
+    head = files.select(F.element_at("l", 1).alias("h")).first()
+    names = next(csv.reader([head["h"]])) if head else ["value"]
+    schema = T.StructType([T.StructField(n or f"col{i + 1}", T.StringType()) for i, n in enumerate(names)])
+    rows = files.select(F.explode(F.slice("l", 2, 1 << 30)).alias("l")).where("l <> ''")
+    return rows.select(F.from_csv("l", _ddl(schema), {"escape": '"'}).alias("r")).select("r.*")
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` string" for f in schema.fields)
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
