@@ -170,3 +170,12 @@ def test_pipeline(spark, sf):
     assert {r.doc_id for r in out} == kept
     encoder = packing.WordEncoder(packing.public_tokenizers.path(packing.DEFAULT_TOKENIZER))
     assert sum(r.length for r in out) == sum(len(x) // 4 + 1 for x in encoder.library([rows[i].text for i in kept]))
+
+
+def test_one_of_each():
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(30)]
+    copies = [b.replace(b.split()[7], "changed", 1) for b in base[:10]] + base[10:20]
+    shared = base[20] + " " + " ".join(f"n{i}" for i in range(900))  # one passage in a long text of its own
+    rows = [(i, toxicity.sketch(t)) for i, t in enumerate(base + copies + [shared, "", "a", "a"])]
+    assert toxicity.one_of_each(rows) == [*range(30), 50, 51, 52]
