@@ -736,3 +736,141 @@ def code_and_cents(spark, sf_dir):
 def isbn_check(spark, sf_dir):
     i = F.concat(F.lit("978-"), F.lpad(F.col("p_partkey").cast("string"), 10, "0"))
     return table(spark, sf_dir, "part").select("p_partkey", C.isbn_valid(i).alias("valid"))
+
+
+# lists, ledgers and files, continued
+
+
+@query(
+    r"""SELECT page_id, len(regexp_extract_all(html, '(?i)(?:href|src)=["'']([^"'']+\.(?:pdf|docx?|xlsx?|zip))["'']', 1))::BIGINT AS n_files FROM pages"""
+)
+def attachment_links(spark, sf_dir):
+    found = F.regexp_extract_all("html", F.lit(r"""(?i)(?:href|src)=["']([^"']+\.(?:pdf|docx?|xlsx?|zip))["']"""), F.lit(1))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(found).cast("bigint").alias("n_files"))
+
+
+@query("SELECT round((sum((lang IS NOT NULL)::INT) + sum((quality IS NOT NULL)::INT)) / (count(*) * 2), 4) AS overall_rate, round(sum((lang IS NOT NULL)::INT) / count(*), 4) AS core_rate FROM documents LEFT JOIN labels USING (doc_id)")
+def sparse_rates(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return quality.sparse_rates(d, ["lang", "quality"], ["lang"])
+
+
+@query("SELECT source AS file, count(*) AS n_rows, round(avg(((lang <> '')::INT + (quality IS NOT NULL)::INT) / 2), 4) AS fill, CASE WHEN avg((lang <> '')::INT + (quality IS NOT NULL)::INT) / 2 < 0.9 THEN 'partial' ELSE 'ok' END AS verdict FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def file_audit(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return quality.file_audit(d, ["lang", "quality"], F.col("source"))
+
+
+@query("SELECT 'password' AS pattern, sum((length(text) - length(replace(text, 'password', ''))) // 8)::BIGINT AS n FROM documents UNION ALL SELECT 'Licensed', sum((length(text) - length(replace(text, 'Licensed', ''))) // 8)::BIGINT FROM documents")
+def log_pattern_counts(spark, sf_dir):
+    return quality.log_pattern_counts(table(spark, sf_dir, "documents"), "text", ["password", "Licensed"])
+
+
+@query("SELECT count(*) FILTER (o_orderstatus = 'F') AS n_ok, count(*) FILTER (o_orderstatus <> 'F') AS n_fail, round(sum(o_custkey)::DOUBLE / 1024, 2) AS total_mb FROM orders")
+def delivery_summary(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("s", F.when(F.col("o_orderstatus") == "F", "ok").otherwise("no"))
+    return quality.delivery_summary(o, "s", "o_custkey")
+
+
+@query(
+    """SELECT count(*) FILTER (quality IS NULL) + count(*) FILTER (toxic IS NULL) AS missing_cells, count(*) * 2 AS total_cells, count(*) FILTER (quality IS NULL) AS required_missing, count(*) AS required_cells
+    FROM documents LEFT JOIN labels USING (doc_id)"""
+)
+def coverage_metrics(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return quality.coverage_metrics(d, ["quality", "toxic"], ["quality"])
+
+
+@query()
+def json_shape(spark, sf_dir):
+    return quality.json_shape(table(spark, sf_dir, "events"), "props")
+
+
+@query("SELECT source, doc_id AS row_no, max(CASE WHEN doc_id % 5 = 0 THEN doc_id END) OVER (PARTITION BY source ORDER BY doc_id) AS segment FROM documents WHERE doc_id >= 0 QUALIFY segment IS NOT NULL")
+def header_segments(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("row_no"))
+    return quality.segment_by_header(d, ["source"], "row_no", F.col("row_no") % 5 == 0).where("segment is not null")
+
+
+@query(
+    """SELECT conv_id, record::BIGINT AS record, min(turn) AS first_row, count(*) AS n_rows FROM (SELECT conv_id, turn, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS record FROM conversations)
+    WHERE record > 0 GROUP BY conv_id, record"""
+)
+def attach_continuations(spark, sf_dir):
+    out = quality.attach_continuations(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", F.col("role") == "user", "text")
+    return out.select("conv_id", "record", "first_row", "n_rows")
+
+
+@query("SELECT user_id, max(ts) AS last_ts FROM events GROUP BY user_id HAVING epoch(TIMESTAMP '2024-01-31') - floor(epoch(max(ts))) >= 43200")
+def quota_ready(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    ledger = e.select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("last_ts"))
+    ready = relational.ready_keys(e.select("user_id").distinct(), ledger, "user_id", 1706659200, 43_200).select("user_id")
+    return ready.join(e.groupBy("user_id").agg(F.max("ts").alias("last_ts")), "user_id")
+
+
+@query("SELECT n_name AS k, min(p) AS part, arg_min(pos, (p, pos)) AS pos FROM (SELECT n_name, 0 AS p, n_nationkey AS pos FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_name, 1, n_nationkey + 100 FROM nation) GROUP BY n_name")
+def mirror_union(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    parts = [n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("k"), F.col("n_nationkey").alias("pos")), n.select(F.col("n_name").alias("k"), (F.col("n_nationkey") + 100).alias("pos"))]
+    return relational.ordered_union(parts, "k")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'primary' ELSE 'secondary' END AS title FROM documents")
+def parser_fallback(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    primary = d.withColumn("title", F.when(F.col("doc_id") % 3 == 0, "primary").otherwise(" "))
+    return relational.fallback_rows(d, primary, d.withColumn("title", F.lit("secondary")), "doc_id", ["title"])
+
+
+@query("SELECT p_partkey, p_partkey % 1000 AS n FROM part")
+def chinese_numbers(spark, sf_dir):
+    k = F.col("p_partkey") % 1000
+    digits = F.array(*[F.lit(x) for x in "零一二三四五六七八九"])
+
+    def d(x):
+        return F.element_at(digits, (x % 10).cast("int") + 1)
+
+    h, t, o = F.floor(k / 100), F.floor(k / 10) % 10, k % 10
+    s = F.concat(F.when(h > 0, F.concat(d(h), F.lit("百"))).otherwise(""), F.when(t > 0, F.concat(d(t), F.lit("十"))).otherwise(F.when((h > 0) & (o > 0), "零").otherwise("")), F.when(o > 0, d(o)).otherwise(""))
+    from gleanery.functions import cjk
+
+    return table(spark, sf_dir, "part").select("p_partkey", cjk.chinese_int(s).alias("n"))
+
+
+@query("SELECT part_key, l_extendedprice FROM (SELECT l_partkey AS part_key, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r <= 20")
+def composite_sort_topk(spark, sf_dir):
+    top = table(spark, sf_dir, "lineitem").orderBy(F.desc_nulls_last("l_extendedprice"), "l_orderkey", "l_linenumber").limit(20)  # a report of twenty
+    return top.select(F.col("l_partkey").alias("part_key"), "l_extendedprice")
+
+
+@query(
+    """WITH f AS (SELECT *, CASE WHEN n_chars IS NOT DISTINCT FROM lag(n_chars) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+    r AS (SELECT source, n_chars, sum(new) OVER (PARTITION BY source ORDER BY doc_id) AS run FROM f)
+    SELECT source, run::BIGINT AS run, min(n_chars) AS length, count(*) AS n_pages FROM r GROUP BY source, run HAVING min(n_chars) < 500"""
+)
+def short_page_streaks(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    return health.short_page_streaks(d, ["source"], ["doc_id"], F.col("n_chars"), 500).select("source", "run", "length", "n_pages")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 AND 10000 - o_orderkey % 7000 > 5000 THEN 'pending' WHEN o_orderkey % 4 = 0 THEN 'running' ELSE 'done' END AS status FROM orders")
+def recycle_claims(spark, sf_dir):
+    k = F.col("o_orderkey")
+    q = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 4 == 0, "running").otherwise("done").alias("status"), (k % 7000).cast("double").alias("running_ts"))
+    return health.recycle_claims(q, 10_000.0, 5_000.0).select("o_orderkey", "status")
+
+
+@query()
+def url_candidates(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", C.url_variants(F.col("url")).alias("candidates"))
+
+
+@query()
+def page_text_search(spark, sf_dir):
+    return html.find_by_text(table(spark, sf_dir, "pages"), "html", "Licensed under", ["page_id"])
+
+
+@query()
+def class_topk(spark, sf_dir):
+    return quality.token_topk(html.class_frequency(table(spark, sf_dir, "pages"), "html", ["page_id"]), F.array("class_name"), 20)
