@@ -73,7 +73,7 @@ def faults(spec: dict) -> list[str]:
             out.append("source.fields is missing")
         for s in [*(source.get("fields") or {}).values(), *([source.get("row", "")] if kind == "html_rows" else [])]:
             try:
-                html.compile_selector(s)
+                html.compile_any(s)
             except ValueError as e:
                 out.append(str(e))
     for i, s in enumerate(spec.get("pipeline") or []):

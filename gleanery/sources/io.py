@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import codecs
 import csv
+import io
+import json as jsonlib
 import re
+import zipfile
+from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -170,3 +175,108 @@ def markdown_table(df: DataFrame, rows: int = 50) -> str:
     """A small result as a Markdown table (a report of ``rows`` rows)."""
     head = [f"| {' | '.join(df.columns)} |", "|" + " --- |" * len(df.columns)]
     return "\n".join(head + ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in df.limit(rows).collect()])
+
+
+def sheet_rows(body: bytes) -> list[list[str]]:
+    """Rows of the first sheet of an XLSX file."""
+    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(body)) as z:
+        names = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = ["".join(t.text or "" for t in si.iter(space + "t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(space + "si")]
+        out = []
+        for row in ElementTree.fromstring(z.read(names[0])).iter(space + "row") if names else []:
+            cells: dict[int, str] = {}
+            for i, c in enumerate(row.iter(space + "c")):
+                letters = re.match(r"[A-Z]+", c.get("r", ""))
+                at = sum((ord(ch) - 64) * 26**k for k, ch in enumerate(reversed(letters[0]))) - 1 if letters else i
+                v = c.find(space + "v")
+                text = "".join(t.text or "" for t in c.iter(space + "t")) if c.get("t") == "inlineStr" else (v.text or "") if v is not None else ""
+                cells[at] = shared[int(text)] if c.get("t") == "s" and text else text
+            out.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
+    return out
+
+
+def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """(path, row_no, cells) of the first sheet of each file; broken files give no rows. Feed ``name_list.assemble`` or pick columns."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                try:
+                    rows = sheet_rows(b.column(1)[i].as_py())
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError):
+                    rows = []
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b.column(0)[i].as_py()] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], ["path", "row_no", "cells"]
+                )
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, row_no int, cells array<string>")
+
+
+def distinct_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files by content: sha256, the first path, how many there are."""
+    files = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("sha256"), "path", "length")
+    return files.groupBy("sha256").agg(F.min("path").alias("path"), F.min("length").alias("length"), F.count("*").alias("copies"))
+
+
+def danmaku_rows(df: DataFrame, xml: str, keep: list[str]) -> DataFrame:
+    """Timed comments ``<d p="second,mode,size,color,...">text</d>`` as rows."""
+    items = df.select(*keep, F.explode(F.regexp_extract_all(xml, F.lit(r"(<d p=\"[^\"]*\">[^<]*</d>)"), F.lit(1))).alias("d"))
+    p = F.split(F.regexp_extract("d", r'p="([^"]*)"', 1), ",")
+    return items.select(*keep, F.get(p, 0).try_cast("double").alias("second"), F.get(p, 1).try_cast("int").alias("mode"), F.get(p, 3).try_cast("int").alias("color"), F.regexp_extract("d", ">([^<]*)<", 1).alias("text"))
+
+
+def feature_rows(df: DataFrame, json: str, properties: list[str], times: list[str] = ()) -> DataFrame:
+    """GeoJSON features as rows: properties, coordinates by place, millisecond times as text in UTC+8."""
+    feature = F.explode(F.try_variant_get(F.try_parse_json(F.col(json)), "$.features", "array<variant>")).alias("f")
+    v = df.select(feature)
+    cols = [F.try_variant_get("f", f"$.properties['{p}']", "string").alias(p) for p in properties]
+    cols += [C.unix_to_datetime(F.try_variant_get("f", f"$.properties['{t}']", "string")).alias(t) for t in times]
+    xyz = [F.try_variant_get("f", f"$.geometry.coordinates[{i}]", "double").alias(n) for i, n in enumerate(("lon", "lat", "depth"))]
+    return v.select(*cols, *xyz)
+
+
+def api_paths(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """Distinct request paths in script text, with the method if one stands before."""
+    found = F.regexp_extract_all(text, F.lit(r"""((?:(?:get|post|put|delete)\s*\(\s*)?["'`]/(?:api|v\d+|rest|graphql)[\w/.{}$-]*)"""), F.lit(1))
+    rows = df.select(*keep, F.explode(found).alias("x"))
+    return rows.select(*keep, F.upper(F.regexp_extract("x", r"^(get|post|put|delete)", 1)).alias("method"), F.regexp_extract("x", r"(/.*)$", 1).alias("path")).distinct()
+
+
+def find_objects(df: DataFrame, json: str, keys: list[str], keep: list[str], depth: int = 8) -> DataFrame:
+    """JSON objects at any place, down to ``depth``, that have all the given keys; each as JSON text."""
+    source = df.select(*keep, F.col(json).alias("__json"))
+    schema = T.StructType([*[source.schema[k] for k in keep], T.StructField("object", T.StringType())])
+
+    def walk(x, left):
+        if isinstance(x, dict):
+            if all(k in x for k in keys):
+                yield x
+            x = list(x.values())
+        if isinstance(x, list) and left:
+            for y in x:
+                yield from walk(y, left - 1)
+
+    def run(batches):
+        for b in batches:
+            index, found = [], []
+            for i, t in enumerate(b.column("__json").to_pylist()):
+                try:
+                    hits = list(walk(jsonlib.loads(t or "null"), depth))
+                except ValueError:
+                    hits = []
+                found += [jsonlib.dumps(h, ensure_ascii=False) for h in hits]
+                index += [i] * len(hits)
+            take = pa.array(index, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(take) for k in keep], pa.array(found, pa.string())], [*keep, "object"])
+
+    return source.mapInArrow(run, schema)
+
+
+def next_requests(pages: DataFrame, page: str, size: int, total: str) -> DataFrame:
+    """The pages that a paged answer says are still to come: (page, offset)."""
+    last = F.ceil(F.col(total) / size)
+    todo = pages.groupBy().agg(F.max(last).alias("last"), F.max(page).alias("now")).where("last > now")
+    return todo.select(F.explode(F.sequence(F.col("now").cast("long") + 1, F.col("last").cast("long"))).alias("page")).withColumn("offset", (F.col("page") - 1) * size)
