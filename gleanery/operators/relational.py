@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanery.functions import columns as C
-from gleanery.session import cut_lineage
+from gleanery.session import cut_lineage, salted_join
 
 
 def _missing(keys: list[str]) -> Column:
@@ -170,7 +170,7 @@ def similar_sets(sets: DataFrame, key: str, tokens: str, share: float = 0.9) ->
     classes = cut_lineage(classes)
     rows = classes.select("k", F.explode("t").alias("w"))
     df = rows.groupBy("w").agg(F.count("*").alias("n"))
-    ranked = rows.join(df, "w").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("r"))
+    ranked = salted_join(rows, df, "w").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("r"))
     n = F.size("r")
     head = ranked.select("k", n.alias("size"), F.explode(F.slice("r", 1, n - F.ceil(n * share).cast("int") + 1)).alias("x")).select("k", "size", F.col("x.w").alias("w"))
     other = head.select(F.col("k").alias("k2"), F.col("size").alias("size2"), "w")
