@@ -672,13 +672,10 @@ def budget_window_count(spark, sf_dir):
     return health.window_usage(table(spark, sf_dir, "events"), "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")), 86_400).select("event_id", "used", "reset_in")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY year(o_orderdate), o_custkey, o_orderkey) AS place FROM orders ORDER BY place LIMIT 100")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY year(o_orderdate), o_custkey, o_orderkey) AS place FROM orders")
 def natural_sort(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").cast("string").alias("y"), F.col("o_custkey").cast("string").alias("v"), F.col("o_orderkey").cast("string").alias("i"))
-    top = o.orderBy(*health.natural_order("y", "v", "i")).limit(100)  # the report's first hundred
-    from pyspark.sql import Window as W
-
-    return top.select("o_orderkey", F.row_number().over(W.orderBy(*health.natural_order("y", "v", "i"))).cast("bigint").alias("place"))
+    return health.numbered(o, health.natural_order("y", "v", "i")).select("o_orderkey", "place")
 
 
 @query("SELECT p_brand, arg_min(p_partkey, (p_size, p_partkey)) AS p_partkey FROM part GROUP BY p_brand")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanery.functions import columns as C
+from gleanery.session import cut_lineage
 
 
 def recent(ledger: DataFrame, source: str, at: str, n: int) -> DataFrame:
@@ -128,16 +129,20 @@ def priority_pick(df: DataFrame, group: list[str], priority: str, position: str)
     return df.groupBy(*group).agg(F.min_by(F.struct(*[c for c in df.columns if c not in group]), F.struct(p, F.col(position))).alias("r")).select(*group, "r.*")
 
 
+def numbered(df: DataFrame, order: list, name: str = "place") -> DataFrame:
+    """Rows with their number (from 1) in the whole order: ranges by the order, then counts before each range."""
+    spread = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    spread = cut_lineage(spread.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(*order))))
+    counts = spread.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = counts.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__before"))  # one row a task
+    out = spread.join(before, "__p").withColumn(name, (F.col("__before") + F.col("__r")).cast("bigint"))
+    return out.drop("__p", "__r", "__before")
+
+
 def chunks(df: DataFrame, order: str, size: int) -> DataFrame:
-    """Numbers rows in order and deals them into chunks of ``size``: ranges by the order, then counts before each range."""
-    spread = df.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
-    from gleanery.session import cut_lineage
-
-    spread = cut_lineage(spread.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(order))))
-    counts = spread.groupBy("__p").agg(F.count("*").alias("n"))
-    before = counts.select("__p", (F.sum("n").over(W.orderBy("__p")) - F.col("n")).alias("__before"))  # one row a task
-    out = spread.join(before, "__p")
-    return out.withColumn("chunk", F.floor((F.col("__before") + F.col("__r") - 1) / size).cast("bigint")).drop("__p", "__r", "__before")
+    """Rows dealt in order into chunks of ``size``."""
+    out = numbered(df, [F.col(order)], "__place")
+    return out.withColumn("chunk", F.floor((F.col("__place") - 1) / size).cast("bigint")).drop("__place")
 
 
 def recycle_claims(queue: DataFrame, now: float, timeout: float) -> DataFrame:
