@@ -871,3 +871,29 @@ def page_text_search(spark, sf_dir):
 @query()
 def class_topk(spark, sf_dir):
     return quality.token_topk(html.class_frequency(table(spark, sf_dir, "pages"), "html", ["page_id"]), F.array("class_name"), 20)
+
+
+# streams, run over all files that are there
+
+
+def _event_stream(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    return stateful.file_stream(spark, f"{sf_dir}/events.parquet*", schema)
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(spark, sf_dir):
+    out = stateful.dedup_stream(_event_stream(spark, sf_dir).select("ts", "user_id", "event_type"), ["user_id", "event_type"], delay="3650 days")
+    return stateful.run_now(out.select("user_id", "event_type"))
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_tumbling(spark, sf_dir):
+    out = stateful.run_now(stateful.tumbling(_event_stream(spark, sf_dir), ["event_type"]), "complete")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query()
+def stream_admission(spark, sf_dir):
+    timed = _event_stream(spark, sf_dir).select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("s"))
+    return stateful.run_now(stateful.admission_stream(timed, "user_id", "s", 5, 86_400))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -133,3 +135,21 @@ def write_many(df: DataFrame, sinks: list, checkpoint: str, **options):
             raise RuntimeError("; ".join(wrong))
 
     return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_now(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there now and return its result as a table in the shared folder.
+
+    Each batch is written under its own number, so a batch that runs again replaces itself; in complete mode
+    the last one holds the whole result.
+    """
+    spark = stream.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleanery-")
+    place = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+    def write(frame, number):
+        frame.write.mode("overwrite").parquet(f"{place}/out/{'all' if mode == 'complete' else f'batch={number}'}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/out/*").select(*stream.columns)
