@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanery.functions import columns as C
-from gleanery.session import cut_lineage
+from gleanery.session import cut_lineage, salted_join
 
 
 def recent(ledger: DataFrame, source: str, at: str, n: int) -> DataFrame:
@@ -42,7 +42,7 @@ def verdicts(
     ``ledger``: source, at, count, status. ``registry``: source, expect_interval_h, allow_empty, registered_at.
     """
     last = ledger.groupBy("source").agg(F.max_by(F.struct("at", "count", "status"), "at").alias("last"), F.count("*").alias("rows"))
-    history = ledger.join(last.select("source", F.col("last.at").alias("__last")), "source").where(F.col("at") < F.col("__last"))
+    history = salted_join(ledger, last.select("source", F.col("last.at").alias("__last")), "source").where(F.col("at") < F.col("__last"))
     three = recent(ledger.select("source", "at", "status"), "source", "at", 3).groupBy("source").agg(F.sum((F.col("status") != "ok").cast("int")).alias("bad3"))
     base = baseline(history, window=window).select("source", "n", "median")
     out = registry.join(last, "source", "full_outer").join(three, "source", "left").join(base, "source", "left")
