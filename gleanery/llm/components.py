@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.session import cut_lineage
+from gleanery.session import cut_lineage, salted_join
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -15,14 +15,14 @@ def _nearest(pairs: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    met = both.join(_nearest(both), "u")
+    met = salted_join(both, _nearest(both), "u")
     return met.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     near = _nearest(down)
-    met = down.join(near, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    met = salted_join(down, near, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return met.unionByName(near.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``node`` and ``root`` (the smallest node of its component) for every node of an edge (``u``, ``v``).
 
     Each round is written to the checkpoint folder. A step never gathers a node's neighbours; the joins
-    are plain equi-joins, whose large keys adaptive execution splits. Rounds grow with the logarithm of
+    are salted, so a hub's links are dealt to several tasks. Rounds grow with the logarithm of
     the diameter. Edges with a null end and loops are left out; repeated edges do no harm.
     """
     now = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from gleanery.llm.common import long, text_map
 from gleanery.llm.components import connected_components
-from gleanery.session import cut_lineage
+from gleanery.session import cut_lineage, salted_join
 
 #: Shift, width, threshold of each zone; those with a threshold use the Hamming code on their low 15 bits.
 ZONES = [(0, 24, 1), (24, 24, 1), (48, 16, 0)]
@@ -208,10 +208,11 @@ def components(prints: DataFrame, threshold: int = 4) -> DataFrame:
     """``fp``, ``root`` and ``component_id`` for each distinct fingerprint of rows with ``__id`` and ``fp``."""
     distinct = prints.groupBy("fp").agg(F.min("__id").alias("least"))
     found = connected_components(links(distinct.select("fp"), threshold))
-    named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left")
-    named = named.select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(least, "root").select("fp", "root", "component_id")
+    named = cut_lineage(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left"))
+    alone = named.where("root is null").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    linked = named.where("root is not null")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    return alone.unionByName(salted_join(linked, least, "root").select("fp", "root", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
