@@ -103,8 +103,10 @@ def test_cross_entropy(spark):
     out = cross_entropy.cross_entropy_difference(docs, spark.createDataFrame(labels, "doc_id long, quality int"), vocabulary=6, bits=20).collect()
     good = {i for i, q in labels if q == 1 and i is not None}
     split = [(i, (t or "").lower().split()) for i, t, _ in rows]
-    common = sorted((-n, w) for w, n in Counter(w for _, ws in split for w in ws).items())[:6]
-    known = {w for _, w in common}
+    counts = Counter(w for _, ws in split for w in ws)
+    bound = min(t for t in range(2, 10**4) if sum(n >= t for n in counts.values()) <= 6)
+    known = {w for w, n in counts.items() if n >= bound}
+    size = len(known)
     split = [(i, [w if w in known else None for w in ws]) for i, ws in split]
     models = []
     for target in (True, False):
@@ -121,7 +123,7 @@ def test_cross_entropy(spark):
         single, pair, n = model
         r, total = least / n, 0
         for v, w in zip(["<s>", *ws], ws):
-            plain = (single[w] * r + 0.5) / (least + 0.5 * 7)
+            plain = (single[w] * r + 0.5) / (least + 0.5 * (size + 1))
             total -= math.log((min(pair[v, w], single[w], single[v]) * r + 4 * plain) / (single[v] * r + 4))
         return total / len(ws)
 
