@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import columns as C
-from gleanery.functions import html
-from gleanery.operators import health, quality, relational, rows
+from gleanery.functions import html, pages
+from gleanery.operators import grids, health, quality, relational, rows
 from gleanery.plans import spec
 from gleanery.session import table
 from gleanery.sources import io
@@ -873,6 +873,71 @@ def class_topk(spark, sf_dir):
     return quality.token_topk(html.class_frequency(table(spark, sf_dir, "pages"), "html", ["page_id"]), F.array("class_name"), 20)
 
 
+# main content, sites, grids
+
+
+@query()
+def page_main(spark, sf_dir):
+    return pages.extract_main(table(spark, sf_dir, "pages"), "html", ["page_id"]).select("page_id", "main_text")
+
+
+@query()
+def page_safe_markdown(spark, sf_dir):
+    return pages.extract_safe_markdown(table(spark, sf_dir, "pages"), "html", ["page_id"])
+
+
+@query()
+def page_similar(spark, sf_dir):
+    return pages.find_similar(table(spark, sf_dir, "pages"), "html", "nav li", ["page_id"])
+
+
+@query()
+def page_rescue(spark, sf_dir):
+    known = {"first": {"tag": "p", "text": "", "attrs": {}, "path": "html/body/main/p", "parent": {"tag": "main", "attrs": {}}, "siblings": ["p", "p"]}}
+    return pages.rescue_fields(table(spark, sf_dir, "pages"), "html", {"title": "title", "first": ".no-such"}, known, ["page_id"])
+
+
+@query()
+def rows_by_site(spark, sf_dir):
+    sites = {"org": {"host": r"\.org$", "row": "nav li", "fields": {"text": "a", "href": "a::attr(href)"}}, "other": {"host": ".", "row": "body", "fields": {"text": "h1"}}}
+    return pages.extract_by_site(table(spark, sf_dir, "pages"), "html", C.host(F.col("url")), sites, ["text", "href"], ["page_id"])
+
+
+@query()
+def page_attachments(spark, sf_dir):
+    files, images = pages.attachment_targets(F.col("html"), F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", files.alias("attachments"), images.alias("images"))
+
+
+@query(
+    """SELECT source, doc_id, concat_ws(' ', nullif(lang, ''), CASE WHEN doc_id % 2 = 0 THEN 'even' END) AS c1, doc_id::VARCHAR AS c2 FROM documents"""
+)
+def sparse_columns(spark, sf_dir):
+    cells = F.array("lang", F.when(F.col("doc_id") % 2 == 0, "even"), F.col("doc_id").cast("string"))
+    grid = table(spark, sf_dir, "documents").select("source", "doc_id", cells.alias("cells"))
+    out = grids.merge_sparse_columns(grid, "source", "cells", 1)
+    return out.select("source", "doc_id", F.get("cells", 0).alias("c1"), F.get("cells", 1).alias("c2"))
+
+
+@query(
+    """WITH r AS (SELECT source, lang, quality, length(source) % 3 AS k FROM documents LEFT JOIN labels USING (doc_id)),
+    c AS (SELECT source, k, 1 + (k <> 0)::INT AS checked, (coalesce(lang, '') = '')::INT + (k <> 0 AND quality IS NULL)::INT AS missing FROM r)
+    SELECT sum(checked)::BIGINT AS checked, sum(missing)::BIGINT AS missing, round(100 - sum(missing) * 100 / sum(checked), 4) AS rate, count(DISTINCT CASE WHEN k = 1 THEN source END) AS sources_unreadable FROM c"""
+)
+def declared_completeness(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    k = F.length("source") % 3
+    declared = d.select("source", F.when(k == 0, F.array(F.lit("lang"))).otherwise(F.array().cast("array<string>")).alias("columns")).where(k < 2).distinct()
+    return grids.declared_completeness(d, declared, "source", ["lang", "quality"])
+
+
+@query("SELECT DISTINCT 'user-' || user_id AS file FROM events WHERE user_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+def missing_references(spark, sf_dir):
+    references = table(spark, sf_dir, "events").select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("file"))
+    files = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.concat(F.lit("user-"), F.col("doc_id").cast("string")).alias("file"))
+    return grids.missing_references(references, files, "file")
+
+
 # streams, run over all files that are there
 
 
