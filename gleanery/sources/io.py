@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.functions import columns as C
+from gleanery.functions import pages
 
 #: Keys under which APIs put their records, in order.
 RECORD_KEYS = ["records", "items", "list", "results", "data", "announcements", "rows", "dataList"]
@@ -60,6 +61,12 @@ def read_records(spark: SparkSession, path: str, records_path: str = "") -> Data
     return docs.select(F.explode(F.coalesce(*lists, F.array("v"))).alias("record")).where("record is not null")
 
 
+def guessed_records_path(docs: DataFrame, column: str) -> str:
+    """The records path of a JSON column, read off one document when the plan is made; '' if it is no JSON."""
+    row = docs.where(F.try_parse_json(column).isNotNull()).select(column).first()
+    return pages.records_path(jsonlib.loads(row[0])) if row else ""
+
+
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """All columns as text. Without an encoding the first bytes of one file decide between UTF-8 and GB18030.
 
@@ -154,6 +161,16 @@ def write_parquet(df: DataFrame, path: str, all_text: bool = False, mode: str =
     (flat_text(df) if all_text else df).write.parquet(path, mode=mode)
 
 
+def append_rows(df: DataFrame, path: str) -> None:
+    """More rows of a table whose columns may grow; ``read_grown`` gives them with the columns of all."""
+    df.write.mode("append").parquet(path)
+
+
+def read_grown(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of ``append_rows`` with the union of their columns; what an earlier row did not have is null."""
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
 def write_snapshot(new: DataFrame, path: str, url: str = "url", body: str = "body") -> DataFrame:
     """Append responses whose (url, content hash) the snapshot folder does not hold yet; returns what was new."""
     spark = new.sparkSession

@@ -49,3 +49,11 @@ def test_small_scans(spark):
     assert io.next_requests(p.where("page > 5"), "page", 20, "total").count() == 0
     both = spark.createDataFrame([(1, b"\xba\xba"), (2, None)], "i int, b binary").select(io.decoded(F.col("b")).alias("t")).collect()
     assert [r.t for r in both] == ["汉", None]
+
+
+def test_growing_table_and_guessed_path(spark, tmp_path):
+    io.append_rows(spark.createDataFrame([(1, "x")], "a long, b string"), f"{tmp_path}/t")
+    io.append_rows(spark.createDataFrame([(2, 0.5)], "a long, c double"), f"{tmp_path}/t")
+    assert sorted(map(str, io.read_grown(spark, f"{tmp_path}/t").select("a", "b", "c").collect())) == ["Row(a=1, b='x', c=None)", "Row(a=2, b=None, c=0.5)"]
+    docs = spark.createDataFrame([(None,), ("no json",), ('{"data": {"rows": [{"x": 1}]}}',)], "j string")
+    assert io.guessed_records_path(docs, "j") == "data.rows" and io.guessed_records_path(docs.limit(0), "j") == ""
