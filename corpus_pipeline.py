@@ -14,7 +14,7 @@ from gleanery.llm.packing import pack
 from gleanery.llm.quality import keep_good
 from gleanery.llm.simhash import drop_near_duplicates
 from gleanery.llm.toxicity import drop_toxic
-from gleanery.session import cut_lineage, table
+from gleanery.session import shared_folder, table
 
 
 def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,14 +47,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; between stages the rows lie as Parquet in the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number + 1 < len(STAGES):
-            if shared:
-                path = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{number}-{name}"
-                docs.write.parquet(path)
-                docs = spark.read.parquet(path)
-            else:  # tests and local runs without a shared folder
-                docs = cut_lineage(docs)
+            docs.write.parquet(f"{folder}/{number}-{name}")
+            docs = spark.read.parquet(f"{folder}/{number}-{name}")
     return docs
