@@ -1,15 +1,20 @@
 """Language-model scoring by cross-entropy difference.
 
-Two interpolated bigram models, one of target documents and one of all others, share one vocabulary:
-the commonest words of all documents, up to ``vocabulary`` (all words of a count or none), and one mark
-for every other word.
-Both have the same order, smoothing and tables, and the larger model's counts are scaled to the
+Two interpolated bigram models, one of target documents and one of all others, share one vocabulary.
+Both have the same order and smoothing, and the larger model's counts are scaled to the
 smaller's number of tokens, so that they are matched. A document's score is the mean over its tokens of
 ``loss under target - loss under background``; low scores look like the target.
 
-All documents are counted. Words are counted by DataFrame functions; bigrams go into ``2**bits`` buckets
-in each task (a bound on what a task holds, sends and gets, whatever the input), summed by bucket.
-A bucket shared by several bigrams overstates each, so a bigram's count is held to that of its words.
+All documents are counted, and by default all words and bigrams (``score_all``): the tables are distributed
+and grow with the input. Words and bigrams are known by 64-bit hashes; of n kinds about ``n**2 / 2**65`` pairs
+share one. Words with at least 1 in ``2**17`` of all tokens and bigrams with about 1 in ``2**16`` are
+broadcast: there are no more than ``2**17`` and ``2**16`` of them, whatever the input, and what is left is
+rare enough for one task. Any other bigram goes, summed by document, to its second word if that is
+rare, or else to a place of its own, where its count and the rare word's are those of the rows that meet.
+
+With ``vocabulary`` the model is a bounded one instead: the commonest words up to that number (all words of a
+count or none), one mark for every other word, and ``2**bits`` buckets of bigrams. A bucket shared by several
+bigrams overstates each, so a bigram's count is held to that of its words.
 
 Words are runs of characters other than space and U+0009 to U+000D, in lower case; before the first
 word of a document stands a begin mark.
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +36,13 @@ from pyspark.sql import types as T
 from gleanery.llm.common import double, long, slices, text_map
 from gleanery.session import cut_lineage, join_small
 
+#: One in so many tokens makes a word or a bigram a broadcast one; tokens counted at once; words remembered in a task.
+HOT_WORDS, HOT_PAIRS, CHUNK, MEMORY = 1 << 17, 1 << 16, 2_000_000, 600_000
+#: Hash of the begin mark; factors of a bigram's words.
+BEGIN, FIRST, SECOND = np.uint64(1), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: What a row of ``spread`` holds: a bigram whose second word is rare, a rare word as context, a document; from 3 a bigram and its frequent second word.
+RARE, CONTEXT, LOCAL, FREQUENT = 0, 1, 2, 3
+
 
 class Words:
     """Word numbers: 0 any other word, from 1 the vocabulary, last the begin mark."""
@@ -149,11 +162,221 @@ def score(docs: DataFrame, models: Models, text_col: str = "text", keep: list[st
     return text_map(docs, text_col, make, T.StructType([long("n_tokens"), double("target_loss"), double("background_loss"), double("score")]), keep)
 
 
+class Hashes(dict):
+    """Hashes of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMORY:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The number of words of each text; of all words the hash, that of the word before, and that of both."""
+        split = [(t or "").lower().encode("utf-8", "surrogatepass").split() for t in texts]
+        sizes = np.array([len(x) for x in split], np.int64)
+        words = np.fromiter((self[w] for x in split for w in x), np.uint64, sizes.sum())
+        before = np.r_[BEGIN, words[:-1]][: len(words)]
+        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = BEGIN
+        return sizes, words, before, before * FIRST + words * SECOND
+
+
+def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in a sorted table, and whether they are there."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def _batch(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names)
+
+
+def _counts(batches):
+    """(kind, key, k, n): words (0), bigrams with 1 in ``HOT_PAIRS`` of a chunk's tokens (1), documents with words (2)."""
+    hashes, held, size = Hashes(), ([], []), 0
+
+    def flush():
+        both = []
+        for k in (0, 1):
+            if held[k]:
+                sizes, words, _, pairs = (np.concatenate(x) for x in zip(*held[k]))
+                keys, n = np.unique(words, return_counts=True)
+                yield _batch(["kind", "key", "k", "n"], np.zeros(len(keys), np.int64), keys, np.full(len(keys), k), n)
+                yield _batch(["kind", "key", "k", "n"], np.array([2]), np.array([0]), np.array([k]), np.array([(sizes > 0).sum()]))
+                both.append(pairs)
+        keys, n = np.unique(np.concatenate(both), return_counts=True)
+        keys, n = keys[n * HOT_PAIRS >= size], n[n * HOT_PAIRS >= size]
+        yield _batch(["kind", "key", "k", "n"], np.ones(len(keys), np.int64), keys, np.zeros(len(keys), np.int64), n)
+
+    for part in slices(batches):
+        target = np.array(part.column(0).to_pylist(), bool)
+        texts = part.column(1).to_pylist()
+        for k in (0, 1):
+            mine = [t for t, x in zip(texts, target) if x == k]
+            if mine:
+                held[k].append(hashes.read(mine))
+                size += len(held[k][-1][1])
+        if size >= CHUNK:
+            yield from flush()
+            held, size = ([], []), 0
+    if size:
+        yield from flush()
+
+
+class Frequent:
+    """Counts, scaled, of the frequent words and bigrams (sorted by hash); ``[k]`` of target (1) and background (0)."""
+
+    def __init__(self, words, single, pairs, both, totals, kinds: int, smoothing: float = 0.5, weight: float = 4.0):
+        self.scale = totals.min() / totals if totals.min() > 0 else np.ones(2)
+        self.words, self.single, self.pairs, self.both = words, single * self.scale[:, None], pairs, both * self.scale[:, None]
+        self.smoothing, self.weight = smoothing, weight
+        self.whole = totals * self.scale + smoothing * max(kinds, 1)
+
+    def plain(self, k: int, counts: np.ndarray) -> np.ndarray:
+        return (counts + self.smoothing) / self.whole[k]
+
+    def joint(self, k: int, both: np.ndarray, single: np.ndarray) -> np.ndarray:
+        """Loss of a word after another but for the context's part."""
+        return -np.log(both + self.weight * self.plain(k, single))
+
+    def context(self, k: int, single: np.ndarray) -> np.ndarray:
+        return np.log(single + self.weight)
+
+
+def frequent(source: DataFrame) -> Frequent:
+    """From rows (t, x) the frequent words and bigrams, with exact counts.
+
+    A bigram that holds 1 in ``HOT_PAIRS / 2`` of all tokens has at least half of that in chunks where it holds 1 in
+    ``HOT_PAIRS``; so it is among those whose counts there come to 1 in ``HOT_PAIRS`` of all, at most ``HOT_PAIRS``.
+    """
+    n = lambda k: F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"n{k}")
+    counted = cut_lineage(source.mapInArrow(_counts, "kind long, key long, k long, n long").groupBy("kind", "key").agg(n(0), n(1)))
+    sums = {r["kind"]: r for r in counted.groupBy("kind").agg(F.count("*").alias("kinds"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()}
+    totals = np.array([sums[0]["n0"], sums[0]["n1"]] if 0 in sums else [0, 0], float)
+    begins = np.array([sums[2]["n0"], sums[2]["n1"]] if 2 in sums else [0, 0], float)
+    few = F.when(F.col("kind") == 0, HOT_WORDS).otherwise(HOT_PAIRS)
+    top = counted.where((F.col("kind") < 2) & ((F.col("n0") + F.col("n1")) * few >= int(totals.sum()))).toArrow()  # at most HOT_WORDS + HOT_PAIRS
+    kind, key = top["kind"].to_numpy(), top["key"].to_numpy().view(np.uint64)
+    words = np.r_[key[kind == 0], BEGIN]
+    single = np.c_[np.stack([top["n0"].to_numpy(), top["n1"].to_numpy()]).astype(float)[:, kind == 0], begins]
+    order, pairs = np.argsort(words), np.sort(key[kind == 1])
+
+    def count(batches):
+        hashes, table = Hashes(), np.zeros((2, len(pairs)), np.int64)
+        for part in slices(batches):
+            sizes, _, _, keys = hashes.read(part.column(1).to_pylist())
+            at, there = find(pairs, keys)
+            k = np.repeat(np.array(part.column(0).to_pylist(), np.int64), sizes)
+            np.add.at(table, (k[there], at[there]), 1)
+        for k in (0, 1):
+            at = np.flatnonzero(table[k])
+            yield _batch(["k", "place", "n"], np.full(len(at), k), at, table[k][at])
+
+    both = np.zeros((2, len(pairs)))
+    if len(pairs):
+        found = source.mapInArrow(count, "k long, place long, n long").groupBy("k", "place").agg(F.sum("n").alias("n")).toArrow()
+        both[found["k"].to_numpy(), found["place"].to_numpy()] = found["n"].to_numpy()
+    return Frequent(words[order], single[:, order], pairs, both, totals, sums[0]["kinds"] if 0 in sums else 0)
+
+
+def spread(part: pa.RecordBatch, hashes: Hashes, m: Frequent) -> pa.RecordBatch:
+    """(place, key, row, what) of a few documents (t, x, row): a row each with what the frequent words and bigrams cost,
+    whose place and key are the bits of its two losses; and the other bigrams and contexts, summed by document.
+
+    ``what`` is the number, 23 bits of what the row holds, and the model.
+    """
+    sizes, words, before, pairs = hashes.read(part.column(1).to_pylist())
+    k, rows = np.array(part.column(0).to_pylist(), np.int64), part.column(2).to_numpy()
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    (w, known), (v, led), (b, met) = find(m.words, words), find(m.words, before), find(m.pairs, pairs)
+    met &= known
+    losses = []
+    for i in (1, 0):
+        loss = np.bincount(doc[met], m.joint(i, m.both[i][b[met]], m.single[i][w[met]]), len(sizes)).astype(float)
+        losses.append(loss + np.bincount(doc[led], m.context(i, m.single[i][v[led]]), len(sizes)))
+    place = np.r_[np.where(known, pairs, words)[~met], before[~led]]
+    key = np.r_[pairs[~met], before[~led]]
+    kind = np.r_[np.where(known, w + FREQUENT, RARE)[~met], np.full((~led).sum(), CONTEXT)]
+    doc = np.r_[doc[~met], doc[~led]]
+    order = np.lexsort((kind, key, doc))
+    place, key, kind, doc = place[order], key[order], kind[order], doc[order]
+    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (kind[1:] != kind[:-1])][: len(key)])
+    number = np.diff(np.r_[new, len(key)])
+    place, key, kind, doc = place[new], key[new], kind[new], doc[new]
+    what = np.r_[number << 24 | kind << 1 | k[doc], sizes << 24 | LOCAL << 1 | k]
+    return _batch(["place", "key", "row", "what"], np.r_[place.view(np.int64), losses[0].view(np.int64)], np.r_[key.view(np.int64), losses[1].view(np.int64)], np.r_[rows[doc], rows], what)
+
+
+def gather(place: np.ndarray, key: np.ndarray, row: np.ndarray, what: np.ndarray, m: Frequent) -> pa.RecordBatch:
+    """(row, docs, n, target, background) of whole places, sorted by place and key; summed by row."""
+    kind, k, number = what >> 1 & (1 << 23) - 1, what & 1, (what >> 24).astype(float)
+    local, rare, context = kind == LOCAL, kind == RARE, kind == CONTEXT
+    pair = ~local & ~context
+    at = np.cumsum(np.r_[False, place[1:] != place[:-1]])
+    pairs = np.cumsum(np.r_[False, (place[1:] != place[:-1]) | (key[1:] != key[:-1])])
+    losses = []
+    for i, bits in ((1, place), (0, key)):
+        mine = number * (k == i) * m.scale[i]
+        single = np.bincount(at[rare], mine[rare], at[-1] + 1).astype(float)[at]  # of nothing it counts in integers
+        common = kind >= FREQUENT
+        single[common] = m.single[i][kind[common] - FREQUENT]
+        both = np.bincount(pairs[pair], mine[pair], pairs[-1] + 1)[pairs]
+        loss = np.where(local, np.where(local, bits, 0).view(np.float64), 0.0)
+        loss[pair] = number[pair] * m.joint(i, both[pair], single[pair])
+        loss[context] = number[context] * m.context(i, single[context])
+        losses.append(loss)
+    rows, which = np.unique(row, return_inverse=True)
+    total = lambda x: np.bincount(which, x, len(rows))
+    return _batch(["row", "docs", "n", "target", "background"], rows, total(local).astype(np.int64), total(number * local).astype(np.int64), *map(total, losses))
+
+
+def score_all(source: DataFrame, id_col: str, target_col: str, text_col: str) -> DataFrame:
+    """The id and the scores of each row under models of all words and bigrams.
+
+    A row is known by a hash of id and text; rows that share it have the same losses.
+    """
+    row = F.xxhash64(id_col, text_col).alias("row")
+    marked = source.select(F.coalesce(target_col, F.lit(False)).alias("t"), F.col(text_col).alias("x"), row)
+    shared = source.sparkSession.sparkContext.broadcast(frequent(marked.select("t", "x")))  # bounded by HOT_WORDS and HOT_PAIRS
+
+    def deal(batches):
+        hashes, m = Hashes(), shared.value
+        for part in slices(batches):
+            yield spread(part, hashes, m)
+
+    def meet(batches):
+        m, held, size = shared.value, [], 0
+        for b in batches:
+            held.append([c.to_numpy() for c in b.columns])
+            size += b.num_rows
+            if size >= 1_000_000:
+                columns = [np.concatenate(x) for x in zip(*held)]
+                cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last place may go on
+                if cut:
+                    yield gather(*[c[:cut] for c in columns], m)
+                held, size = [[c[cut:] for c in columns]], size - cut
+        if size:
+            yield gather(*[np.concatenate(x) for x in zip(*held)], m)
+
+    dealt = marked.mapInArrow(deal, "place long, key long, row long, what long").repartition("place").sortWithinPartitions("place", "key")
+    sums = dealt.mapInArrow(meet, "row long, docs long, n long, target double, background double").groupBy("row")
+    sums = sums.agg(*[F.sum(c).alias(c) for c in ("docs", "n", "target", "background")])
+    target, background = (F.when(F.col("n") > 0, F.col(c) / F.col("n")) for c in ("target", "background"))
+    return source.select(id_col, row).join(sums, "row").select(
+        id_col, (F.col("n") / F.col("docs")).cast("long").alias("n_tokens"), F.round(target, 9).alias("target_loss"), F.round(background, 9).alias("background_loss"), F.round(target - background, 9).alias("score")
+    )
+
+
 def cross_entropy_difference(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", vocabulary: int = 32_768, bits: int = 20
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", vocabulary: int | None = None, bits: int = 20
 ) -> DataFrame:
-    """Score all documents; the target is those with a label row whose ``label_col`` is 1."""
+    """Score all documents; the target is those with a label row whose ``label_col`` is 1. ``vocabulary`` None: all words and bigrams."""
     good = labels.where(labels[label_col] == 1).select(labels[id_col].alias("__id")).where("__id is not null").distinct().withColumn("__target", F.lit(True))
     source = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__body"))
-    models = fit(join_small(source, good, "__id"), "__target", "__body", vocabulary, bits)
+    marked = join_small(source, good, "__id")
+    if vocabulary is None:
+        return score_all(marked, "__id", "__target", "__body").withColumnRenamed("__id", id_col)
+    models = fit(marked, "__target", "__body", vocabulary, bits)
     return score(source, models, "__body", ["__id"]).withColumnRenamed("__id", id_col)

@@ -76,7 +76,7 @@ def op9_toxicity(spark, sf_dir):
 
 @query
 def op10_cross_entropy(spark, sf_dir):
-    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), vocabulary=32_768, bits=20)
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 ORACLE_SQL["op1_quality_rules"] = r"""
