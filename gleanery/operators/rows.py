@@ -34,7 +34,7 @@ def matches(field: str, op: str = "contains", value=None, low=None, high=None) -
     if op == "eq":
         return s == str(value)
     if op == "regex":
-        return F.substring(s, 1, REGEX_REACH).rlike(str(value)) if regex_is_safe(str(value)) else F.lit(True)
+        return s.rlike(str(value)) if regex_is_safe(str(value)) else F.lit(True)
     if op == "non_empty":
         return ~C.is_blank(c)
     if op == "between":
@@ -257,7 +257,7 @@ def regex_extract(df: DataFrame, field: str, pattern: str, group: int = 1, to: s
     """The group of the first match into ``to``; without a match that column stays (NULL if new)."""
     to = to or f"{field}_提取"
     old = F.col(to).cast("string") if to in df.columns else F.lit(None).cast("string")
-    s = F.substring(C.text(F.col(field)), 1, REGEX_REACH)
+    s = C.text(F.col(field))
     group = group if group <= re.compile(pattern).groups else 0
     return df.withColumn(to, F.when(s.rlike(pattern), F.regexp_extract(s, pattern, group)).otherwise(old)) if regex_is_safe(pattern) else df
 
