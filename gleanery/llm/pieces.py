@@ -47,6 +47,7 @@ class Agenda:
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.fresh: list[str] = []
+        self.once: list[tuple[str, bytes]] = []  # words too long to remember, until they are checked
 
     def merge(self, part: str) -> list[str]:
         """The pieces of a stretch of text by the agenda."""
@@ -110,14 +111,18 @@ class Agenda:
                 self.words.clear()
             self.words[word] = out
             self.fresh.append(word)
+        else:
+            self.once.append((word, out))
         return out
 
     def check(self) -> None:
-        """Hold the words that were new since the last call against the library."""
-        for word, ids in zip(self.fresh, self.sp.encode(self.fresh, num_threads=1) if self.fresh else []):
-            if np.array(ids, "<u4").tobytes() != self.words[word]:
-                raise ValueError(f"the agenda and the library differ on {word!r}")
+        """Hold the words that were new since the last call, and all longer ones since then, against the library."""
+        held = [(w, self.words[w]) for w in self.fresh] + self.once
+        for (word, out), ids in zip(held, self.sp.encode([w for w, _ in held], num_threads=1) if held else []):
+            if np.array(ids, "<u4").tobytes() != out:
+                raise ValueError(f"the agenda and the library differ on {word[:80]!r}")
         self.fresh.clear()
+        self.once.clear()
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers, without begin and end."""
