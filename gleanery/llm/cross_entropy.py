@@ -1,20 +1,23 @@
 """Language-model scoring by cross-entropy difference.
 
-Two interpolated bigram models, one of target documents and one of all others, share one vocabulary.
-Both have the same order and smoothing, and the larger model's counts are scaled to the
-smaller's number of tokens, so that they are matched. A document's score is the mean over its tokens of
-``loss under target - loss under background``; low scores look like the target.
-
-All documents are counted, and by default all words and bigrams (``score_all``): the tables are distributed
-and grow with the input. Words and bigrams are known by 64-bit hashes; of n kinds about ``n**2 / 2**65`` pairs
-share one. Words with at least 1 in ``2**17`` of all tokens and bigrams with about 1 in ``2**16`` are
-broadcast: there are no more than ``2**17`` and ``2**16`` of them, whatever the input, and what is left is
-rare enough for one task. Any other bigram goes, summed by document, to its second word if that is
-rare, or else to a place of its own, where its count and the rare word's are those of the rows that meet.
-
-With ``vocabulary`` the model is a bounded one instead: the commonest words up to that number (all words of a
-count or none), one mark for every other word, and ``2**bits`` buckets of bigrams. A bucket shared by several
-bigrams overstates each, so a bigram's count is held to that of its words.
+Two interpolated bigram models, one of target documents and one of all others, share one vocabulary:
+all words of all documents. Both have the same order and smoothing, and the larger model's counts are
+scaled to the smaller's number of tokens, so that they are matched. A document's score is the mean
+over its tokens of ``loss under target - loss under background``; low scores look like the target.
+
+All documents, words and bigrams are counted; nothing is bounded by a vocabulary or by buckets that
+share a count. Words and bigrams are known by 64-bit hashes; of n kinds about ``n**2 / 2**65`` pairs
+share one. The work goes in three steps over the texts:
+
+1. A sample of about ``SAMPLE`` bytes names the bigrams that are worth broadcasting. It decides where a
+   bigram is counted, never how: each count is that of all documents.
+2. All words are counted, by ranges of the hash (``buckets``, as many as the texts' bytes ask for);
+   those that come to 1 in ``HOT_WORDS`` of the tokens that so many bytes hold at about six a token, at most
+   three times ``HOT_WORDS`` of them, are broadcast with the bigrams of step 1.
+3. A task deals the other bigrams of about ``CHUNK`` tokens, summed by document, to the buckets: one
+   row a bucket, sorted by hash and compressed. A bigram with a rare second word goes to that word, so
+   the bucket has both counts; what is left is too rare to fill a bucket. Each bucket returns its sums
+   by document to the chunk, where they meet the part of the broadcast words.
 
 Words are runs of characters other than space and U+0009 to U+000D, in lower case; before the first
 word of a document stands a begin mark.
@@ -26,159 +29,63 @@ documents that model is uniform over the vocabulary; an empty table gives an emp
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from gleanery.llm.common import double, long, slices, text_map
-from gleanery.session import cut_lineage, join_small
+from gleanery.llm.common import double, long, slices
 
-#: One in so many tokens makes a word or a bigram a broadcast one; tokens counted at once; words remembered in a task.
-HOT_WORDS, HOT_PAIRS, CHUNK, MEMORY = 1 << 17, 1 << 16, 2_000_000, 600_000
+#: One in so many tokens makes a word or a bigram a broadcast one.
+HOT_WORDS, HOT_PAIRS = 1 << 17, 1 << 16
+#: Tokens, at six bytes each, that a task deals at once; bytes of text to a bucket and in the sample.
+CHUNK, BUCKET, SAMPLE = 2_000_000, 6 << 20, 16 << 20
 #: Hash of the begin mark; factors of a bigram's words.
 BEGIN, FIRST, SECOND = np.uint64(1), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-#: What a row of ``spread`` holds: a bigram whose second word is rare, a rare word as context, a document; from 3 a bigram and its frequent second word.
-RARE, CONTEXT, LOCAL, FREQUENT = 0, 1, 2, 3
-
-
-class Words:
-    """Word numbers: 0 any other word, from 1 the vocabulary, last the begin mark."""
-
-    def __init__(self, vocabulary: list[str], bits: int):
-        self.number = {w.encode(): i + 1 for i, w in enumerate(vocabulary)}
-        self.begin, self.bits = len(vocabulary) + 1, bits
-
-    def encode(self, text: str | None) -> np.ndarray:
-        words = (text or "").lower().encode("utf-8", "surrogatepass").split()
-        get = self.number.get
-        return np.fromiter((get(w, 0) for w in words), np.uint32, len(words))
-
-    def bigrams(self, ids: np.ndarray) -> np.ndarray:
-        """Bucket of each word with the one before it."""
-        before = np.r_[np.uint32(self.begin), ids[:-1]].astype(np.uint64)
-        keys = (before << np.uint64(32) | ids) * np.uint64(0x9E3779B97F4A7C15)
-        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-
-
-class Models:
-    """Tables of both models; ``counts[k]`` of target (1) and background (0)."""
-
-    def __init__(self, words: Words, single: np.ndarray, pairs: np.ndarray, smoothing: float = 0.5, weight: float = 4.0):
-        self.words, self.weight = words, weight
-        totals = single[:, : words.begin].sum(1).astype(float)
-        scale = np.ones(2)
-        if totals.min() > 0:
-            scale = totals.min() / totals
-        self.single = (single * scale[:, None]).astype(np.float32)  # how often a word stands, or begins (the last)
-        self.pairs = (pairs * scale[:, None]).astype(np.float32)
-        plain = self.single[:, : words.begin].astype(np.float64) + smoothing
-        self.plain = (plain / plain.sum(1, keepdims=True)).astype(np.float32)
-
-    def losses(self, text: str | None) -> tuple[int, float | None, float | None]:
-        ids = self.words.encode(text)
-        if not len(ids):
-            return 0, None, None
-        before = np.r_[np.uint32(self.words.begin), ids[:-1]]
-        buckets = self.words.bigrams(ids)
-        out = []
-        for k in (1, 0):
-            seen, context, plain = self.single[k], self.single[k][before], self.plain[k][ids]
-            both = np.minimum(np.minimum(self.pairs[k][buckets], seen[ids]), context)
-            # absolute counts with ``weight`` of the plain model mixed in
-            out.append(float(-np.log((both + self.weight * plain) / (context + self.weight), dtype=np.float64).mean()))
-        return len(ids), out[0], out[1]
-
-
-def common_words(docs: DataFrame, text_col: str, vocabulary: int, least: int = 2) -> list[str]:
-    """Words by count from above, as long as all words of a count fit; in the order of the alphabet.
-
-    The bound on the count comes from a table of counts of counts, so no task sends more than its part of
-    the vocabulary to the driver.
-    """
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce(docs[text_col], F.lit(""))), "[\\x20\\x09-\\x0D]+")).alias("w")).where("w <> ''")
-    counted = cut_lineage(words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least))
-    bound, held = None, 0
-    for n, size in sorted(((r["n"], r["size"]) for r in counted.groupBy("n").agg(F.count("*").alias("size")).collect()), reverse=True):
-        held += size
-        if held > vocabulary:
-            break
-        bound = n
-    return [] if bound is None else sorted(r["w"] for r in counted.where(F.col("n") >= bound).select("w").collect())
-
-
-def fit(docs: DataFrame, target_col: str, text_col: str = "text", vocabulary: int = 32_768, bits: int = 20) -> Models:
-    """Both models from all rows; ``target_col`` (boolean) says which model a row goes to."""
-    words = Words(common_words(docs, text_col, vocabulary), bits)
-    singles, buckets = words.begin + 1, 1 << bits
-    source = docs.select(F.coalesce(docs[target_col], F.lit(False)).alias("t"), docs[text_col].alias("x"))
-
-    def count(batches):
-        single, pairs = np.zeros((2, singles), np.int64), np.zeros((2, buckets), np.int32)
-        for part in slices(batches):
-            for target, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                ids = words.encode(text)
-                if len(ids):
-                    k = int(target)
-                    np.add.at(single[k], ids, 1)
-                    single[k, words.begin] += 1
-                    np.add.at(pairs[k], words.bigrams(ids), 1)
-        for k in (0, 1):
-            for shift, table in ((0, single[k]), (singles, pairs[k])):
-                at = np.flatnonzero(table)
-                for start in range(0, len(at), 100_000):
-                    place = at[start : start + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), k)), pa.array(place + shift), pa.array(table[place].astype(np.int64))], ["k", "place", "n"])
-
-    summed = source.mapInArrow(count, "k long, place long, n long").groupBy("k", "place").agg(F.sum("n").alias("n"))
-    summed = summed.select((F.col("k") * (singles + buckets) + F.col("place")).cast("int").alias("place"), F.col("n").cast("long")).toArrow()  # at most 2 x tables
-    flat = np.zeros(2 * (singles + buckets), np.int64)
-    flat[summed["place"].to_numpy()] = summed["n"].to_numpy()
-    flat = flat.reshape(2, -1)
-    return Models(words, flat[:, :singles], flat[:, singles:])
-
-
-def score(docs: DataFrame, models: Models, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns, ``n_tokens``, ``target_loss``, ``background_loss`` and ``score``, rounded to 9 places."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by vocabulary and buckets
-
-    def make():
-        m = shared.value
-
-        def run(texts):
-            out = {"n_tokens": [], "target_loss": [], "background_loss": [], "score": []}
-            for t in texts:
-                n, target, background = m.losses(t)
-                out["n_tokens"].append(n)
-                out["target_loss"].append(None if target is None else round(target, 9))
-                out["background_loss"].append(None if target is None else round(background, 9))
-                out["score"].append(None if target is None else round(target - background, 9))
-            return out
-
-        return run
-
-    return text_map(docs, text_col, make, T.StructType([long("n_tokens"), double("target_loss"), double("background_loss"), double("score")]), keep)
 
 
-class Hashes(dict):
-    """Hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The number of words of each text; of all words the hash, that of the word before, and that of both."""
-        split = [(t or "").lower().encode("utf-8", "surrogatepass").split() for t in texts]
-        sizes = np.array([len(x) for x in split], np.int64)
-        words = np.fromiter((self[w] for x in split for w in x), np.uint64, sizes.sum())
-        before = np.r_[BEGIN, words[:-1]][: len(words)]
-        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = BEGIN
-        return sizes, words, before, before * FIRST + words * SECOND
+class Chunk:
+    """Documents together: their models (``k_of``) and ids, the number of words of each; of all words the place in the table of
+    different words, the hash, and whether it is the first of a document; of each with the word before it one hash."""
+
+    def __init__(self, k_of: np.ndarray, ids: list, texts: list[pa.Array]):
+        lists = pc.ascii_split_whitespace(pa.chunked_array(texts, pa.string()).combine_chunks())
+        words, parents = lists.flatten(), pc.list_parent_indices(lists)
+        full = pc.not_equal(words, "")
+        named = words.filter(full).dictionary_encode()
+        self.k_of, self.ids = k_of, ids
+        self.doc = parents.filter(full).to_numpy().astype(np.uint32)
+        self.sizes = np.bincount(self.doc, minlength=len(k_of))
+        self.number = named.indices.to_numpy()
+        self.table = pd.util.hash_array(named.dictionary.to_numpy(zero_copy_only=False), categorize=False)
+        self.words = self.table[self.number]
+        self.first = np.r_[True, self.doc[1:] != self.doc[:-1]][: len(self.doc)]
+        self.before = np.where(self.first, BEGIN, np.r_[BEGIN, self.words[:-1]][: len(self.words)])
+        self.pairs = self.before * FIRST + self.words * SECOND
+
+
+def chunks(batches) -> Iterator[Chunk]:
+    """Chunks of about ``CHUNK`` tokens of rows with columns t, x and, if asked, id."""
+    texts, ids, marks, size = [], [], [], 0
+    for part in slices(batches):
+        low = pc.utf8_lower(part.column("x").fill_null(""))
+        texts.append(low)
+        marks.append(part.column("t").to_numpy(zero_copy_only=False).astype(np.int64))
+        ids += part.column("id").to_pylist() if "id" in part.schema.names else []
+        size += (pc.sum(pc.binary_length(low)).as_py() or 0) // 6
+        if size >= CHUNK:
+            yield Chunk(np.concatenate(marks), ids, texts)
+            texts, ids, marks, size = [], [], [], 0
+    if texts:
+        yield Chunk(np.concatenate(marks), ids, texts)
 
 
 def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,44 +96,45 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-def _batch(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names)
+def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's share of sorted hashes begins, and the end."""
+    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
 
 
-def _counts(batches):
-    """(kind, key, k, n): words (0), bigrams with 1 in ``HOT_PAIRS`` of a chunk's tokens (1), documents with words (2)."""
-    hashes, held, size = Hashes(), ([], []), 0
+def squeeze(values: np.ndarray) -> bytes:
+    """Bytes of one rank side by side, compressed."""
+    return zstandard.compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes(), 1)
 
-    def flush():
-        both = []
-        for k in (0, 1):
-            if held[k]:
-                sizes, words, _, pairs = (np.concatenate(x) for x in zip(*held[k]))
-                keys, n = np.unique(words, return_counts=True)
-                yield _batch(["kind", "key", "k", "n"], np.zeros(len(keys), np.int64), keys, np.full(len(keys), k), n)
-                yield _batch(["kind", "key", "k", "n"], np.array([2]), np.array([0]), np.array([k]), np.array([(sizes > 0).sum()]))
-                both.append(pairs)
-        keys, n = np.unique(np.concatenate(both), return_counts=True)
-        keys, n = keys[n * HOT_PAIRS >= size], n[n * HOT_PAIRS >= size]
-        yield _batch(["kind", "key", "k", "n"], np.ones(len(keys), np.int64), keys, np.zeros(len(keys), np.int64), n)
 
-    for part in slices(batches):
-        target = np.array(part.column(0).to_pylist(), bool)
-        texts = part.column(1).to_pylist()
-        for k in (0, 1):
-            mine = [t for t, x in zip(texts, target) if x == k]
-            if mine:
-                held[k].append(hashes.read(mine))
-                size += len(held[k][-1][1])
-        if size >= CHUNK:
-            yield from flush()
-            held, size = ([], []), 0
-    if size:
-        yield from flush()
+def spread_out(data: bytes, kind) -> np.ndarray:
+    raw, width = np.frombuffer(zstandard.decompress(data), np.uint8), np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind)
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+def _rows(names: list[str], columns: list, schema: pa.Schema | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) if schema else pa.array(c) for n, c in zip(names, columns)], names)
+
+
+def by_bucket(batches) -> Iterator[tuple[int, list]]:
+    """Whole buckets, in a partition sorted by its first column: the value and its rows as dicts."""
+    now, rows = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            if rows and r[b.schema.names[0]] != now:
+                yield now, rows
+                rows = []
+            now = r[b.schema.names[0]]
+            rows.append(r)
+    if rows:
+        yield now, rows
 
 
 class Frequent:
-    """Counts, scaled, of the frequent words and bigrams (sorted by hash); ``[k]`` of target (1) and background (0)."""
+    """Counts, scaled, of the broadcast words and bigrams (sorted by hash); ``[k]`` of target (1) and background (0)."""
 
     def __init__(self, words, single, pairs, both, totals, kinds: int, smoothing: float = 0.5, weight: float = 4.0):
         self.scale = totals.min() / totals if totals.min() > 0 else np.ones(2)
@@ -245,138 +153,224 @@ class Frequent:
         return np.log(single + self.weight)
 
 
-def frequent(source: DataFrame) -> Frequent:
-    """From rows (t, x) the frequent words and bigrams, with exact counts.
+def likely_pairs(source: DataFrame, size: int) -> np.ndarray:
+    """Hashes of bigrams that come to 1 in ``HOT_PAIRS`` of the tokens of a sample, at most ``HOT_PAIRS`` of them."""
+    million = 1_000_000
+    share = min(million, million * SAMPLE // max(size, 1) + 1)
+    sample = source.where(F.pmod(F.xxhash64("id", "x"), F.lit(million)) < share).select("t", "x")
 
-    A bigram that holds 1 in ``HOT_PAIRS / 2`` of all tokens has at least half of that in chunks where it holds 1 in
-    ``HOT_PAIRS``; so it is among those whose counts there come to 1 in ``HOT_PAIRS`` of all, at most ``HOT_PAIRS``.
-    """
-    n = lambda k: F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"n{k}")
-    counted = cut_lineage(source.mapInArrow(_counts, "kind long, key long, k long, n long").groupBy("kind", "key").agg(n(0), n(1)))
-    sums = {r["kind"]: r for r in counted.groupBy("kind").agg(F.count("*").alias("kinds"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()}
-    totals = np.array([sums[0]["n0"], sums[0]["n1"]] if 0 in sums else [0, 0], float)
-    begins = np.array([sums[2]["n0"], sums[2]["n1"]] if 2 in sums else [0, 0], float)
-    few = F.when(F.col("kind") == 0, HOT_WORDS).otherwise(HOT_PAIRS)
-    top = counted.where((F.col("kind") < 2) & ((F.col("n0") + F.col("n1")) * few >= int(totals.sum()))).toArrow()  # at most HOT_WORDS + HOT_PAIRS
-    kind, key = top["kind"].to_numpy(), top["key"].to_numpy().view(np.uint64)
-    words = np.r_[key[kind == 0], BEGIN]
-    single = np.c_[np.stack([top["n0"].to_numpy(), top["n1"].to_numpy()]).astype(float)[:, kind == 0], begins]
-    order, pairs = np.argsort(words), np.sort(key[kind == 1])
+    def count(batches):
+        for c in chunks(batches):
+            keys, n = np.unique(c.pairs, return_counts=True)
+            yield _rows(["key", "n"], [keys[n > 1].view(np.int64), n[n > 1]])
+            yield _rows(["key", "n"], [pa.array([None], pa.int64()), [len(c.words)]])
+
+    counted = sample.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
+    keys, n = counted["key"].to_pandas(), counted["n"].to_numpy()
+    total = n[keys.isna().to_numpy()].sum()
+    hot = keys.notna().to_numpy() & (n * HOT_PAIRS >= total)
+    return np.sort(counted["key"].filter(pa.array(hot)).to_numpy().view(np.uint64))
+
+
+def frequent(source: DataFrame, size: int, buckets: int) -> Frequent:
+    """From rows (id, t, x) the frequent words and bigrams, with exact counts."""
+    pairs = likely_pairs(source, size)
+    enough = max(1, size // (6 * HOT_WORDS))
+    names = ["bucket", "kind", "keys", "n"]
 
     def count(batches):
-        hashes, table = Hashes(), np.zeros((2, len(pairs)), np.int64)
-        for part in slices(batches):
-            sizes, _, _, keys = hashes.read(part.column(1).to_pylist())
-            at, there = find(pairs, keys)
-            k = np.repeat(np.array(part.column(0).to_pylist(), np.int64), sizes)
-            np.add.at(table, (k[there], at[there]), 1)
+        """Kinds: 0 and 1 words of each model, 2 and 3 chosen bigrams, with the begin mark for the documents that have words."""
+        both, begins = np.zeros((2, len(pairs)), np.int64), np.zeros(2, np.int64)
+        for c in chunks(batches):
+            at, there = find(pairs, c.pairs)
+            k_word, order = c.k_of[c.doc], np.argsort(c.table)
+            begins += np.bincount(c.k_of[c.sizes > 0], minlength=2)
+            for k in (0, 1):
+                both[k] += np.bincount(at[there & (k_word == k)], minlength=len(pairs))
+                n = np.bincount(c.number[k_word == k], minlength=len(c.table))[order]
+                yield from deal(k, c.table[order][n > 0], n[n > 0])
         for k in (0, 1):
-            at = np.flatnonzero(table[k])
-            yield _batch(["k", "place", "n"], np.full(len(at), k), at, table[k][at])
+            at = np.flatnonzero(both[k])
+            yield from deal(2 + k, np.r_[BEGIN, pairs[at]], np.r_[begins[k], both[k][at]])
 
-    both = np.zeros((2, len(pairs)))
-    if len(pairs):
-        found = source.mapInArrow(count, "k long, place long, n long").groupBy("k", "place").agg(F.sum("n").alias("n")).toArrow()
-        both[found["k"].to_numpy(), found["place"].to_numpy()] = found["n"].to_numpy()
-    return Frequent(words[order], single[:, order], pairs, both, totals, sums[0]["kinds"] if 0 in sums else 0)
+    def deal(kind, keys, n):
+        edges = cuts(keys, buckets)
+        full = np.flatnonzero(np.diff(edges))
+        parts = [(_steps(keys[edges[b] : edges[b + 1]]), n[edges[b] : edges[b + 1]]) for b in full]
+        yield _rows(names, [full.astype(np.int32), np.full(len(full), kind, np.int32), pa.array([squeeze(a) for a, _ in parts], pa.binary()), pa.array([squeeze(b) for _, b in parts], pa.binary())])
 
+    def meet(batches):
+        """(kind, key, n): frequent words, all chosen bigrams; kind 4 the number of words in a bucket, 5 and 6 each model's tokens."""
+        for _, rows in by_bucket(batches):
+            found = []
+            for kind in range(4):
+                mine = [r for r in rows if r["kind"] == kind]
+                keys = np.concatenate([np.cumsum(spread_out(r["keys"], np.uint64), dtype=np.uint64) for r in mine]) if mine else np.zeros(0, np.uint64)
+                n = np.concatenate([spread_out(r["n"], np.int64) for r in mine]) if mine else np.zeros(0, np.int64)
+                keys, which = np.unique(keys, return_inverse=True)
+                found.append((keys, np.bincount(which, n, len(keys)).astype(np.int64)))
+            words = np.unique(np.concatenate([k for k, _ in found[:2]]))
+            sums = np.zeros((2, len(words)), np.int64)
+            for k in (0, 1):
+                sums[k, np.searchsorted(words, found[k][0])] = found[k][1]
+            hot = sums.sum(0) >= enough
+            out = [(k, words[hot], sums[k][hot]) for k in (0, 1)] + [(2 + k, *found[2 + k]) for k in (0, 1)]
+            out += [(4, np.zeros(1, np.uint64), np.array([len(words)])), *[(5 + k, np.zeros(1, np.uint64), sums[k].sum(keepdims=True)) for k in (0, 1)]]
+            for kind, keys, n in out:
+                yield _rows(["kind", "key", "n"], [np.full(len(keys), kind, np.int32), keys.view(np.int64), n])
+
+    dealt = source.select("t", "x").mapInArrow(count, "bucket int, kind int, keys binary, n binary").repartition("bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(meet, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()  # at most 3 HOT_WORDS and HOT_PAIRS
+    kind, key, n = found["kind"].to_numpy(), found["key"].to_numpy().view(np.uint64), found["n"].to_numpy().astype(float)
+
+    def counts(table: np.ndarray, base: int) -> np.ndarray:
+        out = np.zeros((2, len(table)))
+        for k in (0, 1):
+            at, there = find(table, key[kind == base + k])
+            out[k, at[there]] = n[kind == base + k][there]
+        return out
 
-def spread(part: pa.RecordBatch, hashes: Hashes, m: Frequent) -> pa.RecordBatch:
-    """(place, key, row, what) of a few documents (t, x, row): a row each with what the frequent words and bigrams cost,
-    whose place and key are the bits of its two losses; and the other bigrams and contexts, summed by document.
+    words = np.unique(np.r_[key[kind < 2], BEGIN])
+    single, begins = counts(words, 0), counts(np.array([BEGIN]), 2)
+    single[:, np.searchsorted(words, BEGIN)] = begins[:, 0]
+    totals = np.array([n[kind == 5].sum(), n[kind == 6].sum()])
+    return Frequent(words, single, pairs, counts(pairs, 2), totals, int(n[kind == 4].sum()))
 
-    ``what`` is the number, 23 bits of what the row holds, and the model.
-    """
-    sizes, words, before, pairs = hashes.read(part.column(1).to_pylist())
-    k, rows = np.array(part.column(0).to_pylist(), np.int64), part.column(2).to_numpy()
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    (w, known), (v, led), (b, met) = find(m.words, words), find(m.words, before), find(m.pairs, pairs)
+
+#: What ``deal`` sends to a bucket, in order, and how it is kept; the steps between sorted hashes instead of the hashes.
+PARTS = [("pair", "<u8"), ("pair_doc", "<u4"), ("pair_n", "<u4"), ("pair_word", "<u4"), ("rare", "<u8"), ("rare_pair", "<u8"), ("rare_doc", "<u4"), ("rare_n", "<u4"), ("lead", "<u8"), ("lead_doc", "<u4"), ("lead_n", "<u4")]
+
+
+def runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a row differs from the one before, and how many rows each run has."""
+    size = len(columns[0])
+    new = np.ones(size, bool)
+    if size:
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    at = np.flatnonzero(new)
+    return at, np.diff(np.r_[at, size])
+
+
+def deal_chunk(c: Chunk, m: Frequent) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """What a chunk's documents get from the broadcast counts (target, background), and the columns of ``PARTS``."""
+    sizes, words, before, pairs, doc = c.sizes, c.words, c.before, c.pairs, c.doc
+    (w, known), (b, met) = find(m.words, c.table), find(m.pairs, pairs)
+    w, known = w[c.number], known[c.number]
     met &= known
+    v = np.where(c.first, np.searchsorted(m.words, BEGIN), np.r_[0, w[:-1]][: len(w)])
+    led = c.first | np.r_[True, known[:-1]][: len(w)]
     losses = []
     for i in (1, 0):
         loss = np.bincount(doc[met], m.joint(i, m.both[i][b[met]], m.single[i][w[met]]), len(sizes)).astype(float)
         losses.append(loss + np.bincount(doc[led], m.context(i, m.single[i][v[led]]), len(sizes)))
-    place = np.r_[np.where(known, pairs, words)[~met], before[~led]]
-    key = np.r_[pairs[~met], before[~led]]
-    kind = np.r_[np.where(known, w + FREQUENT, RARE)[~met], np.full((~led).sum(), CONTEXT)]
-    doc = np.r_[doc[~met], doc[~led]]
-    order = np.lexsort((kind, key, doc))
-    place, key, kind, doc = place[order], key[order], kind[order], doc[order]
-    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (kind[1:] != kind[:-1])][: len(key)])
-    number = np.diff(np.r_[new, len(key)])
-    place, key, kind, doc = place[new], key[new], kind[new], doc[new]
-    what = np.r_[number << 24 | kind << 1 | k[doc], sizes << 24 | LOCAL << 1 | k]
-    return _batch(["place", "key", "row", "what"], np.r_[place.view(np.int64), losses[0].view(np.int64)], np.r_[key.view(np.int64), losses[1].view(np.int64)], np.r_[rows[doc], rows], what)
-
-
-def gather(place: np.ndarray, key: np.ndarray, row: np.ndarray, what: np.ndarray, m: Frequent) -> pa.RecordBatch:
-    """(row, docs, n, target, background) of whole places, sorted by place and key; summed by row."""
-    kind, k, number = what >> 1 & (1 << 23) - 1, what & 1, (what >> 24).astype(float)
-    local, rare, context = kind == LOCAL, kind == RARE, kind == CONTEXT
-    pair = ~local & ~context
-    at = np.cumsum(np.r_[False, place[1:] != place[:-1]])
-    pairs = np.cumsum(np.r_[False, (place[1:] != place[:-1]) | (key[1:] != key[:-1])])
-    losses = []
-    for i, bits in ((1, place), (0, key)):
-        mine = number * (k == i) * m.scale[i]
-        single = np.bincount(at[rare], mine[rare], at[-1] + 1).astype(float)[at]  # of nothing it counts in integers
-        common = kind >= FREQUENT
-        single[common] = m.single[i][kind[common] - FREQUENT]
-        both = np.bincount(pairs[pair], mine[pair], pairs[-1] + 1)[pairs]
-        loss = np.where(local, np.where(local, bits, 0).view(np.float64), 0.0)
-        loss[pair] = number[pair] * m.joint(i, both[pair], single[pair])
-        loss[context] = number[context] * m.context(i, single[context])
-        losses.append(loss)
-    rows, which = np.unique(row, return_inverse=True)
-    total = lambda x: np.bincount(which, x, len(rows))
-    return _batch(["row", "docs", "n", "target", "background"], rows, total(local).astype(np.int64), total(number * local).astype(np.int64), *map(total, losses))
-
-
-def score_all(source: DataFrame, id_col: str, target_col: str, text_col: str) -> DataFrame:
-    """The id and the scores of each row under models of all words and bigrams.
-
-    A row is known by a hash of id and text; rows that share it have the same losses.
-    """
-    row = F.xxhash64(id_col, text_col).alias("row")
-    marked = source.select(F.coalesce(target_col, F.lit(False)).alias("t"), F.col(text_col).alias("x"), row)
-    shared = source.sparkSession.sparkContext.broadcast(frequent(marked.select("t", "x")))  # bounded by HOT_WORDS and HOT_PAIRS
+    mark = doc << 1 | c.k_of[doc].astype(np.uint32)  # the document and its model
+    pick = known & ~met
+    order = np.argsort(pairs[pick], kind="stable")
+    key, mine, word = pairs[pick][order], mark[pick][order], w[pick][order].astype(np.uint32)
+    at, n = runs(key, mine)
+    parts = [key[at], mine[at], n.astype(np.uint32), word[at]]
+    pick = ~known
+    order = np.lexsort((pairs[pick], words[pick]))
+    place, key, mine = words[pick][order], pairs[pick][order], mark[pick][order]
+    at, n = runs(place, key, mine)
+    parts += [place[at], key[at], mine[at], n.astype(np.uint32)]
+    pick = ~led
+    order = np.argsort(before[pick], kind="stable")
+    place, mine = before[pick][order], mark[pick][order]
+    at, n = runs(place, mine)
+    return losses, [*parts, place[at], mine[at], n.astype(np.uint32)]
+
+
+def gather(rows: list[list[bytes]], m: Frequent) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of a bucket's rows (``PARTS``): its documents, and their losses under target and background."""
+    held: dict[str, list] = {name: [] for name, _ in PARTS}
+    for number, parts in enumerate(rows):
+        for (name, kind), data in zip(PARTS, parts):
+            values = spread_out(data, kind)
+            if name in ("pair", "rare", "lead"):
+                values = np.cumsum(values, dtype=np.uint64)
+            held[name].append(values.astype(np.uint64) | np.uint64(number << 33) if name.endswith("_doc") else values)
+    c = {name: np.concatenate(x) for name, x in held.items()}
+    pair, rare = (np.unique(c[x], return_inverse=True)[1] for x in ("pair", "rare_pair"))
+    places, place = np.unique(c["rare"], return_inverse=True)
+    lead = np.searchsorted(places, c["lead"])
+    docs, which = np.unique(np.concatenate([c["pair_doc"], c["rare_doc"], c["lead_doc"]]), return_inverse=True)
+    sums = []
+    for i in (1, 0):
+        mine = {x: c[f"{x}_n"] * (c[f"{x}_doc"] & np.uint64(1) == i) * m.scale[i] for x in ("pair", "rare")}
+        single = np.bincount(place, mine["rare"], len(places))
+        losses = [
+            c["pair_n"] * m.joint(i, np.bincount(pair, mine["pair"])[pair], m.single[i][c["pair_word"]]),
+            c["rare_n"] * m.joint(i, np.bincount(rare, mine["rare"])[rare], single[place]),
+            c["lead_n"] * m.context(i, single[lead]),
+        ]
+        sums.append(np.bincount(which, np.concatenate(losses), len(docs)).astype(np.float32))
+    edges = np.searchsorted(docs >> np.uint64(33), np.arange(len(rows) + 1, dtype=np.uint64))
+    number = (docs >> np.uint64(1)).astype(np.uint32)
+    return [(number[a:b], sums[0][a:b], sums[1][a:b]) for a, b in zip(edges, edges[1:])]
+
+
+def score_all(source: DataFrame, id_col: str) -> DataFrame:
+    """Of rows (id, t, x) the id, ``n_tokens``, ``target_loss``, ``background_loss`` and ``score``."""
+    size = source.agg(F.sum(F.octet_length("x")).alias("n")).first()["n"] or 0
+    buckets = size // BUCKET + 1
+    shared = source.sparkSession.sparkContext.broadcast(frequent(source, size, buckets))  # bounded by HOT_WORDS and HOT_PAIRS
+    key = source.schema["id"].dataType
+    moved = T.StructType([T.StructField("bucket", T.IntegerType()), long("chunk"), T.StructField("parts", T.ArrayType(T.BinaryType())), T.StructField("ids", T.ArrayType(key))])
+    result = T.StructType([T.StructField(id_col, key), long("n_tokens"), double("target_loss"), double("background_loss"), double("score")])
 
     def deal(batches):
-        hashes, m = Hashes(), shared.value
-        for part in slices(batches):
-            yield spread(part, hashes, m)
+        m, task, out = shared.value, TaskContext.get().partitionId(), to_arrow_schema(moved)
+        for number, c in enumerate(chunks(batches)):
+            chunk = task << 24 | number
+            losses, parts = deal_chunk(c, m)
+            edges = [cuts(parts[i], buckets) for i in (0, 4, 8) for _ in range(4 if i < 8 else 3)]
+            for b in range(buckets):
+                mine = [p[e[b] : e[b + 1]] for p, e in zip(parts, edges)]
+                if any(map(len, mine)):
+                    yield _rows(out.names, [[b], [chunk], [[squeeze(_steps(p) if i in (0, 4, 8) else p) for i, p in enumerate(mine)]], [None]], out)
+            yield _rows(out.names, [[chunk % buckets], [chunk], [[squeeze(c.sizes), *map(squeeze, losses)]], [c.ids]], out)
 
     def meet(batches):
-        m, held, size = shared.value, [], 0
-        for b in batches:
-            held.append([c.to_numpy() for c in b.columns])
-            size += b.num_rows
-            if size >= 1_000_000:
-                columns = [np.concatenate(x) for x in zip(*held)]
-                cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last place may go on
-                if cut:
-                    yield gather(*[c[:cut] for c in columns], m)
-                held, size = [[c[cut:] for c in columns]], size - cut
-        if size:
-            yield gather(*[np.concatenate(x) for x in zip(*held)], m)
-
-    dealt = marked.mapInArrow(deal, "place long, key long, row long, what long").repartition("place").sortWithinPartitions("place", "key")
-    sums = dealt.mapInArrow(meet, "row long, docs long, n long, target double, background double").groupBy("row")
-    sums = sums.agg(*[F.sum(c).alias(c) for c in ("docs", "n", "target", "background")])
-    target, background = (F.when(F.col("n") > 0, F.col(c) / F.col("n")) for c in ("target", "background"))
-    return source.select(id_col, row).join(sums, "row").select(
-        id_col, (F.col("n") / F.col("docs")).cast("long").alias("n_tokens"), F.round(target, 9).alias("target_loss"), F.round(background, 9).alias("background_loss"), F.round(target - background, 9).alias("score")
-    )
+        m, out = shared.value, to_arrow_schema(moved)
+        for b, rows in by_bucket(batches):
+            for r in rows:
+                if r["ids"] is not None:  # what the chunk keeps of its documents
+                    yield _rows(out.names, [[b], [r["chunk"]], [r["parts"]], [r["ids"]]], out)
+            rows = [r for r in rows if r["ids"] is None]
+            for r, sums in zip(rows, gather([r["parts"] for r in rows], m) if rows else []):
+                yield _rows(out.names, [[b], [r["chunk"]], [list(map(squeeze, sums))], [None]], out)
+
+    def finish(batches):
+        out = to_arrow_schema(result)
+        for _, rows in by_bucket(batches):
+            own = next(r for r in rows if r["ids"] is not None)
+            sizes, target, background = (spread_out(x, kind).copy() for x, kind in zip(own["parts"], (np.int64, float, float)))
+            for r in rows:
+                if r["ids"] is None:
+                    docs, *sums = (spread_out(x, kind) for x, kind in zip(r["parts"], (np.uint32, np.float32, np.float32)))
+                    target[docs] += sums[0]
+                    background[docs] += sums[1]
+            empty = sizes == 0
+            target, background = (np.round(x / np.maximum(sizes, 1), 6) for x in (target, background))
+            score = np.round(target - background, 6)
+            yield pa.RecordBatch.from_arrays([pa.array(own["ids"], out.field(0).type), pa.array(sizes), *[pa.array(x, mask=empty) for x in (target, background, score)]], schema=out)
+
+    dealt = source.mapInArrow(deal, moved).repartition("bucket").sortWithinPartitions("bucket")
+    met = dealt.mapInArrow(meet, moved).select("chunk", "parts", "ids").repartition("chunk").sortWithinPartitions("chunk")
+    return met.mapInArrow(finish, result)
 
 
 def cross_entropy_difference(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", vocabulary: int | None = None, bits: int = 20
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 200_000
 ) -> DataFrame:
-    """Score all documents; the target is those with a label row whose ``label_col`` is 1. ``vocabulary`` None: all words and bigrams."""
-    good = labels.where(labels[label_col] == 1).select(labels[id_col].alias("__id")).where("__id is not null").distinct().withColumn("__target", F.lit(True))
-    source = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__body"))
-    marked = join_small(source, good, "__id")
-    if vocabulary is None:
-        return score_all(marked, "__id", "__target", "__body").withColumnRenamed("__id", id_col)
-    models = fit(marked, "__target", "__body", vocabulary, bits)
-    return score(source, models, "__body", ["__id"]).withColumnRenamed("__id", id_col)
+    """Score all documents; the target is those with a label row whose ``label_col`` is 1.
+
+    Up to ``max_rows`` target ids are broadcast; of more the join is a shuffle, after which rows are sorted, so that a task that
+    runs again deals the same chunks.
+    """
+    good = labels.where(labels[label_col] == 1).select(labels[id_col].alias("id")).where("id is not null").distinct().withColumn("target", F.lit(True))
+    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("x"))
+    few = good.limit(max_rows + 1).count() <= max_rows
+    marked = source.join(F.broadcast(good) if few else good, "id", "left").select("id", F.coalesce("target", F.lit(False)).alias("t"), "x")
+    return score_all(marked if few else marked.sortWithinPartitions("id", "x"), id_col)

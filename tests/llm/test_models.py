@@ -94,20 +94,20 @@ def test_toxicity(spark):
     assert toxicity.score_documents(d.limit(0), lb).count() == 0
 
 
-def test_cross_entropy(spark):
+def test_cross_entropy(spark, monkeypatch):
+    """Upper case, nulls and repeated rows, in several chunks and buckets, against counts by hand."""
+    monkeypatch.setattr(cross_entropy, "CHUNK", 50)
+    monkeypatch.setattr(cross_entropy, "BUCKET", 300)
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["Alpha", "beta", "gamma", "delta", f"rare{i}"] if i % 3 else ["beta", "eta", "É"]) for _ in range(rng.randrange(0, 30))), "x") for i in range(60)]
     rows += [(61, None, "x"), (7, "beta beta", "x"), (None, "eta alpha", "x")]
     labels = [(i, int(i % 3 == 0)) for i in range(0, 60, 2)] + [(None, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string").repartition(3)
-    out = cross_entropy.cross_entropy_difference(docs, spark.createDataFrame(labels, "doc_id long, quality int"), vocabulary=6, bits=20).collect()
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    out = cross_entropy.cross_entropy_difference(docs, table).collect()
+    shuffled = cross_entropy.cross_entropy_difference(docs, table, max_rows=3).collect()
     good = {i for i, q in labels if q == 1 and i is not None}
     split = [(i, (t or "").lower().split()) for i, t, _ in rows]
-    counts = Counter(w for _, ws in split for w in ws)
-    bound = min(t for t in range(2, 10**4) if sum(n >= t for n in counts.values()) <= 6)
-    known = {w for w, n in counts.items() if n >= bound}
-    size = len(known)
-    split = [(i, [w if w in known else None for w in ws]) for i, ws in split]
     models = []
     for target in (True, False):
         single, pair = Counter(), Counter()
@@ -117,23 +117,23 @@ def test_cross_entropy(spark):
                 single["<s>"] += 1
                 pair.update(zip(["<s>", *ws], ws))
         models.append((single, pair, sum(n for w, n in single.items() if w != "<s>")))
-    least = min(m[2] for m in models)
+    size, least = len({w for _, ws in split for w in ws}), min(m[2] for m in models)
 
     def loss(model, ws):
         single, pair, n = model
         r, total = least / n, 0
         for v, w in zip(["<s>", *ws], ws):
-            plain = (single[w] * r + 0.5) / (least + 0.5 * (size + 1))
-            total -= math.log((min(pair[v, w], single[w], single[v]) * r + 4 * plain) / (single[v] * r + 4))
+            plain = (single[w] * r + 0.5) / (least + 0.5 * size)
+            total -= math.log((pair[v, w] * r + 4 * plain) / (single[v] * r + 4))
         return total / len(ws)
 
-    want = Counter()
-    for i, ws in split:
-        want[i, len(ws), *([round(loss(m, ws), 4) for m in models] if ws else [None, None])] += 1
-    got = Counter((r.doc_id, r.n_tokens, r.target_loss and round(r.target_loss, 4), r.background_loss and round(r.background_loss, 4)) for r in out)
-    close = lambda c: sorted(((str(k[0]), k[1], *[x and round(x, 3) for x in k[2:]]) for k in c.elements()), key=str)
-    assert all(a[:2] == b[:2] and all(x == y or abs(x - y) < 0.002 for x, y in zip(a[2:], b[2:])) for a, b in zip(close(got), close(want)))
-    assert cross_entropy.cross_entropy_difference(docs.limit(0), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
+    want = sorted(((str(i), len(ws), *([loss(m, ws) for m in models] if ws else [None, None])) for i, ws in split), key=str)
+    for found in (out, shuffled):
+        got = sorted(((str(r.doc_id), r.n_tokens, r.target_loss, r.background_loss) for r in found), key=str)
+        for a, b in zip(got, want, strict=True):
+            assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=2e-6)
+    assert all(r.score == pytest.approx(r.target_loss - r.background_loss, abs=2e-6) for r in out if r.n_tokens)
+    assert cross_entropy.cross_entropy_difference(docs.limit(0), table).count() == 0
 
 
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
