@@ -47,7 +47,7 @@ from gleanery.llm.common import double, long, slices
 #: One in so many tokens makes a word or a bigram a broadcast one.
 HOT_WORDS, HOT_PAIRS = 1 << 17, 1 << 16
 #: Tokens, at six bytes each, that a task deals at once; bytes of text to a bucket and in the sample.
-CHUNK, BUCKET, SAMPLE = 2_000_000, 6 << 20, 16 << 20
+CHUNK, BUCKET, SAMPLE = 800_000, 6 << 20, 16 << 20
 #: Hash of the begin mark; factors of a bigram's words.
 BEGIN, FIRST, SECOND = np.uint64(1), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -84,6 +84,7 @@ def chunks(batches) -> Iterator[Chunk]:
         if size >= CHUNK:
             yield Chunk(np.concatenate(marks), ids, texts)
             texts, ids, marks, size = [], [], [], 0
+            pa.default_memory_pool().release_unused()
     if texts:
         yield Chunk(np.concatenate(marks), ids, texts)
 
