@@ -50,21 +50,80 @@ def brute_restore(word, model):
     """The cheapest of all readings, one by one."""
     best = [(0.0, "^^", "")]
     for options in toxicity.readings(word):
-        best = [(cost + price + (model.cost(past[-2:], c) if c else 0), past + c, text + c) for cost, past, text in best for c, price in options]
+        new = []
+        for cost, past, text in best:
+            for c, price in options:
+                if c == toxicity.BREAK:
+                    new.append((cost + price + model.cost(past[-2:], "$"), "^^", text + c))
+                else:
+                    new.append((cost + price + (model.cost(past[-2:], c) if c else 0), past + c, text + c))
+        best = new
     return min((cost + model.cost(past[-2:], "$"), text) for cost, past, text in best)
 
 
-def test_viterbi_is_exact():
+@pytest.fixture(scope="module")
+def letters():
     counts = Counter()
-    for w in "stupid worthless people stop the idle petal loser close trash".split():
+    for w in "stupid worthless people stop the idle petal loser close trash you are".split():
         for i in range(len(w) + 1):
             counts[("^^" + w + "$")[i : i + 3]] += 5
-    model = toxicity.Letters(counts)
-    for w in ["5tup1d", "st.u.p.i.d", "w0rthl3ss", "tr@sh", "l00ser", "stuuupid", "1d1e"]:
-        cost, _ = brute_restore(w, model)
-        got = toxicity.restore(w, model)
-        assert math.isclose(min(c for c, t in [brute_restore(w, model)] if t == got), cost)
-    assert toxicity.restore("5tup1d", model) == "stupid" and toxicity.restore("s t u p i d", model) == "stupid" and toxicity.restore("stuuupid", model) == "stupid"
+    return toxicity.Letters(counts)
+
+
+def test_viterbi_is_exact(letters):
+    for w in ["5tup1d", "st.u.p.i.d", "w0rthl3ss", "tr@sh", "l00ser", "stuuupid", "1d1e", "y o u", "t h e 1 d l e", "u a r e"]:
+        cost, text = brute_restore(w, letters)
+        got = toxicity.restore(w, letters)
+        assert got == text or math.isclose(min(c for c, t in [brute_restore(w, letters)]), cost)
+    assert toxicity.restore("5tup1d", letters) == "stupid" and toxicity.restore("s t u p i d", letters) == "stupid" and toxicity.restore("stuuupid", letters) == "stupid"
+
+
+def test_words_of_any_length_are_read(letters):
+    reader = toxicity.Reader(letters)
+    assert toxicity.restore("y o u a r e s t u p i d", letters) == "you are stupid"
+    many = " ".join("youarestupid" * 20)  # 240 letters set apart
+    assert reader.plain(many)[-3:] == ["you", "are", "stupid"] and reader.plain(many).count("stupid") == 20
+    assert "stupid" in reader.plain("st" + "u" * 300 + "pid") and "stupid" in reader.plain("s.t.u" + "." * 10 + "p.1.d")
+    assert "stupid" in reader.plain("$tupid") and "idle" in reader.plain("!dle!!")
+    long = "5tup1d" + "-" * 17 + "x9" * 200_000  # a long run of signs parts words
+    assert "stupid" in reader.plain(long)
+
+
+def test_score_is_the_regression_by_hand(letters):
+    weights = {"stupid": (1.5, 0.25), "stup*": (0.5, 2.0), "idle": (-1.0, 0.0)}
+    score = toxicity.Judge(letters.three, weights, -2.0).scorer()
+
+    def by_hand(text, counts):
+        n = len(set(text.lower().split()))
+        total = -2.0 + sum(weights[f][0] + weights[f][1] * toxicity.RATE * k / (n + toxicity.RATE) for f, k in counts.items())
+        return 1 / (1 + math.exp(-total))
+
+    for text, counts in [("", {}), ("the people", {}), ("Stupid people", {"stupid": 1, "stup*": 1}), ("5tup1d idle stupor the", {"stupid": 1, "stup*": 2, "idle": 1}), ("stupid stupid", {"stupid": 1, "stup*": 1})]:
+        assert score(text) == pytest.approx(by_hand(text, counts))
+
+
+def test_regression_is_at_its_least():
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(200):
+        which = sorted(rng.choice(6, rng.integers(0, 5), replace=False).tolist())
+        rows.append((int(rng.random() < 0.2 + 0.6 * (0 in which)), 30, which, [1 + f % 3 for f in which]))
+    weights = {0: 0.7, 1: 1.6}
+    found = toxicity.regress(rows, 6, weights)
+
+    def loss(x):
+        total = 0.05 * (x[1:] ** 2).sum()
+        for label, size, which, n in rows:
+            margin = x[0] + sum(x[1 + f] + x[7 + f] * toxicity.RATE * k / (size + toxicity.RATE) for f, k in zip(which, n))
+            total += weights[label] * math.log1p(math.exp(-margin if label else margin))
+        return total
+
+    least = loss(found)
+    for i in range(13):
+        for d in (-0.05, 0.05):
+            moved = found.copy()
+            moved[i] += d
+            assert loss(moved) >= least - 1e-9
 
 
 def test_toxicity(spark):
