@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.llm.packing import pack
 from gleanery.llm.quality import keep_good
-from gleanery.llm.simhash import drop_near_duplicates
+from gleanery.llm.simhash import drop_similar
 from gleanery.llm.toxicity import drop_toxic
-from gleanery.session import shared_folder, table
+from gleanery.session import delete_folder, shared_folder, table
 
 
 def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,11 +26,12 @@ def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return drop_similar(docs, similarity=0.8, words=5)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, capacity=1024, min_cut=64, with_ids=False)
+    """Pieces with their token ids; ``packing.sequences`` joins and pads them."""
+    return pack(docs, capacity=1024, min_cut=64, with_ids=True)
 
 
 STAGES = [
@@ -45,7 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; between stages the rows lie as Parquet in the shared folder."""
+    """All stages over ``documents``; between stages the rows lie as Parquet in the shared folder.
+
+    The last stage keeps what it has tokenised in a checkpoint, so the Parquet files go when it is done.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
@@ -53,4 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if number + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{number}-{name}")
             docs = spark.read.parquet(f"{folder}/{number}-{name}")
+    delete_folder(spark, folder)
     return docs

@@ -1,27 +1,46 @@
 """SimHash near-duplicates by anchor-point covering.
 
-A fingerprint's 64 bits are dealt into zones of 24, 24 and 16 bits with thresholds 1, 1 and 0: two
-fingerprints that differ in at most four bits differ in at most one bit in the first zone, or in at
-most one in the second, or in none in the third (2 + 2 + 1 > 4). In a zone the anchors are a covering
-code: in the wide zones the perfect (15, 11) Hamming code on 15 bits, with covering radius 1, and all
-words on the other 9; in the third all words, with radius 0. A fingerprint has one home anchor within
-the covering radius and is replicated to every anchor within the radius plus the zone's threshold, so
-two close fingerprints meet at the home anchor of either. Each anchor compares its homes with all that
-came to it; every link found is exact. Copies of one fingerprint are one row here, so a group of copies
-costs nothing, and a crowded anchor walks its links as a forest and never gives all pairs.
-
-Rows at anchors are 17 to 46 a wide zone and one in the third, about 39 a distinct fingerprint; an
-anchor holds about ``n * 19 / 2**20`` of n random fingerprints.
+A fingerprint's 64 bits are dealt into zones with thresholds so that two fingerprints that differ in at
+most four bits are within the threshold of at least one zone (``proves`` checks that for each layout).
+In a zone the anchors are a covering code, with covering radius 1 (the perfect (15, 11) Hamming code on
+15 bits and all words on the others) where the threshold is 1, and all words, with radius 0, where it is 0.
+A fingerprint has one home anchor within the covering radius and is replicated to every anchor within
+the radius plus the zone's threshold, so two close fingerprints meet at the home anchor of either. Each
+anchor compares its homes with all that came to it; every link found is exact. Copies of one fingerprint
+are one row here, so a group of copies costs nothing.
+
+The layout follows the number n of distinct fingerprints, and links are the same under each:
+
+==============  ====================================================  ==========  =========================
+n up to         zones                                                 rows each   met at anchors, each
+==============  ====================================================  ==========  =========================
+``2**24``       24, 24 and 16 bits, thresholds 1, 1 and 0             about 39    about ``n / 2**14``
+``2**30``       6 blocks, all 15 pairs of them, threshold 0           15          about ``n / 2**17``
+beyond          8 blocks, all 70 fours of them, threshold 0           70          about ``n / 2**26``
+==============  ====================================================  ==========  =========================
+
+An anchor with more than ``CROWD`` rows walks its links as a forest instead of comparing all its homes, so it
+never gives all pairs; the components are the same.
+
+Wide fingerprints (``drop_similar``) are for similarities of whole texts, where many bits differ: 512 bits over
+the different shingles, whose share of differing bits estimates their Jaccard similarity (with a
+standard error of 0.04 at 0.8). No layout of few zones proves links there. ``wide_zones`` draws as many zones of
+random bits as find a pair of just that similarity with probability ``recall``, each zone with all its words as
+anchors; zones get wider with the logarithm of n, so that few fingerprints that are not alike meet.
 
 Words are runs of characters other than space and U+0009 to U+000D, of the text with A to Z in lower case.
 
 Defined cases: null text counts as empty; texts without a word have fingerprint zero and are linked like
 others; rows with a null id take part, and ``component_id`` is the smallest id that is not null, null
-if there is none; repeated rows give a row each; an empty table gives an empty result.
+if there is none; repeated rows give a row each; an empty table gives an empty result. Components that do not settle in
+50 rounds raise an error (rounds grow with the logarithm of the longest chain of links).
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations, combinations_with_replacement
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,30 +48,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.llm.common import long, text_map
+from gleanery.llm.common import long, slices, text_map
 from gleanery.llm.components import connected_components
 from gleanery.session import cut_lineage, salted_join
 
-#: Shift, width, threshold of each zone; those with a threshold use the Hamming code on their low 15 bits.
-ZONES = [(0, 24, 1), (24, 24, 1), (48, 16, 0)]
+#: A zone is its blocks of bits (shift, width) and a threshold; those with a threshold use the Hamming code on their low 15 bits.
+Zone = tuple[tuple[tuple[int, int], ...], int]
+#: Rows at an anchor beyond which it walks a forest.
+CROWD = 256
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """Majority bits of the XXH64 of all shingles, repeats included; zero without words."""
+def blocks(widths: list[int], chosen: int, threshold: int = 0) -> list[Zone]:
+    """Zones of all choices of so many blocks."""
+    placed = [(sum(widths[:i]), w) for i, w in enumerate(widths)]
+    return [(c, threshold) for c in combinations(placed, chosen)]
+
+
+LAYOUTS: list[tuple[int, list[Zone]]] = [
+    (1 << 24, [(((0, 24),), 1), (((24, 24),), 1), (((48, 16),), 0)]),
+    (1 << 30, blocks([11, 11, 11, 11, 10, 10], 2)),
+    (1 << 62, blocks([8] * 8, 4)),
+]
+
+
+def proves(zones: list[Zone], bits: int = 4) -> bool:
+    """Is any set of so many places within the threshold of some zone? Only their number in each block matters."""
+    parts = sorted({b for z, _ in zones for b in z})
+    return all(any(sum(at.count(b) for b in z) <= t for z, t in zones) for at in combinations_with_replacement(parts, bits))
+
+
+def layout(n: int) -> list[Zone]:
+    return next(zones for most, zones in LAYOUTS if n <= most)
+
+
+def shingles(text: str | None, words: int, seed: int) -> np.ndarray:
+    """XXH64 of all shingles in order, of the whole text if it has fewer words; none without words."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum([len(w) + 1 for w in parts]) - 1
     if len(parts) <= words:
         spans = [(0, len(joined))]
     else:
-        spans = list(zip([0, *(ends[: len(parts) - words] + 1).tolist()], ends[words - 1 :].tolist()))
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(spans), 16_384):
-        hashes = np.array([digest(joined[a:b], seed) for a, b in spans[at : at + 16_384]], ">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(spans)).tobytes(), "big", signed=True)
+        spans = zip([0, *(ends[: len(parts) - words] + 1).tolist()], ends[words - 1 :].tolist())
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, max(1, len(parts) - words + 1))
+
+
+def majority(hashes: np.ndarray) -> bytes:
+    """The bits set in over half of the rows of big-endian hashes."""
+    counts = np.zeros(8 * hashes.shape[1] * hashes.itemsize, np.int64)
+    for at in range(0, len(hashes), 4096):
+        counts += np.unpackbits(hashes[at : at + 4096].view(np.uint8), axis=1).sum(0, dtype=np.int32)
+    return np.packbits(2 * counts > len(hashes)).tobytes()
+
+
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """Majority bits of the XXH64 of all shingles, repeats included; zero without words."""
+    return int.from_bytes(majority(shingles(text, words, seed).astype(">u8")[:, None]), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, words: int = 4, seed: int = 42) -> DataFrame:
@@ -88,16 +142,19 @@ def syndrome(zone: Column) -> Column:
     return parts[0] + parts[1] + parts[2] + parts[3]
 
 
-def anchored(distinct: DataFrame) -> DataFrame:
+def anchored(distinct: DataFrame, zones: list[Zone]) -> DataFrame:
     """(key, fp): key is zone and anchor, doubled, and one more for rows that are not at home there."""
     table = F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in hamming_masks()])
     sets = []
-    for number, (shift, width, threshold) in enumerate(ZONES):
-        zone = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        base = F.lit(number << 32).cast("long")
+    for number, (parts, threshold) in enumerate(zones):
+        zone, width = F.lit(0).cast("long"), 0
+        for shift, bits in parts:
+            part = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+            zone, width = zone.bitwiseOR(F.shiftleft(part, width)), width + bits
+        base = F.lit(number << 40).cast("long")
         if threshold:
             keys = F.transform(
-                F.element_at(table, syndrome(zone) + 1), lambda m, i: (base + zone.bitwiseXOR(m)) * 2 + F.when(i == 0, 0).otherwise(1)
+                F.element_at(table, (syndrome(zone) + 1).cast("int")), lambda m, i: (base + zone.bitwiseXOR(m)) * 2 + F.when(i == 0, 0).otherwise(1)
             )
         else:
             keys = F.array((base + zone) * 2)
@@ -105,14 +162,19 @@ def anchored(distinct: DataFrame) -> DataFrame:
     return distinct.select("fp", F.explode(F.concat(*sets)).alias("key"))
 
 
+def apart(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of 64-bit words."""
+    return np.bitwise_count(one ^ many) if many.ndim == 1 else np.bitwise_count(one ^ many).sum(1, dtype=np.int64)
+
+
 def forest(fps: np.ndarray, most: int) -> list[np.ndarray]:
-    """Links that span what is linked among the fingerprints of one anchor; each is reached once."""
-    rest, out = fps.copy(), []
+    """Places of links that span what is linked among the fingerprints of one anchor; each is reached once."""
+    rest, out = np.arange(len(fps)), []
     while len(rest) > 1:
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             one = front.pop()
-            near = np.bitwise_count(rest ^ one) <= most
+            near = apart(fps[one], fps[rest]) <= most
             if near.any():
                 found = rest[near]
                 out.append(np.stack([np.full(len(found), one), found], 1))
@@ -121,28 +183,27 @@ def forest(fps: np.ndarray, most: int) -> list[np.ndarray]:
     return out
 
 
-def compare(keys: np.ndarray, fps: np.ndarray, most: int, crowd: int = 256) -> np.ndarray:
-    """Links between the homes of each anchor and all at it. Rows are sorted by key; anchors are whole."""
+def compare(keys: np.ndarray, fps: np.ndarray, most: int, crowd: int = CROWD) -> np.ndarray:
+    """Places of links between the homes of each anchor and all at it. Rows are sorted by key; anchors are whole."""
     anchors = keys >> 1
     starts = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     homes = np.add.reduceat((keys & 1 == 0).astype(np.int64), starts)
-    out = []
+    out = [np.zeros((0, 2), np.int64)]
     for at in np.flatnonzero((sizes > crowd) & (homes > 0)):
-        out += forest(fps[starts[at] : starts[at] + sizes[at]], most)
+        out += [starts[at] + x for x in forest(fps[starts[at] : starts[at] + sizes[at]], most)]
     small = (sizes <= crowd) & (sizes > 1) & (homes > 0)
     starts, sizes, homes = starts[small], sizes[small], homes[small]
     left = np.repeat(starts, homes) + np.arange(homes.sum()) - np.repeat(np.cumsum(homes) - homes, homes)
     widths, begins = np.repeat(sizes, homes), np.repeat(starts, homes)
-    step = max(1, 4_000_000 // crowd)
+    step = max(1, 2_000_000 // (crowd * fps[:1].size or 1))
     for at in range(0, len(left), step):
         a, w, b = left[at : at + step], widths[at : at + step], begins[at : at + step]
         i = np.repeat(a, w)
         j = np.repeat(b, w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-        x, y = fps[i], fps[j]
-        near = (np.bitwise_count(x ^ y) <= most) & (x != y)
-        out.append(np.stack([x[near], y[near]], 1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.uint64)
+        near = (apart(fps[i], fps[j]) <= most) & (i != j)
+        out.append(np.stack([i[near], j[near]], 1))
+    return np.concatenate(out)
 
 
 def span(links: np.ndarray) -> np.ndarray:
@@ -163,35 +224,36 @@ def span(links: np.ndarray) -> np.ndarray:
     return links[kept]
 
 
-def links(distinct: DataFrame, threshold: int = 4) -> DataFrame:
-    """(u, v): links that span all pairs of distinct fingerprints (``fp``) within the threshold of four bits."""
-    if threshold > 4:
-        raise ValueError("the zones prove links of up to four differing bits")
+def _meet(rows: DataFrame, threshold: int) -> DataFrame:
+    """(u, v) from rows (key, fp, and of wide fingerprints their bytes) that are dealt and sorted by key."""
+    wide = "wide" in rows.columns
 
     def run(batches):
-        empty = np.zeros(0, np.int64)
-        held_keys, held_fps = [empty], [empty]
-        buffered, found = 0, np.zeros((0, 2), np.uint64)
+        held: list[list[np.ndarray]] = [[], [], []]
+        buffered, found = 0, np.zeros((0, 2), np.int64)
 
         def flush(last):
-            nonlocal held_keys, held_fps, buffered
-            keys, fps = np.concatenate(held_keys), np.concatenate(held_fps)
+            nonlocal held, buffered
+            keys, ids, fps = (np.concatenate(x) for x in held)
             cut = len(keys) if last else int(np.searchsorted(keys, keys[-1] >> 1 << 1))  # the last anchor may go on
-            out = compare(keys[:cut], fps[:cut].view(np.uint64), threshold) if cut else np.zeros((0, 2), np.uint64)
-            held_keys, held_fps, buffered = [keys[cut:]], [fps[cut:]], len(keys) - cut
-            return out
-
-        def batch(rows):
-            pairs = np.unique(np.stack([rows.min(1), rows.max(1)], 1), axis=0) if len(rows) else rows
-            kept = span(pairs).view(np.int64)
+            at = compare(keys[:cut], fps[:cut], threshold) if cut else np.zeros((0, 2), np.int64)
+            held, buffered = [[x[cut:]] for x in (keys, ids, fps)], len(keys) - cut
+            pairs = ids[at]
+            return pairs[pairs[:, 0] != pairs[:, 1]]
+
+        def batch(pairs):
+            pairs = np.unique(np.stack([pairs.min(1), pairs.max(1)], 1), axis=0) if len(pairs) else pairs
+            kept = span(pairs)
             return pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], ["u", "v"])
 
         for b in batches:
             if b.num_rows:
-                held_keys.append(b.column(0).to_numpy())
-                held_fps.append(b.column(1).to_numpy())
+                ids = b.column("fp").to_numpy()
+                bits = np.frombuffer(b"".join(b.column("wide").to_pylist()), np.uint64).reshape(len(ids), -1) if wide else ids.view(np.uint64)
+                for x, new in zip(held, (b.column("key").to_numpy(), ids, bits)):
+                    x.append(new)
                 buffered += b.num_rows
-            if buffered >= 400_000:
+            if buffered >= (100_000 if wide else 400_000):
                 found = np.concatenate([found, flush(False)])
                 if len(found) >= 200_000:
                     yield batch(found)
@@ -200,44 +262,159 @@ def links(distinct: DataFrame, threshold: int = 4) -> DataFrame:
             found = np.concatenate([found, flush(True)])
         yield batch(found)
 
-    rows = anchored(distinct).select("key", "fp").repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
     return rows.mapInArrow(run, "u long, v long")
 
 
-def components(prints: DataFrame, threshold: int = 4) -> DataFrame:
-    """``fp``, ``root`` and ``component_id`` for each distinct fingerprint of rows with ``__id`` and ``fp``."""
-    distinct = prints.groupBy("fp").agg(F.min("__id").alias("least"))
-    found = connected_components(links(distinct.select("fp"), threshold))
-    named = cut_lineage(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left"))
-    alone = named.where("root is null").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+def links(distinct: DataFrame, threshold: int = 4, zones: list[Zone] | None = None) -> DataFrame:
+    """(u, v): links that span all pairs of distinct fingerprints (``fp``) within the threshold of four bits."""
+    if threshold > 4:
+        raise ValueError("the zones prove links of up to four differing bits")
+    spark = distinct.sparkSession
+    dealt = distinct.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")  # each row becomes many
+    rows = anchored(dealt, zones or layout(distinct.count())).select("key", "fp").repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
+    return _meet(rows, threshold)
+
+
+def components(prints: DataFrame, threshold: int = 4, zones: list[Zone] | None = None) -> DataFrame:
+    """``fp``, ``root``, ``component_id`` and the number of rows ``n`` for each distinct fingerprint of rows with ``__id`` and ``fp``."""
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("__id").alias("least"), F.count("*").alias("n")))
+    return _components(distinct, links(distinct, threshold, zones))
+
+
+def _components(distinct: DataFrame, found: DataFrame) -> DataFrame:
+    named = cut_lineage(distinct.join(connected_components(found).withColumnRenamed("node", "fp"), "fp", "left"))
+    alone = named.where("root is null").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"), "n")
     linked = named.where("root is not null")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return alone.unionByName(salted_join(linked, least, "root").select("fp", "root", "component_id"))
+    return alone.unionByName(salted_join(linked, least, "root").select("fp", "root", "component_id", "n"))
+
+
+def _with_component(rows: DataFrame, found: DataFrame, share: int = 1000) -> DataFrame:
+    """Rows with ``fp`` and what ``components`` says of it. Fingerprints that hold 1 in ``share`` of the rows are broadcast, at
+    most ``share`` of them; no other is large."""
+    enough = max(1000, rows.count() // share)
+    hot, rest = found.where(F.col("n") >= enough), found.where(F.col("n") < enough)
+    mine = rows.join(F.broadcast(hot.select("fp", F.col("root").alias("__root"), F.col("component_id").alias("__least"), F.lit(True).alias("__hot"))), "fp", "left")
+    done = mine.where("__hot").select(*rows.columns, F.col("__root").alias("root"), F.col("__least").alias("component_id"))
+    others = mine.where("__hot is null").select(*rows.columns).join(rest.select("fp", "root", "component_id"), "fp")
+    return done.unionByName(others.select(*done.columns))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
     """One row for each input row: the id, ``fingerprint`` (hex) and ``component_id``."""
     source = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__body"))
     prints = cut_lineage(fingerprints(source, "__body", ["__id"], words, seed))
-    joined = prints.join(components(prints, threshold), "fp")
+    joined = _with_component(prints, cut_lineage(components(prints, threshold)))
     return joined.select(F.col("__id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
     """The input's rows, one of each component: the one with the smallest id, of rows that share it any one."""
+
+    def prepare(rows, body, keep):
+        return fingerprints(rows, body, keep, words, seed)
+
+    return _one_of_each(docs, id_col, text_col, prepare, lambda prints: components(prints, threshold))
+
+
+#: Bits of a wide fingerprint, and what a shingle's hash is multiplied by for each further 64 of them.
+WIDE = 512
+FACTORS = np.array([2 * (0x9E3779B97F4A7C15 * (i + 1) % 2**63) + 1 for i in range(WIDE // 64)], np.uint64)
+
+
+def wide_fingerprint(text: str | None, words: int = 5, seed: int = 42) -> bytes:
+    """Majority bits over the different shingles, eight mixed hashes of each."""
+    hashes = np.unique(shingles(text, words, seed))
+    if not len(hashes):
+        return bytes(WIDE // 8)
+    mixed = hashes[:, None] * FACTORS
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(32)
+    return majority(mixed)
+
+
+def wide_fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, words: int = 5, seed: int = 42) -> DataFrame:
+    """The kept columns, ``wide`` (binary) and ``fp``, a hash of it."""
+
+    def make():
+        def run(texts):
+            wide = [wide_fingerprint(t, words, seed) for t in texts]
+            return {"wide": wide, "fp": [int.from_bytes(xxhash.xxh64_digest(w), "big", signed=True) for w in wide]}
+
+        return run
+
+    return text_map(docs, text_col, make, T.StructType([T.StructField("wide", T.BinaryType()), long("fp")]), keep)
+
+
+def differing(similarity: float) -> float:
+    """The share of bits in which two sets of that Jaccard similarity are expected to differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_zones(n: int, similarity: float = 0.8, recall: float = 0.95, seed: int = 11) -> np.ndarray:
+    """Zones by places: as wide that about four of n unlike fingerprints meet, as many that ``recall`` is reached."""
+    width = min(40, max(12, math.ceil(math.log2(max(n, 2))) - 2))
+    met = (1 - differing(similarity)) ** width
+    number = math.ceil(math.log(1 - recall) / math.log(1 - met))
+    rng = np.random.default_rng(seed)
+    return np.stack([rng.choice(WIDE, width, replace=False) for _ in range(number)])
+
+
+def most_differing(similarity: float, errors: float = 1.3) -> int:
+    """The bits that wide fingerprints of that similarity may differ in: the mean and ``errors`` standard deviations (1.3: nine in ten)."""
+    p = differing(similarity)
+    return int(WIDE * p + errors * math.sqrt(WIDE * p * (1 - p)))
+
+
+def similar_links(distinct: DataFrame, n: int, similarity: float = 0.8) -> DataFrame:
+    """(u, v): links between rows (``fp``, ``wide``) whose bits tell of that similarity or more."""
+    zones = wide_zones(n, similarity)
+    place = 1 << np.arange(zones.shape[1], dtype=np.int64)
+
+    def deal(batches):
+        for part in slices(batches):
+            fps, wide = part.column("fp"), part.column("wide")
+            bits = np.unpackbits(np.frombuffer(b"".join(wide.to_pylist()), np.uint8).reshape(len(wide), -1), axis=1)
+            for number, zone in enumerate(zones):
+                keys = (np.int64(number << 40) + bits[:, zone].astype(np.int64) @ place) * 2
+                yield pa.RecordBatch.from_arrays([pa.array(keys), fps, wide], ["key", "fp", "wide"])
+
+    dealt = distinct.select("fp", "wide").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    rows = dealt.mapInArrow(deal, "key long, fp long, wide binary").repartition("key").sortWithinPartitions("key")
+    return _meet(rows, most_differing(similarity))
+
+
+def similar_components(prints: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """As ``components``, of rows with ``__id``, ``fp`` and ``wide``, linked by the similarity that the bits tell of."""
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("__id").alias("least"), F.count("*").alias("n"), F.first("wide").alias("wide")))
+    return _components(distinct.drop("wide"), similar_links(distinct, distinct.count(), similarity))
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, seed: int = 42) -> DataFrame:
+    """The input's rows, one of each component of texts whose sets of shingles are that similar, as wide fingerprints tell."""
+
+    def prepare(rows, body, keep):
+        return wide_fingerprints(rows, body, keep, words, seed)
+
+    return _one_of_each(docs, id_col, text_col, prepare, lambda prints: similar_components(prints, similarity))
+
+
+def _one_of_each(docs: DataFrame, id_col: str, text_col: str, prepare, group) -> DataFrame:
     names = docs.columns
     source = docs.select(*[docs[c].alias(f"in_{i}") for i, c in enumerate(names)])
     key, body = (f"in_{names.index(c)}" for c in (id_col, text_col))
-    threshold = options.pop("threshold", 4)
-    prints = cut_lineage(fingerprints(source.select(F.col(key).alias("__id"), body), body, ["__id"], **options))
-    ids = components(prints, threshold)
+    prints = cut_lineage(prepare(source.select(F.col(key).alias("__id"), body), body, ["__id"]))
+    ids = cut_lineage(group(prints))
     rows = prints.groupBy("__id").agg(F.count("*").alias("__n"), F.min("fp").alias("fp"))
     unique = F.col("__id").isNotNull() & (F.col("__n") == 1)
-    keep = rows.where(unique).join(ids, "fp").where(F.col("__id") == F.col("component_id")).select("__id")
+    # a component keeps its smallest id, so the row that stays is found by id alone
+    least = ids.select(F.col("component_id").alias("__id")).distinct()
+    keep = rows.where(unique).join(least, "__id", "left_semi").select("__id")
     out = source.join(keep, F.col(key) == F.col("__id"), "left_semi")
     shared = cut_lineage(rows.where(~unique).select("__id"))
     if not shared.isEmpty():
-        again = source.join(shared, F.col(key).eqNullSafe(F.col("__id")), "left_semi")
-        rest = fingerprints(again, body, **options).join(ids, "fp").where(F.col("component_id").eqNullSafe(F.col(key)))
+        again = prepare(source.join(shared, F.col(key).eqNullSafe(F.col("__id")), "left_semi"), body, source.columns)
+        rest = _with_component(again, ids).where(F.col("component_id").eqNullSafe(F.col(key)))
         out = out.unionByName(rest.dropDuplicates(["root"]).select(*source.columns))
     return out.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(names)])

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from gleanery.llm import simhash
 from gleanery.llm.components import connected_components
@@ -70,6 +71,72 @@ def test_links_and_components(spark):
     assert [got[f] for f in signed] == want
 
 
+@pytest.mark.parametrize("number", range(len(simhash.LAYOUTS)))
+def test_every_layout_finds_the_same(spark, number):
+    rng = random.Random(12)
+    fps = {rng.getrandbits(64) for _ in range(40)}
+    for f in list(fps):
+        for n in (3, 4, 4, 4, 5):
+            g = f
+            for b in rng.sample(range(64), n):
+                g ^= 1 << b
+            fps.add(g)
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(signed)], "__id long, fp long").repartition(3)
+    zones = simhash.LAYOUTS[number][1]
+    assert simhash.proves(zones) and not simhash.proves(zones, 5) and sum(w for b, w in {b for z, _ in zones for b in z}) == 64
+    got = {r.fp: r.component_id for r in simhash.components(df, zones=zones).collect()}
+    assert [got[f] for f in signed] == brute_components(fps)
+
+
+def similarity(a, b, words=5):
+    x, y = ({tuple(t.lower().split()[i : i + words]) for i in range(max(1, len(t.split()) - words + 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_wide_fingerprints_tell_similarity():
+    rng = random.Random(14)
+    for share in (0.0, 0.01, 0.03, 0.1):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+        other = [w if rng.random() >= share else "x" + w for w in base]
+        a, b = " ".join(base), " ".join(other)
+        apart = (int.from_bytes(simhash.wide_fingerprint(a)) ^ int.from_bytes(simhash.wide_fingerprint(b))).bit_count() / simhash.WIDE
+        assert abs(apart - simhash.differing(similarity(a, b))) < 4 * (0.25 / simhash.WIDE) ** 0.5
+    assert simhash.wide_fingerprint(None) == simhash.wide_fingerprint(" \n") == bytes(simhash.WIDE // 8)
+    zones = simhash.wide_zones(10**6)
+    assert 1 - (1 - (1 - simhash.differing(0.8)) ** zones.shape[1]) ** len(zones) >= 0.95
+
+
+def test_drop_similar(spark):
+    """Planted pairs: those clearly over 0.8 lose one text, those clearly under keep both."""
+    rng = random.Random(15)
+    rows, near, far = [], [], []
+    for i in range(120):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        n = rng.choice([0, 1, 3, 5, 20, 30, 60])
+        other = list(base)
+        for at in rng.sample(range(300), n):
+            other[at] = "y" + other[at]
+        rows += [(2 * i, " ".join(base), "x"), (2 * i + 1, " ".join(other), "x")]
+        s = similarity(rows[-2][1], rows[-1][1])
+        if s >= 0.86:
+            near.append(i)
+        elif s <= 0.6:
+            far.append(i)
+    rows += [(1000, None, "x"), (1001, "", "x"), (None, rows[0][1], "x"), (0, rows[0][1], "x"), (0, "quite another text under a known id", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, wide string").repartition(3)
+    kept = simhash.drop_similar(docs)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    left = set(ids)
+    assert len(near) > 20 and len(far) > 20
+    assert sum(2 * i + 1 in left for i in near) <= 0.05 * len(near) and all(2 * i in left for i in range(120))
+    assert all(2 * i + 1 in left for i in far)
+    assert 1000 in left and 1001 not in left and None not in left and ids.count(0) == 2
+    assert simhash.drop_similar(docs.limit(0)).count() == 0
+
+
 def test_connected_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(90)] + [(None, 3), (7, 7)]
@@ -108,5 +175,5 @@ def test_long_text():
 
 def test_forest_spans():
     fps = np.array([1, 3, 7, 1 << 40, (1 << 40) + 1, (1 << 20) - 1], np.uint64)
-    joined = {tuple(sorted(map(int, x))) for a in simhash.forest(fps, 4) for x in a}
+    joined = {tuple(sorted(map(int, x))) for a in simhash.forest(fps, 4) for x in fps[a]}
     assert len(joined) == 4 - 0 or len(joined) == len(fps) - len(set(brute_components([int(x) for x in fps])))
