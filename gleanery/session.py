@@ -32,14 +32,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, local runs) a temporary folder is taken, one for the whole session.
+    Only where that is unset and all runs on one machine (tests, local runs) a temporary folder is taken, one for the whole
+    session; on a cluster that is an error, since executors would write to their own disks.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleanery-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gleanery-"))
     return (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()).rstrip("/")
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that this library wrote, in whatever file system it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder and drop its lineage.
 
