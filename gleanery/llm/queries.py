@@ -98,24 +98,23 @@ WITH words AS (
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines
   FROM words LEFT JOIN covered USING (doc_id)
 ), failed AS (
-  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS f1, 10 * n_symbols > n_words AS f2,
-    word_chars < 2 * n_words OR word_chars > 20 * n_words AS f3, 10 * n_dup_lines > 3 * n_lines AS f4
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    CASE WHEN 10 * n_symbols > n_words THEN 64.0::DOUBLE ELSE 1 END * CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 64.0::DOUBLE ELSE 1 END AS hard,
+    CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 3.0::DOUBLE ELSE 1 END * CASE WHEN 100 * n_repeat_words > 10 * n_words THEN 3.0::DOUBLE ELSE 1 END
+      * CASE WHEN 30 * n_symbols > n_words THEN 3.0::DOUBLE ELSE 1 END * CASE WHEN n_words < 30 THEN 3.0::DOUBLE ELSE 1 END AS soft
   FROM measured
 ), hosts AS (
-  SELECT host, count(*) AS n, count(*) FILTER (f1) AS c1, count(*) FILTER (f2) AS c2, count(*) FILTER (f3) AS c3, count(*) FILTER (f4) AS c4
-  FROM failed GROUP BY host
-), tall AS (
-  UNPIVOT hosts ON c1, c2, c3, c4 INTO NAME rule VALUE c
+  SELECT host, count(*) AS n, count(*) FILTER (base_failed OR hard > 1) AS c FROM failed GROUP BY host
 ), prior AS (
-  SELECT rule, avg(c / n) AS m, var_pop(c / n) AS v FROM tall GROUP BY rule
+  SELECT avg(c / n) AS m, var_pop(c / n) AS v FROM hosts
 ), shrunk AS (
-  SELECT host, rule, m, n, s, (c + m * s) / (n + s) AS rate
-  FROM tall JOIN (SELECT *, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), 10000) ELSE 10000 END AS s FROM prior) USING (rule)
+  SELECT host, n, s, (c + m * s) / (n + s) AS rate
+  FROM hosts, (SELECT *, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), 10000) ELSE 10000 END AS s FROM prior)
 ), verdicts AS (
-  SELECT host, max(rate - 2 * sqrt(rate * (1 - rate) / (n + s + 1))) > 0.5 AS rejected, bool_or(rule = 'c4' AND rate > 2 * m AND rate > 0.2) AS suspect FROM shrunk GROUP BY host
+  SELECT host, greatest(rate - 2 * sqrt(rate * (1 - rate) / (n + s + 1)), 0) AS low FROM shrunk
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 AS base_failed,
-  NOT (rejected OR f1 OR f2 OR f3 OR (f4 AND suspect)) AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND low < 1 AND low / (1 - low) * hard * soft <= 1 AS kept
 FROM failed JOIN verdicts USING (host)
 """
 

@@ -1,10 +1,13 @@
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
-from gleanery.llm import media, quality
+from gleanery.llm import media, quality, queries
+
+from tests.oracle import same_rows
 
 TEXTS = ["", " ", "a b c d e a b c d e f", "x\nx\n\n \ny\nx", "# * $ % & | < > é 日本 x", "w " * 60, "one two\tthree\x0bfour\x0cfive\rsix", "q r s t u v q r s t u v w q r s t", "z" * 5000, None]
 
@@ -47,6 +50,34 @@ def test_judge(spark):
     assert quality.judge(docs.limit(0)).count() == 0 and quality.keep_good(docs.limit(0)).count() == 0
 
 
+def test_planted_hosts_against_sql(spark, tmp_path):
+    """The host decides both ways: fine texts go with a bad host, hard failures stay with a trusted one, soft ones count by host."""
+    words = lambda i, n=40: [f"w{i}x{j}" for j in range(n)]
+    fine = lambda i: " ".join(words(i))
+    symbols = lambda i: " ".join(words(i, 20) + ["#"] * 4)
+    soft = lambda i: "\n".join([" ".join(words(i, 12)), " ".join(words(-i, 3))] + [" ".join(words(i, 12)[:3])] * 2 + [" ".join(words(i + 9**6, 20))])
+    few = lambda i: " ".join(words(i, 12))
+    shares = {"bad": 0.9, "poor": 0.4, "middle": 0.15, "middling": 0.12, "trusted": 0.004}
+    rows = []
+    for host, share in shares.items():
+        for i in range(500):
+            n = len(rows)
+            kind = symbols if i < 500 * share else few if i % 50 == 49 else soft if i % 50 == 48 else fine
+            rows.append((n, kind(n), None, host, None))
+    rows += [(9000, None, None, None, None), (9001, fine(9001), None, None, None), (9002, "", None, "trusted", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/out")
+    (part,) = [f for f in os.listdir(f"{tmp_path}/out") if f.endswith(".parquet")]
+    os.makedirs(f"{tmp_path}/sf")
+    os.rename(f"{tmp_path}/out/{part}", f"{tmp_path}/sf/documents.parquet")
+    same_rows(spark, queries.QUERIES["op1_quality_rules"], queries.ORACLE_SQL["op1_quality_rules"], f"{tmp_path}/sf")
+    kept = {r.doc_id: r.kept for r in queries.QUERIES["op1_quality_rules"](spark, f"{tmp_path}/sf").collect()}
+    at = {h: 500 * i for i, h in enumerate(shares)}
+    assert not any(kept[at["bad"] + i] for i in range(500))
+    assert kept[at["poor"] + 300] and not kept[at["poor"] + 349] and not kept[at["poor"]]  # few words are enough there
+    assert kept[at["middle"] + 349] and not kept[at["middle"]]
+    assert kept[at["trusted"]] and kept[at["trusted"] + 1] and not kept[9002]  # symbols are forgiven, the base rule never is
+
+
 def test_decode_forms():
     rng = np.random.default_rng(2)
     p = rng.integers(0, 256, (5, 7, 3), dtype=np.uint8)
