@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from gleanery.llm.common import long, slices, string, text_map
+from gleanery.llm.common import double, long, slices, string, text_map
 
 
 def encode_ppm(pixels: np.ndarray) -> bytes:
@@ -95,11 +95,18 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("neither Netpbm nor BMP")
 
 
-def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of each cell of a height x width grid laid over the picture, as floats."""
+def integral_image(pixels: np.ndarray) -> np.ndarray:
+    """Sums of all samples above and left of each corner, by band."""
     h, w, bands = pixels.shape
-    integral = np.zeros((h + 1, w + 1, bands))
-    np.cumsum(np.cumsum(pixels, 0, dtype=np.float64), 1, out=integral[1:, 1:])
+    out = np.zeros((h + 1, w + 1, bands))
+    np.cumsum(pixels, 0, dtype=np.float64, out=out[1:, 1:])
+    np.cumsum(out[1:, 1:], 1, out=out[1:, 1:])
+    return out
+
+
+def area_resize(integral: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean of each cell of a height x width grid laid over the picture of an integral image, as floats."""
+    h, w = integral.shape[0] - 1, integral.shape[1] - 1
 
     def at(edges, n, grid, axis):
         low = np.minimum(edges.astype(np.int64), n - 1)
@@ -111,16 +118,16 @@ def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     return np.diff(np.diff(grid, axis=0), axis=1) / (h / height * w / width)
 
 
-def difference_hash(pixels: np.ndarray) -> str:
+def difference_hash(integral: np.ndarray) -> str:
     """64 bits: in an 8 x 9 grid of mean brightness, is a cell darker than its right neighbour?"""
-    grey = area_resize(pixels, 8, 9).mean(2).round(6)
+    grey = area_resize(integral, 8, 9).mean(2).round(6)
     return np.packbits(grey[:, :-1] < grey[:, 1:]).tobytes().hex()
 
 
-def tile(pixels: np.ndarray, side: int) -> bytes:
+def tile(integral: np.ndarray, side: int) -> bytes:
     """NPY bytes of the picture resized to side x side."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(pixels, side, side)), 0, 255).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.clip(np.rint(area_resize(integral, side, side).round(6)), 0, 255).astype(np.uint8), allow_pickle=False)
     return out.getvalue()
 
 
@@ -140,7 +147,8 @@ def media_features(rows: DataFrame, id_col: str, media_col: str, tile_side: int
                         values.append((None,) * 6)
                         continue
                     p = decode(data)
-                    values.append((p.shape[1], p.shape[0], p.shape[2], difference_hash(p), tile(p, tile_side), None))
+                    whole = integral_image(p)
+                    values.append((p.shape[1], p.shape[0], p.shape[2], difference_hash(whole), tile(whole, tile_side), None))
                 except (ValueError, IndexError, struct.error) as e:
                     values.append((None, None, None, None, None, str(e)))
             columns = [pa.array(c, f.type) for c, f in zip(zip(*values), list(out)[1:])]
@@ -149,12 +157,20 @@ def media_features(rows: DataFrame, id_col: str, media_col: str, tile_side: int
     return source.mapInArrow(run, schema)
 
 
+#: How texts are stored as pictures.
+FORMS = {"ppm": encode_ppm, "bmp": encode_bmp}
+
+
 def text_media(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", form: str = "ppm", with_media: bool = True, tile_side: int = 32
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", form: str = "ppm", also: str | None = None, with_media: bool = True, tile_side: int = 32
 ) -> DataFrame:
-    """Texts stored as pictures 64 pixels wide, read back: digests of what was read, the hash, and if asked bytes and tile."""
-    store = {"ppm": encode_ppm, "bmp": encode_bmp}[form]
+    """Texts stored as pictures 64 pixels wide, read back: digests of what was read, the hash, and the NPY tile's digest and mean.
+
+    With ``also`` the picture is stored in that form too, read back from there, and has to be the same; its digest is
+    ``{also}_sha256``. If asked, the picture's and the tile's bytes.
+    """
     new = [long("n_bytes"), long("payload_bytes"), string("payload_sha256"), long("tail_crc32"), long("media_bytes"), string("media_sha256"), string("feature")]
+    new += [string("tile_sha256"), double("tile_mean")] + [string(f"{also}_sha256")] * (also is not None)
     new += [T.StructField("media", T.BinaryType()), T.StructField("tile_npy", T.BinaryType())] * with_media
 
     def run(texts):
@@ -162,11 +178,19 @@ def text_media(
         for t in texts:
             raw = (t or "").encode()
             full = raw.ljust(max(192, -(-len(raw) // 192) * 192))
-            media = store(np.frombuffer(full, np.uint8).reshape(-1, 64, 3))
+            samples = np.frombuffer(full, np.uint8).reshape(-1, 64, 3)
+            media = FORMS[form](samples)
             pixels = decode(media)
-            payload = pixels.tobytes()
-            row = [len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(pixels)]
-            for f, v in zip(new, row + ([media, tile(pixels, tile_side)] if with_media else [])):
+            payload, whole = pixels.tobytes(), integral_image(pixels)
+            npy = tile(whole, tile_side)
+            row = [len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(whole)]
+            row += [hashlib.sha256(npy).hexdigest(), float(np.load(io.BytesIO(npy), allow_pickle=False).mean())]
+            if also is not None:
+                other = FORMS[also](samples)
+                if decode(other).tobytes() != payload:
+                    raise ValueError(f"{form} and {also} differ")
+                row.append(hashlib.sha256(other).hexdigest())
+            for f, v in zip(new, row + [media, npy] * with_media):
                 out[f.name].append(v)
         return out
 

@@ -30,7 +30,7 @@ def op1_quality_rules(spark, sf_dir):
 
 @query
 def op2_media(spark, sf_dir):
-    return text_media(table(spark, sf_dir, "documents"), form="ppm", with_media=False)
+    return text_media(table(spark, sf_dir, "documents"), form="ppm", also="bmp", with_media=False)
 
 
 @query

@@ -1,4 +1,5 @@
 import hashlib
+import io
 import os
 import re
 import zlib
@@ -94,22 +95,36 @@ def test_decode_forms():
 def test_area_resize():
     rng = np.random.default_rng(3)
     p = rng.integers(0, 256, (12, 18, 3), dtype=np.uint8)
-    assert np.allclose(media.area_resize(p, 4, 6), p.reshape(4, 3, 6, 3, 3).mean((1, 3)))
-    assert np.allclose(media.area_resize(p, 12, 18), p)
+    assert np.allclose(media.area_resize(media.integral_image(p), 4, 6), p.reshape(4, 3, 6, 3, 3).mean((1, 3)))
+    assert np.allclose(media.area_resize(media.integral_image(p), 12, 18), p)
     big = p.repeat(5, 0).repeat(7, 1)  # fractional cells against a finer picture
-    assert np.allclose(media.area_resize(p, 5, 7), big.reshape(5, 12, 7, 18, 3).mean((1, 3)))
+    assert np.allclose(media.area_resize(media.integral_image(p), 5, 7), big.reshape(5, 12, 7, 18, 3).mean((1, 3)))
+
+
+def cells(picture, height, width):
+    """The mean of each cell by hand: every pixel by the area that it shares with the cell."""
+    h, w, _ = picture.shape
+    part = lambda n, m: np.array([[max(0.0, min((i + 1) * n / m, j + 1) - max(i * n / m, j)) for j in range(n)] for i in range(m)]) * m / n
+    return np.einsum("ih,jw,hwb->ijb", part(h, height), part(w, width), picture.astype(float))
 
 
 def test_text_media(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, feature string")
-    for form in ("ppm", "bmp"):
-        got = {r.doc_id: r for r in media.text_media(docs, form=form).collect()}
+    for form, also in (("ppm", "bmp"), ("bmp", "ppm")):
+        got = {r.doc_id: r for r in media.text_media(docs, form=form, also=also).collect()}
         for i, t in enumerate(TEXTS):
             raw = (t or "").encode()
             full = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
             r = got[i]
             assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
             assert r.media_sha256 == hashlib.sha256(r.media).hexdigest() and media.decode(bytes(r.media)).tobytes() == full
+            picture = np.frombuffer(full, np.uint8).reshape(-1, 64, 3)
+            assert r[f"{also}_sha256"] == hashlib.sha256(media.FORMS[also](picture)).hexdigest()
+            grey = cells(picture, 8, 9).mean(2).round(6)
+            assert int(r.feature, 16) == int("".join("01"[int(a < b)] for line in grey for a, b in zip(line, line[1:])), 2)
+            small = np.load(io.BytesIO(r.tile_npy))
+            assert small.shape == (32, 32, 3) and (abs(small - cells(picture, 32, 32)) < 0.51).all()
+            assert r.tile_sha256 == hashlib.sha256(r.tile_npy).hexdigest() and abs(r.tile_mean - small.mean()) < 1e-9
     tiles = media.media_features(spark.createDataFrame([(1, b"junk"), (2, None), (3, media.encode_ppm(np.zeros((2, 2, 3), np.uint8)))], "id long, m binary"), "id", "m")
     got = {r.id: r for r in tiles.collect()}
     assert got[1].error and got[2].error is None and got[2].dhash is None and got[3].dhash == "0" * 16 and got[3].width == 2
