@@ -19,6 +19,14 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def strings(column: pa.Array) -> list[str | None]:
+    """The column's texts; bytes that are not UTF-8 come as U+FFFD."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
 def text_map(
     docs: DataFrame,
     text_col: str,
@@ -40,7 +48,7 @@ def text_map(
         fn = None
         for part in slices(batches):
             fn = fn or make()
-            values = fn(part.column("__text").to_pylist())
+            values = fn(strings(part.column("__text")))
             columns = [part.column(c).cast(out.field(c).type) for c in names]
             columns += [pa.array(values[f.name], out.field(f.name).type) for f in new.fields]
             yield pa.RecordBatch.from_arrays(columns, schema=out)

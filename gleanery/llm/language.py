@@ -7,7 +7,8 @@ right). A text is decoded to the codeword of least weighted logistic loss; the s
 share after a softmax over minus the losses, and a small gap to the second best flags ambiguity.
 
 The classifiers are fitted on a bounded sample: about ``per_language`` training documents a language,
-chosen by a hash of the id, whole texts. Tables hold ``2**bits`` n-gram buckets for each language.
+chosen by a hash of the id, whole texts, and on the ``most_languages`` languages with the most training documents.
+Tables hold ``2**bits`` n-gram buckets for each language.
 
 Defined cases: null text and text without a letter give ``und`` with score 0; null ids are not trained
 on; languages of one training document count; without any training document all is ``und``; one
@@ -103,17 +104,18 @@ class Model:
         return self.languages[best], float(min(1.0, 1 / share.sum())), bool(rest - losses[best] < gap)
 
 
-def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, bits: int = 15) -> Model:
+def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, bits: int = 15, most_languages: int = 256) -> Model:
     """Fit on about ``per_language`` documents a language among the rows where ``train`` holds."""
     rows = docs.where(train & docs[id_col].isNotNull() & docs[lang_col].isNotNull() & docs[text_col].isNotNull())
     rows = rows.select(docs[id_col].alias("__id"), docs[lang_col].alias("__lang"), docs[text_col].alias("__text"))
-    sizes = {r["__lang"]: r["n"] for r in rows.groupBy("__lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    found = rows.groupBy("__lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "__lang").limit(most_languages)
+    sizes = {r["__lang"]: r["n"] for r in found.collect()}
     languages = sorted(sizes)
     if not languages:
         return _nothing(bits)
     million = 1_000_000
     limit = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, int(million * per_language / sizes[k]) + 1)]), F.col("__lang"))
-    sample = cut_lineage(rows.where(F.pmod(F.xxhash64("__id"), F.lit(million)) < limit).select("__lang", "__text"))
+    sample = cut_lineage(rows.where(F.col("__lang").isin(languages)).where(F.pmod(F.xxhash64("__id"), F.lit(million)) < limit).select("__lang", "__text"))
     place = {k: i for i, k in enumerate(languages)}
 
     def count(batches):

@@ -11,8 +11,9 @@ task and class, and fill bins together. What is left then is under ``k`` pieces
 data, a bound that depends on the capacity only; those few go into bins by first fit, longest first.
 
 Tokenising: words are cut at single spaces, where the pattern of the byte-level vocabulary always cuts,
-and each distinct word is encoded once and remembered, by tiktoken's merge loop over the same file's
-vocabulary, which gives the tokenizers library's ids at a fifth of the time; a text in which a white
+and each distinct word is encoded once and remembered for all tasks of a worker, by tiktoken's merge loop over the
+same file's vocabulary. Every new word is held against the tokenizers library, joined with others to whole texts, and the
+library's ids are taken where the two differ; a text in which a white
 space stands next to another one with a space between words is encoded whole by the library.
 
 Defined cases: null text counts as empty and gives the one token 0; null ids are packed like others
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,10 @@ from gleanery.llm.common import long, slices
 from gleanery.session import cut_lineage
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
-#: Words remembered in a task, and the longest that are.
+#: Words remembered in a worker, and the longest that are.
 MEMORY, LONGEST = 900_000, 48
+#: Words that are joined to one text for the library to check.
+CHECKED = 512
 
 
 def merge_core(path: str):
@@ -94,7 +98,11 @@ class WordEncoder:
         out |= zip(whole, self.library([" " + w for w in whole]))
         if self.core is not None:
             encode = self.core.encode_ordinary
-            out |= {w: np.array(encode(" " + w), "<u4").tobytes() for w in good if out[w] is None}
+            left = [w for w in good if out[w] is None]
+            groups = [left[i : i + CHECKED] for i in range(0, len(left), CHECKED)]
+            for group, right in zip(groups, self.library(["".join(" " + w for w in g) for g in groups])):
+                ids = [np.array(encode(" " + w), "<u4").tobytes() for w in group]
+                out |= zip(group, ids if b"".join(ids) == right else self.library([" " + w for w in group]))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -124,6 +132,12 @@ class WordEncoder:
         return out
 
 
+@lru_cache(1)
+def word_encoder(path: str) -> WordEncoder:
+    """One for all tasks of a worker, so that what one has learnt serves the next."""
+    return WordEncoder(path)
+
+
 def class_sizes(capacity: int, min_cut: int) -> list[int]:
     """The lengths documents are cut into: capacity // k, not under ``min_cut``, longest first."""
     return sorted({capacity // k for k in range(1, capacity // min_cut + 1)}, reverse=True)
@@ -188,7 +202,7 @@ def pack(
     def run(batches):
         out = to_arrow_schema(schema)
         names = [f.name for f in schema]
-        encoder, task, end = WordEncoder(path), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
+        encoder, task, end = word_encoder(path), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         plans: dict[int, list[int]] = {}
         open_bins: dict[int, list[tuple]] = {}
         filled = 0

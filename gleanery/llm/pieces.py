@@ -5,7 +5,7 @@ leftmost of equals; popping one merges it and adds the pairs with its new neighb
 where no piece of the vocabulary holds the two characters that meet, since no merge can cross such a
 place; what lies between is encoded once and remembered, in a memory of bounded size. New words of every
 Arrow batch are checked against the sentencepiece library, and so are whole texts with runs of spaces;
-a difference fails the task.
+where the two differ the library's ids are taken, and ``from_library`` says so.
 
 Defined cases: null text counts as empty (begin and end ids only); repeated rows are encoded each; an
 empty table gives an empty result; other columns, whatever their names, are not read.
@@ -22,7 +22,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gleanery.llm.common import long, string, text_map
+from gleanery.llm.common import boolean, long, string, text_map
 from gleanery.llm.token_counts import DEFAULT_MODEL, load_pieces
 
 SPACE = "▁"
@@ -46,7 +46,8 @@ class Agenda:
         self.bos, self.eos = self.sp.bos_id(), self.sp.eos_id()
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        self.fresh: list[str] = []
+        self.fresh: list[tuple[str, bytes]] = []
+        self.settled: dict[str, bytes] = {}  # words whose ids are the library's because the agenda's differed
         self.once: list[tuple[str, bytes]] = []  # words too long to remember, until they are checked
 
     def merge(self, part: str) -> list[str]:
@@ -104,41 +105,49 @@ class Agenda:
         return out
 
     def __missing(self, word: str) -> bytes:
-        out = self.encode_word(SPACE + word)
+        out = self.settled.get(word) or self.encode_word(SPACE + word)
         if len(word) <= LONGEST:
             if len(self.words) >= MEMORY:
-                self.check()
                 self.words.clear()
             self.words[word] = out
-            self.fresh.append(word)
+            self.fresh.append((word, out))
         else:
             self.once.append((word, out))
         return out
 
-    def check(self) -> None:
-        """Hold the words that were new since the last call, and all longer ones since then, against the library."""
-        held = [(w, self.words[w]) for w in self.fresh] + self.once
+    def check(self) -> int:
+        """Hold the words that were new since the last call, and all longer ones since then, against the library; the
+        number that differed, which from now on have the library's ids."""
+        held, wrong = self.fresh + self.once, 0
         for (word, out), ids in zip(held, self.sp.encode([w for w, _ in held], num_threads=1) if held else []):
-            if np.array(ids, "<u4").tobytes() != out:
-                raise ValueError(f"the agenda and the library differ on {word[:80]!r}")
+            right = np.array(ids, "<u4").tobytes()
+            if right != out:
+                wrong += 1
+                self.settled[word] = right
+                self.words.pop(word, None)
         self.fresh.clear()
         self.once.clear()
+        return wrong
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers, without begin and end."""
+    def encode(self, text: str) -> tuple[bytes, bool]:
+        """Ids of a text as little-endian unsigned 32-bit integers, without begin and end; are some the library's?"""
         if not text:
-            return b""
+            return b"", False
         words = text.split(" ")
         if "" in words or SPACE in text:  # runs of spaces are pieces of their own
             out = b"".join(self.encode_word(w) for w in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE)))
-            if out != np.array(self.sp.encode(text), "<u4").tobytes():
-                raise ValueError(f"the agenda and the library differ on a text that begins with {text[:80]!r}")
-            return out
+            right = np.array(self.sp.encode(text), "<u4").tobytes()
+            return right, right != out
         get, out = self.words.get, []
         for w in words:
             ids = get(w)
             out.append(self.__missing(w) if ids is None else ids)
-        return b"".join(out)
+        return b"".join(out), bool(self.settled) and not self.settled.keys().isdisjoint(words)
+
+    def encode_all(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """As ``encode``, checked."""
+        out = [self.encode(t) for t in texts]
+        return [self.encode(t) for t in texts] if self.check() else out
 
 
 def encode_pieces(
@@ -149,9 +158,9 @@ def encode_pieces(
     with_ids: bool = True,
     with_text: bool = True,
 ) -> DataFrame:
-    """The id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, and if asked ``ids`` and the ``decoded`` text."""
+    """The id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, ``from_library``, and if asked ``ids`` and the ``decoded`` text."""
     path = model or public_tokenizers.path(DEFAULT_MODEL)
-    new = [long("n_tokens"), string("ids_sha256"), string("decoded_sha256")]
+    new = [long("n_tokens"), string("ids_sha256"), string("decoded_sha256"), boolean("from_library")]
     new += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids + [string("decoded")] * with_text
 
     def make():
@@ -160,18 +169,18 @@ def encode_pieces(
 
         def run(texts):
             out = {f.name: [] for f in new}
-            for t in texts:
-                raw = bos + agenda.encode(t or "") + eos
+            for body, settled in agenda.encode_all([t or "" for t in texts]):
+                raw = bos + body + eos
                 ids = np.frombuffer(raw, "<u4").tolist()
                 decoded = agenda.sp.decode(ids)
                 out["n_tokens"].append(len(ids))
                 out["ids_sha256"].append(hashlib.sha256(raw).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
+                out["from_library"].append(settled)
                 if with_ids:
                     out["ids"].append(ids)
                 if with_text:
                     out["decoded"].append(decoded)
-            agenda.check()
             return out
 
         return run

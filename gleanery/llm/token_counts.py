@@ -4,7 +4,9 @@ A text of up to ``chunk_chars`` is encoded at once. A longer one is cut into chu
 each is encoded with offsets, and two neighbours are spliced at a boundary that both have and that
 is proven stable: no piece of the vocabulary holds the two characters that meet there next to each
 other, so no merge ever crosses it and what lies left and right is encoded independently. Where the
-overlap has no such boundary it is widened, in the end to the whole left chunk, which then grows.
+overlap has no such boundary it is widened, in the end to the whole left chunk; if that has none either,
+the text is searched on to the next one, and the stretch up to there is encoded once, whole. So no part of a text is
+encoded more than a few times, however long it goes without a boundary.
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); repeated rows are counted each; an
 empty table gives an empty result; other columns, whatever their names, are not read.
@@ -58,6 +60,15 @@ class ChunkedCounter:
             at, before = at + len(c.encode()), d
         return None
 
+    def boundary(self, text: str, begin: int, end: int, block: int = 65_536) -> int | None:
+        """The first place after ``begin`` and before ``end`` that no merge can cross."""
+        for at in range(begin, end, block):
+            part = text[at : min(end, at + block + 1)].replace(" ", "▁")
+            for i, pair in enumerate(zip(part, part[1:]), at + 1):
+                if pair not in self.glued:
+                    return i
+        return None
+
     def count(self, text: str) -> int:
         if len(text) <= self.chunk:
             return len(self.sp.encode(text))
@@ -67,13 +78,16 @@ class ChunkedCounter:
             overlap, cut = self.overlap, None
             stop = min(len(text), end + self.chunk)
             while cut is None and overlap < end - begin:
-                shared = text[end - overlap : end]
-                right = self.starts(text[end - overlap : stop])
-                shift = len(text[begin : end - overlap].encode())
-                cut = self.stable(shared, left, shift, right)
+                if self.boundary(text, end - overlap, end) is not None:
+                    shared = text[end - overlap : end]
+                    right = self.starts(text[end - overlap : stop])
+                    shift = len(text[begin : end - overlap].encode())
+                    cut = self.stable(shared, left, shift, right)
                 if cut is None:
                     overlap *= 2
-            if cut is None:  # no stable boundary in the whole left chunk: it grows
+            if cut is None:  # no stable boundary in the whole left chunk: it grows to the next one, and past it by an overlap
+                found = self.boundary(text, end - 1, len(text))
+                stop = len(text) if found is None else min(len(text), found + self.overlap - 1)
                 seen = left[done] if done < len(left) else None
                 left = self.starts(text[begin:stop])
                 done = bisect_left(left, seen) if seen is not None else done

@@ -27,6 +27,30 @@ def test_grams_by_hand():
     assert language.grams("12 ,;", 15) is None and language.grams(" ", 15) is None
 
 
+@pytest.mark.parametrize("n", [2, 4, 9])
+def test_decoding_by_hand(n):
+    """Margins, codeword losses, the nearest codeword and the ambiguity mark, each by loops over the model's numbers."""
+    rng = np.random.default_rng(n)
+    model = language.Model([f"l{i}" for i in range(n)], rng.integers(0, 50, (n, 1 << 10)).astype(float), 10)
+    bits = model.code.shape[1]
+    model.scale, model.trust = rng.uniform(0.1, 2, bits), rng.uniform(0.1, 3, bits)
+    for text in ["the cat", "a", "Straße über " * 40, "x" * 20_000, "été à la mer, 123"]:
+        keys = language.grams(text, 10)
+        margins = [sum(float(model.weights[k, b]) for k in keys) / len(keys) for b in range(bits)]
+        losses = [sum(t * math.log1p(math.exp(-c * 3 * m / s)) for c, m, s, t in zip(code, margins, model.scale, model.trust)) / model.trust.mean() for code in model.code]
+        order = sorted(range(n), key=lambda i: losses[i])
+        got = model.predict(text, 0.5)
+        assert got[0] == f"l{order[0]}" and got[1] == pytest.approx(1 / sum(math.exp(losses[order[0]] - x) for x in losses), rel=1e-3)
+        assert got[2] == (losses[order[1]] - losses[order[0]] < 0.5)
+
+
+def test_languages_are_bounded(spark):
+    rows = [(i, "the cat sat" if i % 3 else "der hund", "en" if i % 3 else "de") for i in range(60)] + [(100 + i, "zz", f"odd{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, F.lit(True), most_languages=2)
+    assert model.languages == ["de", "en"] and model.predict("the cat", 0.5)[0] == "en"
+
+
 def test_language_held_out(spark):
     docs = table(spark, SF, "documents")
     odd = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "12 34 ..", "en", None, None), (None, "the and of", "en", None, None)], docs.schema)

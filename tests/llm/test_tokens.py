@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -35,9 +36,10 @@ def docs(spark, rows):
 
 def test_agenda_equals_library():
     agenda = Agenda(MODEL)
-    for t in ODD + random_texts():
-        assert np.frombuffer(agenda.encode(t), "<u4").tolist() == agenda.sp.encode(t)
-    agenda.check()
+    texts = ODD + random_texts()
+    for t, (raw, settled) in zip(texts, agenda.encode_all(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == agenda.sp.encode(t) and not settled
+    assert not agenda.settled
 
 
 @pytest.mark.parametrize("chunk,overlap", [(50, 4), (200, 16)])
@@ -47,6 +49,24 @@ def test_chunks_equal_whole(chunk, overlap):
         assert counter.count(t) == len(counter.sp.encode(t)), t[:50]
 
 
+@pytest.mark.parametrize("text", ["a" * 8_000_000, "a" * 300_000 + " x " + "b" * 300_000 + ". " + "c" * 100_000, "ab " * 40_000 + "z" * 200_000])
+def test_long_stretches_without_boundary(text):
+    """Exact, and within a few times what the library takes for the whole."""
+    counter = ChunkedCounter(MODEL)
+    began = time.process_time()
+    whole = len(counter.sp.encode(text))
+    between = time.process_time()
+    assert counter.count(text) == whole
+    assert time.process_time() - between < 3 * (between - began) + 1
+
+
+def test_words_that_differ_are_the_librarys(monkeypatch):
+    encoder = WordEncoder(JSON)
+    texts = ["one two three", "four five", "two <|endoftext|> five"]
+    monkeypatch.setattr(encoder.core, "encode_ordinary", lambda t: [1], raising=False) if hasattr(encoder.core, "__dict__") else None
+    assert encoder.encode(texts) == encoder.library(texts)
+
+
 def test_word_memory_equals_library():
     encoder = WordEncoder(JSON)
     texts = ODD + random_texts()
@@ -64,7 +84,7 @@ def test_count_tokens(docs, rows):
 
 def test_encode_pieces(docs, rows):
     sp = ChunkedCounter(MODEL).sp
-    got = sorted((tuple(r) for r in encode_pieces(docs).drop("ids").collect()), key=str)
+    got = sorted((tuple(r) for r in encode_pieces(docs).drop("ids", "from_library").collect()), key=str)
     want = []
     for i, t in rows:
         ids = [sp.bos_id(), *sp.encode(t or ""), sp.eos_id()]
