@@ -594,14 +594,14 @@ def semantic_check(spark, sf_dir):
 
 @query(
     """WITH p AS (SELECT lpad((o_custkey % 400)::VARCHAR, CASE WHEN o_custkey % 50 = 0 THEN 5 ELSE 6 END, '0') AS code, year(o_orderdate)::BIGINT AS year, 1000 AS t, o_orderkey % 7 AS n,
-      round((o_orderkey % 7) * 2.0, 3) + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS f FROM orders WHERE o_orderkey % 4 = 0)
+      round((o_orderkey % 7) * 2.0, 3) + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS f FROM orders)
     SELECT 'code_format' AS rule, code, year FROM p WHERE NOT regexp_matches(code, '^\\d{6}$') UNION ALL SELECT 'year_window', code, year FROM p WHERE year NOT BETWEEN 1993 AND 1996
     UNION ALL SELECT 'freq_formula', code, year FROM p WHERE abs(f - round(n * 2000 / t, 3)) > 0.0015
     UNION ALL SELECT 'duplicate_key', code, year FROM p GROUP BY code, year HAVING count(*) > 1""".replace("\\\\", "\\")
 )
 def panel_audit(spark, sf_dir):
     k = F.col("o_orderkey")
-    p = table(spark, sf_dir, "orders").where(k % 4 == 0).select(
+    p = table(spark, sf_dir, "orders").select(
         F.lpad((F.col("o_custkey") % 400).cast("string"), F.when(F.col("o_custkey") % 50 == 0, 5).otherwise(6), F.lit("0")).alias("code"),
         F.year("o_orderdate").cast("bigint").alias("year"),
         F.lit(1000).alias("t"),
@@ -893,7 +893,8 @@ def page_similar(spark, sf_dir):
 
 @query()
 def page_rescue(spark, sf_dir):
-    known = {"first": {"tag": "p", "text": "", "attrs": {}, "path": "html/body/main/p", "parent": {"tag": "main", "attrs": {}}, "siblings": ["p", "p"]}}
+    root = html.parse("<html><body><main><p></p><p></p><p></p></main></body></html>")
+    known = {"first": html.fingerprint(html.select(root, html.compile_any("main p"))[0])}
     return pages.rescue_fields(table(spark, sf_dir, "pages"), "html", {"title": "title", "first": ".no-such"}, known, ["page_id"])
 
 

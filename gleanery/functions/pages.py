@@ -23,31 +23,44 @@ def without_hidden(root: H.Node) -> H.Node:
     return root
 
 
-def main_node(root: H.Node, least: int = 300) -> H.Node:
+def running_text(root: H.Node) -> dict[int, int]:
+    """Of each element the letters of text that are not inside a link, by ``id``; one walk, sums from below."""
+    order, sizes = [], {}
+    stack = [(root, False)]
+    while stack:
+        node, linked = stack.pop()
+        linked = linked or node.tag == "a"
+        sizes[id(node)] = 0 if linked or node.tag in H.UNSEEN else sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        order.append(node)
+        if node.tag not in H.UNSEEN:
+            stack += [(c, linked) for c in node.elements()]
+    for node in reversed(order):
+        if node.parent is not None and id(node.parent) in sizes and node is not root:
+            sizes[id(node.parent)] += sizes[id(node)]
+    return sizes
+
+
+def main_node(root: H.Node, share: float = 0.6, least: int = 100) -> H.Node:
     """The container of the main content, or the body where none clearly is.
 
-    A semantic container is taken if it holds ``least`` characters, or 120 and half of the page; else the
-    densest block with ``least`` characters and a quarter of the page.
+    The search goes down from the body, each time to the child with the most running text (text outside of links),
+    as long as that child holds ``share`` of the whole page's and at least ``least`` letters. It ends at a semantic container
+    (main, article, role main, a class of ``MAIN_CLASSES``), and before a single paragraph.
     """
-    nodes = [n for n in root.walk() if n.tag]
-    body = next((n for n in nodes if n.tag == "body"), root)
-    total = len(body.text())
+    sizes = running_text(root)
+    now = next((n for n in root.walk() if n.tag == "body"), root)
+    whole = sizes[id(now)]
 
     def semantic(n):
         return n.tag in ("main", "article") or n.attrs.get("role") == "main" or any(c in n.attrs.get("class", "") for c in MAIN_CLASSES)
 
-    sized = [(len(n.text()), -i, n) for i, n in enumerate(nodes) if semantic(n)]
-    if sized:
-        size, _, node = max(sized, key=lambda x: x[:2])
-        if size >= least or (size >= 120 and 2 * size >= total):
-            return node
-    blocks = []
-    for i, n in enumerate(nodes):
-        if n.tag in ("p", "div", "article", "section", "td"):
-            size = len(n.text())
-            if size >= max(least, total / 4):
-                blocks.append((size + 100 * sum(d.tag == "p" for d in n.walk() if d is not n), -i, n))
-    return max(blocks, key=lambda x: x[:2])[2] if blocks else body
+    while not semantic(now):
+        below = [c for c in now.elements() if id(c) in sizes]
+        best = max(below, key=lambda c: (semantic(c), sizes[id(c)]) if sizes[id(c)] >= least and 2 * sizes[id(c)] >= whole else (False, sizes[id(c)]), default=None)
+        if best is None or best.tag == "p" or sizes[id(best)] < max(least, (0.5 if semantic(best) else share) * whole):
+            break
+        now = best
+    return now
 
 
 def extract_main(df: DataFrame, html_col: str, keep: list[str]) -> DataFrame:
@@ -100,10 +113,8 @@ def rescue_fields(df: DataFrame, html_col: str, fields: dict[str, str], known: d
             if not found.strip():
                 action = "none"
                 if f in known:
-                    scored = [(H.similarity(known[f], n), -i, n) for i, n in enumerate(root.walk()) if n.tag]
-                    for score, _, node in sorted(scored, key=lambda x: x[:2], reverse=True):
-                        if score < threshold:
-                            break
+                    scored = [(H.similarity(known[f], n, threshold), -i, n) for i, n in enumerate(root.walk()) if n.tag]
+                    for score, _, node in sorted((x for x in scored if x[0]), key=lambda x: x[:2], reverse=True):
                         if text := node.text():
                             found, action = text, "rescued"
                             break
@@ -125,8 +136,8 @@ def find_similar(df: DataFrame, html_col: str, selector: str, keep: list[str], t
             return []
         known, out = H.fingerprint(first), []
         for n in root.walk():
-            if n.tag and n is not first and (score := H.similarity(known, n)) >= threshold:
-                out.append((n.tag, n.text(), H.css_path(n), score, n.parent is first.parent, H.fingerprint(n)["path"].rpartition("/")[0]))
+            if n.tag and n is not first and (score := H.similarity(known, n, threshold)):
+                out.append((n.tag, n.text(), H.css_path(n), score, n.parent is first.parent, H.way(n).rpartition("/")[0]))
         return out
 
     return H._map(df, html_col, fn, schema, keep)
@@ -156,30 +167,27 @@ def attachment_targets(html: Column, base: Column) -> tuple[Column, Column]:
     return absolute(F.concat(viewed, direct)), absolute(images)
 
 
-def records_path(value, depth: int = 0) -> str:
+def records_path(value, deepest: int = 5) -> str:
     """Where a JSON document holds its records: the dotted path of a list of objects, ``.`` for the document itself.
 
-    Known keys come first (`PATH_KEYS`), then any other; a list that is empty counts only if no other is found.
+    All lists down to ``deepest`` keys are found level by level, under known keys (`PATH_KEYS`) or at the end of a path under any
+    other. One with objects goes before an empty one, then the path whose keys come first in ``PATH_KEYS``; other keys
+    come after those, in the document's order. Lists of anything else do not count.
     """
     if isinstance(value, list):
-        return "." if depth == 0 else ""
-    if not isinstance(value, dict) or depth > 4:
-        return ""
-    empty = ""
-    for key in [*(k for k in PATH_KEYS if k in value), *(k for k in value if k not in PATH_KEYS and isinstance(value[k], list))]:
-        v = value[key]
-        if isinstance(v, list):
-            if v and isinstance(v[0], dict):
-                return key
-            empty = empty or ("" if v else key)
-        elif below := records_path(v, depth + 1):
-            inner = v
-            for part in below.split("."):
-                inner = inner[part]
-            if inner:
-                return f"{key}.{below}"
-            empty = empty or f"{key}.{below}"
-    return empty
+        return "."
+    found, level = [], [((), (), value)] if isinstance(value, dict) else []
+    for _ in range(deepest):
+        below = []
+        for path, ranks, node in level:
+            for place, (key, v) in enumerate(node.items()):
+                rank = PATH_KEYS.index(key) if key in PATH_KEYS else len(PATH_KEYS) + place
+                if isinstance(v, list) and (not v or isinstance(v[0], dict)):
+                    found.append((not v, (*ranks, rank), (*path, key)))
+                elif isinstance(v, dict) and key in PATH_KEYS:
+                    below.append(((*path, key), (*ranks, rank), v))
+        level = below
+    return ".".join(min(found)[2]) if found else ""
 
 
 #: Keys that lead to records, in order.

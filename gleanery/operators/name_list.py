@@ -19,6 +19,7 @@ FIELDS = {
     "store_source": ["版本来源", "应用来源", "应用来源商店", "来源", "应用商店", "来源商店", "样品来源"],
     "issue_types": ["所涉问题", "涉及问题", "问题", "问题项"],
 }
+OTHER_HEADERS = ["应用类别", "类别"]
 TOTALS = r"^(合计|总计|小计|以上|以下|备注|说明|注[:：]|资料来源|数据来源)"
 SECTION = r"^[（(][一二三四五六七八九十]+[)）]"
 
@@ -40,18 +41,23 @@ def place(header: Column, field: str) -> Column:
 def assemble(grid: DataFrame) -> DataFrame:
     """One row a record: doc, record, first_row, n_rows, seq, the text fields, issue_types (array).
 
-    Rows up to the first header have no columns to go by and are left out. A row continues the record
+    Rows up to the first header have no columns to go by and are left out. A row gives the columns if it names the app
+    and two more fields, and is all header words but one or has no number; other rows of header words are skipped. A row continues the record
     before it if its cells all lie at or right of the issues, or if the segment counts its rows (two
     sequence numbers or more) and this one has none; texts of a continuation are joined on.
     """
-    words = F.array(*[F.lit(w) for ws in FIELDS.values() for w in ws])
+    words = F.array(*[F.lit(w) for ws in [*FIELDS.values(), OTHER_HEADERS] for w in ws])
     filled = F.filter("cells", lambda x: squeeze(x) != "")
     hits = F.size(F.filter(filled, lambda x: F.array_contains(words, squeeze(x))))
     by_doc = W.partitionBy("doc").orderBy("row_no").rowsBetween(W.unboundedPreceding, 0)
     rows = grid.withColumn("__filled", filled).where(F.size("__filled") > 0)
-    rows = rows.withColumn("__head", (hits >= F.greatest(F.lit(2), F.size("__filled") - 1)))
-    rows = rows.withColumn("__map", F.last(F.when(F.col("__head"), F.col("cells")), ignorenulls=True).over(by_doc))
-    rows = rows.withColumn("__segment", F.last(F.when(F.col("__head"), F.col("row_no")), ignorenulls=True).over(by_doc))
+    named = sum(((place(F.col("cells"), f) > 0).cast("int") for f in FIELDS), F.lit(0))
+    counted_row = F.exists("__filled", lambda x: tidy(x).rlike(r"^\d{1,4}$"))
+    rows = rows.withColumn("__words", hits >= F.greatest(F.lit(2), F.size("__filled") - 1))
+    rows = rows.withColumn("__columns", (place(F.col("cells"), "app_name") > 0) & (named >= 3) & (F.col("__words") | ~counted_row))
+    rows = rows.withColumn("__head", F.col("__words") | F.col("__columns"))
+    rows = rows.withColumn("__map", F.last(F.when(F.col("__columns"), F.col("cells")), ignorenulls=True).over(by_doc))
+    rows = rows.withColumn("__segment", F.last(F.when(F.col("__columns"), F.col("row_no")), ignorenulls=True).over(by_doc))
     first = tidy(F.element_at("__filled", 1))
     same = (F.size("__filled") > 1) & (F.size(F.array_distinct(F.transform("__filled", squeeze))) == 1)
     noise = same | ((F.size("__filled") == 1) & (first.rlike(SECTION) | (first.endswith("名单") & (F.length(first) <= 30))))
@@ -107,12 +113,16 @@ def merge_sources(records: DataFrame) -> DataFrame:
 
 
 def reading_order(segments: DataFrame, key: str, tolerance: float = 8.0) -> DataFrame:
-    """Lines of text segments (x, y, text): a line begins where y falls off by more than the tolerance; inside a line by x.
+    """Lines of text segments (x, y, text), from the top (largest y): a segment joins the line whose first one is at most the
+    tolerance above it, else it begins a line; inside a line by x. A page's places are gathered, as a page is.
 
     Neighbours in Chinese characters join without a space.
     """
-    w = W.partitionBy(key).orderBy(F.desc("y"), "x")
-    gap = F.coalesce((F.lag("y").over(w) - F.col("y")) > tolerance, F.lit(True))
-    lines = segments.withColumn("line", F.sum(gap.cast("int")).over(w)).groupBy(key, "line").agg(F.array_sort(F.collect_list(F.struct("x", "text"))).alias("s"))
+    fits = lambda starts, y: (F.size(starts) > 0) & (F.element_at(starts, -1) - y <= tolerance)
+    ys = F.reverse(F.array_sort(F.collect_set(F.col("y").cast("double"))))
+    begun = F.aggregate("__ys", F.array().cast("array<double>"), lambda starts, y: F.when(fits(starts, y), starts).otherwise(F.concat(starts, F.array(y))))
+    pages = segments.groupBy(key).agg(ys.alias("__ys"), F.collect_list(F.struct(F.col("y").cast("double").alias("y"), "x", "text")).alias("__s")).select(key, "__s", begun.alias("__starts"))
+    placed = pages.select(key, "__starts", F.explode("__s").alias("s")).select(key, F.size(F.filter("__starts", lambda a: a >= F.col("s.y"))).cast("bigint").alias("line"), "s.x", "s.text")
+    lines = placed.groupBy(key, "line").agg(F.array_sort(F.collect_list(F.struct("x", "text"))).alias("s"))
     spaced = F.array_join(F.transform("s", lambda x: x["text"]), " ")
     return lines.select(key, "line", F.regexp_replace(spaced, r"(?<=\p{IsHan}) (?=\p{IsHan})", "").alias("text"))

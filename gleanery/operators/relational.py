@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanery.functions import columns as C
+from gleanery.operators.health import numbered
 from gleanery.session import cut_lineage, salted_join
 
 
@@ -55,9 +58,14 @@ def merge_consecutive(df: DataFrame, group: list[str], order: list, same: list[s
 
 
 def page_repeats(df: DataFrame, group: list[str], page: str, signature: Column) -> DataFrame:
-    """Pages whose signature equals that of the page before."""
-    w = W.partitionBy(*group).orderBy(page)
-    return df.withColumn("repeated", F.coalesce(signature == F.lag(signature).over(w), F.lit(False)))
+    """Pages whose signature equals that of the page before.
+
+    Rows are numbered by ranges of (group, page) and meet the row before by that number, so a large group is many tasks' work.
+    """
+    rows = numbered(df.withColumn("__sig", signature), [*map(F.col, group), F.col(page)], "__at")
+    before = rows.select((F.col("__at") + 1).alias("__at"), F.col("__sig").alias("__before"), F.struct(*group).alias("__group"))
+    same = F.coalesce((F.col("__sig") == F.col("__before")) & F.struct(*group).eqNullSafe(F.col("__group")), F.lit(False))
+    return rows.join(before, "__at", "left").withColumn("repeated", same).drop("__at", "__sig", "__before", "__group")
 
 
 def enrich(rows: DataFrame, details: DataFrame, on: str, fields: list[str]) -> DataFrame:
@@ -102,10 +110,12 @@ def snapshot_diff(current: DataFrame, old: DataFrame, key: str, least_share: flo
 
 def in_window(rows: DataFrame, universe: DataFrame, code: str, year: str, first: str, last: str) -> DataFrame:
     """Rows with ``inside``: does some window of the same code hold the year? An equi-join with a range test."""
+    keys = rows.select(code, year).distinct()
     u = universe.select(F.col(code).alias("__c"), F.col(first).alias("__a"), F.col(last).alias("__b"))
-    inside = rows.join(u, (F.col(code) == F.col("__c")) & F.col(year).between(F.col("__a"), F.col("__b")), "left_semi").withColumn("inside", F.lit(True))
-    outside = rows.join(u, (F.col(code) == F.col("__c")) & F.col(year).between(F.col("__a"), F.col("__b")), "left_anti").withColumn("inside", F.lit(False))
-    return inside.unionByName(outside)
+    met = keys.join(u, (F.col(code) == F.col("__c")) & F.col(year).between(F.col("__a"), F.col("__b")), "left_semi")
+    found = met.select(F.col(code).alias("__code"), F.col(year).alias("__year"), F.lit(True).alias("inside"))
+    out = rows.join(found, (F.col(code) == F.col("__code")) & (F.col(year) == F.col("__year")), "left")
+    return out.select(*rows.columns, F.coalesce("inside", F.lit(False)).alias("inside"))
 
 
 def expand_universe(universe: DataFrame, code: str, first: str, last: str, low: int, high: int) -> DataFrame:
@@ -159,28 +169,57 @@ def correlate_values(params: DataFrame, fields: DataFrame) -> DataFrame:
     return found.groupBy("name").agg(F.min(F.struct("how", "step", "field")).alias("b")).select("name", "b.step", "b.field", F.when(F.col("b.how") == 0, "value").otherwise("name").alias("how"))
 
 
-def similar_sets(sets: DataFrame, key: str, tokens: str, share: float = 0.9) -> DataFrame:
-    """Pairs (a < b) whose token sets overlap in at least ``share`` of the larger one, by prefix filtering.
+def similar_sets(sets: DataFrame, key: str, tokens: str, share: float = 0.9, few: int = 2) -> DataFrame:
+    """Pairs (a < b) whose token sets overlap in at least ``share`` of the larger one. Exact: candidates are verified whole.
 
-    Tokens are ordered from rare to common; two sets that overlap so far have a token in common among the
-    first ``n - ceil(share * n) + 1`` of each. Equal sets are one class, named by their least key and
-    joined back by the caller if wanted, so copies give no pairs. Exact: candidates are verified whole.
+    Equal sets are one class, named by their least key and joined back by the caller if wanted, so copies give no pairs.
+    Let the larger of two sets have n tokens, of which ``need = ceil(share * n)`` have to be common. Where
+    ``n - need`` is at most ``few``, the two meet at each common subset of ``need`` tokens: each set gives what is left when so many tokens are
+    taken out, so only sets that are alike meet, however common their tokens are. Larger sets meet by prefix filtering: tokens are
+    ordered from rare to common, and two sets that overlap so far have a token in common among the
+    first ``n - need + 1`` of each.
     """
-    classes = sets.groupBy(F.array_sort(F.array_distinct(tokens)).alias("t")).agg(F.min(key).alias("k")).where(F.size("t") > 0)
-    classes = cut_lineage(classes)
-    rows = classes.select("k", F.explode("t").alias("w"))
-    df = rows.groupBy("w").agg(F.count("*").alias("n"))
-    ranked = salted_join(rows, df, "w").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("r"))
+    classes = cut_lineage(sets.groupBy(F.array_sort(F.array_distinct(tokens)).alias("t")).agg(F.min(key).alias("k")).where(F.size("t") > 0))
+    need = lambda n: math.ceil(share * n - 1e-9)
+    longest = 1
+    while longest + 1 - need(longest + 1) <= few and longest < 1000:
+        longest += 1
+    plans = set()
+    for n in range(1, longest + 1):
+        plans.add((n, need(n), True))
+        for m in range(n, longest + 1):
+            if need(m) <= n:
+                plans.add((n, need(m), False))
+    plan = F.broadcast(classes.sparkSession.createDataFrame(sorted(plans), "__n int, need int, larger boolean"))  # three rows a size up to ``longest``
+    parts = classes.join(plan, F.size("t") == F.col("__n")).select("k", "need", "larger", F.explode(_without("t", F.col("__n") - F.col("need"), few)).alias("s"))
+    parts = parts.select("k", "need", "larger", F.xxhash64("s").alias("s"))
+    small, large = parts.where("not larger").select("need", "s", F.col("k").alias("k2")), parts.where("larger").drop("larger")
+    met = large.join(small, ["need", "s"]).where("k <> k2").select("k", "k2")
+
+    rows = classes.where(F.size("t") >= need(longest + 1)).select("k", F.explode("t").alias("w"))
+    ranked = salted_join(rows, rows.groupBy("w").agg(F.count("*").alias("n")), "w").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("r"))
     n = F.size("r")
-    head = ranked.select("k", n.alias("size"), F.explode(F.slice("r", 1, n - F.ceil(n * share).cast("int") + 1)).alias("x")).select("k", "size", F.col("x.w").alias("w"))
+    kept = F.ceil(n * F.lit(share) - 1e-9).cast("int")
+    head = ranked.select("k", n.alias("size"), F.explode(F.slice("r", 1, n - kept + 1)).alias("x")).select("k", "size", F.col("x.w").alias("w"))
     other = head.select(F.col("k").alias("k2"), F.col("size").alias("size2"), "w")
-    close = (F.col("k") < F.col("k2")) & (F.least("size", "size2") >= share * F.greatest("size", "size2"))
-    pairs = head.join(other, "w").where(close).select("k", "k2").distinct()
+    close = (F.col("k") < F.col("k2")) & (F.least("size", "size2") >= share * F.greatest("size", "size2")) & (F.greatest("size", "size2") > longest)
+    pairs = met.unionByName(head.join(other, "w").where(close).select("k", "k2"))
+    pairs = pairs.select(F.least("k", "k2").alias("k"), F.greatest("k", "k2").alias("k2")).distinct()
     full = pairs.join(classes, "k").join(classes.select(F.col("k").alias("k2"), F.col("t").alias("t2")), "k2")
     common = F.size(F.array_intersect("t", "t2"))
     return full.where(common >= share * F.greatest(F.size("t"), F.size("t2"))).select(F.col("k").alias("a"), F.col("k2").alias("b"), common.cast("bigint").alias("overlap"))
 
 
+def _without(tokens: str, out: Column, most: int) -> Column:
+    """What is left of an array when ``out`` elements (at most ``most``, up to 2) are taken away, each way once."""
+    if most > 2:
+        raise ValueError("up to two elements can be taken away")
+    places = F.sequence(F.lit(0), F.size(tokens) - 1)
+    one = F.transform(places, lambda i: F.filter(tokens, lambda x, p: p != i))
+    pairs = F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda j: j > i), lambda j: F.filter(tokens, lambda x, p: (p != i) & (p != j)))))
+    return F.when(out == 0, F.array(F.col(tokens))).when(out == 1, one).otherwise(pairs)
+
+
 def verbatim(clauses: DataFrame, documents: DataFrame, key: str, clause: str, text: str) -> DataFrame:
     """Is each clause a substring of its document? An equi-join on the key, then a test."""
     d = documents.select(key, F.col(text).alias("__text"))
