@@ -67,21 +67,39 @@ def guessed_records_path(docs: DataFrame, column: str) -> str:
     return pages.records_path(jsonlib.loads(row[0])) if row else ""
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """All columns as text. Without an encoding the first bytes of one file decide between UTF-8 and GB18030.
+#: Files above this size are taken for UTF-8 (CSV) or JSON lines and never read whole.
+WHOLE = 1 << 30
 
-    Spark's reader takes UTF-8 and its kin; files in other encodings are decoded whole in Arrow batches and
-    parsed line by line, so their quoted cells hold no line breaks.
+
+def fitting(body: bytes) -> str:
+    """UTF-8 if all of the bytes are, else GB18030."""
+    try:
+        body.decode("utf-8")
+        return "UTF-8"
+    except UnicodeDecodeError:
+        return "GB18030"
+
+
+def read_csv(spark: SparkSession, path: str | list[str], encoding: str | None = None, multi_line: bool = True) -> DataFrame:
+    """All columns as text. Without an encoding each file of up to ``WHOLE`` bytes is UTF-8 if all of it is, else GB18030.
+
+    ``multi_line=False`` lets Spark split large files; cells then hold no line breaks. Spark's reader takes UTF-8 and its kin; files in
+    other encodings are decoded whole in Arrow batches and parsed line by line, so their quoted cells hold no line breaks.
     """
     if encoding is None:
-        row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65_536).alias("c")).first()
-        try:
-            codecs.getincrementaldecoder("utf-8")().decode(bytes(row["c"]) if row else b"")
-            encoding = "UTF-8"
-        except UnicodeDecodeError:
-            encoding = "GB18030"
+        files = spark.read.format("binaryFile").load(path)
+        small = F.pandas_udf(lambda b: b.map(lambda x: fitting(bytes(x))), "string")("content")
+        kinds = files.where(F.col("length") <= WHOLE).select("path", small.alias("kind")).unionByName(files.where(F.col("length") > WHOLE).select("path", F.lit("UTF-8").alias("kind")))
+        by_kind: dict[str, list[str]] = {}
+        for r in kinds.collect():  # a row a file
+            by_kind.setdefault(r["kind"], []).append(r["path"])
+        parts = [read_csv(spark, sorted(p), k, multi_line) for k, p in sorted(by_kind.items(), reverse=True)]
+        out = parts[0] if parts else read_csv(spark, path, "UTF-8", multi_line)
+        for p in parts[1:]:
+            out = out.unionByName(p, allowMissingColumns=True)
+        return out
     if encoding.lower() in ("utf-8", "utf-16", "utf-16be", "utf-16le", "utf-32", "us-ascii", "iso-8859-1"):
-        return spark.read.csv(path, header=True, encoding=encoding, multiLine=True, escape='"')
+        return spark.read.csv(path, header=True, encoding=encoding, multiLine=multi_line, escape='"')
 
     def decode(body: pd.Series) -> pd.Series:
         return body.map(lambda b: bytes(b).decode(encoding, "replace"))
@@ -99,13 +117,63 @@ def _ddl(schema: T.StructType) -> str:
     return ", ".join(f"`{f.name}` string" for f in schema.fields)
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """JSON, JSON lines or CSV by the file's name."""
-    if path.endswith((".jsonl", ".ndjson")):
-        return spark.read.json(path)
-    if path.endswith(".json"):
-        return spark.read.json(path, multiLine=True)
-    return read_csv(spark, path)
+#: Keys that wrap a file's records, in order.
+WRAPPERS = ["data", "list", "rows", "items"]
+
+
+def file_records(body: bytes, data_key: str = "") -> list[str] | None:
+    """A JSON or JSON lines file's records as JSON texts; None if the file is no JSON (so CSV).
+
+    An object is unwrapped by ``data_key`` (dotted), else by the first of ``WRAPPERS`` that holds a list, else by the only
+    path that leads to a list of objects; of several none is chosen, and the object is the record.
+    """
+    text = decode_bytes(body).lstrip("\ufeff")
+    if text.lstrip()[:1] not in ("{", "["):
+        return None
+    try:
+        value = jsonlib.loads(text)
+    except ValueError:
+        return [jsonlib.dumps(jsonlib.loads(x), ensure_ascii=False) for x in text.split("\n") if x.strip()]
+    if isinstance(value, dict):
+        if data_key:
+            for part in data_key.split("."):
+                value = value[part]
+        else:
+            wrapped = next((value[k] for k in WRAPPERS if isinstance(value.get(k), list)), None)
+            found = [v for v in value.values() if isinstance(v, list) and v and isinstance(v[0], dict)]
+            value = wrapped if wrapped is not None else found[0] if len(found) == 1 else value
+    return [jsonlib.dumps(x, ensure_ascii=False) for x in (value if isinstance(value, list) else [value])]
+
+
+def read_any(spark: SparkSession, path: str, data_key: str = "") -> DataFrame:
+    """JSON, JSON lines or CSV, told by what each file holds and not by its name; larger files than ``WHOLE`` by their name.
+
+    Records of JSON files get one schema over all files; CSV columns are text. With both, columns are joined by name as text.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    records = F.pandas_udf(lambda b: b.map(lambda x: file_records(bytes(x), data_key)), "array<string>")
+    read = files.where(F.col("length") <= WHOLE).select("path", records("content").alias("r"))
+    kinds = read.select("path", F.col("r").isNotNull().alias("json")).collect()  # a row a file
+    tables = [r["path"] for r in kinds if not r["json"]]
+    large = [r["path"] for r in files.where(F.col("length") > WHOLE).select("path").collect()]
+    parts = []
+    if any(r["json"] for r in kinds):
+        rows = read.where("r is not null").select(F.explode("r").alias("r")).select(F.try_parse_json("r").alias("v")).where("v is not null")
+        kind = rows.agg(F.schema_of_variant_agg("v").alias("s")).first()["s"]
+        if kind.startswith("OBJECT<"):
+            parts.append(rows.select(F.try_variant_get("v", "$", kind.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")).alias("r")).select("r.*"))
+        else:
+            parts.append(rows.select(F.to_json("v").alias("value")))
+    if lines := [p for p in large if p.endswith((".json", ".jsonl", ".ndjson"))]:
+        parts.append(spark.read.json(lines))
+    if tables or len(lines) < len(large):
+        parts.append(read_csv(spark, tables + [p for p in large if p not in lines]))
+    if len(parts) > 1:
+        parts = [p.select(*[F.col(f"`{c}`").cast("string").alias(c) if not isinstance(p.schema[c].dataType, (T.StructType, T.ArrayType, T.MapType)) else F.to_json(f"`{c}`").alias(c) for c in p.columns]) for p in parts]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
 
 
 def sitemap_urls(xml: Column) -> Column:
