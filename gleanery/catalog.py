@@ -100,13 +100,32 @@ def url_dup_after_normalize(spark, sf_dir):
     return url_normalize(spark, sf_dir).groupBy("normal").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page")).where("n > 1")
 
 
-@query()
+def _text(x: str) -> str:
+    """SQL of an element's text: tags to spaces, entities undone, white space collapsed."""
+    bare = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+        bare = f"replace({bare}, '{entity}', '{sign}')"
+    return f"trim(regexp_replace({bare}, '\\s+', ' ', 'g'))"
+
+
+def _between(begin: str, end: str, x: str = "html") -> str:
+    return f"regexp_extract({x}, '(?s){begin}(.*?){end}', 1)"
+
+
+MENU = f"""SELECT page_id, unnest(list_transform(regexp_extract_all(html, '<li><a href="([^"]*)">[^<]*</a>', 1), lambda x: {_text("x")})) AS href,
+    unnest(list_transform(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1), lambda x: {_text("x")})) AS text FROM pages"""
+
+
+@query(
+    f"""SELECT page_id, {_text(_between("<title>", "</title>"))} AS title, {_text(_between("<h1>", "</h1>"))} AS heading, {_text(_between('<li><a href="', '"'))} AS first_link,
+    array_to_string(list_transform(regexp_extract_all(html, '(?s)<b>(.*?)<br>', 1), lambda x: {_text("x")}), chr(10)) AS bold FROM pages"""
+)
 def css_fields(spark, sf_dir):
     fields = {"title": "title", "heading": "article h1", "first_link": "nav li:first-child a::attr(href)", "bold": "b"}
     return html.extract_fields(table(spark, sf_dir, "pages"), "html", fields, ["page_id"])
 
 
-@query()
+@query(MENU)
 def css_rows(spark, sf_dir):
     return html.extract_rows(table(spark, sf_dir, "pages"), "html", "nav li", {"text": "a", "href": "a::attr(href)"}, ["page_id"])
 
@@ -126,14 +145,23 @@ def page_visible_text(spark, sf_dir):
     return html.extract_visible(table(spark, sf_dir, "pages"), "html", ["page_id"])
 
 
-@query()
+@query(f"SELECT page_id, text, href AS link FROM ({MENU}) WHERE href <> ''")
 def page_repeated_rows(spark, sf_dir):
-    return html.repeated_rows(table(spark, sf_dir, "pages"), "html", ["page_id"])
+    """The pages' lists bear no class, and rows are known by theirs; so they get one."""
+    marked = table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("<li>"), F.lit('<li class="entry">')).alias("html"))
+    return html.repeated_rows(marked, "html", ["page_id"])
 
 
-@query()
+@query(
+    """SELECT CASE WHEN page_id % 20 = 1 THEN 'blocked' WHEN page_id % 20 = 2 THEN 'rate_limited' WHEN page_id % 20 = 3 THEN 'missing' WHEN page_id % 20 = 4 THEN 'server_error' WHEN page_id % 20 = 5 AND length(html) + 28 < 20000 THEN 'challenge'
+    WHEN page_id % 20 = 6 THEN 'empty_shell' ELSE 'ok' END AS kind, count(*) AS n FROM pages GROUP BY 1"""
+)
 def response_kinds(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", rows.response_kind(F.lit(200), F.col("html")).alias("kind"))
+    """Every twentieth page each with a status, a challenge's words, or next to no text."""
+    kind = F.col("page_id") % 20
+    status = F.when(kind == 1, 403).when(kind == 2, 429).when(kind == 3, 410).when(kind == 4, 502).otherwise(200)
+    body = F.when(kind == 5, F.concat("html", F.lit("<p>Access denied for now.</p>"))).when(kind == 6, F.lit("<html><script>go()</script><p>wait</p></html>")).otherwise(F.col("html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", rows.response_kind(status, body).alias("kind"))
     return pages.groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -146,7 +174,11 @@ def route_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(rule.alias("parser")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"""SELECT page_id, url, title, body FROM (SELECT page_id, url, {_text(_between("<h1>", "</h1>"))} AS title,
+      array_to_string(list_filter(list_transform(string_split({_between("<article>", "</article>")}, '<p>')[2:], lambda x: {_text("x")}), lambda x: x <> ''), chr(10)) AS body FROM pages WHERE contains(url, 'example'))
+    WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY title ORDER BY page_id) = 1"""
+)
 def article_spec(spark, sf_dir):
     task = {
         "source": {"table": "pages", "kind": "html_fields", "fields": {"title": "h1", "body": "article p"}},
@@ -688,13 +720,25 @@ def chunk_assign(spark, sf_dir):
     return health.chunks(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 500)
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE WHEN event_type = 'error' THEN 'blocked' WHEN value > 50 THEN 'slow' ELSE 'ok' END AS kind FROM events),
+    s(user_id, i, step, ok, slow) AS (SELECT user_id, 0::BIGINT, 1.0::DOUBLE, 0, 0 FROM e WHERE i = 1
+      UNION ALL SELECT s.user_id, e.i, CASE WHEN kind = 'blocked' THEN least(step * 2, 8) WHEN kind = 'slow' THEN CASE WHEN slow + 1 >= 3 THEN least(step * 1.5, 8) ELSE step END WHEN ok + 1 >= 3 THEN greatest(step / 2, 1) ELSE step END,
+        CASE WHEN kind = 'ok' AND ok + 1 < 3 THEN ok + 1 ELSE 0 END, CASE WHEN kind = 'slow' AND slow + 1 < 3 THEN slow + 1 ELSE 0 END FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
+    SELECT user_id, max(i) AS n, arg_max(step, i) AS interval FROM s GROUP BY user_id"""
+)
 def adaptive_interval(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("kind", F.when(F.col("event_type") == "error", "blocked").when(F.col("value") > 50, "slow").otherwise("ok"))
     return health.adaptive_interval(e, "user_id", "event_id", "kind")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(date_trunc('second', ts))::DOUBLE AS s, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('second', ts), event_id) AS i FROM events),
+    a(user_id, i, event_id, s, admitted, held) AS (SELECT user_id, 0::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::BOOLEAN, []::DOUBLE[] FROM e WHERE i = 1
+      UNION ALL SELECT user_id, i, event_id, s, len(live) < 5, CASE WHEN len(live) < 5 THEN list_append(live, s) ELSE live END
+      FROM (SELECT a.user_id, e.i, e.event_id, e.s, list_filter(a.held, lambda x: x > e.s - 86400) AS live FROM a JOIN e ON e.user_id = a.user_id AND e.i = a.i + 1))
+    SELECT event_id, user_id, s, admitted FROM a WHERE i > 0"""
+)
 def budget_admission(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("s"))
     return stateful.admission(e, "user_id", ["s", "event_id"], "s", 5, 86_400)
@@ -868,15 +912,54 @@ def page_text_search(spark, sf_dir):
     return html.find_by_text(table(spark, sf_dir, "pages"), "html", "Licensed under", ["page_id"])
 
 
-@query()
+@query("""SELECT unnest(regexp_extract_all(html, 'class="([^"]+)"', 1)) AS token, count(*) AS n FROM pages GROUP BY 1 ORDER BY n DESC, token LIMIT 20""")
 def class_topk(spark, sf_dir):
     return quality.token_topk(html.class_frequency(table(spark, sf_dir, "pages"), "html", ["page_id"]), F.array("class_name"), 20)
 
 
+@query(
+    """SELECT region, row_no, col_name, value FROM (SELECT r_name AS region, (row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) - 1)::INTEGER AS row_no, n_name, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey),
+    (VALUES ('name', 0), ('key plain', 1), ('key twice', 2)) AS c(col_name, i), (SELECT 1) AS one, LATERAL (SELECT CASE i WHEN 0 THEN n_name WHEN 1 THEN n_nationkey::VARCHAR ELSE (2 * n_nationkey)::VARCHAR END AS value)"""
+)
+def html_tables(spark, sf_dir):
+    """A page a region with a table of its nations under two rows of heads."""
+    line = F.struct("n_nationkey", F.concat(F.lit("<tr><td>"), "n_name", F.lit("</td><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td>"), (2 * F.col("n_nationkey")).cast("string"), F.lit("</td></tr>")).alias("h"))
+    nations = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    heads = F.lit('<table><tr><th rowspan="2">name</th><th colspan="2">key</th></tr><tr><th>plain</th><th>twice</th></tr>')
+    page = F.concat(heads, F.array_join(F.transform("lines", lambda x: x["h"]), ""), F.lit("</table>"))
+    pages_ = nations.join(table(spark, sf_dir, "region"), "r_regionkey").select(F.col("r_name").alias("region"), page.alias("html"))
+    return html.extract_tables(pages_, "html", ["region"]).select("region", "row_no", "col_name", "value")
+
+
+WHEN = "TIMESTAMP '2026-08-08 12:30:00'"
+
+
+@query(
+    f"""WITH o AS (SELECT o_orderkey AS k, (o_orderkey // 8 % 50)::INTEGER AS n, o_orderdate AS d FROM orders)
+    SELECT k, CASE k % 8 WHEN 0 THEN strftime({WHEN} - to_days(n), '%Y-%m-%d %H:%M') WHEN 1 THEN strftime({WHEN} - to_days(7 * n), '%Y-%m-%d %H:%M') WHEN 2 THEN strftime({WHEN} - to_days(30 * n), '%Y-%m-%d %H:%M')
+      WHEN 3 THEN strftime({WHEN} - to_days(365 * n), '%Y-%m-%d %H:%M') WHEN 4 THEN strftime(d, '%Y-%m-%d') WHEN 5 THEN CASE WHEN strftime(d, '2026-%m-%d') <= '2026-08-09' THEN strftime(d, '2026-%m-%d') ELSE strftime(d, '2025-%m-%d') END
+      WHEN 6 THEN '2026-08-07 ' || lpad((n % 24)::VARCHAR, 2, '0') || ':05' ELSE '' END AS posted FROM o WHERE NOT (k % 8 = 5 AND strftime(d, '%m-%d') = '02-29')"""
+)
+def posting_times(spark, sf_dir):
+    k = F.col("o_orderkey")
+    n = F.floor(k / 8) % 50
+    said = (
+        F.when(k % 8 == 0, F.concat(n, F.lit("天前"))).when(k % 8 == 1, F.concat(F.lit("编辑于 "), n, F.lit("周前"))).when(k % 8 == 2, F.concat(n, F.lit("个月前 浙江"))).when(k % 8 == 3, F.concat(n, F.lit("年前")))
+        .when(k % 8 == 4, F.concat(F.year("o_orderdate"), F.lit("年"), F.month("o_orderdate"), F.lit("月"), F.dayofmonth("o_orderdate"), F.lit("日")))
+        .when(k % 8 == 5, F.date_format("o_orderdate", "MM-dd")).when(k % 8 == 6, F.concat(F.lit("昨天 "), F.lpad((n % 24).cast("string"), 2, "0"), F.lit(":05"))).otherwise(F.lit("无"))
+    )
+    o = table(spark, sf_dir, "orders").where(~((k % 8 == 5) & (F.date_format("o_orderdate", "MM-dd") == "02-29")))
+    return o.select(k.alias("k"), C.relative_date(said, F.lit("2026-08-08 12:30:00").cast("timestamp")).alias("posted"))
+
+
 # main content, sites, grids
 
 
-@query()
+@query(
+    f"""SELECT page_id, CASE WHEN la >= 100 AND la >= lo THEN a WHEN lo >= 100 AND lo >= 0.6 * (la + lo) THEN o ELSE trim(o || ' ' || a) END AS main_text
+    FROM (SELECT page_id, a, o, length(replace(a, ' ', '')) AS la, length(replace(o, ' ', '')) AS lo
+      FROM (SELECT page_id, {_text(_between("<article>", "</article>"))} AS a, {_text(_between('<div class="ad">', "</div>"))} AS o FROM pages))"""
+)
 def page_main(spark, sf_dir):
     return pages.extract_main(table(spark, sf_dir, "pages"), "html", ["page_id"]).select("page_id", "main_text")
 
@@ -898,7 +981,10 @@ def page_rescue(spark, sf_dir):
     return pages.rescue_fields(table(spark, sf_dir, "pages"), "html", {"title": "title", "first": ".no-such"}, known, ["page_id"])
 
 
-@query()
+@query(
+    f"""SELECT page_id, 'org' AS _site, text, href FROM ({MENU}) WHERE page_id IN (SELECT page_id FROM pages WHERE regexp_matches(url, '^https?://[^/?#]+\\.org([/?#]|$)'))
+    UNION ALL SELECT page_id, 'other', {_text(_between("<h1>", "</h1>"))} AS text, '' FROM pages WHERE NOT regexp_matches(url, '^https?://[^/?#]+\\.org([/?#]|$)') AND text <> ''"""
+)
 def rows_by_site(spark, sf_dir):
     sites = {"org": {"host": r"\.org$", "row": "nav li", "fields": {"text": "a", "href": "a::attr(href)"}}, "other": {"host": ".", "row": "body", "fields": {"text": "h1"}}}
     return pages.extract_by_site(table(spark, sf_dir, "pages"), "html", C.host(F.col("url")), sites, ["text", "href"], ["page_id"])

@@ -14,8 +14,6 @@ from pyspark.sql import types as T
 
 from gleanery.functions import columns as C
 
-#: Characters of a field that a regular expression sees.
-REGEX_REACH = 65_536
 #: Hints in class names and texts of pages that block readers.
 BLOCK_WORDS = ["captcha", "access denied", "are you a robot", "unusual traffic", "verify you are human", "请输入验证码", "访问过于频繁", "安全验证"]
 
@@ -167,7 +165,7 @@ def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 def response_kind(status: Column, body: Column) -> Column:
     """What a captured response is: blocked, rate_limited, missing, server_error, challenge, empty_shell, ok."""
-    low = F.lower(F.substring(C.text(body), 1, REGEX_REACH))
+    low = F.lower(C.text(body))
     challenge = F.lit(False)
     for w in BLOCK_WORDS:
         challenge = challenge | low.contains(w)
