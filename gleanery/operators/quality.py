@@ -171,6 +171,20 @@ def column_assertions(df: DataFrame, rules: list[str]) -> DataFrame:
     return df.agg(F.array(*items).alias("a")).select(F.inline("a"))
 
 
+def violating_rows(df: DataFrame, rules: list[str], key: str, most: int = 3) -> DataFrame:
+    """(assertion, key, value): the first rows by key that break each rule of ``column_assertions``, up to ``most`` a rule (a report)."""
+    parts = []
+    for r in rules:
+        m = re.match(r"^(.+?)([!+])(.+)$", r)
+        value = C.text(F.col(m[1]))
+        bad = value.contains(m[3]) if m[2] == "!" else ~value.contains(m[3])
+        parts.append(df.where(bad).select(F.lit(r).alias("assertion"), F.col(key).alias("key"), value.alias("value")).orderBy("key").limit(most))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def file_audit(df: DataFrame, columns: list[str], path: Column | None = None) -> DataFrame:
     """Rows and fill rate of each input file: ok, partial, empty."""
     filled = sum(((~C.is_blank(F.col(c))).cast("int") for c in columns[1:]), (~C.is_blank(F.col(columns[0]))).cast("int"))

@@ -60,9 +60,11 @@ def observed(df: DataFrame, columns: list[str]) -> tuple[DataFrame, Observation]
     return df.observe(seen, F.count(F.lit(1)).alias("rows"), *counters), seen
 
 
-def all_keys(df: DataFrame, column: str) -> list[str]:
-    """Names of all fields that occur in a JSON object column, in order; one aggregation."""
-    keys = df.select(F.explode(F.json_object_keys(column)).alias("k")).distinct().collect()
+def all_keys(df: DataFrame, column: str, most: int = 5000) -> list[str]:
+    """Names of all fields that occur in a JSON object column, in order; one aggregation. More than ``most`` are no table's columns: an error."""
+    keys = df.select(F.explode(F.json_object_keys(column)).alias("k")).distinct().limit(most + 1).collect()
+    if len(keys) > most:
+        raise ValueError(f"{column} has more than {most} different fields")
     return sorted(r["k"] for r in keys)
 
 

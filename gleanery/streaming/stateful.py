@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gleanery.session import shared_folder
+
 
 def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
     """Event times as TIMESTAMP, which watermarks need."""
@@ -144,8 +145,7 @@ def run_now(stream: DataFrame, mode: str = "append") -> DataFrame:
     the last one holds the whole result.
     """
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleanery-")
-    place = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(frame, number):
         frame.write.mode("overwrite").parquet(f"{place}/out/{'all' if mode == 'complete' else f'batch={number}'}")
