@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gleanery.catalog import query
 from gleanery.functions import cjk
 from gleanery.functions import columns as C
-from gleanery.operators import grids, health, name_list, quality, report, rows
+from gleanery.operators import grids, health, name_list, quality, relational, report, rows
 from gleanery.session import table
 
 
@@ -173,3 +173,63 @@ def list_records(spark, sf_dir):
 def caps_and_waits(spark, sf_dir):
     last = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey"))
     return table(spark, sf_dir, "orders").select("o_orderkey", health.margin_cap(F.col("o_totalprice"), 0.001).alias("cap"), health.cooldown(last, 600, 1000).cast("bigint").alias("wait"))
+
+
+LINKS = """SELECT 'http://h' || doc_id % 3 || '/p/' || doc_id AS src, 'http://h' || (doc_id * 2 + 1) % 3 || '/p/' || (doc_id * 2 + 1) AS dst FROM documents
+      UNION ALL SELECT 'http://h' || doc_id % 3 || '/p/' || doc_id, 'http://h' || (doc_id * 3 % 1000) % 3 || '/q/' || (doc_id * 3 % 1000) FROM documents"""
+
+
+def _links(spark, sf_dir):
+    def url(k, part="p"):
+        return F.concat(F.lit("http://h"), (k % 3).cast("string"), F.lit(f"/{part}/"), k.cast("string"))
+
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    return d.select(url(k).alias("src"), url(k * 2 + 1).alias("dst")).unionByName(d.select(url(k).alias("src"), url(k * 3 % 1000, "q").alias("dst")))
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT * FROM ({LINKS}) WHERE regexp_matches(dst, '/[pq]/') AND NOT regexp_matches(dst, '7$') AND (starts_with(dst, 'http://h1/') OR starts_with(dst, 'http://h0/'))),
+    walk(node, depth) AS (SELECT * FROM (VALUES ('http://h1/p/1', 0), ('http://h0/p/3', 0)) UNION SELECT dst, depth + 1 FROM walk JOIN e ON src = node WHERE depth < 6)
+    SELECT node, min(depth)::INTEGER AS depth FROM walk GROUP BY node ORDER BY depth, node LIMIT 12"""
+)
+def crawl(spark, sf_dir):
+    seeds = spark.createDataFrame([("http://h1/p/1",), ("http://h0/p/3",)], "node string")
+    return relational.crawl(_links(spark, sf_dir), seeds, 6, ["/[pq]/"], ["7$"], True, 12)
+
+
+@query(
+    """WITH RECURSIVE w(node, depth) AS (SELECT 'p' || 0, 0 UNION ALL SELECT 'p' || (depth + 1), depth + 1 FROM w WHERE depth < 7) SELECT node, depth FROM w"""
+)
+def next_pages(spark, sf_dir):
+    k = F.col("page_id")
+    links = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), k.cast("string")).alias("src"), F.concat(F.lit("p"), (k + 1).cast("string")).alias("dst"))
+    return relational.next_pages(links, spark.createDataFrame([("p0",)], "node string"), 7)
+
+
+@query("SELECT p_partkey, regexp_extract(lower(p_brand || chr(10) || p_type), 'brand.*?[0-9]+', 0) AS found, '' AS missed, '[' || p_size || '] ' || p_name || ' {no} {{no}}' AS label FROM part")
+def loose_patterns(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    text = F.concat("p_brand", F.lit("\n"), "p_type")
+    return p.select("p_partkey", F.lower(rows.regex_first(text, "BRAND.*?[0-9]+", 5)).alias("found"), rows.regex_first(text, "no such").alias("missed"), rows.template("[{{p_size}}] {p_name} {no} {{no}}", p.columns).alias("label"))
+
+
+@query(
+    """SELECT n_nationkey, ['seq', 'company', 'store', 'issue', 'section', 'blank', 'other'][n_nationkey % 7 + 1] AS shape FROM nation"""
+)
+def cell_shapes(spark, sf_dir):
+    cells = ["12", "某某科技有限公司", "小米 应用商店", "私自收集 个人信息", "（一）问题名单", " 　", "甲"]
+    cell = F.element_at(F.array(*map(F.lit, cells)), (F.col("n_nationkey") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", name_list.cell_shape(cell).alias("shape"))
+
+
+@query("SELECT event_id, (props::JSON ->> 'k') AS first, 'none' AS empty FROM events")
+def json_heads(spark, sf_dir):
+    v = F.try_parse_json(F.concat(F.lit('{"a": ['), F.get_json_object("props", "$.k"), F.lit(', 7], "b": []}')))
+    return table(spark, sf_dir, "events").select("event_id", C.jpath_first(v, "a").alias("first"), C.jpath_first(v, "b", "none").alias("empty"))
+
+
+@query("SELECT (count(*) - count(DISTINCT text))::BIGINT AS duplicates, 0::BIGINT AS blank FROM documents WHERE trim(text) <> ''")
+def duplicates_by_chosen_key(spark, sf_dir):
+    """Ids are renamed so that the title is the key that is left; it is chosen from the first rows."""
+    d = table(spark, sf_dir, "documents").where("trim(text) <> ''").select(F.col("text").alias("title"), F.lit("").alias("link"), "doc_id")
+    return quality.duplicates_by(d, quality.choose_key(d))

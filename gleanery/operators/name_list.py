@@ -24,6 +24,23 @@ TOTALS = r"^(合计|总计|小计|以上|以下|备注|说明|注[:：]|资料
 SECTION = r"^[（(][一二三四五六七八九十]+[)）]"
 
 
+#: Words of company names, of stores, and of issues.
+COMPANY_WORDS = [
+    "有限公司", "有限责任公司", "公司", "集团", "中心", "研究院", "研究所", "大学", "学院", "银行", "医院", "工作室", "协会", "报社", "电视台", "出版社", "事业部",
+    "管理局", "总局", "分行", "事务所", "连锁", "药房", "影院", "酒店", "网络科技", "信息技术", "传媒",
+]
+STORE_WORDS = r"(?i)(官网|商店|市场|应用宝|豌豆荚|百度|华为|小米|oppo|vivo|360|应用汇|搜狗|App ?Store|网站|网$|酷安|应用中心)"
+ISSUE_WORDS = r"(收集|权限|推送|注销|弹窗|强制|欺骗|误导|骚扰|索取|超范围|私自|共享|泄露|SDK|广告|捆绑|不给|定向|账号|隐私|通讯录|麦克风|相册|位置|通讯|关闭|跳转|自动|违规|问题|收集使用|两次|默认)"
+
+
+def cell_shape(c: Column) -> Column:
+    """What a cell looks like: seq, section, company, store, issue, blank, other; the first that fits."""
+    t = tidy(c)
+    company = F.exists(F.array(*map(F.lit, COMPANY_WORDS)), lambda w: F.contains(t, w)) & (F.length(t) <= 40)
+    out = F.when(t == "", "blank").when(t.rlike(r"^\d{1,4}$"), "seq").when(t.rlike(SECTION) | (t.endswith("名单") & (F.length(t) <= 30)), "section")
+    return out.when(company, "company").when(t.rlike(STORE_WORDS) & (F.length(t) <= 20), "store").when(t.rlike(ISSUE_WORDS) & (F.length(t) <= 60), "issue").otherwise("other")
+
+
 def squeeze(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[\s　]+", "")
 

@@ -171,6 +171,38 @@ def column_assertions(df: DataFrame, rules: list[str]) -> DataFrame:
     return df.agg(F.array(*items).alias("a")).select(F.inline("a"))
 
 
+#: Columns that may be a key by themselves, in order; parts of a joint key.
+KEY_COLUMNS = ["url", "link", "id", "shopId", "链接", "网址"]
+TITLE_COLUMNS, NAME_COLUMNS, LINK_COLUMNS = ["title", "标题"], ["name", "名称"], ["link", "url", "链接", "网址"]
+
+
+def choose_key(df: DataFrame, rows: int = 50) -> list[list[str]]:
+    """Columns to tell duplicates by, read off the first rows when the plan is made: the first key column that half of them have, else
+    title and link, else name and link; of several columns of one part the first that is filled counts. [] if there is none."""
+    known = [c for c in dict.fromkeys([*KEY_COLUMNS, *TITLE_COLUMNS, *NAME_COLUMNS]) if c in df.columns]
+    if not known:
+        return []
+    row = df.limit(rows).agg(F.count("*").alias("__n"), *[F.count_if(~C.is_blank(F.col(c))).alias(c) for c in known]).first()
+    most = [c for c in known if row["__n"] and row[c] >= max(1, row["__n"] // 2)]
+    for c in KEY_COLUMNS:
+        if c in most:
+            return [[c]]
+    for part in (TITLE_COLUMNS, NAME_COLUMNS):
+        if any(c in most for c in part):
+            return [[c for c in part if c in df.columns], [c for c in LINK_COLUMNS if c in df.columns]]
+    return []
+
+
+def duplicates_by(df: DataFrame, key: list[list[str]]) -> DataFrame:
+    """One row: ``duplicates`` and ``blank`` rows by a key of ``choose_key``."""
+    parts = [F.coalesce(*[F.when(~C.is_blank(F.col(c)), F.trim(F.col(c).cast("string"))) for c in columns], F.lit("")) if columns else F.lit("") for columns in key]
+    keyed = df.select(F.concat_ws("\x1f", *parts).alias("k"))
+    counted = keyed.groupBy("k").agg(F.count("*").alias("n")).withColumn("blank", F.trim(F.replace("k", F.lit("\x1f"), F.lit(""))) == "")
+    return counted.agg(
+        F.coalesce(F.sum(F.when(~F.col("blank"), F.col("n") - 1)), F.lit(0)).cast("bigint").alias("duplicates"), F.coalesce(F.sum(F.when(F.col("blank"), F.col("n"))), F.lit(0)).cast("bigint").alias("blank")
+    )
+
+
 def violating_rows(df: DataFrame, rules: list[str], key: str, most: int = 3) -> DataFrame:
     """(assertion, key, value): the first rows by key that break each rule of ``column_assertions``, up to ``most`` a rule (a report)."""
     parts = []

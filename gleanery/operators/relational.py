@@ -268,6 +268,26 @@ def reachable_nodes(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataF
     return seen
 
 
+def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int, allow: list[str] = (), deny: list[str] = (), same_host: bool = False, max_pages: int | None = None) -> DataFrame:
+    """``reachable_nodes`` over links (src, dst) of URLs that patterns allow, if asked only to hosts of the seeds.
+
+    ``max_pages`` is the crawl's own limit: the first pages by depth, then by URL.
+    """
+    from gleanery.operators.rows import link_allowed
+
+    links = edges.where(link_allowed(F.col("dst"), list(allow), list(deny)))
+    if same_host:
+        hosts = seeds.select(C.host(F.col("node")).alias("__host")).distinct()
+        links = links.withColumn("__host", C.host(F.col("dst"))).join(hosts, "__host", "left_semi").drop("__host")
+    found = reachable_nodes(links, seeds, max_depth)
+    return found if max_pages is None else found.orderBy("depth", "node").limit(max_pages)
+
+
+def next_pages(links: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
+    """(node, depth): the chains of next links (src, dst) from the seeds, up to ``most`` pages after each; a page that comes again ends a chain."""
+    return reachable_nodes(links.where("dst is not null and dst <> '' and dst <> src"), seeds, most)
+
+
 def fallback_rows(pages: DataFrame, primary: DataFrame, secondary: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Primary rows that hold a value, and the secondary rows of pages without one."""
     some = F.lit(False)

@@ -113,6 +113,17 @@ def mostly(c: Column, many: str, few: str, reach: int = 20_000, least: int = 10)
     return (a > 2 * b) & (a > least)
 
 
+#: Words of a task's description that name no subject.
+STOP_WORDS = ["抓取", "所有", "全部", "每个", "每年", "每日", "每天", "最新", "链接", "信息", "数据", "列表", "详情", "内容", "相关", "以及", "和", "的", "为", "请"]
+
+
+def task_keywords(description: str) -> list[str]:
+    """Stretches of four, three and two signs of a description without any stop word, longest first, each once."""
+    plain = "".join(c for c in description if "\u4e00" <= c <= "\u9fa5" or c.isascii() and c.isalnum())
+    windows = (plain[i : i + n] for n in (4, 3, 2) for i in range(len(plain) - n + 1))
+    return list(dict.fromkeys(w for w in windows if not any(x in w for x in STOP_WORDS)))
+
+
 def relevant(names: list[str], keywords: list[str]) -> Column:
     """Does a column name or value hold a keyword? No keyword: yes."""
     if not keywords:
@@ -220,11 +231,12 @@ def map_record(df: DataFrame, fields: Mapping[str, object], keep_raw: bool = Fal
 
 
 def template(pattern: str, names: list[str]) -> Column:
-    """``{name}`` replaced by the column's text, NULL by the empty string; unknown names stay as they are."""
-    parts = []
-    for i, p in enumerate(re.split(r"\{(\w+)\}", pattern)):
-        parts.append(F.lit(p) if i % 2 == 0 else C.text(F.col(p)) if p in names else F.lit("{" + p + "}"))
-    return F.concat(*parts)
+    """``{name}`` and ``{{name}}`` replaced by the column's text, NULL by the empty string; unknown names stay as they are."""
+    parts, at = [F.lit("")], 0
+    for m in re.finditer(r"\{\{(\w+)\}\}|\{(\w+)\}", pattern):
+        parts += [F.lit(pattern[at : m.start()]), C.text(F.col(m[1] or m[2])) if (m[1] or m[2]) in names else F.lit(m[0])]
+        at = m.end()
+    return F.concat(*parts, F.lit(pattern[at:]))
 
 
 def rename(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
@@ -260,6 +272,12 @@ def regex_extract(df: DataFrame, field: str, pattern: str, group: int = 1, to: s
     return df.withColumn(to, F.when(s.rlike(pattern), F.regexp_extract(s, pattern, group)).otherwise(old)) if regex_is_safe(pattern) else df
 
 
+def regex_first(c: Column, pattern: str, group: int = 0) -> Column:
+    """The group of the first match, over line ends and in any case; '' without a match, the whole match for a group that is not there."""
+    group = group if group <= re.compile(pattern).groups else 0
+    return F.coalesce(F.regexp_extract(C.text(c), f"(?is){pattern}", group), F.lit("")) if regex_is_safe(pattern) else F.lit("")
+
+
 def split_field(df: DataFrame, field: str, sep: str = ",", to: str | None = None) -> DataFrame:
     parts = F.transform(F.split(F.col(field).cast("string"), re.escape(sep or ",")), C.strip)
     return df.withColumn(to or field, F.filter(parts, lambda x: x != ""))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import codecs
+import contextlib
 import csv
+import gzip
 import io
 import json as jsonlib
 import re
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -25,9 +28,12 @@ ENCODINGS = ["utf-8-sig", "utf-8", "gb18030"]
 
 
 def decode_bytes(body: bytes | None, header: str = "") -> str | None:
-    """Text of a response: byte-order mark, header, meta tag, then the first encoding that fits."""
+    """Text of a response, unpacked if it is gzip: byte-order mark, header, meta tag, then the first encoding that fits."""
     if body is None:
         return None
+    if body[:2] == b"\x1f\x8b":
+        with contextlib.suppress(OSError, EOFError, zlib.error):
+            body = gzip.decompress(body)
     for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
         if body.startswith(mark):
             return body.decode(name, "replace")
