@@ -15,7 +15,7 @@ def test_gzip_bodies():
 
 
 def test_key_choice(spark):
-    d = lambda names, *values: spark.createDataFrame(list(values), ", ".join(f"{n} string" for n in names))
+    d = lambda names, *values: spark.createDataFrame(list(values), ", ".join(f"`{n}` string" for n in names))
     assert quality.choose_key(d(["id", "url"], ("1", None), ("2", None), ("3", "u"), ("4", " "))) == [["id"]]
     assert quality.choose_key(d(["title", "link", "x"], ("a", "l", None))) == [["link"]]
     assert quality.choose_key(d(["title", "link"], ("a", None), ("b", " "))) == [["title"], ["link"]]
