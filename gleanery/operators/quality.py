@@ -26,11 +26,42 @@ def numeric_columns(df: DataFrame, least: int = 3, share: float = 0.3) -> list[s
     return [c for c in names if row[c] >= max(least, share * row["__n"])]
 
 
+def medians(df: DataFrame, exprs: dict[str, Column], few: int = 20_000, margin: float = 0.001) -> dict[str, float | None]:
+    """Exact medians of numbers; no task and not the driver holds more than ``few`` different values of a column.
+
+    A sketch gives values a little below and above the middle; the rows below are counted, and of those between the different values.
+    While there are more than ``few`` of them, a sketch of the rows between narrows them further.
+    """
+    numbers = df.select(*[x.cast("double").alias(f"x{i}") for i, x in enumerate(exprs.values())])
+    sizes = numbers.agg(*[F.count(c).alias(c) for c in numbers.columns]).first()
+    ranks = {c: ((sizes[c] - 1) // 2, sizes[c] // 2) for c in numbers.columns if sizes[c]}  # from 0
+    inside, shares, found = {c: F.col(c).isNotNull() for c in ranks}, dict.fromkeys(ranks, 0.5), {}
+    while len(found) < len(ranks):
+        left = [c for c in ranks if c not in found]
+        ends = numbers.agg(*[F.percentile_approx(F.when(inside[c], F.col(c)), [max(0.0, shares[c] - margin), min(1.0, shares[c] + margin)], 10_000).alias(c) for c in left]).first()
+        inside |= {c: F.col(c).between(*ends[c]) for c in left}
+        long = numbers.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.when(inside[c], F.col(c)).alias("x")) for c in left]))).where("x is not null")
+        counted = long.groupBy("c", "x").agg(F.count("*").alias("n"))
+        kinds = {r["c"]: (r["kinds"], r["n"]) for r in counted.groupBy("c").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect()}
+        below = numbers.agg(*[F.count_if(F.col(c) < ends[c][0]).alias(c) for c in left]).first()
+        small = [c for c in left if kinds[c][0] <= few]
+        rows = counted.where(F.col("c").isin(small)).orderBy("c", "x").collect() if small else []
+        for c in small:
+            at, middle = below[c], []
+            for r in (r for r in rows if r["c"] == c):
+                middle += [r["x"]] * sum(at <= k < at + r["n"] for k in ranks[c])
+                at += r["n"]
+            found[c] = sum(middle) / 2
+        shares |= {c: (ranks[c][0] - below[c]) / kinds[c][1] for c in left if c not in small}
+    return {name: found.get(c) for name, c in zip(exprs, numbers.columns)}
+
+
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Long table: column, n, min, max, mean, median, missing."""
+    numbers = {c: C.plain_number(F.col(c)) if dict(df.dtypes)[c] == "string" else F.col(c).cast("double") for c in columns}
+    middle = medians(df, numbers)
     aggs = []
-    for c in columns:
-        x = C.plain_number(F.col(c)) if dict(df.dtypes)[c] == "string" else F.col(c).cast("double")
+    for c, x in numbers.items():
         aggs.append(
             F.struct(
                 F.lit(c).alias("column"),
@@ -38,7 +69,7 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
                 F.min(x).alias("min"),
                 F.max(x).alias("max"),
                 F.round(F.avg(x.cast("decimal(30,6)")).cast("double"), 4).alias("mean"),
-                F.median(x).alias("median"),
+                F.lit(middle[c]).cast("double").alias("median"),
                 F.sum(C.is_blank(F.col(c)).cast("bigint")).alias("missing"),
             )
         )

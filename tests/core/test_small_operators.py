@@ -1,7 +1,12 @@
 import gzip
+import random
+import statistics
+
+import pytest
 
 from gleanery.operators import quality, rows
 from gleanery.sources import io
+from pyspark.sql import functions as F
 
 
 def test_task_keywords():
@@ -22,3 +27,13 @@ def test_key_choice(spark):
     assert quality.choose_key(d(["x"], ("a",))) == [] and quality.choose_key(d(["id"], ("a",)).limit(0)) == []
     t = d(["title", "标题", "link"], ("a", None, "1"), ("a", None, "2"), (None, "a", "1"), (None, None, " "), (" ", None, None))
     assert tuple(quality.duplicates_by(t, [["title", "标题"], ["link"]]).first()) == (1, 2)
+
+
+@pytest.mark.parametrize("few", [3, 20_000])
+def test_medians(spark, few):
+    rng = random.Random(3)
+    columns = {"a": [rng.gauss(0, 1) for _ in range(4001)], "b": [rng.randrange(3) for _ in range(4000)] + [None], "c": [None] * 4001, "d": [1.0] + [None] * 4000, "e": [1.0, 2.0] + [None] * 3999}
+    df = spark.createDataFrame(list(zip(*columns.values())), "a double, b int, c double, d double, e double").repartition(3)
+    got = quality.medians(df, {c: F.col(c) for c in columns}, few)
+    assert got == {c: statistics.median([x for x in v if x is not None]) if any(x is not None for x in v) else None for c, v in columns.items()}
+    assert quality.medians(df.limit(0), {"a": F.col("a")}) == {"a": None}
