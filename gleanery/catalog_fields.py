@@ -233,3 +233,20 @@ def duplicates_by_chosen_key(spark, sf_dir):
     """Ids are renamed so that the title is the key that is left; it is chosen from the first rows."""
     d = table(spark, sf_dir, "documents").where("trim(text) <> ''").select(F.col("text").alias("title"), F.lit("").alias("link"), "doc_id")
     return quality.duplicates_by(d, quality.choose_key(d))
+
+
+@query(
+    """WITH h AS (SELECT o_custkey AS u, o_orderkey, o_orderstatus, 0 AS v FROM orders WHERE o_orderdate < '1995-01-01' UNION ALL SELECT o_custkey, o_orderkey, o_orderstatus, 1 FROM orders WHERE o_orderdate >= '1995-01-01'),
+    n AS (SELECT u, v, count(*) FILTER (o_orderstatus = 'F') AS n FROM h GROUP BY 1, 2), b AS (SELECT u, arg_max(v, n * 2 - v) AS v FROM n GROUP BY u)
+    SELECT o_custkey, o_orderkey FROM (SELECT h.u AS o_custkey, o_orderkey FROM h JOIN b ON h.u = b.u AND h.v = b.v)"""
+)
+def fuller_versions(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
+    out = relational.fuller_version(o.where("o_orderdate < '1995-01-01'"), o.where("o_orderdate >= '1995-01-01'"), "o_custkey", F.col("o_orderstatus") == "F")
+    return out.select("o_custkey", "o_orderkey")
+
+
+@query("""SELECT p_partkey, '{"brand":"' || p_brand || '","size":' || p_size || '}' AS kind FROM part""")
+def nested_fields(spark, sf_dir):
+    p = rows.nest(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), "kind", {"brand": "p_brand", "size": "p_size"})
+    return p.select("p_partkey", F.to_json("kind").alias("kind"))

@@ -92,6 +92,17 @@ def resume_export(new: DataFrame, old: DataFrame, on: str) -> DataFrame:
     return new.unionByName(old.join(new.select(on), on, "left_anti"), allowMissingColumns=True)
 
 
+def fuller_version(old: DataFrame, new: DataFrame, key: str, full: Column) -> DataFrame:
+    """All rows of one version of each key: of the one with more rows for which ``full`` holds, of the old one where they are even."""
+    def marked(df, version):
+        return df.withColumn("__v", F.lit(version)), df.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__k")).agg(F.count_if(full).alias("n"), F.lit(version).alias("v"))
+
+    (a, had), (b, has) = marked(old, 0), marked(new, 1)
+    best = had.unionByName(has).groupBy("__k").agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("__best"))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("__k", F.coalesce(F.col(key).cast("string"), F.lit("")))
+    return both.join(best, "__k").where("__v = __best").drop("__k", "__v", "__best")
+
+
 def unseen(df: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose record key is not in ``seen`` (column ``key``); rows without a key stay."""
     keyed = df.withColumn("__key", C.record_key(keys))

@@ -272,6 +272,12 @@ def regex_extract(df: DataFrame, field: str, pattern: str, group: int = 1, to: s
     return df.withColumn(to, F.when(s.rlike(pattern), F.regexp_extract(s, pattern, group)).otherwise(old)) if regex_is_safe(pattern) else df
 
 
+def nest(df: DataFrame, field: str, parts: Mapping[str, str]) -> DataFrame:
+    """Columns put together as one struct ``field``; ``parts`` are its names and the columns they take, which go."""
+    taken = [c for c in parts.values() if c != field]
+    return df.withColumn(field, F.struct(*[F.col(c).alias(n) for n, c in parts.items()])).drop(*taken)
+
+
 def regex_first(c: Column, pattern: str, group: int = 0) -> Column:
     """The group of the first match, over line ends and in any case; '' without a match, the whole match for a group that is not there."""
     group = group if group <= re.compile(pattern).groups else 0

@@ -67,6 +67,16 @@ def read_records(spark: SparkSession, path: str, records_path: str = "") -> Data
     return docs.select(F.explode(F.coalesce(*lists, F.array("v"))).alias("record")).where("record is not null")
 
 
+def capture_records(spark: SparkSession, path: str, records_path: str = "") -> DataFrame:
+    """VARIANT records of captured responses (files that hold a list of them, each bare or under ``json``), by a path; what a path
+    leads to counts as one record if it is no list. Files that are no list, and records that are no objects, give nothing."""
+    files = spark.read.text(path, wholetext=True).select(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>").alias("l"))
+    items = files.select(F.explode("l").alias("i")).select(F.coalesce(F.try_variant_get("i", "$.json", "variant"), F.col("i")).alias("v"))
+    found = items.select(C.jpath(F.col("v"), records_path).alias("v")) if records_path else items
+    rows = found.select(F.explode(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))).alias("record"))
+    return rows.where(F.schema_of_variant("record").startswith("OBJECT"))
+
+
 def guessed_records_path(docs: DataFrame, column: str) -> str:
     """The records path of a JSON column, read off one document when the plan is made; '' if it is no JSON."""
     row = docs.where(F.try_parse_json(column).isNotNull()).select(column).first()

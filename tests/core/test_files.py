@@ -20,3 +20,12 @@ def test_each_file_has_its_encoding(spark, tmp_path):
     rows = io.read_csv(spark, str(tmp_path)).collect()
     assert {r.城市 for r in rows} == {"北京", "广州", "a", "深圳"} and len(rows) == 30_003
     assert {r.城市 for r in io.read_any(spark, str(tmp_path)).collect()} == {"北京", "广州", "a", "深圳"}
+
+
+def test_captured_responses(spark, tmp_path):
+    (tmp_path / "c.json").write_text('[{"json": {"d": {"rows": [{"a": 1}, {"a": 2}, 7]}}}, {"d": {"rows": {"a": 3}}}, {"json": {"x": 1}}]')
+    (tmp_path / "d.json").write_text('{"no": "list"}')
+    (tmp_path / "e.json").write_text("broken")
+    got = sorted(r[0] for r in io.capture_records(spark, str(tmp_path), "d.rows").selectExpr("to_json(record)").collect())
+    assert got == ['{"a":1}', '{"a":2}', '{"a":3}']
+    assert io.capture_records(spark, str(tmp_path)).count() == 3
