@@ -86,7 +86,6 @@ def rules() -> dict[str, tuple[str, Column]]:
         "dup_lines": ("soft", 10 * c("n_dup_lines") > 3 * c("n_lines")),
         "some_repeats": ("soft", 100 * c("n_repeat_words") > 10 * c("n_words")),
         "some_symbols": ("soft", 30 * c("n_symbols") > c("n_words")),
-        "few_words": ("soft", c("n_words") < 30),
     }
 
 

@@ -101,7 +101,7 @@ WITH words AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
     CASE WHEN 10 * n_symbols > n_words THEN 64.0::DOUBLE ELSE 1 END * CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 64.0::DOUBLE ELSE 1 END AS hard,
     CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 3.0::DOUBLE ELSE 1 END * CASE WHEN 100 * n_repeat_words > 10 * n_words THEN 3.0::DOUBLE ELSE 1 END
-      * CASE WHEN 30 * n_symbols > n_words THEN 3.0::DOUBLE ELSE 1 END * CASE WHEN n_words < 30 THEN 3.0::DOUBLE ELSE 1 END AS soft
+      * CASE WHEN 30 * n_symbols > n_words THEN 3.0::DOUBLE ELSE 1 END AS soft
   FROM measured
 ), hosts AS (
   SELECT host, count(*) AS n, count(*) FILTER (base_failed OR hard > 1) AS c FROM failed GROUP BY host

@@ -57,7 +57,7 @@ def test_planted_hosts_against_sql(spark, tmp_path):
     fine = lambda i: " ".join(words(i))
     symbols = lambda i: " ".join(words(i, 20) + ["#"] * 4)
     soft = lambda i: "\n".join([" ".join(words(i, 12)), " ".join(words(-i, 3))] + [" ".join(words(i, 12)[:3])] * 2 + [" ".join(words(i + 9**6, 20))])
-    few = lambda i: " ".join(words(i, 12))
+    few = lambda i: " ".join(words(i, 40) + ["#"] * 2)
     shares = {"bad": 0.9, "poor": 0.4, "middle": 0.15, "middling": 0.12, "trusted": 0.004}
     rows = []
     for host, share in shares.items():
@@ -74,7 +74,7 @@ def test_planted_hosts_against_sql(spark, tmp_path):
     kept = {r.doc_id: r.kept for r in queries.QUERIES["op1_quality_rules"](spark, f"{tmp_path}/sf").collect()}
     at = {h: 500 * i for i, h in enumerate(shares)}
     assert not any(kept[at["bad"] + i] for i in range(500))
-    assert kept[at["poor"] + 300] and not kept[at["poor"] + 349] and not kept[at["poor"]]  # few words are enough there
+    assert kept[at["poor"] + 300] and not kept[at["poor"] + 349] and not kept[at["poor"]]  # a few signs are enough there
     assert kept[at["middle"] + 349] and not kept[at["middle"]]
     assert kept[at["trusted"]] and kept[at["trusted"] + 1] and not kept[9002]  # symbols are forgiven, the base rule never is
 
