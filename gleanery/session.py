@@ -65,12 +65,12 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "left", max_rows
     return big.join(F.broadcast(small) if few else small, on, how)
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: str, salts: int = 16) -> DataFrame:
-    """Inner join for a ``small`` side with one row a key where a key may hold much of ``big``.
+def salted_join(big: DataFrame, small: DataFrame, on: str, salts: int = 16, how: str = "inner") -> DataFrame:
+    """Inner or left join for a ``small`` side with one row a key where a key may hold much of ``big``.
 
     Where ``small`` was summed up by the same key, its exchange is shared with the join and adaptive
     execution cannot split a large key; with a salt both sides are dealt anew, the key over ``salts`` tasks.
     """
     left = big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     right = small.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return left.join(right, [on, "__salt"]).drop("__salt")
+    return left.join(right, [on, "__salt"], how).drop("__salt")
