@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from gleanery.llm import chat
 from gleanery.llm.cross_entropy import cross_entropy_difference
+from gleanery.llm.filter_audit import audit_filters
 from gleanery.llm.language import identify
+from gleanery.llm.manifest import manifest
 from gleanery.llm.media import text_media
+from gleanery.llm.mixing import mix
 from gleanery.llm.packing import pack
 from gleanery.llm.pieces import encode_pieces
 from gleanery.llm.quality import judge
@@ -79,6 +82,21 @@ def op10_cross_entropy(spark, sf_dir):
     return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_filter_audit(spark, sf_dir):
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_mixing(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"), weights=[5, 2, 1], share=1.0, most_times=3)
+
+
 ORACLE_SQL["op1_quality_rules"] = r"""
 WITH words AS (
   SELECT doc_id, source, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -137,3 +155,113 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   (sum(upto) FILTER (role = 'assistant' OR i = n))::BIGINT AS formatted_chars
 FROM sums GROUP BY conv_id
 """
+
+ORACLE_SQL["op11_merkle_manifest"] = r"""
+WITH RECURSIVE plain AS (
+  SELECT doc_id, source, text, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR] AS front,
+    list_reduce(list_prepend(4294967295, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))) % 2 = 1 AS hit
+  FROM documents
+), twice AS (
+  SELECT doc_id, source, unnest([{'other': false, 'fields': list_append(front, text)}, {'other': true, 'fields': list_append(front, CASE WHEN hit THEN replace(text, chr(10), '') ELSE text END)}], recursive := true)
+  FROM plain
+), hashed AS (
+  SELECT doc_id, source, other, sha256(array_to_string(list_transform(fields, lambda f: CASE WHEN f IS NULL THEN '-' ELSE strlen(f) || ':' || f END), '')) AS digest FROM twice
+), names AS (
+  SELECT source, row_number() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS src, count(*) OVER () AS many FROM (SELECT DISTINCT source FROM documents)
+), leaves AS (
+  SELECT a.doc_id, src, many, a.digest AS leaf, b.digest AS other, row_number() OVER (PARTITION BY src ORDER BY a.doc_id) - 1 AS idx, count(*) OVER (PARTITION BY src) AS n
+  FROM hashed a JOIN hashed b ON a.doc_id = b.doc_id AND NOT a.other AND b.other JOIN names ON a.source IS NOT DISTINCT FROM names.source
+), nodes AS (
+  SELECT src, 0 AS level, idx, leaf AS digest, n FROM leaves
+  UNION ALL
+  SELECT src, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (max(n) + 2) // 3 FROM nodes WHERE n > 1 GROUP BY src, level, idx // 3
+), tops AS (
+  SELECT src, 0 AS level, src AS idx, digest AS digest, many AS n FROM nodes JOIN names USING (src) WHERE n = 1
+), crown AS (
+  SELECT level, idx, digest, n FROM tops
+  UNION ALL
+  SELECT level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (max(n) + 2) // 3 FROM crown WHERE n > 1 GROUP BY level, idx // 3
+), steps AS (
+  SELECT doc_id, level, string_agg(digest, '' ORDER BY nodes.idx) FILTER (nodes.idx < leaves.idx // pow(3, level)::BIGINT) AS before,
+    string_agg(digest, '' ORDER BY nodes.idx) FILTER (nodes.idx > leaves.idx // pow(3, level)::BIGINT) AS after
+  FROM leaves JOIN nodes USING (src) WHERE nodes.n > 1 AND nodes.idx // 3 = leaves.idx // pow(3, level + 1)::BIGINT GROUP BY doc_id, level
+  UNION ALL
+  SELECT doc_id, 1000 + level, string_agg(digest, '' ORDER BY crown.idx) FILTER (crown.idx < src // pow(3, level)::BIGINT),
+    string_agg(digest, '' ORDER BY crown.idx) FILTER (crown.idx > src // pow(3, level)::BIGINT)
+  FROM leaves JOIN crown ON crown.n > 1 AND crown.idx // 3 = src // pow(3, level + 1)::BIGINT GROUP BY doc_id, level
+), ordered AS (
+  SELECT doc_id, coalesce(before, '') AS before, coalesce(after, '') AS after, row_number() OVER (PARTITION BY doc_id ORDER BY level) AS i FROM steps
+), proofs AS (
+  SELECT doc_id, sha256(string_agg(before || after, '' ORDER BY i)) AS proof_sha256 FROM ordered GROUP BY doc_id
+), folded AS (
+  SELECT doc_id, 0::BIGINT AS i, other AS digest FROM leaves
+  UNION ALL
+  SELECT doc_id, folded.i + 1, sha256(before || digest || after) FROM folded JOIN ordered USING (doc_id) WHERE ordered.i = folded.i + 1
+), ends AS (
+  SELECT doc_id, max_by(digest, i) AS folded_root FROM folded GROUP BY doc_id
+)
+SELECT doc_id, leaf, tops.digest AS subroot, top.digest AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = top.digest AS verified
+FROM leaves JOIN tops USING (src) JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id), (SELECT digest FROM crown WHERE n = 1) AS top
+"""
+
+ORACLE_SQL["op12_filter_audit"] = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), failed AS (
+  SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+    100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+    doc_id > min(doc_id) OVER (PARTITION BY text) AS e
+  FROM words
+), marked AS (
+  SELECT part, [a, b, c, d, e] AS fails, coalesce(quality, 0) AS quality, coalesce(toxic, 0) AS toxic FROM failed LEFT JOIN labels USING (doc_id)
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+), cells AS (
+  SELECT part, fails, count(*) AS n, sum((quality = 1)::INT) AS good, sum((toxic = 1)::INT) AS bad FROM marked GROUP BY part, fails
+), steps AS (
+  SELECT part, filter_order, step, fails, n, good, bad, substr(filter_order, step, 1) AS filter,
+    list_transform(range(1, step + 1), lambda i: fails[instr('ABCDE', substr(filter_order, i, 1))]) AS seen
+  FROM cells, orders, (SELECT unnest(range(1, 6)) AS step)
+), told AS (
+  SELECT *, seen[-1] AS here, len(list_filter(seen[:-2], lambda x: x)) > 0 AS gone FROM steps
+), counted AS (
+  SELECT part, filter_order, step::INT AS step, filter, coalesce(sum(n) FILTER (NOT here AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (here AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (here AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (here AND len(list_filter(fails, lambda x: x)) = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (here AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(bad) FILTER (here AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM told GROUP BY part, filter_order, step, filter
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM counted
+"""
+
+ORACLE_SQL["op13_mixing"] = r"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS number, [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight
+  FROM sized GROUP BY source
+), fill AS (
+  SELECT 0 AS i, (SELECT sum(source_size)::DOUBLE / sum(weight)::DOUBLE FROM sources) AS level
+  UNION ALL
+  SELECT i + 1, (sum(source_size) - coalesce(sum(3 * source_size) FILTER (weight * level > 3 * source_size), 0))::DOUBLE / (sum(weight) FILTER (weight * level <= 3 * source_size))::DOUBLE
+  FROM fill, sources WHERE i < 30 GROUP BY i, level
+), aimed AS (
+  SELECT source, source_size, number, CASE WHEN weight * level > 3 * source_size THEN (3 * source_size)::DOUBLE ELSE weight * level END AS target
+  FROM sources, (SELECT max(level) AS level FROM fill)
+), played AS (
+  SELECT doc_id, number, size, source_size, target, again, greatest(1, floor(target / 1000))::BIGINT AS packet,
+    ('0x' || substr(md5('17/' || again || '/' || doc_id), 1, 15))::BIGINT AS place
+  FROM sized JOIN aimed ON sized.source IS NOT DISTINCT FROM aimed.source,
+    LATERAL (SELECT unnest(range(1, 1 + CASE WHEN source_size > 0 THEN least(3, floor(target / source_size)::BIGINT + 1) ELSE 1 END)) AS again)
+), queued AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY number ORDER BY again, place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM played
+), packets AS (
+  SELECT *, least(packet, size - k * packet) AS words, CASE WHEN target > 0 THEN (before + k * packet + least(packet, size - k * packet)) / target ELSE 0 END AS finish
+  FROM queued, LATERAL (SELECT unnest(range(0, greatest(1, (size + packet - 1) // packet))) AS k)
+), line AS (
+  SELECT *, (SELECT sum(source_size) FROM sources) - coalesce(sum(words) OVER (ORDER BY finish, number, again, place, doc_id, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM packets
+)
+SELECT doc_id, size, source_size, target, (sum(greatest(0, least(words, room))))::BIGINT AS taken FROM line GROUP BY doc_id, size, source_size, target
+"""
