@@ -4,9 +4,9 @@ A document's leaf is the SHA-256 of its fields. Inside a source the leaves ascen
 consecutive nodes (the last run may have fewer, even one) become one, until one is left: the subroot. Subroots,
 ordered by source, give the root likewise. A digest is hashed as its 64 lowercase hex digits.
 
-*Ranks without a global sort* (``radix_ranks``). A row's key is bytes; rows are counted by group and the first two
-bytes in which keys differ, and a running sum over the counts of siblings (65,536 at most) gives each bucket the rank
-of its first row. Buckets of more than ``most`` rows are counted again by two bytes more, and so on, so all that
+*Ranks without a global sort* (``radix_ranks``). A row's key is bytes; rows are counted by group and all up to the first
+byte in which a group's keys differ, and a running sum over the counts of siblings (256 at most) gives each bucket the rank
+of its first row. Buckets of more than ``most`` rows are counted again up to the next byte in which their keys differ, and so on, so all that
 is ever sorted is one small bucket. A document's key is its id (null first), 64 bits of its leaf and its row number, so a
 bucket of rows with one id, however many, splits further.
 
@@ -24,7 +24,6 @@ Bytes that are not UTF-8 are hashed as they are. Result columns alone are return
 from __future__ import annotations
 
 import hashlib
-import os
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -66,26 +65,29 @@ def leaves(docs: DataFrame, fields: list[str], id_col: str, source_col: str, tex
     return cut_lineage(rows.select("doc_id", "source_key", "digest", "other", key.alias("key")))
 
 
+def first_difference(one: str, other: str) -> Column:
+    """The place, from 1, of the first byte in which two byte columns differ; null if they are equal."""
+    return F.expr(f"array_min(filter(sequence(1, greatest(length({one}), length({other}), 1)), i -> substring({one}, i, 1) <> substring({other}, i, 1)))")
+
+
 def radix_ranks(rows: DataFrame, group: str, key: str, most: int = 4096) -> DataFrame:
     """The rows and ``rank``: each row's place, from 0, among the rows of its group by the bytes of its key.
 
-    Keys differ inside a group and no column is null. Rounds grow with the length of the keys over two bytes, past what all keys share.
+    Keys differ inside a group and no column is null. A round takes the first byte in which the keys of a bucket differ.
     """
-    first, last = rows.agg(F.min(key), F.max(key)).first()
-    if first is None:
-        return rows.withColumn("rank", F.lit(0).cast("long"))
-    take = len(os.path.commonprefix([bytes(first), bytes(last)]))
     active, placed = rows.withColumn("__base", F.lit(0).cast("long")), []
     while active is not None:
-        take += 2
+        ends = active.groupBy(group, "__base").agg(F.min(key).alias("__low"), F.max(key).alias("__high"))
+        take = ends.select(first_difference("__low", "__high").alias("at")).agg(F.min("at")).first()[0] or 1
         active = active.withColumn("__prefix", F.substring(key, 1, take))
         counted = active.groupBy(group, "__base", "__prefix").agg(F.count("*").alias("__count"))
         siblings = Window.partitionBy(group, "__base").orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1)
         buckets = cut_lineage(counted.withColumn("__next", F.col("__base") + F.coalesce(F.sum("__count").over(siblings), F.lit(0))))
         joined = join_small(active, buckets, [group, "__base", "__prefix"], "inner").drop("__base", "__prefix").withColumnRenamed("__next", "__base")
+        last = buckets.where(F.col("__count") > most).isEmpty()
+        joined = joined if last else cut_lineage(joined)
         placed.append(joined.where(F.col("__count") <= most).drop("__count"))
-        large = joined.where(F.col("__count") > most).drop("__count")
-        active = None if buckets.where(F.col("__count") > most).isEmpty() else cut_lineage(large)
+        active = None if last else joined.where(F.col("__count") > most).drop("__count")
     out = placed[0]
     for more in placed[1:]:
         out = out.unionByName(more)
