@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from gleanery.llm.common import double, long, slices
+from gleanery.llm.common import double, long, slices, strings
 
 #: One in so many tokens makes a word or a bigram a broadcast one.
 HOT_WORDS, HOT_PAIRS = 1 << 17, 1 << 16
@@ -72,11 +72,19 @@ class Chunk:
         self.pairs = self.before * FIRST + self.words * SECOND
 
 
+def lowered(column: pa.Array) -> pa.Array:
+    """Texts in lower case; null is empty, and bytes that are not UTF-8 come as U+FFFD."""
+    try:
+        return pc.utf8_lower(column.fill_null(""))
+    except pa.ArrowInvalid:
+        return pc.utf8_lower(pa.array([t or "" for t in strings(column)], pa.string()))
+
+
 def chunks(batches) -> Iterator[Chunk]:
     """Chunks of about ``CHUNK`` tokens of rows with columns t, x and, if asked, id."""
     texts, ids, marks, size = [], [], [], 0
     for part in slices(batches):
-        low = pc.utf8_lower(part.column("x").fill_null(""))
+        low = lowered(part.column("x"))
         texts.append(low)
         marks.append(part.column("t").to_numpy(zero_copy_only=False).astype(np.int64))
         ids += part.column("id").to_pylist() if "id" in part.schema.names else []

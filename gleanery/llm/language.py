@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.llm.common import boolean, double, slices, string, text_map
+from gleanery.llm.common import boolean, double, slices, string, strings, text_map
 from gleanery.session import cut_lineage
 
 
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     def count(batches):
         total = np.zeros((len(languages), 1 << bits), np.int64)
         for part in slices(batches):
-            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            for lang, text in zip(strings(part.column(0)), strings(part.column(1))):
                 keys = grams(text, bits)
                 if keys is not None:
                     total[place[lang]] += np.bincount(keys, minlength=1 << bits)
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     def rate(batches):
         sure, right, n = np.zeros(len(model.scale)), np.zeros(len(model.scale), np.int64), 0
         for part in slices(batches):
-            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            for lang, text in zip(strings(part.column(0)), strings(part.column(1))):
                 margins = model.margins(text)
                 if margins is not None:
                     sure += abs(margins)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from gleanery.llm.common import long, slices
+from gleanery.llm.common import long, slices, strings
 from gleanery.session import cut_lineage
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
@@ -213,7 +213,7 @@ def pack(
 
         for part in slices(batches):
             rows = []
-            for key, raw in zip(part.column("__id").to_pylist(), encoder.encode([t or "" for t in part.column("__text").to_pylist()])):
+            for key, raw in zip(part.column("__id").to_pylist(), encoder.encode([t or "" for t in strings(part.column("__text"))])):
                 raw += end
                 total, start = len(raw) // 4, 0
                 rest = total % capacity
