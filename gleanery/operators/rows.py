@@ -8,11 +8,13 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.functions import columns as C
+from gleanery.functions import patterns
 
 #: Hints in class names and texts of pages that block readers.
 BLOCK_WORDS = ["captcha", "access denied", "are you a robot", "unusual traffic", "verify you are human", "请输入验证码", "访问过于频繁", "安全验证"]
@@ -32,7 +34,7 @@ def matches(field: str, op: str = "contains", value=None, low=None, high=None) -
     if op == "eq":
         return s == str(value)
     if op == "regex":
-        return s.rlike(str(value)) if regex_is_safe(str(value)) else F.lit(True)
+        return patterns.search(s, str(value)) if regex_is_safe(str(value)) else F.lit(True)
     if op == "non_empty":
         return ~C.is_blank(c)
     if op == "between":
@@ -57,44 +59,27 @@ def validate_rows(df: DataFrame, field: str, required: bool = False, kind: str |
     if kind in ("int", "float"):
         good = good & (blank | (C.cast_int(c) if kind == "int" else C.cast_float(c)).isNotNull())
     if pattern is not None and regex_is_safe(pattern):
-        good = good & (blank | C.text(c).rlike(pattern))
+        good = good & (blank | patterns.search(C.text(c), pattern))
     return df.where(good)
 
 
 def regex_is_safe(pattern: str) -> bool:
-    """False for patterns that do not compile or repeat what is itself repeated or may be empty (their search can take exponential time)."""
-    try:
-        parsed = re._parser.parse(pattern)  # type: ignore[attr-defined]
-    except (re.error, RecursionError, OverflowError):
-        return False
-    many = {"MAX_REPEAT", "MIN_REPEAT"}
-
-    def bad(items, inside: bool) -> bool:
-        for op, arg in items:
-            name = str(op)
-            if name in many:
-                low, high, sub = arg
-                unbounded = high > 1000
-                if unbounded and inside:
-                    return True
-                if unbounded and sub.getwidth()[0] == 0:
-                    return True
-                if bad(sub, inside or unbounded):
-                    return True
-            elif name == "SUBPATTERN":
-                if bad(arg[-1], inside):
-                    return True
-            elif name == "BRANCH":
-                if inside and len({str(x[:1]) for x in arg[1]}) < len(arg[1]):
-                    return True
-                if any(bad(x, inside) for x in arg[1]):
-                    return True
-            elif name in ("ASSERT", "ASSERT_NOT"):
-                if bad(arg[1], inside):
-                    return True
-        return False
-
-    return not bad(parsed, False)
+    """False for patterns that do not compile or whose search can take more than linear time with every engine there is."""
+    return patterns.usable(pattern)
+
+
+def pattern_growth(df: DataFrame, field: str) -> DataFrame:
+    """``<field>_growth``, ``<field>_power`` and ``<field>_engine`` of patterns in a column; null patterns have none."""
+    kind = T.StructType([T.StructField("growth", T.StringType()), T.StructField("power", T.IntegerType()), T.StructField("engine", T.StringType())])
+
+    @F.arrow_udf(kind)
+    def run(values: pa.Array) -> pa.Array:
+        rows = [None if p is None else {**dict(zip(("growth", "power"), patterns.growth(p))), "engine": patterns.engine(p)} for p in values.to_pylist()]
+        return pa.array(rows, pa.struct([("growth", pa.string()), ("power", pa.int32()), ("engine", pa.string())]))
+
+    found = df.withColumn("__found", run(F.col(field).cast("string")))
+    names = [c for c in df.columns if c not in {f"{field}_{n}" for n in kind.names}]
+    return found.select(*names, *[F.col(f"__found.{n}").alias(f"{field}_{n}") for n in kind.names])
 
 
 def has_private_use(df: DataFrame) -> dict[str, bool]:
@@ -268,8 +253,8 @@ def regex_extract(df: DataFrame, field: str, pattern: str, group: int = 1, to: s
     to = to or f"{field}_提取"
     old = F.col(to).cast("string") if to in df.columns else F.lit(None).cast("string")
     s = C.text(F.col(field))
-    group = group if group <= re.compile(pattern).groups else 0
-    return df.withColumn(to, F.when(s.rlike(pattern), F.regexp_extract(s, pattern, group)).otherwise(old)) if regex_is_safe(pattern) else df
+    group = group if regex_is_safe(pattern) and group <= re.compile(pattern).groups else 0
+    return df.withColumn(to, F.coalesce(patterns.extract(s, pattern, group), old)) if regex_is_safe(pattern) else df
 
 
 def nest(df: DataFrame, field: str, parts: Mapping[str, str]) -> DataFrame:
@@ -280,8 +265,10 @@ def nest(df: DataFrame, field: str, parts: Mapping[str, str]) -> DataFrame:
 
 def regex_first(c: Column, pattern: str, group: int = 0) -> Column:
     """The group of the first match, over line ends and in any case; '' without a match, the whole match for a group that is not there."""
-    group = group if group <= re.compile(pattern).groups else 0
-    return F.coalesce(F.regexp_extract(C.text(c), f"(?is){pattern}", group), F.lit("")) if regex_is_safe(pattern) else F.lit("")
+    flags = re.IGNORECASE | re.DOTALL
+    if not patterns.usable(pattern, flags):
+        return F.lit("")
+    return F.coalesce(patterns.extract(C.text(c), pattern, group if group <= re.compile(pattern).groups else 0, flags), F.lit(""))
 
 
 def split_field(df: DataFrame, field: str, sep: str = ",", to: str | None = None) -> DataFrame:
