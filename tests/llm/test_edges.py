@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 import pytest
-from gleanery.llm import chat, cross_entropy, language, media, packing, pieces, quality, simhash, token_counts, toxicity
+from gleanery.llm import chat, cross_entropy, filter_audit, language, manifest, media, mixing, packing, pieces, quality, simhash, token_counts, toxicity
 from pyspark.sql import functions as F
 
 CLASHES = [
@@ -41,6 +41,8 @@ OPERATORS = {
     "token_counts": lambda d, _: token_counts.count_tokens(d),
     "toxicity": lambda d, lab: toxicity.score_documents(d, lab),
     "cross_entropy": lambda d, lab: cross_entropy.cross_entropy_difference(d, lab),
+    "manifest": lambda d, _: manifest.manifest(d),
+    "mixing": lambda d, _: mixing.mix(d),
 }
 
 
@@ -55,6 +57,32 @@ def test_operator(docs, labels, name):
     assert empty.columns == run(docs, labels).columns and empty.count() == 0
 
 
+#: Texts that are not UTF-8, one of them labelled, so that it is learned from.
+BROKEN = [(1, b"the r\xffver ran past stupid old mills and back to the town that had built it"), (2, b"\xc3"), (3, b"plain words that anyone could read in a book about rivers")]
+
+
+@pytest.fixture(scope="module")
+def broken(spark):
+    rows = spark.createDataFrame([(i, bytearray(t), "en", "a.example") for i, t in BROKEN], "doc_id long, text binary, lang string, source string")
+    rows = rows.withColumn("text", F.col("text").cast("string"))
+    return rows.withColumn("n_chars", F.length("text")).repartition(2)
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_bytes_that_are_not_utf8(spark, broken, name):
+    """They are read as U+FFFD, by what is fitted as by what is applied."""
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in (1, 2, 3)], "doc_id long, quality int, toxic int")
+    got = OPERATORS[name](broken, labels).collect()
+    assert {r.doc_id for r in got} == {1, 2, 3}
+
+
+@pytest.mark.parametrize("number", range(len(corpus_pipeline.STAGES)))
+def test_stage_with_bytes_that_are_not_utf8(spark, broken, tmp_path, number):
+    spark.createDataFrame([(i, 1, i % 2) for i in (1, 2, 3)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.STAGES[number][1](spark, broken, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= {1, 2, 3}
+
+
 def test_packing_of_all_rows(docs):
     got = packing.pack(docs).collect()
     assert sum(r.length for r in got if r.start == 0 and r.doc_tokens == 1) == 3  # null, null, empty
