@@ -1035,7 +1035,7 @@ def _event_stream(spark, sf_dir):
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, sf_dir):
-    out = stateful.dedup_stream(_event_stream(spark, sf_dir).select("ts", "user_id", "event_type"), ["user_id", "event_type"], delay="3650 days")
+    out = stateful.dedup_stream(_event_stream(spark, sf_dir).select("ts", "user_id", "event_type"), ["user_id", "event_type"], delay="7 days")
     return stateful.run_now(out.select("user_id", "event_type"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gleanery.catalog import query
 from gleanery.operators import rows
 from gleanery.session import table
+from gleanery.streaming import stateful, timed
 
 # patterns
 
@@ -36,3 +37,50 @@ def search_in_linear_time(spark, sf_dir):
     d = d.where(rows.matches("text", "regex", r"\w+ .*under .*[A-Z]+") | rows.matches("text", "regex", r"\w+@\w+\.\w+"))
     found = rows.regex_extract(d, "text", r"(\w+)@(\w+)\.\w+", 2, "host")
     return found.select("doc_id", F.coalesce("host", F.lit("")).alias("host"))
+
+
+# streams with timers
+
+#: The last two sources in ten fall silent on the 15th; the clock's row is an hour, the watermark's delay, past the end of the month.
+RUNS = """WITH ledger AS (SELECT event_type || '-' || user_id % 10 AS source, date_trunc('day', ts) AS d_at, count(*) AS count, CASE WHEN (day(ts) + user_id % 10) % 9 = 0 THEN 'error' ELSE 'ok' END AS status
+    FROM events WHERE user_id % 10 < 8 OR day(ts) < 15 GROUP BY 1, 2, 4)
+"""
+
+
+def _run_files(spark, sf_dir):
+    """The ledger of runs as files in order of time, read as a stream a few at a time."""
+    k = F.col("user_id") % 10
+    e = table(spark, sf_dir, "events").where((k < 8) | (F.dayofmonth("ts") < 15))
+    status = F.when((F.dayofmonth("ts") + k) % 9 == 0, "error").otherwise("ok")
+    runs = e.groupBy(F.concat("event_type", F.lit("-"), k.cast("string")).alias("source"), F.date_trunc("day", "ts").cast("timestamp").alias("at"), status.alias("status")).agg(F.count("*").alias("count"))
+    clock = table(spark, sf_dir, "region").limit(1).select(F.lit(None).cast("string").alias("source"), F.lit("2024-02-01 01:00:00").cast("timestamp").alias("at"), F.lit("ok").alias("status"), F.lit(0).cast("bigint").alias("count"))
+    return stateful.replayed(runs.unionByName(clock), "at", 6)
+
+
+@query(
+    RUNS
+    + """, last AS (SELECT source, arg_max(count, d_at) AS c, arg_max(status, d_at) AS st, max(d_at) AS d_at FROM ledger GROUP BY source),
+    three AS (SELECT source, count(*) FILTER (status <> 'ok') AS bad FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY d_at DESC) AS i FROM ledger) WHERE i <= 3 GROUP BY source),
+    h AS (SELECT l.source, l.count, row_number() OVER (PARTITION BY l.source ORDER BY l.d_at DESC) AS i FROM ledger l JOIN last USING (source) WHERE l.d_at < last.d_at AND l.status = 'ok'),
+    b AS (SELECT source, count(*) AS n, median(count)::DOUBLE AS median FROM h WHERE i <= 20 GROUP BY source)
+    SELECT source, CASE WHEN st <> 'ok' OR bad >= 3 THEN 'failing' WHEN epoch(TIMESTAMP '2024-02-01') - epoch(d_at) > 2 * 72 * 3600 THEN 'stale' WHEN c = 0 THEN 'empty_suspicious'
+      WHEN c < 0.5 * median THEN 'volume_drop' WHEN c > 2 * median THEN 'volume_spike' WHEN b.n IS NULL THEN 'no_baseline' ELSE 'ok' END AS verdict,
+      coalesce(b.n, 0) AS history, median, c::DOUBLE AS count FROM last JOIN three USING (source) LEFT JOIN b USING (source)"""
+)
+def stream_health(spark, sf_dir):
+    """The last verdict that a stream of runs gives on each source; silence gives one too."""
+    told = stateful.run_now(timed.health_stream(_run_files(spark, sf_dir), expect_hours=72))
+    last = told.groupBy("source").agg(F.max_by(F.struct("verdict", "history", "median", "count"), "at").alias("last"))
+    return last.select("source", "last.*")
+
+
+@query(
+    """SELECT user_id, event_type, ts FROM (SELECT user_id, event_type, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS before FROM events WHERE ts < TIMESTAMP '2024-02-05')
+    WHERE before IS NULL OR ts - before > INTERVAL 24 HOUR"""
+)
+def stream_first_seen(spark, sf_dir):
+    """Keys that come back after a day of silence count as new; state is kept for a day."""
+    e = table(spark, sf_dir, "events").where("ts < timestamp '2024-02-05'").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    clock = table(spark, sf_dir, "region").limit(1).select(F.lit(-1).cast(e.schema["user_id"].dataType).alias("user_id"), F.lit("clock").alias("event_type"), F.lit("2024-02-09").cast("timestamp").alias("ts"))
+    out = stateful.run_now(timed.first_seen_stream(stateful.replayed(e.unionByName(clock), "ts", 6), ["user_id", "event_type"], keep_hours=24))
+    return out.where("event_type <> 'clock'").withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -120,6 +120,20 @@ def file_stream(spark, path: str, schema, kind: str = "parquet", files_per_trigg
     return spark.readStream.schema(schema).format(kind).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
+def replayed(df: DataFrame, at: str, files: int) -> DataFrame:
+    """A table as a stream: written by ranges of ``at`` into files of the shared folder, which come one a batch in that order."""
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    df.repartitionByRange(files, at).write.parquet(place)
+    files_at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    store = files_at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in store.listStatus(files_at):
+        name = f.getPath().getName()
+        if name.startswith("part-"):  # files come in the order of their time stamps
+            store.setTimes(f.getPath(), 1_700_000_000_000 + 1000 * int(name.split("-")[1]), -1)
+    return file_stream(spark, place, df.schema, files_per_trigger=1)
+
+
 def write_many(df: DataFrame, sinks: list, checkpoint: str, **options):
     """Each batch into every sink (functions of (frame, batch id)); a sink that fails does not keep the others from theirs, then the batch fails."""
 
