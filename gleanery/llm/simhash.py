@@ -23,10 +23,14 @@ An anchor with more than ``CROWD`` rows walks its links as a forest instead of c
 never gives all pairs; the components are the same.
 
 Wide fingerprints (``drop_similar``) are for similarities of whole texts, where many bits differ: 512 bits over
-the different shingles, whose share of differing bits estimates their Jaccard similarity (with a
-standard error of 0.04 at 0.8). No layout of few zones proves links there. ``wide_zones`` draws as many zones of
-random bits as find a pair of just that similarity with probability ``recall``, each zone with all its words as
-anchors; zones get wider with the logarithm of n, so that few fingerprints that are not alike meet.
+the different shingles, whose share of differing bits estimates their Jaccard similarity. No layout of few zones proves links there.
+``wide_zones`` draws zones of random bits, as many as bring a pair of just that similarity together with probability ``recall``. In a zone the anchors
+are the words of the (15, 11) Hamming code on 15 of its bits (covering radius 1, threshold 0, so each fingerprint goes to the one anchor within
+the radius) with all words on the others, of which there are more with the logarithm of n, so that few fingerprints that are not alike meet.
+What an anchor proposes is only a candidate, told by ``SKETCH`` bits with a margin of over three standard deviations: every link is then
+verified by the exact Jaccard similarity of the two texts' sets of shingles. Pairs that are surely alike are proposed as a spanning forest, the doubtful ones
+between its trees all; at an anchor with more than ``CROWD`` rows the closest pair of each two trees. So a group of near copies
+never gives all its pairs.
 
 Words are runs of characters other than space and U+0009 to U+000D, of the text with A to Z in lower case.
 
@@ -206,44 +210,90 @@ def compare(keys: np.ndarray, fps: np.ndarray, most: int, crowd: int = CROWD) ->
     return np.concatenate(out)
 
 
+class Joined:
+    """Sets that grow together."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (p := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(p, p)
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Were they apart before?"""
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
 def span(links: np.ndarray) -> np.ndarray:
     """Of the links a task found, those that join what was not joined yet."""
-    parent: dict[int, int] = {}
+    joined = Joined()
+    return links[np.array([joined.join(a, b) for a, b in links.tolist()], bool)]
+
+
+def candidates(pairs: np.ndarray, bits: np.ndarray, sure: int) -> np.ndarray:
+    """Of the pairs a task found: the sure ones as far as they span, and the others between what those do not join."""
+    joined = Joined()
+    rows = list(zip(pairs.tolist(), bits.tolist()))
+    kept = [p for p, n in rows if n <= sure and joined.join(*p)]
+    kept += [p for p, n in rows if n > sure and joined.root(p[0]) != joined.root(p[1])]
+    return np.array(kept, np.int64).reshape(-1, 2)
 
-    def root(x):
-        while (p := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(p, p)
-        return x
 
-    kept = []
-    for n, (a, b) in enumerate(links.tolist()):
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            kept.append(n)
-    return links[kept]
+def proposed(keys: np.ndarray, fps: np.ndarray, most: int, sure: int, crowd: int = CROWD) -> np.ndarray:
+    """Places of candidate pairs of anchors, all rows being at home: small anchors' pairs within ``most`` bits; of crowded ones a forest of the
+    pairs within ``sure`` bits, and of each two of its trees the closest pair within ``most``."""
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sizes = np.diff(np.r_[starts, len(keys)])
+    out = [np.zeros((0, 2), np.int64)]
+    for at, size in zip(starts[sizes > crowd], sizes[sizes > crowd]):
+        some = fps[at : at + size]
+        tree, trees = np.arange(size), forest(some, sure)
+        for x in trees:  # links of a tree come from its root outwards
+            tree[x[:, 1]] = tree[x[0, 0]]
+        out += [at + x for x in trees]
+        closest: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for i in range(size - 1):
+            bits = apart(some[i], some[i + 1 :])
+            for j in np.flatnonzero((bits <= most) & (tree[i + 1 :] != tree[i])):
+                two = tuple(sorted((int(tree[i]), int(tree[i + 1 + j]))))
+                if two not in closest or bits[j] < closest[two][0]:
+                    closest[two] = (int(bits[j]), i, i + 1 + int(j))
+        if closest:
+            out.append(at + np.array([x[1:] for x in closest.values()], np.int64))
+    at = np.flatnonzero(np.repeat(sizes <= crowd, sizes))
+    if len(at):
+        out.append(at[compare(keys[at], fps[at], most, crowd)])
+    return np.concatenate(out)
 
 
-def _meet(rows: DataFrame, threshold: int) -> DataFrame:
-    """(u, v) from rows (key, fp, and of wide fingerprints their bytes) that are dealt and sorted by key."""
+def _meet(rows: DataFrame, threshold: int, sure: int | None = None) -> DataFrame:
+    """(u, v) from rows (key, fp, and of wide fingerprints some of their bytes) that are dealt and sorted by key; with ``sure`` candidates."""
     wide = "wide" in rows.columns
 
     def run(batches):
         held: list[list[np.ndarray]] = [[], [], []]
-        buffered, found = 0, np.zeros((0, 2), np.int64)
+        buffered, found = 0, np.zeros((0, 3), np.int64)
 
         def flush(last):
             nonlocal held, buffered
             keys, ids, fps = (np.concatenate(x) for x in held)
             cut = len(keys) if last else int(np.searchsorted(keys, keys[-1] >> 1 << 1))  # the last anchor may go on
-            at = compare(keys[:cut], fps[:cut], threshold) if cut else np.zeros((0, 2), np.int64)
+            at = np.zeros((0, 2), np.int64)
+            if cut:
+                at = compare(keys[:cut], fps[:cut], threshold) if sure is None else proposed(keys[:cut], fps[:cut], threshold, sure)
             held, buffered = [[x[cut:]] for x in (keys, ids, fps)], len(keys) - cut
-            pairs = ids[at]
-            return pairs[pairs[:, 0] != pairs[:, 1]]
+            rows = np.column_stack([ids[at], apart(fps[at[:, 0]], fps[at[:, 1]])])
+            return rows[rows[:, 0] != rows[:, 1]]
 
-        def batch(pairs):
-            pairs = np.unique(np.stack([pairs.min(1), pairs.max(1)], 1), axis=0) if len(pairs) else pairs
-            kept = span(pairs)
+        def batch(rows):
+            if len(rows):
+                rows = np.unique(np.column_stack([rows[:, :2].min(1), rows[:, :2].max(1), rows[:, 2]]), axis=0)
+            kept = span(rows[:, :2]) if sure is None else candidates(rows[:, :2], rows[:, 2], sure)
             return pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], ["u", "v"])
 
         for b in batches:
@@ -314,7 +364,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def prepare(rows, body, keep):
         return fingerprints(rows, body, keep, words, seed)
 
-    return _one_of_each(docs, id_col, text_col, prepare, lambda prints: components(prints, threshold))
+    return _one_of_each(docs, id_col, text_col, prepare, lambda prints, *_: components(prints, threshold))
 
 
 #: Bits of a wide fingerprint, and what a shingle's hash is multiplied by for each further 64 of them.
@@ -352,52 +402,120 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def wide_zones(n: int, similarity: float = 0.8, recall: float = 0.95, seed: int = 11) -> np.ndarray:
-    """Zones by places: as wide that about four of n unlike fingerprints meet, as many that ``recall`` is reached."""
-    width = min(40, max(12, math.ceil(math.log2(max(n, 2))) - 2))
-    met = (1 - differing(similarity)) ** width
-    number = math.ceil(math.log(1 - recall) / math.log(1 - met))
+#: Leading bits of a wide fingerprint that candidates are told by.
+SKETCH = 128
+#: Places in a zone that the Hamming code is on.
+CODE = 15
+
+
+def meeting(p: float, extra: int) -> float:
+    """The chance that two fingerprints that differ in a share p of their bits have one anchor in a zone with that many bits besides the code's.
+
+    With one or two differing bits of the code's they share the anchor in one case of eight.
+    """
+    same = sum(math.comb(CODE, d) * p**d * (1 - p) ** (CODE - d) * (1 if d == 0 else 1 / 8) for d in range(3))
+    return same * (1 - p) ** extra
+
+
+def wide_zones(n: int, similarity: float = 0.8, recall: float = 0.985, seed: int = 11) -> np.ndarray:
+    """Zones by places, those of the code first: as wide that about four of n unlike fingerprints meet, as many that ``recall`` is reached.
+
+    Sets of a few shingles differ in a tenth more bits than ``differing`` says, which is allowed for.
+    """
+    extra = min(25, max(0, math.ceil(math.log2(max(n, 2))) - 2 - 11))
+    number = math.ceil(math.log(1 - recall) / math.log(1 - meeting(1.1 * differing(similarity), extra)))
     rng = np.random.default_rng(seed)
-    return np.stack([rng.choice(WIDE, width, replace=False) for _ in range(number)])
+    return np.stack([rng.choice(WIDE, CODE + extra, replace=False) for _ in range(number)])
+
+
+def anchors(bits: np.ndarray) -> np.ndarray:
+    """The number of each row's anchor: the code word within one flip of the leading 15 bits, then the other bits as they are."""
+    place = np.arange(1, CODE + 1)
+    wrong = np.bitwise_xor.reduce(np.where(bits[:, :CODE], place, 0), axis=1)  # the place of the bit that leads to the code word
+    word = bits.astype(np.int64)
+    flip = np.flatnonzero(wrong)
+    word[flip, wrong[flip] - 1] ^= 1
+    return word @ (1 << np.arange(bits.shape[1], dtype=np.int64))
+
 
+def most_differing(similarity: float, bits: int = SKETCH, errors: float = 3.5) -> int:
+    """The bits that fingerprints of that similarity may differ in: the mean (of small sets) and ``errors`` standard deviations."""
+    p = 1.1 * differing(similarity)
+    return int(bits * p + errors * math.sqrt(bits * p * (1 - p)))
 
-def most_differing(similarity: float, errors: float = 1.3) -> int:
-    """The bits that wide fingerprints of that similarity may differ in: the mean and ``errors`` standard deviations (1.3: nine in ten)."""
+
+def surely_differing(similarity: float, bits: int = SKETCH, errors: float = 2.3) -> int:
+    """The bits up to which a pair is surely more similar."""
     p = differing(similarity)
-    return int(WIDE * p + errors * math.sqrt(WIDE * p * (1 - p)))
+    return max(0, int(bits * p - errors * math.sqrt(bits * p * (1 - p))))
 
 
-def similar_links(distinct: DataFrame, n: int, similarity: float = 0.8) -> DataFrame:
-    """(u, v): links between rows (``fp``, ``wide``) whose bits tell of that similarity or more."""
+def similar_candidates(distinct: DataFrame, n: int, similarity: float = 0.8) -> DataFrame:
+    """(u, v): pairs of rows (``fp``, ``wide``) that may be so similar."""
     zones = wide_zones(n, similarity)
-    place = 1 << np.arange(zones.shape[1], dtype=np.int64)
 
     def deal(batches):
         for part in slices(batches):
-            fps, wide = part.column("fp"), part.column("wide")
-            bits = np.unpackbits(np.frombuffer(b"".join(wide.to_pylist()), np.uint8).reshape(len(wide), -1), axis=1)
+            fps, wide = part.column("fp"), part.column("wide").to_pylist()
+            bits = np.unpackbits(np.frombuffer(b"".join(wide), np.uint8).reshape(len(wide), -1), axis=1)
+            sketch = pa.array([w[: SKETCH // 8] for w in wide], pa.binary())
             for number, zone in enumerate(zones):
-                keys = (np.int64(number << 40) + bits[:, zone].astype(np.int64) @ place) * 2
-                yield pa.RecordBatch.from_arrays([pa.array(keys), fps, wide], ["key", "fp", "wide"])
+                keys = (np.int64(number << 40) + anchors(bits[:, zone])) * 2
+                yield pa.RecordBatch.from_arrays([pa.array(keys), fps, sketch], ["key", "fp", "wide"])
 
     dealt = distinct.select("fp", "wide").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     rows = dealt.mapInArrow(deal, "key long, fp long, wide binary").repartition("key").sortWithinPartitions("key")
-    return _meet(rows, most_differing(similarity))
+    return _meet(rows, most_differing(similarity), surely_differing(similarity)).distinct()
+
+
+def shingle_sets(source: DataFrame, key: str, body: str, wanted: DataFrame, words: int, seed: int) -> DataFrame:
+    """(fp, shingles): the set of each wanted fingerprint (``fp``, ``least``: the smallest id with it), of one of its texts, read again."""
+
+    def make():
+        def run(texts):
+            wide = [wide_fingerprint(t, words, seed) for t in texts]
+            return {"fp": [int.from_bytes(xxhash.xxh64_digest(w), "big", signed=True) for w in wide], "shingles": [np.unique(shingles(t, words, seed)).view(np.int64) for t in texts]}
+
+        return run
 
+    ids = cut_lineage(wanted.select("least").distinct())
+    rows = source.select(F.col(key).alias("__id"), body)
+    here = rows.join(ids.where("least is not null"), F.col("__id") == F.col("least"), "left_semi")
+    if not ids.where("least is null").isEmpty():
+        here = here.unionByName(rows.where("__id is null"))
+    read = text_map(here, body, make, T.StructType([long("fp"), T.StructField("shingles", T.ArrayType(T.LongType(), False))]), [])
+    return cut_lineage(read.join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
 
-def similar_components(prints: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """As ``components``, of rows with ``__id``, ``fp`` and ``wide``, linked by the similarity that the bits tell of."""
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("__id").alias("least"), F.count("*").alias("n"), F.first("wide").alias("wide")))
-    return _components(distinct.drop("wide"), similar_links(distinct, distinct.count(), similarity))
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets are so similar (Jaccard), exactly."""
+    with_u = pairs.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
+    both = with_u.join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
+    # sets are sorted without repeats; the larger bounds what can be common
+    shared = F.size(F.array_intersect("a", "b"))
+    fits = F.least(F.size("a"), F.size("b")) >= similarity * F.greatest(F.size("a"), F.size("b"))
+    return both.where(fits & (shared >= similarity * (F.size("a") + F.size("b") - shared))).select("u", "v")
+
+
+def similar_links(source: DataFrame, key: str, body: str, distinct: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
+    """(u, v): links of fingerprints whose texts (rows of ``source``) are so similar, as far as they are needed to join them."""
+    pairs = cut_lineage(similar_candidates(distinct, distinct.count(), similarity))
+    ends = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
+    sets = shingle_sets(source, key, body, cut_lineage(distinct.select("fp", "least").join(ends, "fp")), words, seed)
+    return cut_lineage(verified(pairs, sets, similarity))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, seed: int = 42) -> DataFrame:
-    """The input's rows, one of each component of texts whose sets of shingles are that similar, as wide fingerprints tell."""
+    """The input's rows, one of each component of texts whose sets of shingles are that similar; links are verified exactly."""
 
     def prepare(rows, body, keep):
         return wide_fingerprints(rows, body, keep, words, seed)
 
-    return _one_of_each(docs, id_col, text_col, prepare, lambda prints: similar_components(prints, similarity))
+    def group(prints, source, key, body):
+        distinct = cut_lineage(prints.groupBy("fp").agg(F.min("__id").alias("least"), F.count("*").alias("n"), F.first("wide").alias("wide")))
+        return _components(distinct.drop("wide"), similar_links(source, key, body, distinct, similarity, words, seed))
+
+    return _one_of_each(docs, id_col, text_col, prepare, group)
 
 
 def _one_of_each(docs: DataFrame, id_col: str, text_col: str, prepare, group) -> DataFrame:
@@ -405,7 +523,7 @@ def _one_of_each(docs: DataFrame, id_col: str, text_col: str, prepare, group) ->
     source = docs.select(*[docs[c].alias(f"in_{i}") for i, c in enumerate(names)])
     key, body = (f"in_{names.index(c)}" for c in (id_col, text_col))
     prints = cut_lineage(prepare(source.select(F.col(key).alias("__id"), body), body, ["__id"]))
-    ids = cut_lineage(group(prints))
+    ids = cut_lineage(group(prints, source, key, body))
     rows = prints.groupBy("__id").agg(F.count("*").alias("__n"), F.min("fp").alias("fp"))
     unique = F.col("__id").isNotNull() & (F.col("__n") == 1)
     # a component keeps its smallest id, so the row that stays is found by id alone

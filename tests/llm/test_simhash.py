@@ -105,25 +105,57 @@ def test_wide_fingerprints_tell_similarity():
         assert abs(apart - simhash.differing(similarity(a, b))) < 4 * (0.25 / simhash.WIDE) ** 0.5
     assert simhash.wide_fingerprint(None) == simhash.wide_fingerprint(" \n") == bytes(simhash.WIDE // 8)
     zones = simhash.wide_zones(10**6)
-    assert 1 - (1 - (1 - simhash.differing(0.8)) ** zones.shape[1]) ** len(zones) >= 0.95
+    assert 1 - (1 - simhash.meeting(simhash.differing(0.8), zones.shape[1] - simhash.CODE)) ** len(zones) >= 0.985
+
+
+def test_anchors_cover():
+    """Every word is within one flip of its anchor, an anchor is its own, and the chance to meet is that of a count over all words."""
+    words = (np.arange(1 << 15)[:, None] >> np.arange(15) & 1).astype(np.uint8)
+    at = simhash.anchors(words)
+    assert len(set(at.tolist())) == 2048 and max(int(a ^ b).bit_count() for a, b in zip(at.tolist(), range(1 << 15))) == 1
+    p, met = 0.15, 0.0
+    for flips in range(1 << 15):
+        if (n := flips.bit_count()) <= 3:
+            met += p**n * (1 - p) ** (15 - n) * (at == at[np.arange(1 << 15) ^ flips]).mean()
+    assert abs(met - simhash.meeting(p, 0)) < 1e-9
+
+
+def test_candidates_join_all_that_is_alike():
+    """At small and at crowded anchors: the pairs given join what all pairs within the bound would join."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, (3, 2), dtype=np.int64).view(np.uint64)
+    rows = np.repeat(base, 40, axis=0)
+    for i in range(len(rows)):
+        for at in rng.choice(128, rng.integers(0, 12), replace=False):
+            rows[i, at // 64] ^= np.uint64(1 << (int(at) % 64))
+    keys = np.zeros(len(rows), np.int64)
+    near = [(i, j) for i in range(120) for j in range(i) if simhash.apart(rows[i], rows[j : j + 1])[0] <= 14]
+    want = simhash.Joined()
+    for a, b in near:
+        want.join(a, b)
+    for crowd in (4, 1000):
+        got = simhash.proposed(keys, rows, 14, 5, crowd)
+        bits = simhash.apart(rows[got[:, 0]], rows[got[:, 1]])
+        assert (bits <= 14).all()
+        kept = simhash.candidates(got, bits, 5)
+        have = simhash.Joined()
+        for a, b in kept.tolist():
+            have.join(a, b)
+        assert all((have.root(i) == have.root(j)) == (want.root(i) == want.root(j)) for i in range(120) for j in range(i))
 
 
 def test_drop_similar(spark):
-    """Planted pairs: those clearly over 0.8 lose one text, those clearly under keep both."""
+    """Planted pairs: those of 0.8 and more lose one text, all others keep both."""
     rng = random.Random(15)
     rows, near, far = [], [], []
     for i in range(120):
         base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
-        n = rng.choice([0, 1, 3, 5, 20, 30, 60])
+        n = rng.choice([0, 1, 3, 5, 6, 7, 8, 9, 20])
         other = list(base)
         for at in rng.sample(range(300), n):
             other[at] = "y" + other[at]
         rows += [(2 * i, " ".join(base), "x"), (2 * i + 1, " ".join(other), "x")]
-        s = similarity(rows[-2][1], rows[-1][1])
-        if s >= 0.86:
-            near.append(i)
-        elif s <= 0.6:
-            far.append(i)
+        (near if similarity(rows[-2][1], rows[-1][1]) >= 0.8 else far).append(i)
     rows += [(1000, None, "x"), (1001, "", "x"), (None, rows[0][1], "x"), (0, rows[0][1], "x"), (0, "quite another text under a known id", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, wide string").repartition(3)
     kept = simhash.drop_similar(docs)
@@ -137,6 +169,30 @@ def test_drop_similar(spark):
     assert simhash.drop_similar(docs.limit(0)).count() == 0
 
 
+def test_drop_similar_against_all_pairs(spark):
+    """Documents of a data directory: no group, by exact similarity of all pairs, without a kept text; and few with two."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    sets = {r.doc_id: set(simhash.shingles(r.text, 5, 42).tolist()) for r in rows}
+    holders, joined, true = {}, simhash.Joined(), []
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    pairs = {(i, j) for h in holders.values() for i in h for j in h if i < j}
+    for i, j in sorted(pairs):
+        both = len(sets[i] & sets[j])
+        if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            true.append((i, j))
+            joined.join(i, j)
+    empty = [i for i, s in sets.items() if not s]
+    for a, b in zip(empty, empty[1:]):
+        joined.join(a, b)
+    kept = [r.doc_id for r in simhash.drop_similar(docs).collect()]
+    groups = {joined.root(i) for i in sets}
+    assert {joined.root(i) for i in kept} == groups
+    assert len(kept) - len(groups) <= 0.05 * len(true)
+
+
 def test_connected_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(90)] + [(None, 3), (7, 7)]
