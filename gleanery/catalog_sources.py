@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gleanery.catalog import query
 from gleanery.operators import rows
-from gleanery.session import table
+from gleanery.session import shared_folder, table
+from gleanery.sources import io, workbook
 from gleanery.streaming import stateful, timed
 
 # patterns
@@ -84,3 +87,17 @@ def stream_first_seen(spark, sf_dir):
     clock = table(spark, sf_dir, "region").limit(1).select(F.lit(-1).cast(e.schema["user_id"].dataType).alias("user_id"), F.lit("clock").alias("event_type"), F.lit("2024-02-09").cast("timestamp").alias("ts"))
     out = stateful.run_now(timed.first_seen_stream(stateful.replayed(e.unionByName(clock), "ts", 6), ["user_id", "event_type"], keep_hours=24))
     return out.where("event_type <> 'clock'").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+# workbooks
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN '''=' || c_name ELSE c_name END AS c_name, c_acctbal, c_mktsegment FROM customer")
+def xlsx_round_trip(spark, sf_dir):
+    """A table written as workbooks and read back."""
+    place = f"{shared_folder(spark)}/workbooks-{uuid.uuid4().hex}"
+    name = F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("="), "c_name")).otherwise(F.col("c_name")).alias("c_name")
+    workbook.write_xlsx(table(spark, sf_dir, "customer").select("c_custkey", name, "c_acctbal", "c_mktsegment"), place, rows_per_file=100_000)
+    c = F.col("cells")
+    rows = io.read_xlsx(spark, f"{place}/*.xlsx").where("row_no > 0")
+    return rows.select(c[0].cast("bigint").alias("c_custkey"), c[1].alias("c_name"), c[2].cast("double").alias("c_acctbal"), c[3].alias("c_mktsegment"))
