@@ -64,13 +64,6 @@ def like_counts(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", C.like_count(said).alias("n"))
 
 
-@query("SELECT n_nationkey, ['pdf', 'zip', 'png', 'jpg', 'gif', 'ole', 'gz', 'rar', 'unknown'][n_nationkey % 9 + 1] AS kind FROM nation")
-def file_kinds(spark, sf_dir):
-    heads = ["255044462D", "504B03041400", "89504E470D", "FFD8FFE0", "474946383961", "D0CF11E0A1B1", "1F8B08", "526172211A", "00112233"]
-    body = F.unhex(F.element_at(F.array(*map(F.lit, heads)), (F.col("n_nationkey") % 9 + 1).cast("int")))
-    return table(spark, sf_dir, "nation").select("n_nationkey", C.file_kind(body).alias("kind"))
-
-
 @query("SELECT p_partkey, ['agree', 'alt_wins', 'differ', 'no_alt'][p_partkey % 4 + 1] AS verdict FROM part")
 def two_readings(spark, sf_dir):
     k, name = F.col("p_partkey") % 4, F.col("p_name")

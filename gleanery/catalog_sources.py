@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import gzip
+import io as bytesio
 import uuid
+import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gleanery.catalog import query
+from gleanery.functions import columns as C
 from gleanery.operators import rows
 from gleanery.session import shared_folder, table
-from gleanery.sources import io, workbook
+from gleanery.sources import io, many_files, workbook
 from gleanery.streaming import stateful, timed
 
 # patterns
@@ -101,3 +106,77 @@ def xlsx_round_trip(spark, sf_dir):
     c = F.col("cells")
     rows = io.read_xlsx(spark, f"{place}/*.xlsx").where("row_no > 0")
     return rows.select(c[0].cast("bigint").alias("c_custkey"), c[1].alias("c_name"), c[2].cast("double").alias("c_acctbal"), c[3].alias("c_mktsegment"))
+
+
+# many files
+
+#: Lists of the suppliers of each nation as CSV (JSON where the nation's number is 3 of 5), with a version stuck to the names in every fifth; every fifth
+#: comes a second time, clean, and every seventh has a broken file beside it.
+FILES = """WITH s AS (SELECT s_nationkey AS k, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i, s_name || ' 1.0' AS name FROM supplier),
+    f AS (SELECT k, 'n' || lpad(k::VARCHAR, 2, '0') || 'a' AS path, CASE WHEN k % 5 = 3 THEN 'json' ELSE 'csv' END AS chain, CASE WHEN k % 5 = 0 THEN '1.0' ELSE '2' END AS version FROM (SELECT DISTINCT k FROM s)
+      UNION ALL SELECT k, 'n' || lpad(k::VARCHAR, 2, '0') || 'b', 'csv', '2' FROM (SELECT DISTINCT k FROM s) WHERE k % 5 = 0)
+"""
+
+
+def _files(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), "s_suppkey", F.concat("s_name", F.lit(" 1.0")).alias("name"))
+    made = s.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "name"))).alias("l"))
+
+    def path(part):
+        return F.concat(F.lit("n"), F.lpad(F.col("k").cast("string"), 2, "0"), F.lit(part))
+
+    def text(version):
+        lines = F.transform("l", lambda x, i: F.concat_ws(",", (i + 1).cast("string"), x["name"], F.concat(F.lit("co "), x["s_suppkey"].cast("string")), version))
+        return F.concat_ws("\n", F.lit("序号,应用名称,企业名称,版本"), lines)
+
+    def records(version):
+        rows = F.transform("l", lambda x, i: F.struct((i + 1).cast("string").alias("序号"), x["name"].alias("应用名称"), F.concat(F.lit("co "), x["s_suppkey"].cast("string")).alias("企业名称"), version.alias("版本")))
+        return F.to_json(F.struct(rows.alias("data")))
+
+    first = made.select(path("a").alias("path"), F.when(F.col("k") % 5 == 3, records(F.lit("2"))).otherwise(text(F.when(F.col("k") % 5 == 0, "1.0").otherwise("2"))).cast("binary").alias("content"))
+    second = made.where("k % 5 = 0").select(path("b").alias("path"), text(F.lit("2")).cast("binary").alias("content"))
+    broken = made.where("k % 7 = 0").select(path("x").alias("path"), F.concat(F.lit(b"PK\x03\x04"), F.col("k").cast("string").cast("binary")).alias("content"))
+    return first.unionByName(second).unionByName(broken)
+
+
+@query(
+    FILES
+    + """SELECT path AS source_file, i AS seq, name AS app_name, 'co ' || s_suppkey AS company_name, version FROM f JOIN s USING (k) WHERE path LIKE CASE WHEN k % 5 = 0 THEN '%b' ELSE '%a' END"""
+)
+def many_files_records(spark, sf_dir):
+    records, _ = many_files.tables_of(_files(spark, sf_dir))
+    return records.select("source_file", F.col("seq").cast("bigint").alias("seq"), "app_name", "company_name", "version")
+
+
+@query(
+    FILES
+    + """, n AS (SELECT k, count(*) AS n_rows FROM s GROUP BY k)
+    SELECT path, chain, n_rows, NULL AS error, CASE WHEN path LIKE '%a' AND k % 5 = 0 THEN 'same list' ELSE 'kept' END AS part, CASE WHEN k % 5 = 0 THEN replace(path, 'a', 'b') ELSE path END AS kept_file FROM f JOIN n USING (k)
+    UNION ALL SELECT 'n' || lpad(k::VARCHAR, 2, '0') || 'x', NULL, 0, 'BadZipFile', 'nothing', NULL FROM n WHERE k % 7 = 0"""
+)
+def many_files_account(spark, sf_dir):
+    _, account = many_files.tables_of(_files(spark, sf_dir))
+    return account.withColumn("error", F.regexp_extract("error", r"^\w+", 0))
+
+
+@query("SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'docx' WHEN 1 THEN 'xlsx' WHEN 2 THEN 'zip' WHEN 3 THEN 'gz' WHEN 4 THEN 'pdf' WHEN 5 THEN 'doc' ELSE 'unknown' END AS kind FROM documents")
+def file_kinds(spark, sf_dir):
+    """Files made from each document's text; a plain ZIP's text names the parts of the others."""
+
+    @F.arrow_udf("binary")
+    def made(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        out = []
+        for i, t in zip(ids.to_pylist(), texts.to_pylist()):
+            text = (t or "").encode() + b" word/document.xml xl/workbook.xml"
+            name = {0: "word/document.xml", 1: "xl/workbook.xml", 2: "notes.txt"}.get(i % 7)
+            if name:
+                held = bytesio.BytesIO()
+                with zipfile.ZipFile(held, "w") as z:
+                    z.writestr(name, text)
+                out.append(held.getvalue())
+            else:
+                out.append({3: gzip.compress(text), 4: b"%PDF-1.7\n" + text, 5: b"\xd0\xcf\x11\xe0" + "WordDocument".encode("utf-16-le") + text}.get(i % 7, b"- " + text))
+        return pa.array(out, pa.binary())
+
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", C.file_kind(made("doc_id", "text")).alias("kind"))
