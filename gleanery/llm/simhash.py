@@ -28,9 +28,9 @@ the different shingles, whose share of differing bits estimates their Jaccard si
 are the words of the (15, 11) Hamming code on 15 of its bits (covering radius 1, threshold 0, so each fingerprint goes to the one anchor within
 the radius) with all words on the others, of which there are more with the logarithm of n, so that few fingerprints that are not alike meet.
 What an anchor proposes is only a candidate, told by ``SKETCH`` bits with a margin of over three standard deviations: every link is then
-verified by the exact Jaccard similarity of the two texts' sets of shingles. Pairs that are surely alike are proposed as a spanning forest, the doubtful ones
-between its trees all; at an anchor with more than ``CROWD`` rows the closest pair of each two trees. So a group of near copies
-never gives all its pairs.
+verified by the exact Jaccard similarity of the two texts' sets of shingles. An anchor proposes a forest of the closest pairs, not all of them, and it does so in
+two rounds: what the first ``EARLY`` zones propose is verified and joined, and the other zones propose pairs of what that left apart. So a group of near copies gives a few
+pairs a text, and a text that is linked to any other of its group has many chances to be found.
 
 Words are runs of characters other than space and U+0009 to U+000D, of the text with A to Z in lower case.
 
@@ -43,6 +43,7 @@ if there is none; repeated rows give a row each; an empty table gives an empty r
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations, combinations_with_replacement
 
 import numpy as np
@@ -187,27 +188,26 @@ def forest(fps: np.ndarray, most: int) -> list[np.ndarray]:
     return out
 
 
-def compare(keys: np.ndarray, fps: np.ndarray, most: int, crowd: int = CROWD) -> np.ndarray:
-    """Places of links between the homes of each anchor and all at it. Rows are sorted by key; anchors are whole."""
+def compare(keys: np.ndarray, fps: np.ndarray, most: int, crowd: int = CROWD) -> Iterator[np.ndarray]:
+    """Places of links between the homes of each anchor and all at it, some at a time. Rows are sorted by key; anchors are whole."""
     anchors = keys >> 1
     starts = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     homes = np.add.reduceat((keys & 1 == 0).astype(np.int64), starts)
-    out = [np.zeros((0, 2), np.int64)]
     for at in np.flatnonzero((sizes > crowd) & (homes > 0)):
-        out += [starts[at] + x for x in forest(fps[starts[at] : starts[at] + sizes[at]], most)]
+        for tree in forest(fps[starts[at] : starts[at] + sizes[at]], most):
+            yield starts[at] + tree
     small = (sizes <= crowd) & (sizes > 1) & (homes > 0)
     starts, sizes, homes = starts[small], sizes[small], homes[small]
     left = np.repeat(starts, homes) + np.arange(homes.sum()) - np.repeat(np.cumsum(homes) - homes, homes)
     widths, begins = np.repeat(sizes, homes), np.repeat(starts, homes)
-    step = max(1, 2_000_000 // (crowd * fps[:1].size or 1))
+    step = max(1, 1_000_000 // (crowd * fps[:1].size or 1))
     for at in range(0, len(left), step):
         a, w, b = left[at : at + step], widths[at : at + step], begins[at : at + step]
         i = np.repeat(a, w)
         j = np.repeat(b, w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
         near = (apart(fps[i], fps[j]) <= most) & (i != j)
-        out.append(np.stack([i[near], j[near]], 1))
-    return np.concatenate(out)
+        yield np.stack([i[near], j[near]], 1)
 
 
 class Joined:
@@ -235,81 +235,87 @@ def span(links: np.ndarray) -> np.ndarray:
     return links[np.array([joined.join(a, b) for a, b in links.tolist()], bool)]
 
 
-def candidates(pairs: np.ndarray, bits: np.ndarray, sure: int) -> np.ndarray:
-    """Of the pairs a task found: the sure ones as far as they span, and the others between what those do not join."""
+def closest(pairs: np.ndarray) -> np.ndarray:
+    """Of rows (u, v, bits, group of u, group of v) those that join groups that were apart, the closest first."""
     joined = Joined()
-    rows = list(zip(pairs.tolist(), bits.tolist()))
-    kept = [p for p, n in rows if n <= sure and joined.join(*p)]
-    kept += [p for p, n in rows if n > sure and joined.root(p[0]) != joined.root(p[1])]
-    return np.array(kept, np.int64).reshape(-1, 2)
-
-
-def proposed(keys: np.ndarray, fps: np.ndarray, most: int, sure: int, crowd: int = CROWD) -> np.ndarray:
-    """Places of candidate pairs of anchors, all rows being at home: small anchors' pairs within ``most`` bits; of crowded ones a forest of the
-    pairs within ``sure`` bits, and of each two of its trees the closest pair within ``most``."""
+    order = np.argsort(pairs[:, 2], kind="stable")
+    return pairs[order][np.array([joined.join(a, b) for a, b in pairs[order][:, 3:].tolist()], bool)]
+
+
+def nearest_forest(fps: np.ndarray, groups: np.ndarray, most: int) -> np.ndarray:
+    """Places of the closest pairs within ``most`` bits that join the rows' groups, tree by tree; one row is compared with all others at a time."""
+    n, out = len(fps), []
+    rest = np.ones(n, bool)
+    best, partner = np.full(n, most + 1), np.zeros(n, np.int64)
+    for _ in range(n):
+        left = np.flatnonzero(rest)
+        at = left[np.argmin(best[left])]
+        if 0 <= best[at] <= most and groups[partner[at]] != groups[at]:
+            out.append((partner[at], at))
+        rest[at] = False
+        left = np.flatnonzero(rest)
+        bits = np.where(groups[left] == groups[at], -1, apart(fps[at], fps[left]))
+        nearer = bits < best[left]
+        best[left[nearer]], partner[left[nearer]] = bits[nearer], at
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def proposed(keys: np.ndarray, fps: np.ndarray, groups: np.ndarray, most: int, crowd: int = CROWD) -> Iterator[np.ndarray]:
+    """Places of candidate pairs of anchors, all rows being at home: small anchors' pairs within ``most`` bits, crowded ones' closest pairs."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
-    out = [np.zeros((0, 2), np.int64)]
     for at, size in zip(starts[sizes > crowd], sizes[sizes > crowd]):
-        some = fps[at : at + size]
-        tree, trees = np.arange(size), forest(some, sure)
-        for x in trees:  # links of a tree come from its root outwards
-            tree[x[:, 1]] = tree[x[0, 0]]
-        out += [at + x for x in trees]
-        closest: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for i in range(size - 1):
-            bits = apart(some[i], some[i + 1 :])
-            for j in np.flatnonzero((bits <= most) & (tree[i + 1 :] != tree[i])):
-                two = tuple(sorted((int(tree[i]), int(tree[i + 1 + j]))))
-                if two not in closest or bits[j] < closest[two][0]:
-                    closest[two] = (int(bits[j]), i, i + 1 + int(j))
-        if closest:
-            out.append(at + np.array([x[1:] for x in closest.values()], np.int64))
+        yield at + nearest_forest(fps[at : at + size], groups[at : at + size], most)
     at = np.flatnonzero(np.repeat(sizes <= crowd, sizes))
     if len(at):
-        out.append(at[compare(keys[at], fps[at], most, crowd)])
-    return np.concatenate(out)
+        for found in compare(keys[at], fps[at], most, crowd):
+            yield at[found]
 
 
-def _meet(rows: DataFrame, threshold: int, sure: int | None = None) -> DataFrame:
-    """(u, v) from rows (key, fp, and of wide fingerprints some of their bytes) that are dealt and sorted by key; with ``sure`` candidates."""
+def _meet(rows: DataFrame, threshold: int) -> DataFrame:
+    """(u, v) from rows (key, fp, and of wide fingerprints some of their bytes and a group) that are dealt and sorted by key."""
     wide = "wide" in rows.columns
 
     def run(batches):
-        held: list[list[np.ndarray]] = [[], [], []]
-        buffered, found = 0, np.zeros((0, 3), np.int64)
+        held: list[list[np.ndarray]] = [[], [], [], []]
+        buffered, found, none = 0, [], np.zeros((0, 5 if wide else 2), np.int64)
+
+        def reduced(pairs):
+            if not len(pairs):
+                return pairs
+            pairs = np.unique(np.where((pairs[:, 0] < pairs[:, 1])[:, None], pairs, pairs[:, [1, 0, 2, 4, 3] if wide else [1, 0]]), axis=0)
+            return closest(pairs) if wide else span(pairs)
 
         def flush(last):
             nonlocal held, buffered
-            keys, ids, fps = (np.concatenate(x) for x in held)
+            keys, ids, fps, groups = (np.concatenate(x) for x in held)
             cut = len(keys) if last else int(np.searchsorted(keys, keys[-1] >> 1 << 1))  # the last anchor may go on
-            at = np.zeros((0, 2), np.int64)
+            out = []
             if cut:
-                at = compare(keys[:cut], fps[:cut], threshold) if sure is None else proposed(keys[:cut], fps[:cut], threshold, sure)
-            held, buffered = [[x[cut:]] for x in (keys, ids, fps)], len(keys) - cut
-            rows = np.column_stack([ids[at], apart(fps[at[:, 0]], fps[at[:, 1]])])
-            return rows[rows[:, 0] != rows[:, 1]]
-
-        def batch(rows):
-            if len(rows):
-                rows = np.unique(np.column_stack([rows[:, :2].min(1), rows[:, :2].max(1), rows[:, 2]]), axis=0)
-            kept = span(rows[:, :2]) if sure is None else candidates(rows[:, :2], rows[:, 2], sure)
+                for at in proposed(keys[:cut], fps[:cut], groups[:cut], threshold) if wide else compare(keys[:cut], fps[:cut], threshold):
+                    at = at[groups[at[:, 0]] != groups[at[:, 1]]]
+                    out.append(reduced(np.column_stack([ids[at], apart(fps[at[:, 0]], fps[at[:, 1]]), groups[at]]) if wide else ids[at]))
+            held, buffered = [[x[cut:]] for x in (keys, ids, fps, groups)], len(keys) - cut
+            return out
+
+        def batch(pairs):
+            kept = reduced(np.concatenate([none, *pairs]))
             return pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], ["u", "v"])
 
         for b in batches:
             if b.num_rows:
                 ids = b.column("fp").to_numpy()
                 bits = np.frombuffer(b"".join(b.column("wide").to_pylist()), np.uint64).reshape(len(ids), -1) if wide else ids.view(np.uint64)
-                for x, new in zip(held, (b.column("key").to_numpy(), ids, bits)):
+                for x, new in zip(held, (b.column("key").to_numpy(), ids, bits, b.column("group").to_numpy() if wide else ids)):
                     x.append(new)
                 buffered += b.num_rows
             if buffered >= (100_000 if wide else 400_000):
-                found = np.concatenate([found, flush(False)])
-                if len(found) >= 200_000:
+                found += flush(False)
+                if sum(map(len, found)) >= 200_000:
                     yield batch(found)
-                    found = found[:0]
+                    found = []
         if buffered:
-            found = np.concatenate([found, flush(True)])
+            found += flush(True)
         yield batch(found)
 
     return rows.mapInArrow(run, "u long, v long")
@@ -404,8 +410,8 @@ def differing(similarity: float) -> float:
 
 #: Leading bits of a wide fingerprint that candidates are told by.
 SKETCH = 128
-#: Places in a zone that the Hamming code is on.
-CODE = 15
+#: Places in a zone that the Hamming code is on; zones of the first round.
+CODE, EARLY = 15, 8
 
 
 def meeting(p: float, extra: int) -> float:
@@ -444,28 +450,22 @@ def most_differing(similarity: float, bits: int = SKETCH, errors: float = 3.5) -
     return int(bits * p + errors * math.sqrt(bits * p * (1 - p)))
 
 
-def surely_differing(similarity: float, bits: int = SKETCH, errors: float = 2.3) -> int:
-    """The bits up to which a pair is surely more similar."""
-    p = differing(similarity)
-    return max(0, int(bits * p - errors * math.sqrt(bits * p * (1 - p))))
-
-
-def similar_candidates(distinct: DataFrame, n: int, similarity: float = 0.8) -> DataFrame:
-    """(u, v): pairs of rows (``fp``, ``wide``) that may be so similar."""
-    zones = wide_zones(n, similarity)
+def similar_candidates(rows: DataFrame, zones: np.ndarray, most: int) -> DataFrame:
+    """(u, v): pairs of rows (``fp``, ``wide``, ``group``) of different groups that may be similar; each zone tells by bits of its own."""
+    part, parts = SKETCH // 8, WIDE // SKETCH
 
     def deal(batches):
-        for part in slices(batches):
-            fps, wide = part.column("fp"), part.column("wide").to_pylist()
+        for piece in slices(batches):
+            fps, group, wide = piece.column("fp"), piece.column("group"), piece.column("wide").to_pylist()
             bits = np.unpackbits(np.frombuffer(b"".join(wide), np.uint8).reshape(len(wide), -1), axis=1)
-            sketch = pa.array([w[: SKETCH // 8] for w in wide], pa.binary())
+            sketches = [pa.array([w[part * i : part * (i + 1)] for w in wide], pa.binary()) for i in range(parts)]
             for number, zone in enumerate(zones):
                 keys = (np.int64(number << 40) + anchors(bits[:, zone])) * 2
-                yield pa.RecordBatch.from_arrays([pa.array(keys), fps, sketch], ["key", "fp", "wide"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), fps, group, sketches[number % parts]], ["key", "fp", "group", "wide"])
 
-    dealt = distinct.select("fp", "wide").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    rows = dealt.mapInArrow(deal, "key long, fp long, wide binary").repartition("key").sortWithinPartitions("key")
-    return _meet(rows, most_differing(similarity), surely_differing(similarity)).distinct()
+    dealt = rows.select("fp", "group", "wide").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    met = dealt.mapInArrow(deal, "key long, fp long, group long, wide binary").repartition("key").sortWithinPartitions("key")
+    return _meet(met, most).distinct()
 
 
 def shingle_sets(source: DataFrame, key: str, body: str, wanted: DataFrame, words: int, seed: int) -> DataFrame:
@@ -499,10 +499,16 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def similar_links(source: DataFrame, key: str, body: str, distinct: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
     """(u, v): links of fingerprints whose texts (rows of ``source``) are so similar, as far as they are needed to join them."""
-    pairs = cut_lineage(similar_candidates(distinct, distinct.count(), similarity))
-    ends = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
-    sets = shingle_sets(source, key, body, cut_lineage(distinct.select("fp", "least").join(ends, "fp")), words, seed)
-    return cut_lineage(verified(pairs, sets, similarity))
+    zones, most = wide_zones(distinct.count(), similarity), most_differing(similarity)
+    rows, found = distinct.select("fp", "wide", F.col("fp").alias("group")), None
+    for part in (zones[:EARLY], zones[EARLY:]):
+        pairs = cut_lineage(similar_candidates(rows, part, most))
+        ends = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
+        sets = shingle_sets(source, key, body, cut_lineage(distinct.select("fp", "least").join(ends, "fp")), words, seed)
+        new = verified(pairs, sets, similarity)
+        found = cut_lineage(new if found is None else found.unionByName(new))
+        rows = distinct.select("fp", "wide").join(connected_components(found).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "wide", F.coalesce("root", "fp").alias("group"))
+    return found
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, seed: int = 42) -> DataFrame:

@@ -121,7 +121,7 @@ def test_anchors_cover():
 
 
 def test_candidates_join_all_that_is_alike():
-    """At small and at crowded anchors: the pairs given join what all pairs within the bound would join."""
+    """At small and at crowded anchors: the pairs given join what all pairs within the bound would join, and no more than are needed."""
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, (3, 2), dtype=np.int64).view(np.uint64)
     rows = np.repeat(base, 40, axis=0)
@@ -130,18 +130,21 @@ def test_candidates_join_all_that_is_alike():
             rows[i, at // 64] ^= np.uint64(1 << (int(at) % 64))
     keys = np.zeros(len(rows), np.int64)
     near = [(i, j) for i in range(120) for j in range(i) if simhash.apart(rows[i], rows[j : j + 1])[0] <= 14]
-    want = simhash.Joined()
-    for a, b in near:
-        want.join(a, b)
-    for crowd in (4, 1000):
-        got = simhash.proposed(keys, rows, 14, 5, crowd)
-        bits = simhash.apart(rows[got[:, 0]], rows[got[:, 1]])
-        assert (bits <= 14).all()
-        kept = simhash.candidates(got, bits, 5)
-        have = simhash.Joined()
-        for a, b in kept.tolist():
-            have.join(a, b)
-        assert all((have.root(i) == have.root(j)) == (want.root(i) == want.root(j)) for i in range(120) for j in range(i))
+    for groups in (np.arange(120), np.arange(120) // 3):
+        want = simhash.Joined()
+        for a, b in near + [(i, j) for i in range(120) for j in range(i) if groups[i] == groups[j]]:
+            want.join(a, b)
+        for crowd in (4, 1000):
+            got = np.concatenate(list(simhash.proposed(keys, rows, groups, 14, crowd)))
+            got = got[groups[got[:, 0]] != groups[got[:, 1]]]
+            bits = simhash.apart(rows[got[:, 0]], rows[got[:, 1]])
+            assert (bits <= 14).all()
+            kept = simhash.closest(np.column_stack([got, bits, groups[got]]))
+            assert len(kept) < len(set(groups.tolist()))
+            have = simhash.Joined()
+            for a, b in kept[:, :2].tolist() + [(i, j) for i in range(120) for j in range(i) if groups[i] == groups[j]]:
+                have.join(a, b)
+            assert all((have.root(i) == have.root(j)) == (want.root(i) == want.root(j)) for i in range(120) for j in range(i))
 
 
 def test_drop_similar(spark):
