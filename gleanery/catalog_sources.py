@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from gleanery.catalog import query
 from gleanery.functions import columns as C
-from gleanery.operators import rows
-from gleanery.session import shared_folder, table
+from gleanery.operators import catalogue, panel, rows, scripts
+from gleanery.plans import infer, registry, spec
+from gleanery.session import cut_lineage, shared_folder, table
 from gleanery.sources import io, many_files, workbook
-from gleanery.streaming import stateful, timed
+from gleanery.streaming import events, stateful, timed
 
 # patterns
 
@@ -180,3 +181,169 @@ def file_kinds(spark, sf_dir):
 
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", C.file_kind(made("doc_id", "text")).alias("kind"))
+
+
+# scripts and captures
+
+
+@query(
+    """WITH p AS (SELECT page_id, page_id % 3 AS k, page_id % 4 AS host FROM pages)
+    SELECT method, url, coalesce(list_sort(list(DISTINCT param) FILTER (param IS NOT NULL)), []) AS params, count(DISTINCT page_id) AS n_scripts FROM (
+      SELECT page_id, 'GET' AS method, 'https://h' || host || '.example/v1/items/' || k || '/list' AS url, unnest(['page', 'params', 'size']) AS param FROM p
+      UNION ALL SELECT page_id, 'POST', 'https://h' || host || '.example/v1/save', unnest(['kind', 'user_id']) FROM p
+      UNION ALL SELECT page_id, 'POST', '/gateway/plain/' || k, NULL FROM p WHERE k <> 1 UNION ALL SELECT page_id, 'POST', 'https://other.example/api/gateway/plain/' || k, NULL FROM p WHERE k = 1
+      UNION ALL SELECT page_id, 'GET', CASE WHEN k = 1 THEN 'https://other.example/api' ELSE '' END || '/raw/' || k, unnest(['mode']) FROM p
+      UNION ALL SELECT page_id, 'CFG', 'https://full.example/api/search', unnest(['data', 'word']) FROM p WHERE k = 2)
+    GROUP BY method, url"""
+)
+def script_endpoints(spark, sf_dir):
+    """Scripts planted behind each page: clients with a base, a default base in a third of them, calls, and things that are no endpoints."""
+    k, host = (F.col("page_id") % 3).cast("string"), (F.col("page_id") % 4).cast("string")
+    text = F.concat(
+        F.lit('<script>const api=axios.create({timeout:5,baseURL:"https://h'), host, F.lit('.example/v1/"});'), F.when(k == "1", 'axios.defaults.baseURL="https://other.example/api";').otherwise(""),
+        F.lit('api.get("/items/'), k, F.lit('/list",{params:{page:1,"size":20}});api.post("/save",{kind:a,user_id:b});axios.post("/gateway/plain/'), k, F.lit('");fetch("/raw/'), k, F.lit("\",{mode:1});fetch('/logo.png');x.get('no path');"),
+        F.when(k == "2", '$.ajax({url:"https://full.example/api/search",data:{word:1}});').otherwise(""), F.lit("</script>"),
+    )
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_replace("html", r"(?is)<script\b.*?</script\s*>", ""), text).alias("html"))
+    return scripts.endpoints(scripts.page_scripts(pages, "page_id", "html"), ["page_id", "script"])
+
+
+def _captured(spark, sf_dir):
+    """Responses of two endpoints: events by offset, documents by a page number in a JSON body."""
+    e = table(spark, sf_dir, "events").withColumn("page", F.expr("event_id div 100"))
+    record = F.struct("event_id", "event_type", F.struct(F.col("user_id").alias("id"), F.lit("u").alias("kind")).alias("user"), "value")
+    lists = e.groupBy("page").agg(F.collect_list(record).alias("list"))
+    events = lists.select(
+        F.concat(F.lit("https://api.example/v1/events?limit=100&offset="), (F.col("page") * 100).cast("string"), F.lit("&t="), F.md5(F.col("page").cast("string"))).alias("url"), F.lit("get").alias("method"),
+        F.lit(None).cast("string").alias("post_data"), F.to_json(F.struct(F.lit(0).alias("code"), F.struct("list", F.lit(1).alias("total")).alias("data"))).alias("body"),
+    )
+    d = table(spark, sf_dir, "documents").withColumn("page", F.expr("doc_id div 50") + 1)
+    lists = d.groupBy("page").agg(F.collect_list(F.struct("doc_id", "lang", "source")).alias("items"))
+    docs = lists.select(
+        F.lit("https://api.example/v1/documents").alias("url"), F.lit("POST").alias("method"), F.to_json(F.struct(F.col("page").alias("pageNo"), F.lit("all").alias("q"))).alias("post_data"),
+        F.to_json(F.struct(F.struct("items").alias("result"))).alias("body"),
+    )
+    return events.unionByName(docs)
+
+
+@query("SELECT event_id::VARCHAR AS event_id, event_type, user_id::VARCHAR AS user_id, 'u' AS user_kind, value FROM events")
+def capture_to_table(spark, sf_dir):
+    """The table comes back out of captured responses by the specification that was inferred from them."""
+    captured = cut_lineage(_captured(spark, sf_dir))
+    made, _ = infer.specifications(captured)["GET https://api.example/v1/events"]
+    rows = spec.run(spark, made, {"captured": infer.of_endpoint(captured, "GET https://api.example/v1/events")})
+    return rows.select("event_id", "event_type", "user_id", "user_kind", F.col("value").cast("double").alias("value"))
+
+
+@query(
+    """SELECT * FROM (VALUES ('GET https://api.example/v1/events', 'limit', 'constant', NULL, NULL, '100'), ('GET https://api.example/v1/events', 't', 'key', NULL, NULL, NULL), ('POST https://api.example/v1/documents', 'body.q', 'constant', NULL, NULL, 'all')) AS v(endpoint, name, kind, start, step, value)
+    UNION ALL SELECT 'GET https://api.example/v1/events', 'offset', 'offset', min(event_id // 100) * 100, 100, NULL FROM events
+    UNION ALL SELECT 'POST https://api.example/v1/documents', 'body.pageNo', 'page', min(doc_id // 50) + 1, 1, NULL FROM documents"""
+)
+def capture_parameters(spark, sf_dir):
+    return infer.parameters(infer.requests(_captured(spark, sf_dir)))
+
+
+# panels, catalogues, extensions, events
+
+#: A panel of customers and years out of orders: the text of a cell is as long as its total says but for some, titles name their year but for some.
+PANEL = """WITH p AS (SELECT lpad((o_custkey % 300)::VARCHAR, 6, '0') AS code, year(o_orderdate)::BIGINT AS year, sum(o_orderkey % 90 + 10)::BIGINT AS total, count(*) AS n, min(o_orderkey) AS k FROM orders GROUP BY 1, 2),
+    q AS (SELECT *, CASE WHEN k % 13 = 0 THEN year + 1 ELSE year END AS said, CASE WHEN k % 7 = 0 THEN NULL ELSE repeat('a', (total - n)::INT) || repeat('x', (CASE WHEN k % 11 = 0 THEN n + 1 ELSE n END)::INT) END AS text, CASE WHEN k % 2 = 0 THEN '不可复现' ELSE '' END AS note FROM p),
+    w AS (SELECT code, CASE WHEN code::INT % 9 = 0 THEN 1994 ELSE 1992 END AS a, CASE WHEN code::INT % 10 = 0 THEN 1996 ELSE 1998 END AS b FROM (SELECT DISTINCT code FROM p) WHERE code::INT % 17 <> 0)
+"""
+
+
+def _panel(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    k = F.col("k")
+    p = o.groupBy(F.lpad((F.col("o_custkey") % 300).cast("string"), 6, "0").alias("code"), F.year("o_orderdate").cast("bigint").alias("year")).agg(
+        F.sum(F.col("o_orderkey") % 90 + 10).alias("total"), F.count("*").alias("n"), F.min("o_orderkey").alias("k")
+    )
+    said = F.when(k % 13 == 0, F.col("year") + 1).otherwise(F.col("year"))
+    n = F.when(k % 11 == 0, F.col("n") + 1).otherwise(F.col("n"))
+    text = F.when(k % 7 != 0, F.concat(F.repeat(F.lit("a"), (F.col("total") - F.col("n")).cast("int")), F.repeat(F.lit("x"), n.cast("int"))))
+    return cut_lineage(p.select("*", F.concat(said.cast("string"), F.lit("年年度报告")).alias("title"), text.alias("text"), F.when(k % 2 == 0, "不可复现").otherwise("").alias("note")))
+
+
+@query(
+    PANEL
+    + """SELECT 'title_year' AS rule, code, year, said::VARCHAR AS detail FROM q WHERE said <> year
+    UNION ALL SELECT 'year_window', code, year, '' FROM q WHERE year > 1997
+    UNION ALL SELECT 'outside_window', q.code, q.year, '' FROM q LEFT JOIN w USING (code) WHERE w.a IS NULL OR q.year NOT BETWEEN w.a AND w.b
+    UNION ALL SELECT 'missing_year', code, y, '' FROM (SELECT code, unnest(range(greatest(a, 1992), least(b, 1997) + 1)) AS y FROM w) AS e WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.code = e.code AND q.year = e.y) AND y <> 1997
+    UNION ALL SELECT 'text_missing', code, year, '' FROM q WHERE text IS NULL AND note = ''
+    UNION ALL SELECT 'recount', code, year, CASE WHEN length(text) <> total THEN 'total,words' ELSE 'words' END FROM q WHERE text IS NOT NULL AND (length(text) <> total OR length(text) - length(replace(text, 'x', '')) <> n)
+    UNION ALL SELECT 'note_claim', '', NULL, '1995年 共 7 行 / ' || (SELECT count(*) || ' or ' || count(*) FROM q WHERE year = 1995)
+    UNION ALL SELECT 'note_claim', '', NULL, '12,345 家 / ' || (SELECT count(DISTINCT code) FROM q)"""
+)
+def panel_full_audit(spark, sf_dir):
+    q = _panel(spark, sf_dir)
+    rows_in = q.select("code", "year", "total", "title", "note", F.col("n").alias("count_words"), F.round(F.col("n") * 2000 / F.col("total"), 3).alias("freq_words"))
+    code = F.col("code").cast("int")
+    universe = q.select("code").distinct().where(code % 17 != 0).select(
+        F.concat(code.cast("string"), F.lit(".0")).alias("code"), F.when(code % 9 == 0, 1994).otherwise(1992).alias("first_year"), F.when(code % 10 == 0, 1996).otherwise(1998).alias("last_year")
+    )
+    gaps = q.select("code").distinct().select("code", F.lit(1997).alias("year"))
+    texts = q.where("text is not null").select("code", "year", "text")
+    counted = q.agg(F.count("*").alias("n"), F.count_if(F.col("year") == 1995).alias("y"))
+    said = F.format_string("本表 %d 行；1995年 共 7 行；其中 12,345 家；1995年 %d 行", "n", "y")
+    return panel.audit(rows_in, 1992, 1997, ["words"], {"words": ["x"]}, universe, gaps, texts, counted.select(said.alias("text")))
+
+
+@query(
+    """WITH p AS (SELECT p_brand, p_type, p_partkey, p_name AS title, CASE WHEN p_size % 5 = 0 THEN '--' ELSE p_type END AS kind, CASE WHEN p_size % 3 = 0 THEN ' ' ELSE p_brand END AS maker FROM part)
+    SELECT (2 - grouping(p_brand) - grouping(p_type))::INTEGER AS level, p_brand, p_type, count(*) AS n_rows, count(DISTINCT p_partkey) AS n_keys, count(title) AS filled_title, count(*) FILTER (kind <> '--') AS filled_kind,
+      count(*) FILTER (maker <> ' ') AS filled_maker, round(1 - (count(title) + count(*) FILTER (kind <> '--')) / (count(*) * 2), 4) AS required_missing_rate,
+      round(1 - (count(title) + count(*) FILTER (kind <> '--') + count(*) FILTER (maker <> ' ')) / (count(*) * 3), 4) AS missing_rate
+    FROM p GROUP BY GROUPING SETS ((), (p_brand), (p_brand, p_type))"""
+)
+def catalogue_coverage(spark, sf_dir):
+    size = F.col("p_size")
+    p = table(spark, sf_dir, "part").select(
+        "p_brand", "p_type", "p_partkey", F.col("p_name").alias("title"), F.when(size % 5 == 0, "--").otherwise(F.col("p_type")).alias("kind"), F.when(size % 3 == 0, " ").otherwise(F.col("p_brand")).alias("maker")
+    )
+    return catalogue.coverage(p, ["p_brand", "p_type"], ["title", "kind", "maker"], ["title", "kind"], "p_partkey")
+
+
+class Gaps:
+    """A user's table function: of each key's rows, in order, the days since the row before, and one row with their number at the end."""
+
+    def __init__(self):
+        self.last, self.n, self.key = None, 0, None
+
+    def eval(self, row, least: int):
+        day = row["o_orderdate"]
+        days = None if self.last is None else (day - self.last).days
+        self.last, self.n, self.key = day, self.n + 1, row["o_custkey"]
+        if days is not None and days >= least:
+            yield self.key, "gap", days
+
+    def terminate(self):
+        if self.n:
+            yield self.key, "rows", self.n
+
+
+@query(
+    """WITH g AS (SELECT o_custkey, date_diff('day', lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate), o_orderdate) AS days FROM orders)
+    SELECT o_custkey AS customer, 'gap' AS what, days::BIGINT AS n FROM g WHERE days >= 30 UNION ALL SELECT o_custkey, 'rows', count(*) FROM orders GROUP BY o_custkey"""
+)
+def extension_steps(spark, sf_dir):
+    """A specification with two steps that a user registered: a function and a table function."""
+    registry.step("only", needs=["columns"], replace=True)(lambda df, settings, order: df.select(*settings["columns"]))
+    registry.table_step("gaps", Gaps, schema="customer bigint, what string, n bigint", replace=True)
+    steps = [{"step": "only", "columns": ["o_custkey", "o_orderdate"]}, {"step": "gaps", "key": "o_custkey", "sort": "o_orderdate", "args": [30]}]
+    orders = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
+    return spec.run(spark, {"source": {"table": "orders"}, "pipeline": steps}, {"orders": orders})
+
+
+@query("SELECT 'progress' AS kind, 4 AS n_batches, count(*) AS rows_in FROM events UNION ALL SELECT 'started', 0, 0 UNION ALL SELECT 'ended', 0, 0")
+def stream_events(spark, sf_dir):
+    """What a listener wrote of a stream: as many rows came in as the table has, in as many batches as files."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    with events.Log(spark, f"{shared_folder(spark)}/events-{uuid.uuid4().hex}") as log:
+        name = f"q{uuid.uuid4().hex}"
+        stateful.run_now(stateful.replayed(e, "ts", 4).select("event_id"), name=name)
+    told = log.table()
+    mine = told.join(told.where(F.col("name") == name).select("run").distinct(), "run")
+    counts = mine.groupBy("kind").agg(F.count_if(F.col("rows_in") > 0).cast("int").alias("n_batches"), F.coalesce(F.sum("rows_in"), F.lit(0)).alias("rows_in"))
+    return counts.select("kind", "n_batches", "rows_in")

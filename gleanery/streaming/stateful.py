@@ -152,7 +152,7 @@ def write_many(df: DataFrame, sinks: list, checkpoint: str, **options):
     return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_now(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_now(stream: DataFrame, mode: str = "append", name: str | None = None) -> DataFrame:
     """Run a stream over all that is there now and return its result as a table in the shared folder.
 
     Each batch is written under its own number, so a batch that runs again replaces itself; in complete mode
@@ -164,6 +164,7 @@ def run_now(stream: DataFrame, mode: str = "append") -> DataFrame:
     def write(frame, number):
         frame.write.mode("overwrite").parquet(f"{place}/out/{'all' if mode == 'complete' else f'batch={number}'}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    writer = stream.writeStream.queryName(name) if name else stream.writeStream
+    query = writer.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/out/*").select(*stream.columns)
