@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gleanery.catalog import query
 from gleanery.functions import columns as C
-from gleanery.operators import catalogue, panel, rows, scripts
+from gleanery.operators import catalogue, diagnosis, panel, rows, scripts
 from gleanery.plans import infer, registry, spec
 from gleanery.session import cut_lineage, shared_folder, table
 from gleanery.sources import io, many_files, workbook
@@ -347,3 +347,22 @@ def stream_events(spark, sf_dir):
     mine = told.join(told.where(F.col("name") == name).select("run").distinct(), "run")
     counts = mine.groupBy("kind").agg(F.count_if(F.col("rows_in") > 0).cast("int").alias("n_batches"), F.coalesce(F.sum("rows_in"), F.lit(0)).alias("rows_in"))
     return counts.select("kind", "n_batches", "rows_in")
+
+
+@query(
+    """SELECT page_id, CASE page_id % 12 WHEN 1 THEN 'session_expired' WHEN 2 THEN 'rate_limit' WHEN 3 THEN 'access_denied' WHEN 4 THEN 'challenge' WHEN 5 THEN 'access_denied' WHEN 6 THEN 'challenge' WHEN 7 THEN 'server_error' WHEN 8 THEN 'missing'
+      WHEN 10 THEN 'other' ELSE 'ok' END AS kind, page_id % 12 BETWEEN 1 AND 6 AS blocked,
+    CASE page_id % 12 WHEN 1 THEN 10 WHEN 2 THEN 13 WHEN 3 THEN 6 WHEN 4 THEN 9 WHEN 5 THEN 12 WHEN 6 THEN 5 WHEN 7 THEN 9 WHEN 8 THEN 9 WHEN 10 THEN 0 ELSE 4 END AS weight FROM pages"""
+)
+def response_diagnosis(spark, sf_dir):
+    """Pages with planted evidence: statuses, headers, words in titles and between the tags, scripts; one without any, and words that prove nothing."""
+    k = F.col("page_id") % 12
+    plain = F.regexp_replace("html", r"(?is)<script\b.*?</script\s*>|<title>.*?</title>|<h1.*?</h1>|<div[^>]+id=.?(app|root)[^>]*>\s*</div>|<meta[^>]*>", "")
+    planted = {3: "<title>Access Denied</title>", 4: "<p>Please enable JavaScript</p><script>var _0x12ab=1</script>", 5: "<h1>访问受限</h1>", 9: "<p>How an access denied page looks</p>"}
+    body = plain
+    for at, text in planted.items():
+        body = F.when(k == at, F.concat(plain, F.lit(text))).otherwise(body)
+    status = F.when(k == 1, 419).when(k == 2, 429).when(k == 5, 403).when(k == 6, 412).when(k == 7, 503).when(k == 8, 404).when(k == 10, 999).otherwise(200)
+    headers = F.when(k == 2, F.create_map(F.lit("Retry-After"), F.lit("30"))).when(k == 5, F.create_map(F.lit("Server"), F.lit("***"))).otherwise(F.create_map(F.lit("Server"), F.lit("nginx")))
+    p = table(spark, sf_dir, "pages").select("page_id", status.alias("status"), body.alias("body"), headers.alias("headers"))
+    return diagnosis.diagnose(p, "status", "body", "headers").select("page_id", "kind", "blocked", "weight")

@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from gleanery import catalog, catalog_fields, catalog_sources  # noqa: F401
+from gleanery import catalog, catalog_fields, catalog_files, catalog_sources  # noqa: F401
 from gleanery.functions import html
 
 from tests.oracle import same_rows
