@@ -563,7 +563,11 @@ def keyword_freq(spark, sf_dir):
     return quality.keyword_stats(table(spark, sf_dir, "documents").where("text <> ''"), "doc_id", "text", {"a": ["the", "Licensed"]})
 
 
-@query()
+@query(
+    r"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[。！？!?;\n；]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')),
+      lambda x: length(x) BETWEEN 8 AND 300 AND (contains(x, 'Licensed') OR contains(x, 'password') OR contains(x, 'stupid'))) AS hit FROM documents)
+    SELECT doc_id, array_to_string(list_filter(hit, lambda x, i: list_position(list_transform(hit, lambda y: substr(y, 1, 80)), substr(x, 1, 80)) = i)[:5], ' || ') AS key_sentences FROM p""".replace("\\\\", "\\")
+)
 def key_sentences(spark, sf_dir):
     return quality.key_sentences(table(spark, sf_dir, "documents"), "doc_id", "text", ["Licensed", "password", "stupid"])
 
@@ -822,7 +826,7 @@ def coverage_metrics(spark, sf_dir):
     return quality.coverage_metrics(d, ["quality", "toxic"], ["quality"])
 
 
-@query()
+@query("""SELECT 'OBJECT<' || string_agg(k || ': BIGINT', ', ' ORDER BY k) || '>' AS schema FROM (SELECT DISTINCT unnest(json_keys(props::JSON)) AS k FROM events)""")
 def json_shape(spark, sf_dir):
     return quality.json_shape(table(spark, sf_dir, "events"), "props")
 
@@ -902,7 +906,15 @@ def recycle_claims(spark, sf_dir):
     return health.recycle_claims(q, 10_000.0, 5_000.0).select("o_orderkey", "status")
 
 
-@query()
+@query(
+    r"""WITH u AS (SELECT page_id, url, regexp_extract(url, '^(https?)://', 1) AS s, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS h, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS p,
+      array_to_string(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)), '^(utm_|fbclid|gclid|ref_)')), '&') AS q FROM pages),
+    t AS (SELECT *, CASE WHEN q <> '' THEN '?' || q ELSE '' END AS tail, CASE WHEN p = '' THEN '/' ELSE p END AS whole, CASE WHEN regexp_replace(p, '/+$', '') = '' THEN '/' ELSE regexp_replace(p, '/+$', '') END AS short,
+      regexp_replace(h, '^www\.', '') AS bare FROM u),
+    l AS (SELECT page_id, list_filter([s || '://' || h || whole || tail, s || '://' || h || short || tail, CASE s WHEN 'https' THEN 'http' ELSE 'https' END || '://' || h || whole || tail,
+      s || '://' || CASE WHEN starts_with(h, 'www.') THEN bare ELSE 'www.' || h END || whole || tail, CASE WHEN starts_with(h, 'www.') THEN s || '://m.' || bare || whole || tail END], lambda x: x IS NOT NULL) AS l FROM t)
+    SELECT page_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS candidates FROM l""".replace("\\\\", "\\")
+)
 def url_candidates(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", C.url_variants(F.col("url")).alias("candidates"))
 

@@ -186,9 +186,9 @@ def similar_sets(sets: DataFrame, key: str, tokens: str, share: float = 0.9, few
     Equal sets are one class, named by their least key and joined back by the caller if wanted, so copies give no pairs.
     Let the larger of two sets have n tokens, of which ``need = ceil(share * n)`` have to be common. Where
     ``n - need`` is at most ``few``, the two meet at each common subset of ``need`` tokens: each set gives what is left when so many tokens are
-    taken out, so only sets that are alike meet, however common their tokens are. Larger sets meet by prefix filtering: tokens are
-    ordered from rare to common, and two sets that overlap so far have a token in common among the
-    first ``n - need + 1`` of each.
+    taken out, so only sets that are alike meet, however common their tokens are. Of larger sets at most ``d = 2 * (n - need)`` tokens are in one of the two alone; all
+    tokens are dealt to ``d + 1`` parts by a hash, so at least one part is the same in both, and with ``d + 2`` parts at least two are. Sets meet where
+    one part is the same, or, where so few tokens are about that this brings many together, where two are.
     """
     classes = cut_lineage(sets.groupBy(F.array_sort(F.array_distinct(tokens)).alias("t")).agg(F.min(key).alias("k")).where(F.size("t") > 0))
     need = lambda n: math.ceil(share * n - 1e-9)
@@ -207,20 +207,55 @@ def similar_sets(sets: DataFrame, key: str, tokens: str, share: float = 0.9, few
     small, large = parts.where("not larger").select("need", "s", F.col("k").alias("k2")), parts.where("larger").drop("larger")
     met = large.join(small, ["need", "s"]).where("k <> k2").select("k", "k2")
 
-    rows = classes.where(F.size("t") >= need(longest + 1)).select("k", F.explode("t").alias("w"))
-    ranked = salted_join(rows, rows.groupBy("w").agg(F.count("*").alias("n")), "w").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("r"))
-    n = F.size("r")
-    kept = F.ceil(n * F.lit(share) - 1e-9).cast("int")
-    head = ranked.select("k", n.alias("size"), F.explode(F.slice("r", 1, n - kept + 1)).alias("x")).select("k", "size", F.col("x.w").alias("w"))
-    other = head.select(F.col("k").alias("k2"), F.col("size").alias("size2"), "w")
-    close = (F.col("k") < F.col("k2")) & (F.least("size", "size2") >= share * F.greatest("size", "size2")) & (F.greatest("size", "size2") > longest)
-    pairs = met.unionByName(head.join(other, "w").where(close).select("k", "k2"))
+    large_pairs = _meet_in_parts(classes.where(F.size("t") >= need(longest + 1)), share, need, need(longest + 1))
+    pairs = met if large_pairs is None else met.unionByName(large_pairs)
     pairs = pairs.select(F.least("k", "k2").alias("k"), F.greatest("k", "k2").alias("k2")).distinct()
     full = pairs.join(classes, "k").join(classes.select(F.col("k").alias("k2"), F.col("t").alias("t2")), "k2")
     common = F.size(F.array_intersect("t", "t2"))
     return full.where(common >= share * F.greatest(F.size("t"), F.size("t2"))).select(F.col("k").alias("a"), F.col("k2").alias("b"), common.cast("bigint").alias("overlap"))
 
 
+#: Sets that one meeting of parts may bring to each on average; parts up to which pairs of them are formed.
+MET, PAIRED = 20, 48
+
+
+def _meet_in_parts(classes: DataFrame, share: float, need, lowest: int) -> DataFrame | None:
+    """(k, k2): pairs of sets (k, t) of at least ``lowest`` tokens that may overlap in ``share`` of the larger.
+
+    Sizes fall into bands, each as wide as the sizes of similar sets can differ, so a set meets those of its own band and of the next, dealt to as many
+    parts as the larger one's band asks for.
+    """
+    largest = classes.agg(F.max(F.size("t")).alias("n")).first()["n"]
+    if largest is None:
+        return None
+    edges = [lowest]
+    while edges[-1] <= largest:
+        edges.append(math.floor(edges[-1] / share + 1e-9) + 1)
+    apart = [max(2 * (n - need(n)) for n in range(a, b)) for a, b in zip(edges, edges[1:])]
+    place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.size("t"))) - 1
+    both = F.filter(F.array(place, place + 1), lambda b: b < len(apart))
+    rows = classes.select("k", "t", F.explode(both).alias("band"))
+
+    def parts(together: int) -> DataFrame:
+        number = F.element_at(F.array(*[F.lit(d + together) for d in apart]), F.col("band") + 1)
+        hashed = F.transform("t", lambda x: F.xxhash64(x))
+        dealt = rows.select("k", "band", number.alias("n"), hashed.alias("h"))
+        of_part = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda p: F.aggregate(F.filter("h", lambda x: F.pmod(x, F.col("n")) == p), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x)))
+        dealt = dealt.select("k", "band", of_part.alias("s"))
+        if together == 1:
+            keys = F.transform("s", lambda x, p: F.xxhash64("band", p, x))
+        else:
+            keys = F.flatten(F.transform("s", lambda x, p: F.transform(F.slice("s", p + 2, F.size("s")), lambda y, q: F.xxhash64("band", p, q, x, y))))
+        return dealt.select("k", F.explode(keys).alias("key"))
+
+    met = parts(1)
+    groups = met.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1)).alias("pairs"), F.sum("n").alias("rows")).first()
+    if groups["pairs"] and groups["pairs"] > MET * groups["rows"] and max(apart) + 2 <= PAIRED:
+        met = parts(2)
+    other = met.select(F.col("k").alias("k2"), "key")
+    return met.join(other, "key").where("k < k2").select("k", "k2").distinct()
+
+
 def _without(tokens: str, out: Column, most: int) -> Column:
     """What is left of an array when ``out`` elements (at most ``most``, up to 2) are taken away, each way once."""
     if most > 2:

@@ -16,8 +16,8 @@ def test_equals_sql(spark, name):
 
 #: Rows at this size of the queries that SQL can't say: one a page or document, or counted by hand.
 ROWS = {
-    "page_article": 50, "page_markdown": 50, "page_visible_text": 50, "page_safe_markdown": 50, "page_rescue": 50, "page_attachments": 50, "url_candidates": 50,
-    "key_sentences": 200, "json_shape": 1, "page_similar": None, "stream_admission": None,
+    "page_article": 50, "page_markdown": 50, "page_visible_text": 50, "page_safe_markdown": 50, "page_rescue": 50, "page_attachments": 50,
+    "page_similar": None, "stream_admission": None,
 }
 
 
