@@ -190,12 +190,15 @@ def crawl(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE w(node, depth) AS (SELECT 'p' || 0, 0 UNION ALL SELECT 'p' || (depth + 1), depth + 1 FROM w WHERE depth < 7) SELECT node, depth FROM w"""
+    """WITH RECURSIVE links AS (SELECT 'p' || page_id AS src, 'p' || (page_id + 1) AS dst FROM pages WHERE (page_id + 1) % 10 <> 0 AND page_id % 7 <> 3),
+    w(node, depth) AS (SELECT 'p' || page_id, 0 FROM pages WHERE page_id % 10 = 0 UNION ALL SELECT dst, depth + 1 FROM w JOIN links ON src = node WHERE depth < 7) SELECT node, depth FROM w"""
 )
 def next_pages(spark, sf_dir):
+    """Chains of pages from each tenth one on; some break off."""
     k = F.col("page_id")
-    links = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), k.cast("string")).alias("src"), F.concat(F.lit("p"), (k + 1).cast("string")).alias("dst"))
-    return relational.next_pages(links, spark.createDataFrame([("p0",)], "node string"), 7)
+    pages = table(spark, sf_dir, "pages")
+    links = pages.where(((k + 1) % 10 != 0) & (k % 7 != 3)).select(F.concat(F.lit("p"), k.cast("string")).alias("src"), F.concat(F.lit("p"), (k + 1).cast("string")).alias("dst"))
+    return relational.next_pages(links, pages.where(k % 10 == 0).select(F.concat(F.lit("p"), k.cast("string")).alias("node")), 7)
 
 
 @query("SELECT p_partkey, regexp_extract(lower(p_brand || chr(10) || p_type), 'brand.*?[0-9]+', 0) AS found, '' AS missed, '[' || p_size || '] ' || p_name || ' {no} {{no}}' AS label FROM part")

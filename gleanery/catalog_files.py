@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gleanery.catalog import query
 from gleanery.functions import cjk
 from gleanery.functions import columns as C
+from gleanery.functions import pages
 from gleanery.operators import grids, quality, relational, report, rows
 from gleanery.plans import spec
 from gleanery.session import shared_folder, table
@@ -335,3 +336,34 @@ def plain_heads(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("doc_id % 2 = 0")
     page = F.concat(F.lit("<html><script>var a;</script><p>"), F.regexp_replace(F.coalesce("text", F.lit("")), "[<>&。！？!?\n；;]", " "), F.lit("</p>"))
     return d.select("doc_id", (F.length(C.plain_head(page, 200)) > 0).alias("any_text"))
+
+
+@query("SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'removed' ELSE 'added' END AS change, o_orderkey FROM orders WHERE o_orderkey % 50 IN (0, 7) AND o_orderkey < 3000")
+def watched_changes(spark, sf_dir):
+    """What a watch tells of two snapshots: keys that came or went."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").where("o_orderkey < 3000")
+    told: list[tuple] = []
+    report.watch(o.where("o_orderkey % 50 <> 0"), o.where("o_orderkey % 50 <> 7"), "o_orderkey", told.extend)
+    names = F.explode(F.array(*[F.struct(F.lit(c).alias("change"), F.lit(k).cast(o.schema["o_orderkey"].dataType).alias("o_orderkey")) for c, k in told]))
+    return table(spark, sf_dir, "region").limit(1).select(names.alias("c")).select("c.*")
+
+
+@query("SELECT 'count' AS missing UNION ALL SELECT 'issue' WHERE (SELECT count(*) FROM documents WHERE coalesce(text, '') <> '') > 0")
+def asked_fields(spark, sf_dir):
+    """A task asks for a date, a count and an issue: only the date is there, the count's column is blank."""
+    d = table(spark, sf_dir, "documents").select(F.lit("2024-01-01").alias("date"), F.lit(" ").alias("total_count"), "text")
+    missing = report.missing_fields(d, "日期 and count of each issue")
+    return table(spark, sf_dir, "region").limit(1).select(F.explode(F.array(*map(F.lit, missing))).alias("missing"))
+
+
+@query(
+    r"""SELECT page_id, [r || '/download/' || page_id || '.docx', r || '/files/' || page_id || '.pdf'] AS attachments, [r || '/upload/image/' || page_id || '.png'] AS images FROM (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS r FROM pages)"""
+)
+def planted_attachments(spark, sf_dir):
+    """Attachments behind a viewer and by type, with images and page assets beside them; each once."""
+    k = F.col("page_id").cast("string")
+    body = F.concat(
+        F.lit('<a href="/viewer.html?file=/download/'), k, F.lit('.docx">v</a><a href="/files/'), k, F.lit('.pdf">a</a><a href="/files/'), k, F.lit('.pdf">again</a><link href="/files/style.css"><img src="/upload/image/'), k, F.lit('.png">'),
+    )
+    files, images = pages.attachment_targets(F.col("body"), F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", body.alias("body")).select("page_id", files.alias("attachments"), images.alias("images"))
