@@ -10,11 +10,11 @@ the bins that a task leaves open (under ``k`` in each class) are ranked over all
 task and class, and fill bins together. What is left then is under ``k`` pieces in each class over all
 data, a bound that depends on the capacity only; those few go into bins by first fit, longest first.
 
-Tokenising: words are cut at single spaces, where the pattern of the byte-level vocabulary always cuts,
-and each distinct word is encoded once and remembered for all tasks of a worker, by tiktoken's merge loop over the
-same file's vocabulary. Every new word is held against the tokenizers library, joined with others to whole texts, and the
-library's ids are taken where the two differ; a text in which a white
-space stands next to another one with a space between words is encoded whole by the library.
+Tokenising: ids are those of the tokenizers library. Plain texts are encoded by tiktoken's merge loop over the same file's vocabulary, where ``merges_agree`` proves that both
+merge alike: the library merges the pairs that the file lists, tiktoken any pair that gives a token, both the one of lowest rank first. Say tiktoken merges a pair that is not listed, and
+all was alike before. No merge has crossed the ends of the token it gives, so inside them all went as in that token's bytes alone; but there, as is checked for each token, the
+last merge is the listed one. A text is plain if it has no special string and only characters that all versions of Unicode class alike (``PLAIN``); other texts, and
+files of any other kind, go through the library.
 
 Defined cases: null text counts as empty and gives the one token 0; null ids are packed like others
 and repeated rows are packed each; an empty table gives an empty result; other columns are not read.
@@ -23,6 +23,7 @@ and repeated rows are packed each; an empty table gives an empty result; other c
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -40,18 +41,29 @@ from gleanery.llm.common import long, slices, strings
 from gleanery.session import cut_lineage
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
-#: Words remembered in a worker, and the longest that are.
-MEMORY, LONGEST = 900_000, 48
-#: Words that are joined to one text for the library to check.
-CHECKED = 512
+#: Characters beyond those that all versions of Unicode class alike: letters of common scripts, digits, signs, and white space that is no control character.
+PLAIN = re.compile("[^\\t\\n\\r -~\u00a1-\u024f\u0400-\u045f\u2010-\u2027\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
+
+
+def merges_agree(merges: list[tuple[str, str]], vocabulary: dict[str, int]) -> bool:
+    """Do ids rise with the merges, and do the merges of each token's own signs end in that token?"""
+    made = [vocabulary[a + b] for a, b in merges]
+    if made != sorted(made):
+        return False
+    ranks = {pair: i for i, pair in enumerate(merges)}
+    far = len(merges)
+    for a, b in merges:
+        parts = list(a + b)
+        while len(parts) > 1:
+            rank, at = min((ranks.get(pair, far), i) for i, pair in enumerate(zip(parts, parts[1:])))
+            if rank == far:
+                return False
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return True
 
 
 def merge_core(path: str):
-    """tiktoken's merge loop over the vocabulary of a tokenizers file, or None if the file asks for anything else.
-
-    That holds for byte-level BPE with the usual split, no normalizer, and ids in the order of the merges;
-    then both libraries merge the same pairs in the same order (the tests hold them against each other).
-    """
+    """tiktoken's merge loop over the vocabulary of a tokenizers file, or None if the file is not plain byte-level BPE whose merges agree."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
@@ -62,18 +74,17 @@ def merge_core(path: str):
     if model.get("type") != "BPE" or not plain or odd or spec.get("normalizer"):
         return None
     vocabulary = model["vocab"]
-    merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-    if merged != sorted(merged):
+    if not merges_agree([tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]], vocabulary):
         return None
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
     letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
     special = {t["content"] for t in spec.get("added_tokens", [])}
     ranks = {bytes(letters[c] for c in piece): i for piece, i in vocabulary.items() if piece not in special}
-    return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class WordEncoder:
-    """Token ids of whole texts as the tokenizers library gives them, from memory where a word came before."""
+class TextEncoder:
+    """Token ids of whole texts as the tokenizers library gives them."""
 
     def __init__(self, path: str):
         import os
@@ -84,58 +95,25 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.core = merge_core(path)
-        self.words: dict[str, bytes | None] = {}  # after a space; None: not to be cut off there
-        self.firsts: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, new: list[str]) -> dict[str, bytes | None]:
-        """Ids of words after a space."""
-        out: dict[str, bytes | None] = dict.fromkeys(new)
-        good = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        whole = good if self.core is None else [w for w in good if any(s in w for s in self.special)]
-        out |= zip(whole, self.library([" " + w for w in whole]))
-        if self.core is not None:
-            encode = self.core.encode_ordinary
-            left = [w for w in good if out[w] is None]
-            groups = [left[i : i + CHECKED] for i in range(0, len(left), CHECKED)]
-            for group, right in zip(groups, self.library(["".join(" " + w for w in g) for g in groups])):
-                ids = [np.array(encode(" " + w), "<u4").tobytes() for w in group]
-                out |= zip(group, ids if b"".join(ids) == right else self.library([" " + w for w in group]))
-        return out
+    def is_plain(self, text: str) -> bool:
+        return self.core is not None and not PLAIN.search(text) and not any(s in text for s in self.special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        heads, rests = [ws[0] for ws in split], [ws[1:] for ws in split]
-        needed = set().union(*rests)
-        if len(self.words) + len(needed) > MEMORY:
-            self.words.clear()
-        words = self.words
-        new = needed.difference(words)
-        if new:
-            words |= self.learn(list(new))
-        if len(self.firsts) + len(heads) > MEMORY // 8:
-            self.firsts.clear()
-        unknown = list(set(heads).difference(self.firsts))
-        self.firsts |= zip(unknown, self.library(unknown))
-        out = []
-        for t, head, rest in zip(texts, heads, rests):
-            parts = list(map(words.__getitem__, rest))
-            if None in parts or (rest and head[-1:].isspace()):
-                out += self.library([t])
-            else:
-                out.append(self.firsts[head] + b"".join(parts))
-        for memory, added in ((words, new), (self.firsts, unknown)):
-            for w in [w for w in added if len(w) > LONGEST]:
-                del memory[w]
+        out = [self.core.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() if self.is_plain(t) else None for t in texts]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self.library([texts[i] for i in rest])):
+            out[i] = ids
         return out
 
 
 @lru_cache(1)
-def word_encoder(path: str) -> WordEncoder:
-    """One for all tasks of a worker, so that what one has learnt serves the next."""
-    return WordEncoder(path)
+def text_encoder(path: str) -> TextEncoder:
+    """One for all tasks of a worker."""
+    return TextEncoder(path)
 
 
 def class_sizes(capacity: int, min_cut: int) -> list[int]:
@@ -202,7 +180,7 @@ def pack(
     def run(batches):
         out = to_arrow_schema(schema)
         names = [f.name for f in schema]
-        encoder, task, end = word_encoder(path), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
+        encoder, task, end = text_encoder(path), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         plans: dict[int, list[int]] = {}
         open_bins: dict[int, list[tuple]] = {}
         filled = 0

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from gleanery.llm.packing import WordEncoder, class_sizes, cuts, pack, sequences
+from gleanery.llm.packing import TextEncoder, class_sizes, cuts, merges_agree, pack, sequences
 from gleanery.llm.pieces import Agenda, encode_pieces
 from gleanery.llm.token_counts import ChunkedCounter, count_tokens
 
@@ -60,18 +60,33 @@ def test_long_stretches_without_boundary(text):
     assert time.process_time() - between < 3 * (between - began) + 1
 
 
-def test_words_that_differ_are_the_librarys(monkeypatch):
-    encoder = WordEncoder(JSON)
-    texts = ["one two three", "four five", "two <|endoftext|> five"]
-    monkeypatch.setattr(encoder.core, "encode_ordinary", lambda t: [1], raising=False) if hasattr(encoder.core, "__dict__") else None
+def test_texts_equal_library():
+    encoder = TextEncoder(JSON)
+    texts = ODD + random_texts() + ["one two three", "two <|endoftext|> five", "a\u00a0b\x85c", "x\x1cy", "\u0378 \U0001fae8 z", "don't  stop\n\n now ", "日本語の テキスト。한국어", "1234567 ½ ²"]
+    assert encoder.core is not None and sum(map(encoder.is_plain, texts)) > 20
+    assert encoder.encode(texts) == encoder.library(texts)
+    core = encoder.core
+    encoder.core = None
+    assert encoder.encode(texts[:20]) == encoder.library(texts[:20])
+    encoder.core = core
+
+
+def test_plain_texts_equal_library_at_random():
+    """Letters of the file's scripts in any order, so that words cut across all merges."""
+    rng = random.Random(12)
+    encoder = TextEncoder(JSON)
+    signs = "etaoinshrdlu ETA  \n'.,-0123éàüßñçœ\tжи中国"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(300))) for _ in range(3000)]
+    pieces = [p.replace("Ġ", " ") for p in list(encoder.tokenizer.get_vocab())[:20000]]
+    texts += ["".join(rng.choice(pieces) for _ in range(12)) for _ in range(3000)]
     assert encoder.encode(texts) == encoder.library(texts)
 
 
-def test_word_memory_equals_library():
-    encoder = WordEncoder(JSON)
-    texts = ODD + random_texts()
-    assert encoder.encode(texts) == encoder.library(texts)
-    assert encoder.encode(texts) == encoder.library(texts)
+def test_merges_that_do_not_agree():
+    merges = [("a", "b"), ("b", "c"), ("a", "bc")]  # the signs of abc merge to ab first
+    vocabulary = {"a": 0, "b": 1, "c": 2, "ab": 3, "bc": 4, "abc": 5}
+    assert not merges_agree(merges, vocabulary) and merges_agree([("a", "b"), ("b", "c"), ("ab", "c")], vocabulary)
+    assert not merges_agree(merges[:2], vocabulary | {"ab": 6})
 
 
 def test_count_tokens(docs, rows):
@@ -103,7 +118,7 @@ def test_cuts():
 
 
 def test_pack(spark, docs, rows):
-    encoder = WordEncoder(JSON)
+    encoder = TextEncoder(JSON)
     want = defaultdict(list)
     for i, t in rows:
         want[i].append(encoder.library([t or ""])[0] + b"\0\0\0\0")
