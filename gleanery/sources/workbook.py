@@ -14,8 +14,8 @@ import datetime
 import decimal
 import json
 import math
-import posixpath
 import re
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -119,6 +119,11 @@ class WorkbookWriter(DataSourceArrowWriter):
             return fs.FileSystem.from_uri(self.path)
         return fs.LocalFileSystem(), self.path
 
+    def begin(self) -> None:
+        """The write's own folder. Tasks don't make it, so one that still runs when the write was given up writes nowhere."""
+        store, folder = self._store()
+        store.create_dir(f"{folder}/_temporary/{self.job}", recursive=True)
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, folder = self._store()
         task = TaskContext.get()
@@ -129,7 +134,6 @@ class WorkbookWriter(DataSourceArrowWriter):
             for head in rows:
                 name = f"part-{task.partitionId():05d}-{len(files):03d}-{self.job}.xlsx"
                 held = f"{folder}/_temporary/{self.job}/{task.taskAttemptId()}-{name}"
-                store.create_dir(posixpath.dirname(held), recursive=True)
                 files.append((held, f"{folder}/{name}"))
                 with store.open_output_stream(held) as out:
                     total += write_workbook(out, self.names, chain([head], islice(rows, self.most - 1)))
@@ -156,9 +160,16 @@ class WorkbookWriter(DataSourceArrowWriter):
 
     def _clear(self, store, folder: str) -> None:
         mine, common = f"{folder}/_temporary/{self.job}", f"{folder}/_temporary"
-        for place in (mine, common):
-            if store.get_file_info(place).type == fs.FileType.Directory and (place == mine or not store.get_file_info(fs.FileSelector(common))):
-                store.delete_dir(place)
+        for attempt in range(3):  # a task that is being stopped may have begun a file meanwhile
+            try:
+                for place in (mine, common):
+                    if store.get_file_info(place).type == fs.FileType.Directory and (place == mine or not store.get_file_info(fs.FileSelector(common))):
+                        store.delete_dir(place)
+                return
+            except OSError:
+                if attempt == 2:
+                    raise
+                time.sleep(0.5)
 
 
 class Workbook(DataSource):
@@ -172,7 +183,9 @@ class Workbook(DataSource):
         most = int(self.options.get("rows_per_file", MOST_ROWS))
         if not 1 <= most <= MOST_ROWS:
             raise ValueError(f"rows_per_file has to be from 1 to {MOST_ROWS}")
-        return WorkbookWriter(self.options["path"], schema.names, most, overwrite)
+        writer = WorkbookWriter(self.options["path"], schema.names, most, overwrite)
+        writer.begin()
+        return writer
 
 
 def register(spark: SparkSession) -> None:
