@@ -201,7 +201,7 @@ def compare(keys: np.ndarray, fps: np.ndarray, most: int, crowd: int = CROWD) ->
     starts, sizes, homes = starts[small], sizes[small], homes[small]
     left = np.repeat(starts, homes) + np.arange(homes.sum()) - np.repeat(np.cumsum(homes) - homes, homes)
     widths, begins = np.repeat(sizes, homes), np.repeat(starts, homes)
-    step = max(1, 1_000_000 // (crowd * fps[:1].size or 1))
+    step = max(1, 250_000 // (crowd * fps[:1].size or 1))
     for at in range(0, len(left), step):
         a, w, b = left[at : at + step], widths[at : at + step], begins[at : at + step]
         i = np.repeat(a, w)
@@ -309,9 +309,9 @@ def _meet(rows: DataFrame, threshold: int) -> DataFrame:
                 for x, new in zip(held, (b.column("key").to_numpy(), ids, bits, b.column("group").to_numpy() if wide else ids)):
                     x.append(new)
                 buffered += b.num_rows
-            if buffered >= (100_000 if wide else 400_000):
+            if buffered >= (50_000 if wide else 400_000):
                 found += flush(False)
-                if sum(map(len, found)) >= 200_000:
+                if sum(map(len, found)) >= 100_000:
                     yield batch(found)
                     found = []
         if buffered:
@@ -334,11 +334,11 @@ def links(distinct: DataFrame, threshold: int = 4, zones: list[Zone] | None = No
 def components(prints: DataFrame, threshold: int = 4, zones: list[Zone] | None = None) -> DataFrame:
     """``fp``, ``root``, ``component_id`` and the number of rows ``n`` for each distinct fingerprint of rows with ``__id`` and ``fp``."""
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("__id").alias("least"), F.count("*").alias("n")))
-    return _components(distinct, links(distinct, threshold, zones))
+    return _components(distinct, connected_components(links(distinct, threshold, zones)))
 
 
-def _components(distinct: DataFrame, found: DataFrame) -> DataFrame:
-    named = cut_lineage(distinct.join(connected_components(found).withColumnRenamed("node", "fp"), "fp", "left"))
+def _components(distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    named = cut_lineage(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left"))
     alone = named.where("root is null").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"), "n")
     linked = named.where("root is not null")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -497,18 +497,28 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(fits & (shared >= similarity * (F.size("a") + F.size("b") - shared))).select("u", "v")
 
 
-def similar_links(source: DataFrame, key: str, body: str, distinct: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
-    """(u, v): links of fingerprints whose texts (rows of ``source``) are so similar, as far as they are needed to join them."""
+def similar_roots(source: DataFrame, key: str, body: str, distinct: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
+    """(node, root): of each fingerprint that is linked, the smallest of its component; texts (rows of ``source``) that are so similar are linked."""
     zones, most = wide_zones(distinct.count(), similarity), most_differing(similarity)
-    rows, found = distinct.select("fp", "wide", F.col("fp").alias("group")), None
+    roots = None
     for part in (zones[:EARLY], zones[EARLY:]):
+        rows = distinct.select("fp", "wide", F.col("fp").alias("group"))
+        if roots is not None:
+            rows = distinct.select("fp", "wide").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "wide", F.coalesce("root", "fp").alias("group"))
         pairs = cut_lineage(similar_candidates(rows, part, most))
         ends = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
         sets = shingle_sets(source, key, body, cut_lineage(distinct.select("fp", "least").join(ends, "fp")), words, seed)
-        new = verified(pairs, sets, similarity)
-        found = cut_lineage(new if found is None else found.unionByName(new))
-        rows = distinct.select("fp", "wide").join(connected_components(found).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "wide", F.coalesce("root", "fp").alias("group"))
-    return found
+        links = verified(pairs, sets, similarity)
+        if roots is None:
+            roots = cut_lineage(connected_components(links))
+            continue
+        for end in ("u", "v"):  # what is joined already is one node
+            named = roots.select(F.col("node").alias(end), F.col("root").alias("top"))
+            links = links.join(named, end, "left").withColumn(end, F.coalesce("top", end)).drop("top")
+        more = cut_lineage(connected_components(links.where("u <> v")))
+        moved = salted_join(roots, more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", how="left").select("node", F.coalesce("top", "root").alias("root"))
+        roots = cut_lineage(moved.unionByName(more.join(roots.select("node"), "node", "left_anti")))
+    return roots
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, seed: int = 42) -> DataFrame:
@@ -519,7 +529,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def group(prints, source, key, body):
         distinct = cut_lineage(prints.groupBy("fp").agg(F.min("__id").alias("least"), F.count("*").alias("n"), F.first("wide").alias("wide")))
-        return _components(distinct.drop("wide"), similar_links(source, key, body, distinct, similarity, words, seed))
+        return _components(distinct.drop("wide"), similar_roots(source, key, body, distinct, similarity, words, seed))
 
     return _one_of_each(docs, id_col, text_col, prepare, group)
 
