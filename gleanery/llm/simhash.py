@@ -468,6 +468,22 @@ def similar_candidates(rows: DataFrame, zones: np.ndarray, most: int) -> DataFra
     return _meet(met, most).distinct()
 
 
+def near_enough(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose whole wide fingerprints may be so similar: what the few bits of a zone let pass is told by all, before any set is read."""
+    most = most_differing(similarity, WIDE)
+    for end in ("u", "v"):
+        pairs = pairs.join(distinct.select(F.col("fp").alias(end), F.col("wide").alias(f"wide_{end}")), end)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("wide_u", "wide_v"))
+            yield b.select(["u", "v"]).filter(pa.array(apart(one, two) <= most))
+
+    return pairs.select("u", "v", "wide_u", "wide_v").mapInArrow(run, "u long, v long")
+
+
 def shingle_sets(source: DataFrame, key: str, body: str, wanted: DataFrame, words: int, seed: int) -> DataFrame:
     """(fp, shingles): the set of each wanted fingerprint (``fp``, ``least``: the smallest id with it), of one of its texts, read again."""
 
@@ -505,7 +521,7 @@ def similar_roots(source: DataFrame, key: str, body: str, distinct: DataFrame, s
         rows = distinct.select("fp", "wide", F.col("fp").alias("group"))
         if roots is not None:
             rows = distinct.select("fp", "wide").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "wide", F.coalesce("root", "fp").alias("group"))
-        pairs = cut_lineage(similar_candidates(rows, part, most))
+        pairs = cut_lineage(near_enough(similar_candidates(rows, part, most), distinct, similarity))
         ends = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
         sets = shingle_sets(source, key, body, cut_lineage(distinct.select("fp", "least").join(ends, "fp")), words, seed)
         links = verified(pairs, sets, similarity)
