@@ -2,7 +2,7 @@
 
 Rows of a key wait in its state until the watermark has passed them and are then taken in order, so the result does not depend on
 how rows fall into batches. A key has deadlines too: timers at which it is told of, or forgotten, if nothing came. State therefore is what waits
-within the watermark's delay and one row for each key that was seen within the time to live. Rows that come later than the watermark are dropped, as
+within the watermark's delay and one row for each key that was seen within the time to live (first sightings pack those of many keys). Rows that come later than the watermark are dropped, as
 Spark does for all state. Sessions need the RocksDB state store (``rocksdb``).
 """
 
@@ -11,8 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from statistics import median
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -181,32 +183,105 @@ def health_stream(
     return told.where("source is not null")
 
 
-class FirstSeen(InOrder):
-    """Rows whose key was not seen for some time."""
+class FirstSeen(StatefulProcessor):
+    """Sightings of a bucket of keys at a time: one state a bucket, its keys' last sightings and the rows that wait as packed columns.
 
-    kept = "last long"
+    A call to the state costs a round trip to the JVM, so it is paid for each bucket and not for each key; what a batch brings is sorted as a whole.
+    """
 
-    def __init__(self, waiting, out, keep_ms):
-        super().__init__(waiting, out)
-        self.keep_ms = keep_ms
+    SCHEMA = pa.schema([("key", pa.string()), ("us", pa.int64())])
 
-    def take(self, key, state, ms, row):
-        return (ms,), [] if state else [(*key, *row)]
+    def __init__(self, keep_ms: int):
+        self.keep = keep_ms * 1000
 
-    def deadline(self, state):
-        return state[0] + self.keep_ms
+    def init(self, handle):
+        self.handle = handle
+        self.known = handle.getValueState("known", "rows binary")
+        self.waiting = handle.getListState("waiting", "rows binary")
 
-    def silent(self, key, state):
-        return None, []
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield self._advance(timerValues, pd.concat([f[self.SCHEMA.names] for f in rows]))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance(timerValues, self._rows(None))
 
+    def close(self) -> None:
+        pass
 
-def first_seen_stream(df: DataFrame, keys: list[str], ts: str = "ts", keep_hours: float = 24, delay: str = "1 hour") -> DataFrame:
+    def _advance(self, timer_values, new: pd.DataFrame) -> pd.DataFrame:
+        """Take what the watermark has passed, forget whose time is over, and set the next timer."""
+        upto_ms = timer_values.getCurrentWatermarkInMs()
+        upto = upto_ms * 1000
+        chunks = [r[0] for r in self.waiting.get()]
+        if len(new):
+            rows = pd.concat([*map(self._rows, chunks), new])
+        else:
+            rows = pd.concat([self._rows(None), *map(self._rows, chunks)])
+        known = self._rows(self.known.get()[0] if self.known.exists() else None)
+        rest = rows[rows["us"] >= upto]
+        told, left = self._told(known, rows[rows["us"] < upto])
+        left = left[left["us"] + self.keep >= upto]
+        if len(rest) == len(chunks) == 0:
+            pass
+        elif len(rest) == len(rows) and len(new):
+            self.waiting.appendList([(self._packed(new),)])
+        elif len(rest):
+            self.waiting.put([(self._packed(rest),)])
+        else:
+            self.waiting.clear()
+        if len(left):
+            self.known.update((self._packed(left),))
+        elif len(known):
+            self.known.clear()
+        times = [*([rest["us"].min()] if len(rest) else []), *([left["us"].min() + self.keep] if len(left) else [])]
+        if times:
+            self.handle.registerTimer(max(int(min(times)) // 1000, upto_ms) + 1)
+        return told
+
+    def _told(self, known: pd.DataFrame, ready: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """The rows that are first sightings, and the last sighting of each key."""
+        if not len(ready):
+            return ready, known
+        rows = pd.concat([known, ready], ignore_index=True)
+        old = np.arange(len(rows)) < len(known)
+        group, us = pd.factorize(rows["key"])[0], rows["us"].to_numpy()
+        order = np.lexsort((~old, us, group))
+        old, group, us = old[order], group[order], us[order]
+        change = np.r_[True, group[1:] != group[:-1], True]
+        first = change[:-1] | (np.diff(us, prepend=us[0]) > self.keep)
+        return rows.iloc[order[first & ~old]], rows.iloc[order[change[1:]]]
+
+    def _packed(self, rows: pd.DataFrame) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.SCHEMA) as out:
+            out.write_table(pa.Table.from_pandas(rows[self.SCHEMA.names], self.SCHEMA, preserve_index=False))
+        return sink.getvalue().to_pybytes()
+
+    def _rows(self, packed) -> pd.DataFrame:
+        return (self.SCHEMA.empty_table() if packed is None else pa.ipc.open_stream(bytes(packed)).read_all()).to_pandas()
+
+
+def _as_text(df: DataFrame, key: str) -> Column:
+    """A key as text that casts back to it; keys that are equal to Spark have the same."""
+    kind = df.schema[key].dataType
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return (F.col(key) + F.lit(0).cast(kind)).cast("string")
+    return F.base64(key) if isinstance(kind, T.BinaryType) else F.col(key).cast("string")
+
+
+def first_seen_stream(df: DataFrame, keys: list[str], ts: str = "ts", keep_hours: float = 24, delay: str = "1 hour", buckets: int = 64) -> DataFrame:
     """(keys, ts): rows whose key was not seen in the ``keep_hours`` before them; every sighting counts, also one that is left out.
 
     A repeat that comes late, but before the watermark, is taken in its place; one behind it is dropped. A key is kept for ``keep_hours`` after its last sighting.
+    Keys are of plain types. They lie in ``buckets`` by their hash; what a bucket holds (its keys of the last ``keep_hours``, and waiting rows) must fit into a task.
     """
     rocksdb(df.sparkSession)
-    rows = df.select(*keys, F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, delay)
-    out = T.StructType([*[rows.schema[k] for k in keys], T.StructField(ts, T.TimestampType())])
-    waiting = T.StructType([T.StructField(ts, T.TimestampType())])
-    return rows.groupBy(*keys).transformWithStateInPandas(FirstSeen(waiting, out, int(keep_hours * HOUR)), out, "Append", "EventTime")
+    if any(isinstance(df.schema[k].dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)) for k in keys):
+        raise ValueError("keys have to be of plain types")
+    rows = df.select(F.to_json(F.array(*[_as_text(df, k) for k in keys])).alias("key"), F.col(ts).cast("timestamp").alias("ts"))
+    rows = rows.where("ts is not null").withColumn("us", F.unix_micros("ts")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).withWatermark("ts", delay)
+    out = T.StructType.fromDDL("key string, us long")
+    told = rows.groupBy("bucket").transformWithStateInPandas(FirstSeen(int(keep_hours * HOUR)), out, "Append", "EventTime")
+    parts = F.from_json("key", "array<string>")
+    texts = [F.unbase64(F.get(parts, i)) if isinstance(df.schema[k].dataType, T.BinaryType) else F.get(parts, i).cast(df.schema[k].dataType) for i, k in enumerate(keys)]
+    return told.select(*[t.alias(k) for t, k in zip(texts, keys)], F.timestamp_micros("us").alias(ts))

@@ -103,3 +103,16 @@ def test_repeats_that_come_late(spark, tmp_path):
     got, _ = run_in_batches(spark, tmp_path, frames, lambda s: timed.first_seen_stream(s, ["k"], keep_hours=1, delay="30 minutes"))
     # a's earlier row comes before the watermark and is the first; the one at 100 is behind it; b comes back after more than an hour
     assert sorted((r["k"], int(r["ts"].timestamp())) for r in got if r["k"] != "z") == [("a", 9_000), ("b", 10_500), ("b", 30_000), ("c", 12_000)]
+
+
+def test_first_seen_asks_the_state_by_bucket(spark, tmp_path):
+    """Keys that are null or hold signs, to the microsecond; the state's rows do not grow with the keys."""
+    t, keep = 1_700_000_000_000_000, 3_600_000_000
+    rows = [("a,\"b", None, t), ("a,\"b", None, t + keep), (None, None, t), (None, 2**62 + 1, t), (None, 2**62 + 1, t + keep + 1), (None, 2**62 + 3, t), ("", 0, t), (None, None, t + keep)]
+    many = spark.range(3000).select(F.lit("many").alias("k"), F.col("id").alias("n"), F.timestamp_micros(F.lit(t)).alias("ts"))
+    frames = [spark.createDataFrame(rows, "k string, n long, us long").select("k", "n", F.timestamp_micros("us").alias("ts")).unionByName(many)]
+    frames.append(spark.createDataFrame([("clock", 0, t + keep + 10**6)], "k string, n long, us long").select("k", "n", F.timestamp_micros("us").alias("ts")))
+    got, held = run_in_batches(spark, tmp_path, frames, lambda s: timed.first_seen_stream(s, ["k", "n"], keep_hours=1, delay="0 seconds"))
+    seen = sorted((str(r["k"]), str(r["n"]), int(r["ts"].timestamp()) - t // 10**6, r["ts"].microsecond) for r in got if r["k"] not in ("many", "clock"))
+    assert seen == [("", "0", 0, 0), ("None", str(2**62 + 1), 0, 0), ("None", str(2**62 + 1), 3600, 1), ("None", str(2**62 + 3), 0, 0), ("None", "None", 0, 0), ('a,"b', "None", 0, 0)]
+    assert sum(r["k"] == "many" for r in got) == 3000 and max(held) < 1000
