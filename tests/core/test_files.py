@@ -29,3 +29,10 @@ def test_captured_responses(spark, tmp_path):
     got = sorted(r[0] for r in io.capture_records(spark, str(tmp_path), "d.rows").selectExpr("to_json(record)").collect())
     assert got == ['{"a":1}', '{"a":2}', '{"a":3}']
     assert io.capture_records(spark, str(tmp_path)).count() == 3
+
+
+def test_lists_of_captured_responses_a_line(spark, tmp_path):
+    (tmp_path / "lines.txt").write_text('\n[{"d": {"rows": [{"a": 1}]}}]\r\n["x"]\n\n{"no": "list"}\n[{"json": {"d": {"rows": [{"a": 2}, {"a": 3}]}}}]\n')
+    (tmp_path / "one.txt").write_text('[\n  {"d": {"rows": [\n{"a": 4},\n{"a": 5}]}}\n]\n')
+    got = sorted(r[0] for r in io.capture_records(spark, str(tmp_path), "d.rows").selectExpr("to_json(record)").collect())
+    assert got == [f'{{"a":{i}}}' for i in range(1, 6)]
