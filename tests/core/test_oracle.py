@@ -3,6 +3,7 @@ import re
 import pytest
 from gleanery import catalog, catalog_fields, catalog_files, catalog_sources  # noqa: F401
 from gleanery.functions import html
+from pyspark.sql import functions as F
 
 from tests.oracle import same_rows
 
@@ -43,5 +44,13 @@ def test_similar_and_found_rows_by_hand(spark):
     assert all(r.title for r in rescued) and {r.first_action for r in rescued} <= {"rescued", "none"}
 
 
+@pytest.mark.parametrize("name", ["css_fields", "css_rows", "page_repeated_rows", "article_spec", "page_main", "rows_by_site"])
+def test_references_that_are_cut_off(spark, tmp_path, name):
+    """Texts that end inside a character reference, as those of some pages on sf0.1 do."""
+    html = F.replace(F.replace(F.replace("html", F.lit("</h1>"), F.lit("&amp</h1>")), F.lit("</title>"), F.lit(" x&lty &am</title>")), F.lit("</a>"), F.lit("&#x27 &copy 1</a>"))
+    spark.read.parquet(f"{SF}/pages.parquet").withColumn("html", html).toPandas().to_parquet(tmp_path / "pages.parquet")
+    same_rows(spark, catalog.QUERIES[name], catalog.ORACLE_SQL[name], str(tmp_path))
+
+
 def test_flagship(spark):
     assert catalog.flagship(spark, SF).count() > 0
