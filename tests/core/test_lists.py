@@ -37,6 +37,13 @@ def test_assemble(spark):
     assert [got["b", i].app_name for i in (1, 2, 3)] == ["甲", "乙", "丙"] and len(got) == 6
 
 
+def test_continuations_keep_the_space_between_latin_words(spark):
+    rows = [HEAD, ["1", "甲", "co 7", "1.0", "s", "x"], ["", "", " ltd\n", "", "", ""], ["", "", "(a)", "", "", ""], ["2", "乙", "乙网络", "1. ", "s", "x"], ["", "", " 技术", "0", "", ""], ["3", "丙", "Net", "1", "s", "x"], ["", "", "work", "", "", ""]]
+    grid = spark.createDataFrame([("a", i, c) for i, c in enumerate(rows)], "doc string, row_no int, cells array<string>")
+    got = name_list.assemble(grid).orderBy("record").collect()
+    assert [(r.company_name, r.version) for r in got] == [("co 7 ltd(a)", "1.0"), ("乙网络技术", "1.0"), ("Network", "1")]
+
+
 def test_merge_sources(spark):
     rows = [("d", 1, 1, "甲", "c", "1", "小米", ["a"]), ("d", 2, 1, "甲", "c", "2", "苹果", ["b", "a"]), ("d", 3, None, "乙", "e", "", "", ["x"]), ("d", 4, None, "乙", "e", "", "", ["y"]), ("d", 5, 3, "丙", "", "", "", [])]
     df = spark.createDataFrame(rows, "doc string, record int, seq int, app_name string, company_name string, version string, store_source string, issue_types array<string>")
