@@ -6,6 +6,7 @@ import gzip
 import io as bytesio
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -164,20 +165,20 @@ def many_files_account(spark, sf_dir):
 def file_kinds(spark, sf_dir):
     """Files made from each document's text; a plain ZIP's text names the parts of the others."""
 
+    def file(i: int, t: str | None) -> bytes:
+        text = (t or "").encode() + b" word/document.xml xl/workbook.xml"
+        name = {0: "word/document.xml", 1: "xl/workbook.xml", 2: "notes.txt"}.get(i % 7)
+        if name:
+            held = bytesio.BytesIO()
+            with zipfile.ZipFile(held, "w") as z:
+                z.writestr(name, text)
+            return held.getvalue()
+        return {3: lambda: gzip.compress(text), 4: lambda: b"%PDF-1.7\n" + text, 5: lambda: b"\xd0\xcf\x11\xe0" + "WordDocument".encode("utf-16-le") + text}.get(i % 7, lambda: b"- " + text)()
+
     @F.arrow_udf("binary")
-    def made(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        out = []
-        for i, t in zip(ids.to_pylist(), texts.to_pylist()):
-            text = (t or "").encode() + b" word/document.xml xl/workbook.xml"
-            name = {0: "word/document.xml", 1: "xl/workbook.xml", 2: "notes.txt"}.get(i % 7)
-            if name:
-                held = bytesio.BytesIO()
-                with zipfile.ZipFile(held, "w") as z:
-                    z.writestr(name, text)
-                out.append(held.getvalue())
-            else:
-                out.append({3: gzip.compress(text), 4: b"%PDF-1.7\n" + text, 5: b"\xd0\xcf\x11\xe0" + "WordDocument".encode("utf-16-le") + text}.get(i % 7, b"- " + text))
-        return pa.array(out, pa.binary())
+    def made(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for ids, texts in C.portions(batches):
+            yield pa.array([file(i, t) for i, t in zip(ids.to_pylist(), texts.to_pylist())], pa.binary())
 
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", C.file_kind(made("doc_id", "text")).alias("kind"))
