@@ -1,3 +1,5 @@
+import pyarrow as pa
+from gleanery.functions import columns as C
 from gleanery.sources import io
 
 
@@ -36,3 +38,15 @@ def test_lists_of_captured_responses_a_line(spark, tmp_path):
     (tmp_path / "one.txt").write_text('[\n  {"d": {"rows": [\n{"a": 4},\n{"a": 5}]}}\n]\n')
     got = sorted(r[0] for r in io.capture_records(spark, str(tmp_path), "d.rows").selectExpr("to_json(record)").collect())
     assert got == [f'{{"a":{i}}}' for i in range(1, 6)]
+
+
+def test_python_holds_a_portion_at_a_time():
+    """Columns of Arrow batches in pieces of bounded rows and bytes, nothing lost, also beside each other."""
+    wide = pa.array([b"x" * (1 << 20)] * 9 + [b"y" * (6 << 20), None], pa.binary())
+    many = pa.array([b""] * 1000, pa.binary())
+    for column in (wide, many, wide.slice(3), many.slice(0, 0)):
+        parts = list(C.portions([column]))
+        assert [x for p in parts for x in p.to_pylist()] == column.to_pylist()
+        assert all(len(p) <= C.PORTION_ROWS and (len(p) == 1 or p.nbytes <= C.PORTION_BYTES) for p in parts)
+    pairs = list(C.portions([(pa.array(range(11)), wide)]))
+    assert [i for a, _ in pairs for i in a.to_pylist()] == list(range(11)) and all(len(a) == len(b) for a, b in pairs)
