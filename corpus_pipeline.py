@@ -18,7 +18,7 @@ from gleanery.session import delete_folder, shared_folder, table
 
 
 def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_toxic(docs, table(spark, sf_dir, "labels"), most_toxic=4000, most_clean=8000)
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -254,3 +254,20 @@ def test_one_of_each():
     shared = base[20] + " " + " ".join(f"n{i}" for i in range(900))  # one passage in a long text of its own
     rows = [(i, toxicity.sketch(t)) for i, t in enumerate(base + copies + [shared, "", "a", "a"])]
     assert toxicity.one_of_each(rows) == [*range(30), 50, 51, 52]
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """More rows of each label than a sample used to take; Spark's regression is that of ``regress``."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    rows = [(i, " ".join(rng.sample(words, 12) + ["zorgle"] * (i % 3 == 0 and rng.random() < 0.9) + ["quibble"] * (rng.random() < 0.2 + 0.3 * (i % 3 == 0)))) for i in range(14_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lb = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    found = toxicity.learn(d, lb, F.lit(True))
+    assert found.counted == found.sizes
+    assert sum(found.counted.values()) == 14_000 and any(f.startswith("zorg") for f in found.chosen)
+    held = toxicity.features(d.join(lb, "doc_id").select(F.col("toxic").alias("label"), "text"), found, "text", ["label"])
+    judge = toxicity.weigh(held, found)
+    want = toxicity.regress(sorted(tuple(r) for r in held.collect()), len(found.chosen), {0: 1.0, 1: 1.0})
+    got = [judge.constant, *[judge.weights[f][0] for f in sorted(found.chosen)], *[judge.weights[f][1] for f in sorted(found.chosen)]]
+    assert max(abs(a - b) for a, b in zip(got, want)) < 0.05
