@@ -6,6 +6,7 @@ stage before kept; each stage's result is written as Parquet and read again as t
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,21 +15,36 @@ from gleanery.llm.packing import pack
 from gleanery.llm.quality import keep_good
 from gleanery.llm.simhash import drop_similar
 from gleanery.llm.toxicity import drop_toxic
-from gleanery.session import delete_folder, shared_folder, table
+from gleanery.session import bounded_batches, delete_folder, shared_folder, table
 
 
+def _in_small_batches(stage):
+    """The stage, with texts going to Python a few megabytes at a time; its result is computed later, under the same setting."""
+
+    @functools.wraps(stage)
+    def run(spark, docs, sf_dir):
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_in_small_batches
 def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+@_in_small_batches
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
 
+@_in_small_batches
 def drop_near_duplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_similar(docs, similarity=0.8, words=5)
 
 
+@_in_small_batches
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their token ids; ``packing.sequences`` joins and pads them."""
     return pack(docs, capacity=1024, min_cut=64, with_ids=True)
