@@ -15,36 +15,37 @@ from gleanery.llm.packing import pack
 from gleanery.llm.quality import keep_good
 from gleanery.llm.simhash import drop_similar
 from gleanery.llm.toxicity import drop_toxic
-from gleanery.session import bounded_batches, delete_folder, shared_folder, table
+from gleanery.session import bounded_batches, delete_folder, shared_folder, shuffles_removed, table
 
 
-def _in_small_batches(stage):
-    """The stage, with texts going to Python a few megabytes at a time; its result is computed later, under the same setting."""
+def _sparing(stage):
+    """The stage, with texts going to Python a few megabytes at a time and shuffle files removed when read; its result is computed later, under the same settings."""
 
     @functools.wraps(stage)
     def run(spark, docs, sf_dir):
         bounded_batches(spark)
+        shuffles_removed(spark)
         return stage(spark, docs, sf_dir)
 
     return run
 
 
-@_in_small_batches
+@_sparing
 def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
-@_in_small_batches
+@_sparing
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
 
-@_in_small_batches
+@_sparing
 def drop_near_duplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_similar(docs, similarity=0.8, words=5)
 
 
-@_in_small_batches
+@_sparing
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their token ids; ``packing.sequences`` joins and pads them."""
     return pack(docs, capacity=1024, min_cut=64, with_ids=True)

@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.llm.common import long, slices, text_map
-from gleanery.llm.components import connected_components
+from gleanery.llm.components import Joined, connected_components
 from gleanery.session import cut_lineage, salted_join
 
 #: A zone is its blocks of bits (shift, width) and a threshold; those with a threshold use the Hamming code on their low 15 bits.
@@ -210,25 +210,6 @@ def compare(keys: np.ndarray, fps: np.ndarray, most: int, crowd: int = CROWD) ->
         yield np.stack([i[near], j[near]], 1)
 
 
-class Joined:
-    """Sets that grow together."""
-
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while (p := self.parent.get(x, x)) != x:
-            self.parent[x] = x = self.parent.get(p, p)
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        """Were they apart before?"""
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-        return a != b
-
-
 def span(links: np.ndarray) -> np.ndarray:
     """Of the links a task found, those that join what was not joined yet."""
     joined = Joined()
@@ -494,10 +475,9 @@ def shingle_sets(source: DataFrame, key: str, body: str, wanted: DataFrame, word
 
         return run
 
-    ids = cut_lineage(wanted.select("least").distinct())
     rows = source.select(F.col(key).alias("__id"), body)
-    here = rows.join(ids.where("least is not null"), F.col("__id") == F.col("least"), "left_semi")
-    if not ids.where("least is null").isEmpty():
+    here = rows.join(wanted.where("least is not null"), F.col("__id") == F.col("least"), "left_semi")
+    if not wanted.where("least is null").isEmpty():
         here = here.unionByName(rows.where("__id is null"))
     read = text_map(here, body, make, T.StructType([long("fp"), T.StructField("shingles", T.ArrayType(T.LongType(), False))]), [])
     return cut_lineage(read.join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
@@ -525,15 +505,9 @@ def similar_roots(source: DataFrame, key: str, body: str, distinct: DataFrame, s
         ends = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
         sets = shingle_sets(source, key, body, cut_lineage(distinct.select("fp", "least").join(ends, "fp")), words, seed)
         links = verified(pairs, sets, similarity)
-        if roots is None:
-            roots = cut_lineage(connected_components(links))
-            continue
-        for end in ("u", "v"):  # what is joined already is one node
-            named = roots.select(F.col("node").alias(end), F.col("root").alias("top"))
-            links = links.join(named, end, "left").withColumn(end, F.coalesce("top", end)).drop("top")
-        more = cut_lineage(connected_components(links.where("u <> v")))
-        moved = salted_join(roots, more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", how="left").select("node", F.coalesce("top", "root").alias("root"))
-        roots = cut_lineage(moved.unionByName(more.join(roots.select("node"), "node", "left_anti")))
+        if roots is not None:  # what is joined already stays so
+            links = links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        roots = connected_components(links)
     return roots
 
 
