@@ -1,3 +1,4 @@
+from gleanery import catalog_fields
 from gleanery.functions import cjk, html
 from gleanery.operators import name_list
 from pyspark.sql import functions as F
@@ -44,6 +45,21 @@ def test_continuations_keep_the_space_between_latin_words(spark):
     assert [(r.company_name, r.version) for r in got] == [("co 7 ltd(a)", "1.0"), ("乙网络技术", "1.0"), ("Network", "1")]
 
 
+def test_numbers_beyond_four_digits_begin_records(spark):
+    rows = [HEAD, ["9999", "甲", "c", "1", "s", "x"], ["10000", "乙", "d", "1", "s", "y"], ["", "", "e", "", "", ""], ["123456", "丙", "f", "1", "s", "z"]]
+    grid = spark.createDataFrame([("a", i, c) for i, c in enumerate(rows)], "doc string, row_no int, cells array<string>")
+    got = name_list.assemble(grid).orderBy("record").collect()
+    assert [(r.seq, r.app_name, r.company_name, r.issue_types) for r in got] == [(9999, "甲", "c", ["x"]), (10000, "乙", "de", ["y"]), (123456, "丙", "f", ["z"])]
+
+
+def test_list_records_of_regions_of_one_name_and_of_equal_nations(spark, tmp_path):
+    spark.createDataFrame([(1, "A", 0), (2, "B", 1), (3, "C", 1), (4, "D", 0), (4, "D", 0), (5, "E", 2)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(0, "R"), (1, "R"), (2, "S")], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    got = sorted(tuple(r) for r in catalog_fields.list_records(spark, str(tmp_path)).collect())
+    nations = [("R", 1, "A", 1), ("R", 1, "B", 2), ("R", 2, "C", 3), ("R", 2, "D", 4), ("R", 3, "D", 4), ("S", 1, "E", 5)]
+    assert got == [(doc, seq, name, f"co {key} ltd", "first,second") for doc, seq, name, key in nations]
+
+
 def test_merge_sources(spark):
     rows = [("d", 1, 1, "甲", "c", "1", "小米", ["a"]), ("d", 2, 1, "甲", "c", "2", "苹果", ["b", "a"]), ("d", 3, None, "乙", "e", "", "", ["x"]), ("d", 4, None, "乙", "e", "", "", ["y"]), ("d", 5, 3, "丙", "", "", "", [])]
     df = spark.createDataFrame(rows, "doc string, record int, seq int, app_name string, company_name string, version string, store_source string, issue_types array<string>")
